@@ -79,26 +79,18 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ro
     Alternates the large-star and small-star steps of Kiveris et al., each a group-by, until the edge list stays as
     it is. A node's neighbours are never gathered in a row: each step is a minimum joined back to the edges.
     """
-    spark = edges.sparkSession
-    current = materialize(
-        edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "cc"
-    )
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    current = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
+    current = materialize(current, "cc")
     before = None
     for _ in range(rounds):
-        both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = current.select("u", "v").unionByName(current.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.where("u <> v"), "cc")
+        large = both.join(least, "u").where("v > u and v <> m").select(v.alias("u"), m.alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
-        small = materialize(small, "cc")
-        state = small.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
-        discard(large)
+        small = large.join(low, "u").where("v <> m").select(v.alias("u"), m.alias("v"))
+        small = materialize(small.unionByName(low.select("u", m.alias("v"))).where("u <> v").distinct(), "cc")
+        state = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         discard(current)
         current = small
         if before == (state["n"], state["h"]):
@@ -106,6 +98,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ro
         before = (state["n"], state["h"])
     else:
         raise RuntimeError("connected components did not settle")
-    low = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    roots = current.select(F.col("v").alias("node")).distinct().join(low, "node", "left_anti")
-    return materialize(low.unionByName(roots.withColumn("component", F.col("node"))), "components")
+    low = current.groupBy(u.alias("node")).agg(F.min("v").alias("component"))
+    roots = current.select(v.alias("node")).distinct().join(low, "node", "left_anti")
+    out = materialize(low.unionByName(roots.withColumn("component", F.col("node"))), "components")
+    discard(current)
+    return out

@@ -11,9 +11,11 @@ How hot lists are kept small without losing links:
   0.75 share at least ``need`` retained values, so they meet among the first ``size - need + 1`` values of each in
   any common order, here by document frequency. Sets of up to 48 shingles have whole sketches and an exact ``need``.
   Beyond that ``need`` is 28 of 64, which a pair at exactly 0.75 misses with a chance below one in a million.
-* Lists aren't expanded to pairs. In each round every member is compared with one member of its list (a star), links
-  are joined to components, and only lists that still span several components go on. What star rounds leave is
-  expanded between different components in the end, so that no list is cut short.
+* Lists aren't expanded to pairs. Every member is compared with one member of its list first (a star), links are joined
+  to components, and only lists that still span several components go on. Their documents are listed once more under
+  their whole sets, whose exact prefixes of a quarter leave shared passages and looser copies out. What these lists
+  hold between different components is compared: pairs of short lists one by one, clusters of long lists in pairs of
+  blocks, each a group of bounded size that counts all its intersections at once. No list is cut short.
 
 Defined cases: null and blank texts have an empty set, link with nothing and are their own component; texts with one to
 four words are one shingle; repeated rows link to each other and report the same component; of rows with one id and
@@ -23,6 +25,7 @@ component and are kept; other columns pass through ``keep_first`` untouched.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -36,8 +39,8 @@ from .common import connected_components, discard, materialize, table, texts_of
 
 SHINGLE, SKETCH, THRESHOLD = 5, 64, 75
 WHOLE, NEED = 48, 28
-#: Star rounds go on while the pairs left to compare exceed this many times the list entries.
-PAIRS_PER_ENTRY, MAX_STARS = 4, 24
+#: Lists of more entries are compared in blocks of this many documents instead of pair by pair.
+LONG_LIST, BLOCK = 48, 512
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -99,17 +102,33 @@ def _values(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "sketch").mapInArrow(run, "value long, rep long, n long")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """``value, rep, n`` of the prefixes, without values that only one class retains."""
-    values = _values(classes)
+def _all_values(texts: DataFrame) -> DataFrame:
+    """``value, rep, n``: one row for each shingle hash of a text, none left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Hashes()
+        for batch in batches:
+            for rep, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                found = shingles(text, cache).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found), pa.array(np.full(len(found), rep)), pa.array(np.full(len(found), len(found)))], ["value", "rep", "n"]
+                )
+
+    return texts.select("rep", "text").mapInArrow(run, "value long, rep long, n long")
+
+
+def _lists(values: DataFrame, size, need) -> DataFrame:
+    """``value, rep, n, single``: the prefixes, without the ``single`` values that only that class has."""
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    size = F.least("n", F.lit(SKETCH))
-    need = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * (THRESHOLD / 100))).otherwise(NEED)
     own = Window.partitionBy("rep")
     ranked = values.join(shared, "value").withColumns({
         "single": size - F.count("*").over(own), "rank": F.row_number().over(own.orderBy("df", "value")),
     })
-    return ranked.where(F.col("single") + F.col("rank") <= size - need + 1).select("value", "rep", "n")
+    prefixes = materialize(ranked.where(F.col("single") + F.col("rank") <= size - need + 1).select("value", "rep", "n", "single"), "prefixes")
+    wide = prefixes.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
+    lists = materialize(prefixes.join(wide, "value"), "lists")
+    discard(prefixes)
+    return lists
 
 
 def estimate(a: bytes, b: bytes) -> bool:
@@ -163,52 +182,116 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.sortWithinPartitions("b").mapInArrow(run, "a long, b long")
 
 
+def _open_entries(lists: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Entries of the lists that span several components ``c``; with the list's size ``m`` and its ``star``."""
+    if components is None:
+        entries = lists.withColumn("c", F.col("rep"))
+    else:
+        entries = lists.join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        entries = entries.select("value", "rep", "n", "single", F.coalesce("component", "rep").alias("c"))
+    # An original has no value of its own, its edited copies do: the star is best at the fewest.
+    star = F.struct("single", F.xxhash64("rep").alias("h"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    spans = entries.groupBy("value").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min(star).alias("star")
+    ).where("lo < hi")
+    return materialize(entries.join(spans.select("value", "m", "star"), "value"), "entries")
+
+
+def block_links(first: list[tuple[int, int, np.ndarray]], second: list[tuple[int, int, np.ndarray]] | None) -> list[tuple[int, int]]:
+    """Links between (or, without ``second``, within) blocks of documents ``(rep, component, set)``.
+
+    All similarities are exact; of the links that join the same components one is enough.
+    """
+    values = np.concatenate([s for *_, s in first])
+    owner = np.repeat(np.arange(len(first)), [len(s) for *_, s in first])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    sizes = np.array([len(s) for *_, s in first])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for j, (rep, c, mine) in enumerate(second or first):
+        lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+        n = hi - lo
+        hits = owner[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        inter = np.bincount(hits, minlength=len(first))
+        good = 100 * inter >= THRESHOLD * (sizes + len(mine) - inter)
+        for i in np.flatnonzero(good if second else good[:j]):
+            x, y = find(first[i][1]), find(c)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(rep, first[i][0]), max(rep, first[i][0])))
+    return out
+
+
+def _hot_links(entries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of documents that meet in long lists: clusters of such lists, compared block by block.
+
+    Documents of a cluster are dealt to blocks of about ``BLOCK`` rows; every pair of blocks is a group of its own.
+    """
+    cluster = connected_components(entries.select(F.col("rep").alias("a"), F.col("star.b").alias("b")))
+    cluster = cluster.withColumnRenamed("node", "rep")
+    count = cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = entries.select("rep", "c").distinct().join(cluster, "rep").join(count, "component").join(texts, "rep")
+    mine, other = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("mine", mine.cast("int")).withColumn("other", other)
+    rows = rows.select("component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "c", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        cache = _Hashes()
+        blocks: dict[int, list] = {}
+        for mine, rep, c, text in zip(*(group.column(x).to_pylist() for x in ("mine", "rep", "c")), texts_of(group.column("text")), strict=True):
+            blocks.setdefault(mine, []).append((rep, c, shingles(text, cache)))
+        parts = list(blocks.values())
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        found = block_links(parts[0], None) if lo == hi else block_links(*parts) if len(parts) == 2 else []
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return rows.groupBy("component", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """``node, component`` of all classes that are linked with another one."""
-    lists = materialize(_lists(classes), "lists")
-    wide = lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
-    lists = materialize(lists.join(wide, "value"), "lists")
-    candidates = lists.select("rep").distinct()
-    spoken = classes.join(candidates, "rep").select("rep", "digest")
-    texts = (
-        docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(spoken, "rep").dropDuplicates(["rep", "digest"])
-    )
+    size = F.least("n", F.lit(SKETCH))
+    exact = F.ceil(F.col("n") * (THRESHOLD / 100))
+    fits = f"least(n, nb) * 100 >= {THRESHOLD} * greatest(n, nb)"
+    pair = (F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+    lists = _lists(_values(classes), size, F.when(F.col("n") <= WHOLE, exact).otherwise(NEED))
+    spoken = classes.join(lists.select("rep").distinct(), "rep").select("rep", "digest")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(spoken, "rep").dropDuplicates(["rep", "digest"])
     texts = materialize(texts.select("rep", "text"), "texts")
-    edges, components, tested = None, None, None
-    for turn in range(MAX_STARS + 1):
-        comp = F.coalesce("component", "rep")
-        open_lists = lists if components is None else lists.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        open_lists = open_lists.select("value", "rep", "n", (F.col("rep") if components is None else comp).alias("c"))
-        spans = open_lists.groupBy("value").agg(
-            F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"),
-            F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))).alias("star"),
-        ).where("lo < hi")
-        open_lists = materialize(open_lists.join(spans.select("value", "m", "star"), "value"), "open")
-        sizes = open_lists.groupBy("value", "c").agg(F.count("*").alias("k"), F.max("m").alias("m"))
-        left = sizes.agg(F.sum(F.expr("k * (m - k)").cast("double") / 2).alias("pairs"), F.sum("k").alias("entries")).first()
-        if not left["pairs"]:
-            break
-        last = left["pairs"] <= PAIRS_PER_ENTRY * left["entries"] or turn == MAX_STARS
-        if last:
-            other = open_lists.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = open_lists.join(other, "value").where("c <> cb and rep < b")
-        else:
-            pairs = open_lists.select("rep", "n", "c", "star.*").where("c <> cb")
-        fits = "least(n, nb) * 100 >= 75 * greatest(n, nb)"
-        pairs = pairs.where(fits).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = materialize(_verified(materialize(_near(pairs, classes), "near"), texts), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        discard(open_lists)
-        if not found.isEmpty():
-            if components is not None:
-                discard(components)
-            components = connected_components(edges)
-        if last:
-            break
+
+    # First every document against the star of each of its lists.
+    entries = _open_entries(lists, None)
+    pairs = entries.select("rep", "n", "star.*").where("rep <> b").where(fits).select(*pair).distinct()
+    stars = materialize(_verified(_near(pairs, classes), texts), "stars")
+    components = None if stars.isEmpty() else connected_components(stars)
+    discard(entries)
+
+    # Then what is still open, listed anew under whole sets.
+    entries = _open_entries(lists, components)
+    discard(lists)
+    lists = _lists(_all_values(texts.join(entries.select("rep").distinct(), "rep")), F.col("n"), exact)
+    discard(entries)
+    entries = _open_entries(lists, components)
+    short, long = entries.where(F.col("m") <= LONG_LIST), entries.where(F.col("m") > LONG_LIST)
+    other = short.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    pairs = short.join(other, "value").where("c <> cb and rep < b").where(fits).select(*pair).distinct()
+    rest = _verified(_near(pairs, classes), texts)
+    if not long.isEmpty():
+        rest = rest.unionByName(_hot_links(long, texts))
+    rest = materialize(rest, "rest")
+    if not rest.isEmpty():
+        if components is not None:
+            discard(components)
+        components = connected_components(stars.unionByName(rest))
+    for t in (lists, texts, entries, stars, rest):
+        discard(t)
     return components
 
 
@@ -232,7 +315,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         whole = whole.withColumnRenamed("rep", "component_id")
     out = rows.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == own, F.lit(True))
+    out = materialize(out.select("doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept")), "groups")
+    for t in (rows, members, classes, *([components] if components is not None else [])):
+        discard(t)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

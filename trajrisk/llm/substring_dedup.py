@@ -136,8 +136,10 @@ def cuttings(rows: Iterator[tuple[int, bytes, bytes, np.ndarray]]) -> Iterator[t
             i[i == len(wanted)] = 0
             keep = wanted[i] == h if len(wanted) else np.zeros(len(h), bool)
             raw = data.tobytes()
-            for a, b, c, k in zip(lo[keep].tolist(), hi[keep].tolist(), at[keep].tolist(), h[keep].view(np.int64).tolist(), strict=True):
-                base = int(places[np.searchsorted(ends, a, side="right")]) - (int(ends[np.searchsorted(ends, a, side="right") - 1]) if a >= ends[0] else 0)
+            piece = np.searchsorted(ends, lo, side="right")
+            shift = (places - np.concatenate([[0], ends[:-1]]))[piece]  # from the place in data to the place in the text
+            found = (x[keep].tolist() for x in (lo, hi, at, h.view(np.int64), shift))
+            for a, b, c, k, base in zip(*found, strict=True):
                 cut = raw[a : b + LENGTH]
                 me, key = (kid, dig, a + base), (k, c - a, cut)
                 other = earliest.get(key)
@@ -292,8 +294,8 @@ def covered(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.stack([start[at], end[np.concatenate([at[1:] - 1, [len(end) - 1]])]], axis=1)
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_bytes, sha, text, runs``.
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """One row per row of ``docs``: ``doc_id, n_bytes, sha, text, runs``; and the stored tables that they come from.
 
     Documents that lose nothing have only ``sha``, the digest of their bytes; the others have their text and ``runs``
     of removed window starts; for copies of earlier documents ``runs`` is null as well as ``sha``.
@@ -321,15 +323,18 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     affected = marked.where("hs is not null")
     runs = _repeats(_cut_table(affected)).groupBy("kid", "dig").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     runs = materialize(runs, "runs")
-    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    done = marked.where("hs is null").select("doc_id", "n_bytes", "sha", "text", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("runs"))
-    return done.unionByName(
-        affected.join(runs, ["kid", "dig"], "left").select("doc_id", "n_bytes", "sha", "text", F.coalesce("runs", none).alias("runs"))
-    )
+    none_type = "array<struct<first:bigint,last:bigint>>"
+    none = F.array().cast(none_type)
+    done = marked.where("hs is null").select("doc_id", "n_bytes", "sha", "text", F.lit(None).cast(none_type).alias("runs"))
+    open_rows = affected.join(runs, ["kid", "dig"], "left")
+    return done.unionByName(open_rows.select("doc_id", "n_bytes", "sha", "text", F.coalesce("runs", none).alias("runs"))), [marked, runs]
 
 
 def stripped(rows: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``kept``, the remaining bytes where some were removed."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``kept``, the remaining bytes where some were removed.
+
+    Takes the rows of ``repeated_ranges``.
+    """
     empty = hashlib.sha256(b"").hexdigest()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
@@ -367,8 +372,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``id_col`` is to be unique here, as it is after near-duplicate removal; rows with a null id keep their text.
     """
-    changed = stripped(repeated_ranges(docs, id_col, text_col)).where("n_removed > 0 and doc_id is not null")
-    changed = changed.select(F.col("doc_id").alias(id_col), F.col("kept").alias("__new")).dropDuplicates([id_col])
+    rows, stored = repeated_ranges(docs, id_col, text_col)
+    changed = stripped(rows).where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias(id_col), F.col("kept").alias("__new"))
+    changed = materialize(changed, "changed")
+    for t in stored:
+        discard(t)
+    changed = changed.dropDuplicates([id_col])
     at = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +399,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stripped(repeated_ranges(table(spark, sf_dir, "documents"))).drop("kept")
+    return stripped(repeated_ranges(table(spark, sf_dir, "documents"))[0]).drop("kept")
 
 
 QUERIES = {"op10_substring_dedup": op10_substring_dedup}
