@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, pieces, quality_rules, substring_dedup
+from . import (
+    decontamination, hidden_markov, html_text, license_scan, near_dedup, pieces, quality_classifier, quality_rules, substring_dedup, warc,
+)
 
-MODULES = [decontamination, near_dedup, pieces, quality_rules, substring_dedup]
+MODULES = [quality_classifier, warc, pieces, license_scan, decontamination, hidden_markov, quality_rules, html_text, near_dedup, substring_dedup]
 
 
 def queries() -> dict:
