@@ -7,27 +7,35 @@ from pyspark.sql import functions as F
 
 from ..operators import behavior, governance, grid, ingest, matching, overspeed_v1, scoring, spatial
 from ..params import DEFAULTS, Params
+from ..sources.tables import stored
 from ..sources.walk import raw_points, road_lattice
 
 
 class Analysis:
-    """Steps of one analysis over the ``events`` table of ``sf_dir``; each is built once."""
+    """Steps of one analysis over the ``events`` table of ``sf_dir``; those that several others read are stored once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, p: Params = DEFAULTS):
         self.spark, self.dir, self.p = spark, sf_dir, p
+        self.tables: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build) -> DataFrame:
+        if name not in self.tables:
+            self.tables[name] = stored(build(), name)
+        return self.tables[name]
 
     def tagged(self) -> DataFrame:
         return ingest.tag_invalid(ingest.coerce_types(ingest.resolve_columns(raw_points(self.spark, self.dir), ("event_id",))), self.p)
 
     def points(self) -> DataFrame:
-        return ingest.point_kinematics(ingest.segment_trajectories(ingest.split_valid(self.tagged()), p=self.p), self.p)
+        chains = ingest.segment_trajectories(ingest.split_valid(self.tagged()), p=self.p)
+        return self.once("points", lambda: ingest.point_kinematics(chains, self.p))
 
     def edges(self) -> DataFrame:
-        return matching.road_edges(road_lattice(self.spark))
+        return self.once("edges", lambda: matching.road_edges(road_lattice(self.spark)))
 
     def matched(self) -> DataFrame:
         points = matching.with_metres(self.points())
-        return matching.nearest_match(points, matching.match_candidates(points, self.edges(), p=self.p))
+        return self.once("matched", lambda: matching.nearest_match(points, matching.match_candidates(points, self.edges(), p=self.p)))
 
     def events(self) -> DataFrame:
         points = self.points()
@@ -36,7 +44,7 @@ class Analysis:
 
     def grid(self) -> DataFrame:
         clipped = grid.clip_links_to_cells(grid.exposure_links(self.matched(), self.p), self.p)
-        return grid.grid_metrics(clipped, grid.event_cells(self.events(), self.p), self.p)
+        return self.once("grid", lambda: grid.grid_metrics(clipped, grid.event_cells(self.events(), self.p), self.p))
 
     def scores(self) -> DataFrame:
         cells = self.grid()

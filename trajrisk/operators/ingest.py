@@ -61,7 +61,7 @@ def split_isolated(df: DataFrame) -> DataFrame:
 
 def isolated_ratio(df: DataFrame) -> DataFrame:
     n, bad = F.count("*"), F.count("isolate_reason")
-    return df.agg(n.alias("rows_total"), bad.alias("rows_isolated"), F.round(bad / n, 4).alias("ratio"))
+    return df.agg(n.alias("rows_total"), bad.alias("rows_isolated"), F.round(F.try_divide(bad, n), 4).alias("ratio"))
 
 
 def assert_isolated_ratio(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -21,13 +21,15 @@ BROADCAST_PARTS = 200_000
 
 def road_edges(lattice: DataFrame) -> DataFrame:
     """Edges in metres with node ids, level, length, bearing and the number ``k`` among parallel edges."""
-    lattice = add_utm50n(lattice, F.col("u_x") / 1e6, F.col("u_y") / 1e6, "ax", "ay")
-    lattice = add_utm50n(lattice, F.col("v_x") / 1e6, F.col("v_y") / 1e6, "bx", "by")
+    ends = lattice.select(F.col("u_x").alias("lon"), F.col("u_y").alias("lat")).union(lattice.select("v_x", "v_y")).distinct()
+    nodes = add_utm50n(ends, F.col("lon") / 1e6, F.col("lat") / 1e6, "x", "y").withColumn("node", F.format_string("%.2f,%.2f", "x", "y"))
+    for side, x, y in (("u", "ax", "ay"), ("v", "bx", "by")):  # every node is projected once
+        named = nodes.select(F.col("lon").alias(f"{side}_x"), F.col("lat").alias(f"{side}_y"), F.col("x").alias(x), F.col("y").alias(y), F.col("node").alias(side))
+        lattice = lattice.join(named, [f"{side}_x", f"{side}_y"])
     level = F.coalesce(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv))[F.col("fclass")], F.lit("unknown"))
-    out = lattice.select("osm_id", "fclass", "oneway", "ax", "ay", "bx", "by")
-    node = lambda x, y: F.format_string("%.2f,%.2f", x, y)
+    out = lattice.select("osm_id", "fclass", "oneway", "u", "v", "ax", "ay", "bx", "by")
     out = out.withColumns({
-        "u": node(F.col("ax"), F.col("ay")), "v": node(F.col("bx"), F.col("by")), "road_level": level,
+        "road_level": level,
         "length_m": F.round(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")), 3),
         "forward_bearing": bearing_deg(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")),
     }).where("length_m >= 0.5")

@@ -18,12 +18,12 @@ def entropy_weights(grid: DataFrame, columns: tuple[str, ...] = RATES) -> DataFr
     """One row of weights ``w_<column>``; a constant or empty column weighs 0, and all alike if every one does."""
     rows = valid_grids(grid).select(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
     totals = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in columns for k, f in (("s", F.sum), ("lo", F.min), ("hi", F.max))))
-    p = {c: F.col(c) / F.col(f"s_{c}") for c in columns}
+    p = {c: F.try_divide(F.col(c), F.col(f"s_{c}")) for c in columns}
     terms = [F.sum(F.when(p[c] > 0, p[c] * F.ln(p[c])).otherwise(0.0)).alias(f"h_{c}") for c in columns]
     keep = [F.first(x).alias(x) for x in totals.columns]
     one = rows.crossJoin(F.broadcast(totals)).agg(*terms, *keep)  # totals: one row
     usable = lambda c: (F.col(f"s_{c}") > 0) & (F.col(f"lo_{c}") < F.col(f"hi_{c}")) & (F.col("n") > 1)
-    d = {c: F.when(usable(c), 1 + F.col(f"h_{c}") / F.ln("n")).otherwise(0.0) for c in columns}
+    d = {c: F.when(usable(c), 1 + F.try_divide(F.col(f"h_{c}"), F.ln("n"))).otherwise(0.0) for c in columns}
     total = reduce(lambda a, b: a + b, d.values())
     return one.select(*(F.when(total > 0, d[c] / total).otherwise(1 / len(columns)).alias(f"w_{c}") for c in columns))
 
