@@ -32,11 +32,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The shuffles behind a written table are no longer needed, but Spark only deletes their files when the driver
+    collects its garbage; ``free`` asks for that, after large shuffles.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if free:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -228,7 +228,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
 
     words = materialize(_words(rows), "words")
     counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    counts = materialize(counts.withColumn("class", F.pmod(F.xxhash64("word"), F.lit(CLASSES)).cast("int")), "counts")
+    counts = materialize(counts.withColumn("class", F.pmod(F.xxhash64("word"), F.lit(CLASSES)).cast("int")), "counts", free=True)
     known = counts.where("c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # CLASSES rows
     of_class = np.ones(CLASSES)
     for r in known:
@@ -265,7 +265,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, schema)
-    scored = materialize(scored, "scores")
+    scored = materialize(scored, "scores", free=True)
     discard(words)
     discard(counts)
     return scored

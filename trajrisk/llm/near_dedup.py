@@ -126,7 +126,7 @@ def _lists(values: DataFrame, size, need) -> DataFrame:
     })
     prefixes = materialize(ranked.where(F.col("single") + F.col("rank") <= size - need + 1).select("value", "rep", "n", "single"), "prefixes")
     wide = prefixes.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
-    lists = materialize(prefixes.join(wide, "value"), "lists")
+    lists = materialize(prefixes.join(wide, "value"), "lists", free=True)
     discard(prefixes)
     return lists
 
@@ -264,7 +264,7 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
     lists = _lists(_values(classes), size, F.when(F.col("n") <= WHOLE, exact).otherwise(NEED))
     spoken = classes.join(lists.select("rep").distinct(), "rep").select("rep", "digest")
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(spoken, "rep").dropDuplicates(["rep", "digest"])
-    texts = materialize(texts.select("rep", "text"), "texts")
+    texts = materialize(texts.select("rep", "text"), "texts", free=True)
 
     # First every document against the star of each of its lists.
     entries = _open_entries(lists, None)
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(voice.join(owner, "digest").select("doc_id", "rep", "digest"), "members")
     classes = materialize(
         full.join(members.where("doc_id = rep"), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
-        .select("rep", F.col("n_shingles").alias("n"), "digest", "sketch"), "classes",
+        .select("rep", F.col("n_shingles").alias("n"), "digest", "sketch"), "classes", free=True,
     )
     components = _links(docs, classes, id_col, text_col)
     whole = members.select("doc_id", "rep")

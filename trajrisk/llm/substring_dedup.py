@@ -317,12 +317,12 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "kid", "doc_id", "dig", F.octet_length("text").cast("long").alias("n_bytes"), "copy",
             F.when(~open_ & ~F.col("copy"), F.sha2(F.col("text").cast("binary"), 256)).alias("sha"),
             F.when(open_, F.col("text")).alias("text"), F.when(open_, F.col("hs")).alias("hs"),
-        ), "marked",
+        ), "marked", free=True,
     )
     discard(anchors)
     affected = marked.where("hs is not null")
     runs = _repeats(_cut_table(affected)).groupBy("kid", "dig").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    runs = materialize(runs, "runs")
+    runs = materialize(runs, "runs", free=True)
     none_type = "array<struct<first:bigint,last:bigint>>"
     none = F.array().cast(none_type)
     done = marked.where("hs is null").select("doc_id", "n_bytes", "sha", "text", F.lit(None).cast(none_type).alias("runs"))
