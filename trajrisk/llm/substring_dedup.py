@@ -5,12 +5,14 @@ in the same one. Suffixes are only sorted where that is possible, in four steps:
 
 1. Every window of ``LENGTH`` bytes is given to the least of its hashed 16-byte grams, its anchor; equal windows have
    equal anchors at equal places. Anchors that occur once in the whole corpus cannot start a repeat and end here.
-2. The remaining windows are cut out with their anchor. Within a task equal cuttings are folded into the earliest one,
-   so a passage that a third of all documents share reaches its bucket once per task.
-3. Cuttings are shuffled by anchor: one anchor is one suffix bucket. Buckets are sorted block by block. A block first
-   ranks the sampled suffixes at the places of a difference cover modulo ``PERIOD``, counted from the anchor; all other
-   suffixes are then ordered by their first 32 bytes and, where these tie, by the rank of the next sampled suffix.
-   Memory is bounded by the block, not by the corpus. The earliest suffix of each group equal to ``LENGTH`` bytes stays.
+2. The remaining windows are cut out with their anchor, and each cutting is told by a 128-bit code of its bytes and of
+   its anchor's place. Equal cuttings are folded into the earliest one, first within a task, so that a passage that a
+   third of all documents share reaches its bucket once per task, then after a shuffle of the codes by anchor.
+3. The bytes of a cutting are fetched only where an anchor has different cuttings: these are shuffled by anchor, and one
+   anchor is one suffix bucket. Buckets are sorted block by block. A block first ranks the sampled suffixes at the
+   places of a difference cover modulo ``PERIOD``, counted from the anchor; all other suffixes are then ordered by their
+   first 32 bytes and, where these tie, by the rank of the next sampled suffix. Memory is bounded by the block, not by
+   the corpus. The earliest suffix of each group equal to ``LENGTH`` bytes stays.
 4. Removed windows of a document are merged to runs.
 
 A document that equals an earlier one as a whole is found by its digest and needs no sorting.
@@ -28,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, table, texts_of
@@ -119,15 +122,29 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return docs.select("kid", "text").mapInArrow(run, "kid long, h long, c int")
 
 
-CUTTING = "h long, kid long, dig binary, start long, rel int, n int, cut binary"
+CODE = "h long, kid long, dig long, start long, rel int, n int, c0 long, c1 long"
+CUTTING = "h long, kid long, dig long, start long, rel int, n int, cut binary"
 
 
-def cuttings(rows: Iterator[tuple[int, bytes, bytes, np.ndarray]]) -> Iterator[tuple]:
-    """Cuttings of texts at the anchors in question; later copies of a cutting come without their bytes.
+def _signed(x: int) -> int:
+    """The lowest 64 bits as a signed number."""
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
 
-    Takes id, digest, text and the hashes that repeat somewhere. All windows of a cutting without bytes are repeats.
+
+def codes(rows: Iterator[tuple[int, int, bytes, np.ndarray]]) -> Iterator[tuple]:
+    """Cuttings of texts at the anchors in question, each as a 128-bit code instead of its bytes.
+
+    Takes id, digest, text and the hashes that repeat somewhere. Of equal cuttings only the earliest has a code. All
+    windows of the others are repeats; neighbours among these are one row, under a spread-out hash of its own.
     """
-    earliest: dict[tuple[int, int, bytes], tuple[int, bytes, int]] = {}
+    earliest: dict[tuple[int, int], tuple[tuple[int, int, int], int, int]] = {}
+    run: list[int] = []  # id, digest, start and number of windows
+
+    def repeat() -> tuple:
+        kid, dig, start, n = run
+        return _signed((kid * 0x9E3779B1 + start) * 0x9E3779B97F4A7C15), kid, dig, start, 0, n, None, None
+
     for kid, dig, text, wanted in rows:
         wanted = np.unique(wanted.astype(np.int64).view(np.uint64))
         for data, ends, _, places in segments([text]):
@@ -140,19 +157,36 @@ def cuttings(rows: Iterator[tuple[int, bytes, bytes, np.ndarray]]) -> Iterator[t
             shift = (places - np.concatenate([[0], ends[:-1]]))[piece]  # from the place in data to the place in the text
             found = (x[keep].tolist() for x in (lo, hi, at, h.view(np.int64), shift))
             for a, b, c, k, base in zip(*found, strict=True):
-                cut = raw[a : b + LENGTH]
-                me, key = (kid, dig, a + base), (k, c - a, cut)
+                key = k, xxhash.xxh3_128_intdigest(raw[a : b + LENGTH], seed=c - a)
+                me, n = (kid, dig, a + base), b - a + 1
                 other = earliest.get(key)
-                if other is None or me < other:
-                    earliest[key] = me
-                    me, other = (other, me) if other else (None, me)
-                if me is not None and me != other:
-                    yield k, *me, c - a, b - a + 1, None
-    for (k, rel, cut), me in earliest.items():
-        yield k, *me, rel, len(cut) - LENGTH + 1, cut
+                if other is None or me < other[0]:
+                    earliest[key] = me, c - a, n
+                    me, other = (other[0] if other else None), (me,)
+                if me is not None and me != other[0]:
+                    if run and run[:2] == [*me[:2]] and run[2] + run[3] == me[2]:
+                        run[3] += n
+                    else:
+                        if run:
+                            yield repeat()
+                        run = [*me, n]
+    if run:
+        yield repeat()
+    for (k, code), (me, rel, n) in earliest.items():
+        yield k, *me, rel, n, _signed(code >> 64), _signed(code)
+
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-def _cut_table(affected: DataFrame) -> DataFrame:
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(","))])
+
+
+def _codes(affected: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, hashes = texts_of(batch.column(2)), batch.column(3)
@@ -160,13 +194,41 @@ def _cut_table(affected: DataFrame) -> DataFrame:
             for s in range(0, batch.num_rows, step):
                 part = range(s, min(s + step, batch.num_rows))
                 rows = ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), texts[i] or b"", hashes[i].values.to_numpy()) for i in part)
-                columns = list(zip(*cuttings(rows), strict=True)) or [[]] * 7
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "kid", "dig", "start", "rel", "n", "cut"]
-                )
+                yield _batch(list(codes(rows)), _arrow(CODE))
 
-    return affected.select("kid", "dig", "text", "hs").mapInArrow(run, CUTTING)
+    return affected.select("kid", "dig", "text", "hs").mapInArrow(run, CODE)
+
+
+def _judged(coded: DataFrame) -> DataFrame:
+    """Of all cuttings those that are ``later`` than an equal one, and the first of each kind where an anchor has several."""
+    place, code = F.struct("kid", "dig", "start"), F.struct("c0", "c1")
+    same, anchor = Window.partitionBy("h", "c0", "c1"), Window.partitionBy("h")
+    rows = coded.repartition("h").withColumns({"first": F.min(place).over(same)})
+    rows = rows.withColumn("many", F.min(code).over(anchor) != F.max(code).over(anchor))
+    later = F.col("c0").isNull() | (F.col("first") != place)
+    return rows.withColumn("later", later).where("later or many").select("h", "kid", "dig", "start", "rel", "n", "later")
+
+
+def _cuttings(places: DataFrame, affected: DataFrame) -> DataFrame:
+    """The bytes of the cuttings at ``places``."""
+    wanted = places.groupBy("kid", "dig").agg(F.collect_set(F.struct("h", "start", "rel", "n")).alias("cuts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, size, out = _arrow(CUTTING), 0, []
+        for batch in batches:
+            kids, digs, cuts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            for i, text in enumerate(texts_of(batch.column(2))):
+                mine = cuts[i].values
+                for h, start, rel, n in zip(*(mine.field(j).to_pylist() for j in range(4)), strict=True):
+                    cut = text[start : start + n - 1 + LENGTH]
+                    size += len(cut)
+                    out.append((h, kids[i], digs[i], start, rel, n, cut))
+                if size >= BLOCK:
+                    yield _batch(out, schema)
+                    size, out = 0, []
+        yield _batch(out, schema)
+
+    return affected.select("kid", "dig", "text").join(wanted, ["kid", "dig"]).select("kid", "dig", "text", "cuts").mapInArrow(run, CUTTING)
 
 
 def _words(data: np.ndarray, at: np.ndarray, count: int) -> list[np.ndarray]:
@@ -239,17 +301,14 @@ def _leading_bytes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-RUN = "kid long, dig binary, first long, last long"
+RUN = "kid long, dig long, first long, last long"
 
 
 def _repeats(cuts: DataFrame) -> DataFrame:
     """``kid, dig, first, last``: ranges of window starts that repeat an earlier window."""
 
     def block(rows: list[tuple]) -> list[tuple]:
-        out = [(r[1], r[2], r[3], r[3] + r[5] - 1) for r in rows if r[6] is None]
-        rows = [r for r in rows if r[6] is not None]
-        if not rows:
-            return out
+        out = []
         bucket = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1]
         places = sorted({(r[1], r[2], r[3]) for r in rows})
         rank = {p: i for i, p in enumerate(places)}
@@ -261,24 +320,17 @@ def _repeats(cuts: DataFrame) -> DataFrame:
                 out += [(r[1], r[2], r[3] + a, r[3] + b - 1) for a, b in edge.reshape(-1, 2).tolist()]
         return out
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)],
-            ["kid", "dig", "first", "last"],
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= BLOCK and row[0] != held[-1][0]:  # a bucket is not split
-                    yield batch_of(block(held))
+                    yield _batch(block(held), _arrow(RUN))
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6] or b"") + 16
+                size += len(row[6]) + 16
         if held:
-            yield batch_of(block(held))
+            yield _batch(block(held), _arrow(RUN))
 
     return cuts.repartition("h").sortWithinPartitions("h").mapInArrow(run, RUN)
 
@@ -302,15 +354,16 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kid = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     whole = docs.select(kid.alias("kid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = whole.withColumn("dig", F.unhex(F.md5(F.col("text").cast("binary"))))
+    whole = whole.withColumn("md5", F.md5(F.col("text").cast("binary")))
+    whole = whole.withColumn("dig", F.conv(F.substring("md5", 1, 15), 16, 10).cast("long"))
     anchors = materialize(_anchors(whole), "anchors")
     twice = anchors.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
     hashes = anchors.join(twice, "h").groupBy("kid").agg(F.collect_list("h").alias("hs"))
-    slim = whole.select("kid", "dig")
-    owner = slim.groupBy("dig").agg(F.min("kid").alias("owner"))
-    copies = slim.join(owner, "dig").where("kid > owner").groupBy("kid").agg(F.collect_set("dig").alias("copies"))
+    slim = whole.select("kid", "md5")
+    owner = slim.groupBy("md5").agg(F.min("kid").alias("owner"))
+    copies = slim.join(owner, "md5").where("kid > owner").groupBy("kid").agg(F.collect_set("md5").alias("copies"))
     marked = whole.join(hashes, "kid", "left").join(copies, "kid", "left")
-    marked = marked.withColumn("copy", F.coalesce(F.array_contains("copies", F.col("dig")), F.lit(False)) & (F.octet_length("text") >= LENGTH))
+    marked = marked.withColumn("copy", F.coalesce(F.array_contains("copies", F.col("md5")), F.lit(False)) & (F.octet_length("text") >= LENGTH))
     open_ = F.col("hs").isNotNull() & ~F.col("copy")
     marked = materialize(
         marked.select(
@@ -321,8 +374,11 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     discard(anchors)
     affected = marked.where("hs is not null")
-    runs = _repeats(_cut_table(affected)).groupBy("kid", "dig").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    runs = materialize(runs, "runs", free=True)
+    judged = materialize(_judged(_codes(affected)), "judged", free=True)
+    later = judged.where("later").selectExpr("kid", "dig", "start as first", "start + n - 1 as last")
+    found = later.unionByName(_repeats(_cuttings(judged.where("not later"), affected)))
+    runs = materialize(found.groupBy("kid", "dig").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs", free=True)
+    discard(judged)
     none_type = "array<struct<first:bigint,last:bigint>>"
     none = F.array().cast(none_type)
     done = marked.where("hs is null").select("doc_id", "n_bytes", "sha", "text", F.lit(None).cast(none_type).alias("runs"))
