@@ -221,6 +221,37 @@ def test_license_scan(spark):
     assert found == {(2, 0, "ISC"), (2, 2, "ISC"), (2, 2, "MIT")}
 
 
+def test_license_scan_finds_complete_texts(spark):
+    """Full texts and texts of several lines inside a document, however wrapped."""
+    import textwrap
+
+    texts = {p.name.removesuffix(".txt"): p.read_text() for p in license_scan.TEXTS.glob("*.txt")}
+    mit, apache = texts["MIT"], texts["Apache-2.0.header"]
+    rewrapped = [textwrap.fill(mit, w) for w in range(30, 100, 3)]
+    rows = [(f"whole {k}", v) for k, v in texts.items()] + [
+        ("titled", f"The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n{mit}"),
+        ("inside", f"Some prose.\n\n{mit}\nMore prose."),
+        ("code", "int x;\n# Copyright 2020 X\n" + "".join(f"# {x}\n" for x in apache.splitlines()) + "int y;"),
+        ("wrapped notice", "a\nReleased under\nthe MIT\nLicense.\nb"),
+        ("cut", f"x\n{mit.replace('sublicense', 'rent')}"), ("longer", "a\nReleased under\nthe MIT License. Or not."),
+        *((f"wrap {i}", f"Before.\n{x}\nAfter.") for i, x in enumerate(rewrapped)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = collections.defaultdict(set)
+    for r in license_scan.scan(docs, license_scan.known_digests(spark)).collect():
+        found[r["doc_id"]].add((r["unit"], r["license"]))
+    for k in texts:
+        assert (0, k.removesuffix(".header")) in found[f"whole {k}"], k
+    assert (0, "MIT") in found["titled"]
+    first = {(i + 3, "MIT") for i, x in enumerate(mit.splitlines()) if x}
+    assert found["inside"] == first
+    assert {(i + 3, "Apache-2.0") for i, x in enumerate(apache.splitlines()) if x} == found["code"]
+    assert found["wrapped notice"] == {(2, "MIT"), (3, "MIT"), (4, "MIT")}
+    assert not found["cut"] and not found["longer"]
+    for i, x in enumerate(rewrapped):
+        assert found[f"wrap {i}"] == {(j + 2, "MIT") for j in range(x.count("\n") + 1)}, i
+
+
 def test_warc(spark):
     rows = [(1, "http://a.b.com/x?q=1", "<p>é</p>"), (2, "http://b.com/", "<p>é</p>"), (3, None, None), (4, "http://c.com", ""), (None, "http://b.com/", "z"), (5, "http://b.com/", "q" * 5000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
