@@ -109,6 +109,34 @@ def test_repeats(docs, empty):
     assert substring_dedup.stripped(substring_dedup.repeated_ranges(empty)[0]).count() == 0
 
 
+def test_repeats_of_frequent_anchors(spark):
+    """A passage and a short line in many different contexts: no anchor gathers more than ``hot`` cuttings."""
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    own = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    passage, line = own(260), own(60)
+    rows = [(i, own(150) + passage + own(150) + line + own(120)) for i in range(80)]
+    rows += [(80 + i, rows[i][1][100:420] + own(30)) for i in range(10)]
+    seen, want = set(), {}
+    for i, t in rows:
+        data, hit = t.encode(), np.zeros(len(t), bool)
+        for p in range(len(data) - 99):
+            if data[p : p + 100] in seen:
+                hit[p : p + 100] = True
+            seen.add(data[p : p + 100])
+        want[i] = int(hit.sum()), hashlib.sha256(np.frombuffer(data, np.uint8)[~hit].tobytes()).hexdigest()
+    for hot in (substring_dedup.HOT, 20, 1):
+        found = substring_dedup.repeated_ranges(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot)[0]
+        got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.stripped(found).collect()}
+        assert got == want
+    count = collections.Counter()
+    for _, t in rows:
+        count.update(h for d, e, _, _ in substring_dedup.segments([t.encode()]) for h in substring_dedup.ranges(d, e)[3].view(np.int64).tolist())
+    asked, often = np.array([h for h, c in count.items() if c > 1]), frozenset(h for h, c in count.items() if c > 20)
+    made = substring_dedup.codes(((i, 0, t.encode(), asked) for i, t in rows), often)
+    assert often and max(collections.Counter(r[0] for r in made if r[6] is not None).values()) <= 20
+
+
 def test_decontamination(spark, docs, empty):
     texts = dict((i, t) for i, t, *_ in corpus() if i is not None)
     words = texts[1].split()

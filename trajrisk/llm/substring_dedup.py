@@ -8,11 +8,13 @@ in the same one. Suffixes are only sorted where that is possible, in four steps:
 2. The remaining windows are cut out with their anchor, and each cutting is told by a 128-bit code of its bytes and of
    its anchor's place. Equal cuttings are folded into the earliest one, first within a task, so that a passage that a
    third of all documents share reaches its bucket once per task, then after a shuffle of the codes by anchor.
+   An anchor that occurs more than ``HOT`` times is no bucket: each window of its cuttings is told by a 128-bit code of
+   its own bytes and folded in the same two steps, so that contexts that differ do not gather in one task.
 3. The bytes of a cutting are fetched only where an anchor has different cuttings: these are shuffled by anchor, and one
    anchor is one suffix bucket. Buckets are sorted block by block. A block first ranks the sampled suffixes at the
    places of a difference cover modulo ``PERIOD``, counted from the anchor; all other suffixes are then ordered by their
-   first 32 bytes and, where these tie, by the rank of the next sampled suffix. Memory is bounded by the block, not by
-   the corpus. The earliest suffix of each group equal to ``LENGTH`` bytes stays.
+   first 32 bytes and, where these tie, by the rank of the next sampled suffix. Memory is bounded by the block and the
+   largest bucket, ``HOT`` cuttings, not by the corpus. The earliest suffix of each group equal to ``LENGTH`` bytes stays.
 4. Removed windows of a document are merged to runs.
 
 A document that equals an earlier one as a whole is found by its digest and needs no sorting.
@@ -26,6 +28,7 @@ bytes of characters that were cut.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +44,8 @@ LENGTH, GRAM = 100, 16
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of texts that are hashed at a time, and of cuttings that are sorted at a time.
 SEGMENT, BLOCK = 1 << 20, 4 << 20
+#: Occurrences of an anchor whose cuttings are sorted together, and windows of other anchors that are folded together.
+HOT, FOLDED = BLOCK // LENGTH, 200_000
 NULL_ID = -(1 << 63)
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -132,12 +137,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def codes(rows: Iterator[tuple[int, int, bytes, np.ndarray]]) -> Iterator[tuple]:
+def codes(rows: Iterator[tuple[int, int, bytes, np.ndarray]], hot: frozenset[int] = frozenset()) -> Iterator[tuple]:
     """Cuttings of texts at the anchors in question, each as a 128-bit code instead of its bytes.
 
     Takes id, digest, text and the hashes that repeat somewhere. Of equal cuttings only the earliest has a code. All
-    windows of the others are repeats; neighbours among these are one row, under a spread-out hash of its own.
+    windows of the others are repeats; neighbours among these are one row, under a spread-out hash of its own. At the
+    anchors in ``hot`` the cuttings that are left are taken apart into windows, each under the code of its bytes.
     """
+    windows: dict[int, tuple[int, int, int]] = {}
+    cuts: dict[tuple[int, int], bytes] = {}
     earliest: dict[tuple[int, int], tuple[tuple[int, int, int], int, int]] = {}
     run: list[int] = []  # id, digest, start and number of windows
 
@@ -145,6 +153,20 @@ def codes(rows: Iterator[tuple[int, int, bytes, np.ndarray]]) -> Iterator[tuple]
         kid, dig, start, n = run
         return _signed((kid * 0x9E3779B1 + start) * 0x9E3779B97F4A7C15), kid, dig, start, 0, n, None, None
 
+    def repeated(me: tuple[int, int, int], n: int) -> Iterator[tuple]:
+        nonlocal run
+        if run and run[:2] == [*me[:2]] and run[2] + run[3] == me[2]:
+            run[3] += n
+        else:
+            if run:
+                yield repeat()
+            run = [*me, n]
+
+    def alone() -> Iterator[tuple]:
+        for code, me in windows.items():
+            yield _signed(code >> 64), *me, 0, 1, _signed(code >> 64), _signed(code)
+        windows.clear()
+
     for kid, dig, text, wanted in rows:
         wanted = np.unique(wanted.astype(np.int64).view(np.uint64))
         for data, ends, _, places in segments([text]):
@@ -162,16 +184,26 @@ def codes(rows: Iterator[tuple[int, int, bytes, np.ndarray]]) -> Iterator[tuple]
                 other = earliest.get(key)
                 if other is None or me < other[0]:
                     earliest[key] = me, c - a, n
-                    me, other = (other[0] if other else None), (me,)
-                if me is not None and me != other[0]:
-                    if run and run[:2] == [*me[:2]] and run[2] + run[3] == me[2]:
-                        run[3] += n
-                    else:
-                        if run:
-                            yield repeat()
-                        run = [*me, n]
+                    if k in hot:
+                        cuts[key] = raw[a : b + LENGTH]
+                    me, n = (other[0], other[2]) if other else (None, 0)
+                if me is not None and me != earliest[key][0]:
+                    yield from repeated(me, n)
+    for key, cut in cuts.items():
+        (kid, dig, start), _, n = earliest.pop(key)
+        for j in range(n):
+            code, me = xxhash.xxh3_128_intdigest(cut[j : j + LENGTH]), (kid, dig, start + j)
+            other = windows.get(code)
+            if other is None or me < other:
+                windows[code] = me
+                me = other
+            if me is not None and me != windows[code]:
+                yield from repeated(me, 1)
+        if len(windows) >= FOLDED:
+            yield from alone()
     if run:
         yield repeat()
+    yield from alone()
     for (k, code), (me, rel, n) in earliest.items():
         yield k, *me, rel, n, _signed(code >> 64), _signed(code)
 
@@ -181,12 +213,19 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, FOLDED)):
+        yield _batch(part, schema)
+
+
 def _arrow(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(","))])
 
 
-def _codes(affected: DataFrame) -> DataFrame:
+def _codes(affected: DataFrame, hot: list[int]) -> DataFrame:
+    shared = affected.sparkSession.sparkContext.broadcast(frozenset(hot))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, hashes = texts_of(batch.column(2)), batch.column(3)
@@ -194,7 +233,7 @@ def _codes(affected: DataFrame) -> DataFrame:
             for s in range(0, batch.num_rows, step):
                 part = range(s, min(s + step, batch.num_rows))
                 rows = ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), texts[i] or b"", hashes[i].values.to_numpy()) for i in part)
-                yield _batch(list(codes(rows)), _arrow(CODE))
+                yield from _batches(codes(rows, shared.value), _arrow(CODE))
 
     return affected.select("kid", "dig", "text", "hs").mapInArrow(run, CODE)
 
@@ -346,7 +385,7 @@ def covered(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.stack([start[at], end[np.concatenate([at[1:] - 1, [len(end) - 1]])]], axis=1)
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, list[DataFrame]]:
     """One row per row of ``docs``: ``doc_id, n_bytes, sha, text, runs``; and the stored tables that they come from.
 
     Documents that lose nothing have only ``sha``, the digest of their bytes; the others have their text and ``runs``
@@ -357,8 +396,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = whole.withColumn("md5", F.md5(F.col("text").cast("binary")))
     whole = whole.withColumn("dig", F.conv(F.substring("md5", 1, 15), 16, 10).cast("long"))
     anchors = materialize(_anchors(whole), "anchors")
-    twice = anchors.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
-    hashes = anchors.join(twice, "h").groupBy("kid").agg(F.collect_list("h").alias("hs"))
+    twice = anchors.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    twice = materialize(twice, "twice")
+    often = [r[0] for r in twice.where(F.col("c") > hot).select("h").collect()]  # at most one for every ``hot`` windows
+    hashes = anchors.join(twice.select("h"), "h").groupBy("kid").agg(F.collect_list("h").alias("hs"))
     slim = whole.select("kid", "md5")
     owner = slim.groupBy("md5").agg(F.min("kid").alias("owner"))
     copies = slim.join(owner, "md5").where("kid > owner").groupBy("kid").agg(F.collect_set("md5").alias("copies"))
@@ -373,8 +414,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ), "marked", free=True,
     )
     discard(anchors)
+    discard(twice)
     affected = marked.where("hs is not null")
-    judged = materialize(_judged(_codes(affected)), "judged", free=True)
+    judged = materialize(_judged(_codes(affected, often)), "judged", free=True)
     later = judged.where("later").selectExpr("kid", "dig", "start as first", "start + n - 1 as last")
     found = later.unionByName(_repeats(_cuttings(judged.where("not later"), affected)))
     runs = materialize(found.groupBy("kid", "dig").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs", free=True)
