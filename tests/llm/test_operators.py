@@ -242,6 +242,18 @@ def test_html():
     assert html_text.main_text("plain text, no tags") == "plain text, no tags"
 
 
+def test_html_keeps_text_without_article():
+    long = "<p>" + "Long, long, long words of a text, " * 40 + "end.</p>"
+    rest = ["<div><p>Short one.</p></div>", "<ul><li>item</li></ul>", "<table><tr><td>cell</td></tr></table>", "<h3>Third</h3>", "<p>Brief.</p>"]
+    got = html_text.main_text(f"<body><div id=content><div>{long}{long}</div>{''.join(rest)}<ul><li><a href=x>Menu</a></li></ul></div></body>")
+    assert got.endswith("end. Short one. item cell Third Brief.")
+    for mark in ("style='overflow:hidden'", "class='overflow-hidden'", "class='has-sidebar'", "class='no-comments'", "class='content-header'", "data-x='hidden'"):
+        assert html_text.main_text(f"<body><div {mark}>{long}</div></body>").endswith("end."), mark
+    for mark in ("hidden", "style='color:red; visibility: hidden'", "style='display:none'", "aria-hidden=true", "class='main-nav'", "class='cookie_notice'"):
+        assert "gone" not in html_text.main_text(f"<body><div><div>{long}</div><div {mark}><p>gone</p></div></div></body>"), mark
+    assert html_text.main_text(f"<body><div class='widget'><h1>T</h1>{long}</div></body>").startswith("T Long")
+
+
 def test_license_scan(spark):
     rows = [(1, "MIT licence"), (2, "Copyright (c) 2020 X\nLicenced under  the ISC LICENSE!"), (3, None), (4, ""), (2, "z\nReleased under the MIT License."), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

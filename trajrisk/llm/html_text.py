@@ -3,7 +3,8 @@
 The markup is read into a small tree (unclosed paragraphs and list items are closed as browsers do). Blocks with text
 of their own pass points to their parent and, halved, to their grandparent: one for being there, one for each comma,
 up to three for length. A container's points are discounted by its link density. The best container and those of its
-siblings that score or read like it are kept; menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+siblings that score like it or hold paragraphs, lists, tables or headings that are not mostly links are kept (beside an
+article or main element only those that score like it or are long); menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are left out wherever they stand.
 
 Defined cases: a null or empty page has an empty text; text outside of all elements counts as the body's; character
@@ -40,31 +41,74 @@ LEFT_OUT_WORDS = frozenset(
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: Parts that hold text of their own kind beside paragraphs.
+CONTENT = frozenset("p ul ol dl table pre blockquote figure h1 h2 h3 h4 h5 h6".split())
+
+
+#: Words that only place or shape what the other words of a name say.
+PLACING = frozenset("site page main global top bottom left right primary secondary wrapper wrap container inner box area list block section bar links item".split())
+BY_NAME, ALWAYS = 1, 2
 
 
 class Node:
     __slots__ = ("tag", "parent", "parts", "out", "points", "size", "linked", "own")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
+    def __init__(self, tag: str, parent: Node | None, out: int):
         self.tag, self.parent, self.out = tag, parent, out
         self.parts: list = []  # texts and nodes in page order
         self.points, self.size, self.linked, self.own = 0.0, 0, 0, 0
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _left_out(tag: str, attributes: str) -> int:
     if tag in LEFT_OUT:
-        return True
+        return ALWAYS
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
+        return 0
+    if _hidden(attributes):
+        return ALWAYS
+    names = " ".join(x for m in _NAMES.findall(attributes) for x in m).lower().split()
+    return BY_NAME if any(map(_boilerplate, names)) else 0
+
+
+def _boilerplate(name: str) -> bool:
+    """A name counts as a whole: of its words one at least is of boilerplate and the others only place it."""
+    if name in LEFT_OUT_WORDS:
         return True
-    names = " ".join(x for m in _NAMES.findall(attributes) for x in m).lower()
-    return bool(names) and not LEFT_OUT_WORDS.isdisjoint(re.split(r"[\s_]+|(?<=\w)-(?=\w)", names) + names.split())
+    words = {w for w in re.split(r"[_-]+", name) if w}
+    return not LEFT_OUT_WORDS.isdisjoint(words) and words <= LEFT_OUT_WORDS | PLACING
+
+
+def _readmit(root: Node) -> None:
+    """Containers that are left out by name only stay if they hold most of the text and an article or its heading."""
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack += [p for p in node.parts if type(p) is Node and p.out != ALWAYS]
+    if not any(n.out for n in nodes):
+        return
+    size, heads = {}, {}
+    for n in reversed(nodes):
+        below = [p for p in n.parts if type(p) is Node and id(p) in size]
+        size[id(n)] = sum(len(p.strip()) for p in n.parts if type(p) is str) + sum(size[id(p)] for p in below)
+        heads[id(n)] = n.tag in ("article", "main", "h1") or any(heads[id(p)] for p in below)
+    for n in nodes:
+        if n.out and heads[id(n)] and 2 * size[id(n)] > size[id(root)]:
+            n.out = 0
+
+
+def _hidden(attributes: str) -> bool:
+    for name, *value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(value)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
 
 
 def parse(page: str) -> Node:
-    root = at = Node("body", None, False)
+    root = at = Node("body", None, 0)
     place, end = 0, len(page)
     match = _TOKEN.match
     while place < end:
@@ -90,7 +134,7 @@ def parse(page: str) -> Node:
                 place = close.end() if close else end if tag in ("script", "style") else place
             continue
         if tag in VOID:
-            at.parts.append(Node(tag, at, False))
+            at.parts.append(Node(tag, at, 0))
             continue
         if tag in ("html", "body"):
             continue
@@ -147,6 +191,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _readmit(root)
     nodes = _order(root)
     score(nodes)
     final = {id(n): n.points * (1 - _density(n)) for n in nodes}
@@ -159,22 +204,30 @@ def main_text(page: str | None) -> str:
             best = node
             break
         node = node.parent
-    kept = [best]
-    if best.parent is not None:
-        limit = max(10.0, 0.2 * final[id(best)])
-        kept = []
-        for p in best.parent.parts:
-            if type(p) is Node and not p.out and (
-                p is best or final[id(p)] >= limit
-                or (p.tag in ("p", "h1", "h2", "pre", "blockquote") and (_density(p) < 0.25 and p.size > 80 or p.tag in ("h1", "h2") and best.tag != "article"))
-            ):
-                kept.append(p)
+    top = Node("body", None, 0)
+    top.parts = [best] if best.parent is None else [p if _kept(p, best, final) else " " for p in best.parent.parts]
     blocks: list[str] = []
-    for k in kept:
-        _collect(k, blocks)
+    _collect(top, blocks)
     return " ".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
 
+def _kept(p: Node | str, best: Node, final: dict[int, float]) -> bool:
+    """Whether a part beside the best container belongs to the text."""
+    whole = best.tag in ("article", "main")
+    if type(p) is str:
+        return not whole
+    if p is best or p.out:
+        return p is best
+    if whole:
+        return final[id(p)] >= max(10.0, 0.2 * final[id(best)]) or (
+            p.tag in ("p", "h1", "h2", "pre", "blockquote") and (_density(p) < 0.25 and p.size > 80 or p.tag in ("h1", "h2") and best.tag != "article")
+        )
+    if p.tag in ("h1", "h2") or final[id(p)] >= 0.2 * final[id(best)] > 0:
+        return True
+    # Lists, tables, headings, paragraphs and what holds such; runs of links are menus.
+    return _density(p) < 0.25 and (p.tag not in BLOCKS or any(n.tag in CONTENT for n in _order(p)))
+
+
 def _collect(top: Node, blocks: list[str]) -> None:
     """Texts of the blocks below a node in page order, character references decoded."""
     current: list[str] = []
