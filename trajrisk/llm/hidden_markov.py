@@ -1,41 +1,48 @@
 """Language-model scores from a hidden Markov model over words.
 
-Hidden states emit word classes (``CLASSES`` hash classes and one for the end of a text); within its class a word has
-the share (c + 1) / (C + V + 1) of its training count c, with C and V the count and number of distinct words of the
-class. States, moves and emissions are trained by Baum-Welch: in each round every task runs forward-backward over all
-its training texts and emits expected counts by class, which are summed across partitions; the sums, ``CLASSES`` rows
-whatever the corpus, make the next model. The scaled forward recursion then gives the exact likelihood of each text.
+Training texts are read once and stored as chunks of about ``CHUNK_BYTES``: the distinct words of a chunk and its texts
+as numbers of these. Every Baum-Welch round runs forward-backward over all training texts of all chunks; expected counts
+are summed within tasks and then across partitions.
 
-The first model is fitted on ``SEED_DOCUMENTS`` training texts only, to tell the states apart; the ``ROUNDS`` rounds
-after it and all word counts cover every training text.
+* The first ``ROUNDS`` rounds, from seeded random emissions, tell the states apart. In them a state emits hash classes
+  of words (``CLASSES`` and one for the end of a text), so that the model that is sent out has a fixed size.
+* The last round gathers expected counts by word and state. Chunks send their distinct words, with counts and state
+  shares, in packed pieces to buckets of the vocabulary, which sum them and send them back to the chunks that asked.
+  A word crosses the shuffle once a chunk, however often it occurs; the number of buckets follows the input.
 
-Word counts meet the texts in chunks: texts are dealt to chunks of about ``CHUNK_BYTES`` by a hash of id and text; a
-chunk asks for each of its distinct words once, so a word that is in every text moves once a chunk, not once a text.
+The scaled forward recursion over the word emissions then gives the exact likelihood of each text. State s emits word w
+with (E(w, s) + L(s) * B(k, s) / (V(k) + 1)) / (E(s) + L(s)): E are the expected counts of the last round, with the
+state shares of a word in steps of 1/255, B(k, s) is the emission of the word's class k, V(k) the distinct training words
+of the class, the one more is for words never seen, and L(s) spreads V + 1 counts over the states by their use.
 
 Defined cases: null and empty texts are the end token alone; repeated rows count and are scored each; a row with a
-null id is dealt by the crc32 of the empty text; without training texts the model is uniform and N is 0; words are
-never cut; other columns are ignored.
+null id is dealt by the crc32 of the empty text; without training texts the model is that of the start and N is 0; words
+are never cut; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, fold_column, materialize, table, texts_of
 
 STATES, CLASSES = 8, 8192
-ROUNDS, SEED_DOCUMENTS, SEED_ROUNDS = 2, 400, 12
-CHUNK_BYTES = 16 << 20
+ROUNDS = 5
+#: Text bytes of a chunk, beyond which the next one begins, and of the input for each bucket of the vocabulary.
+CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
 #: Tokens in a group of texts that go through the recursion side by side.
-GROUP_TOKENS = 400_000
+GROUP_TOKENS = 800_000
+#: Steps in which the state shares of a word are sent.
+SHARES = 255
 
 
 @dataclass
@@ -56,27 +63,83 @@ class Model:
         rng = np.random.default_rng(seed)
         flat = np.exp(rng.normal(0, 1, (CLASSES + 1, STATES)))
         flat[CLASSES] = flat[:CLASSES].mean()
-        return cls(np.full(STATES, 1 / STATES), _rows(np.eye(STATES) * 4 + 1), flat / flat.sum(0))
+        return cls(np.full(STATES, 1 / STATES), _rows(np.eye(STATES) * 4 * STATES + 1), flat / flat.sum(0))
 
 
 def _rows(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-class _Classes(dict):
+class _Numbers(dict):
+    """Numbers words in the order of their first look-up."""
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = c = xxhash.xxh64_intdigest(word, 42) % CLASSES
-        return c
+        self[word] = n = len(self)
+        return n
+
+
+def _pack(x: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else x.tobytes())
+
+
+def _unpack(x: bytes, kind=None) -> np.ndarray | bytes:
+    raw = zstandard.ZstdDecompressor().decompress(x)
+    return raw if kind is None else np.frombuffer(raw, kind)
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+
+
+def _class(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(CLASSES)).astype(np.int32)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _chunks(rows: DataFrame, id_type: str, chunk_bytes: int) -> DataFrame:
+    """Texts in chunks: ids, fold and size of each text, its tokens as numbers of the chunk's words, these words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId(), 0
+        ids, held, sizes, parts, numbers, size = [], [], [], [], _Numbers(), 0
+
+        def row() -> pa.RecordBatch:
+            words = list(numbers)
+            flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+            blobs = (np.array(held, bool), np.array(sizes, np.int64), flat, b" ".join(words), _class(hashes(words)).astype(np.uint16))
+            column = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, kind))
+            made = [pa.array([task << 32 | count], pa.int64()), column, *(pa.array([_pack(b)], pa.binary()) for b in blobs)]
+            return pa.RecordBatch.from_arrays(made, ["chunk", "ids", "held", "sizes", "codes", "words", "classes"])
+
+        kind = pa.null()
+        for batch in batches:
+            kind = batch.column(0).type
+            for i, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
+                words = (text or b"").lower().split()
+                ids.append(i)
+                held.append(out)
+                sizes.append(len(words))
+                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                size += len(text or b"")
+                if size >= chunk_bytes:
+                    yield row()
+                    count += 1
+                    ids, held, sizes, parts, numbers, size = [], [], [], [], _Numbers(), 0
+        if ids:
+            yield row()
+
+    blobs = ", ".join(f"{n} binary" for n in ("held", "sizes", "codes", "words", "classes"))
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, f"chunk long, ids array<{id_type}>, {blobs}")
 
-def class_sequence(text: bytes, cache: _Classes) -> np.ndarray:
-    words = text.lower().split()
-    if len(cache) > 1_000_000:
-        cache.clear()
-    out = np.empty(len(words) + 1, np.int32)
-    out[:-1] = np.fromiter(map(cache.__getitem__, words), np.int32, len(words))
-    out[-1] = CLASSES
-    return out
+
+def _sequences(codes: np.ndarray, sizes: np.ndarray, end: int, which: np.ndarray | None = None) -> list[np.ndarray]:
+    """The texts' tokens, each with ``end`` behind."""
+    stops = np.cumsum(sizes)
+    numbers = range(len(sizes)) if which is None else np.flatnonzero(which)
+    return [np.append(codes[stops[i] - sizes[i] : stops[i]], np.int32(end)) for i in numbers]
 
 
 def groups(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, list[int]]]:
@@ -100,7 +163,7 @@ def groups(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray,
 def forward(model: Model, tokens: np.ndarray, active: list[int], keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """Natural log-likelihoods of the sequences of a group; with ``keep`` also scaled alphas and scales by token."""
     kind = np.float32 if keep else np.float64
-    emit, move = model.emit.astype(kind), model.move.astype(kind)
+    emit, move = model.emit.astype(kind, copy=False), model.move.astype(kind)
     total = np.zeros(active[0])
     alphas = np.empty((len(tokens), len(model.start)), kind) if keep else None
     scales = np.empty(len(tokens), kind) if keep else None
@@ -119,9 +182,9 @@ def forward(model: Model, tokens: np.ndarray, active: list[int], keep: bool) ->
 
 def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions of all sequences (Baum-Welch counts)."""
-    k = len(model.start)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES + 1, k))
-    e32, m32 = model.emit.astype(np.float32), model.move.astype(np.float32)
+    k, rows = len(model.start), len(model.emit)
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((rows, k))
+    e32, m32 = model.emit.astype(np.float32, copy=False), model.move.astype(np.float32)
     for _, tokens, active in groups(sequences):
         _, alphas, scales = forward(model, tokens, active, True)
         gamma = np.empty_like(alphas)
@@ -139,135 +202,190 @@ def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.nd
         start += gamma[: active[0]].sum(0)
         move += pairs * model.move
         for s in range(k):
-            emit[:, s] += np.bincount(tokens, weights=gamma[:, s], minlength=CLASSES + 1)
+            emit[:, s] += np.bincount(tokens, weights=gamma[:, s], minlength=rows)
     return start, move, emit
 
 
-def _expected(texts: DataFrame, model: Model) -> Model:
-    """One Baum-Welch round over all texts: counts by class from every task, summed by Spark."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def _expected(chunks: DataFrame, model: Model) -> Model:
+    """One Baum-Welch round over all training texts: counts by class from every task, summed by Spark."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
     names = ["row", *(f"s{i}" for i in range(STATES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = _Classes(), None
+        total, k = None, STATES
         for batch in batches:
-            found = texts_of(batch.column(0))
-            for s in range(0, len(found), 2_000):
-                part = np.concatenate(expect(shared.value, [class_sequence(t or b"", cache) for t in found[s : s + 2_000]]), axis=None)
+            for row in batch.to_pylist():
+                sizes, learn = _unpack(row["sizes"], np.int64), ~_unpack(row["held"], bool)
+                classes = _unpack(row["classes"], np.uint16).astype(np.int32)
+                codes = classes[_unpack(row["codes"], np.int32)]
+                part = np.concatenate(expect(shared.value, _sequences(codes, sizes, CLASSES, learn)), axis=None)
                 total = part if total is None else total + part
         if total is not None:
-            k = STATES
             rows = np.concatenate([total[: k + k * k].reshape(-1, k), total[k + k * k :].reshape(-1, k)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), *(pa.array(c) for c in rows.T)], names)
 
     kinds = ", ".join(["row long", *(f"{n} double" for n in names[1:])])
-    sums = texts.mapInArrow(run, kinds).groupBy("row").agg(*(F.sum(n).alias(n) for n in names[1:])).collect()
-    if not sums:
-        return model
+    columns = chunks.select("held", "sizes", "codes", "classes")
+    sums = columns.mapInArrow(run, kinds).groupBy("row").agg(*(F.sum(n).alias(n) for n in names[1:])).collect()
     counts = np.zeros((1 + STATES + CLASSES + 1, STATES))
     for r in sums:  # CLASSES + STATES + 2 rows
         counts[r["row"]] = r[1:]
-    return Model.of_counts(counts[0], counts[1 : 1 + STATES], counts[1 + STATES :])
+    return Model.of_counts(counts[0], counts[1 : 1 + STATES], counts[1 + STATES :]) if counts.any() else model
 
 
-def train(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all rows of ``training``."""
-    seed = training.orderBy(F.xxhash64(id_col), F.xxhash64(text_col)).limit(SEED_DOCUMENTS).select(text_col).collect()
-    model, cache = Model.first(), _Classes()
-    sequences = [class_sequence((r[0] or "").encode("utf-8", "surrogatepass"), cache) for r in seed]
-    for _ in range(SEED_ROUNDS if sequences else 0):
-        model = Model.of_counts(*expect(model, sequences))
+def train(chunks: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch by class over all training texts of the chunks."""
+    model = Model.first()
     for _ in range(rounds):
-        model = _expected(training.select(text_col), model)
+        model = _expected(chunks, model)
     return model
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """``chunk, word, n``: distinct words of each task's texts by chunk, and how often training texts have them."""
+def _asked(chunks: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """``bucket, chunk, words, n, shares``: the words of a chunk by bucket, their training counts and state shares."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, Counter] = {}
-        size = 0
+        model = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = _unpack(row["words"]).split()
+                sizes, learn = _unpack(row["sizes"], np.int64), ~_unpack(row["held"], bool)
+                codes, classes = _unpack(row["codes"], np.int32), _unpack(row["classes"], np.uint16).astype(np.int64)
+                local = Model(model.start, model.move, model.emit.astype(np.float32)[np.append(classes, CLASSES)])
+                counts = expect(local, _sequences(codes, sizes, len(words), learn))[2]
+                n = np.bincount(codes[np.repeat(learn, sizes)], minlength=len(words)).astype(np.int32)
+                # The end of a text is a word of its own, empty, which every chunk asks for.
+                words, n = [*words, b""], np.append(n, np.int32(learn.sum()))
+                shares = np.rint(counts / np.maximum(counts.sum(1, keepdims=True), 1e-30) * SHARES).astype(np.uint8)
+                bucket = _bucket(hashes(words), buckets)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order], [buckets]])))
+                out = []
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    i = order[a:b]
+                    blobs = (b"\n".join([words[j] for j in i.tolist()]), n[i], shares[i])
+                    out.append((int(bucket[i[0]]), row["chunk"], *map(_pack, blobs)))
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "words", "n", "shares"])
+
+    columns = chunks.select("chunk", "held", "sizes", "codes", "words", "classes")
+    return columns.mapInArrow(run, "bucket int, chunk long, words binary, n binary, shares binary")
+
+
+ANSWER = "chunk long, bucket int, c binary, shares binary"
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """Per bucket and chunk the corpus counts and state shares of the words asked for, in their order.
+
+    A row without a chunk has what a bucket adds to the totals: tokens, words, expected counts by state, words by class.
+    """
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for chunk, counts in found.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(counts), chunk, np.int32)), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-                    ["chunk", "word", "n"],
-                )
+    def run(group: pa.Table) -> pa.Table:
+        numbers = _Numbers()
+        pieces, total, mass = [], np.zeros(1024, np.int64), np.zeros((1024, STATES))
+        for words, n, shares in zip(*(group.column(x).to_pylist() for x in ("words", "n", "shares")), strict=True):
+            at = np.fromiter(map(numbers.__getitem__, _unpack(words).split(b"\n")), np.int64)
+            while len(numbers) > len(total):
+                total, mass = np.concatenate([total, np.zeros_like(total)]), np.concatenate([mass, np.zeros_like(mass)])
+            n, shares = _unpack(n, np.int32), _unpack(shares, np.uint8).reshape(-1, STATES).astype(float)
+            total[at] += n  # a chunk's words are distinct
+            mass[at] += n[:, None] * shares / np.maximum(shares.sum(1, keepdims=True), 1)
+            pieces.append(at)
+        words = list(numbers)
+        total, mass = total[: len(words)], mass[: len(words)]
+        shares = np.rint(mass / np.maximum(total, 1)[:, None] * SHARES).astype(np.uint8)
+        known = total > 0
+        whole = np.maximum(shares.sum(1, keepdims=True, dtype=np.int64), 1)
+        states = (total[:, None] * (shares / whole)).sum(0)
+        real = known & np.array([w != b"" for w in words], bool)
+        kinds = np.bincount(_class(hashes(words))[real], minlength=CLASSES)
+        end = words.index(b"") if b"" in numbers else -1
+        sums = np.concatenate([[total.sum(), known.sum(), real.sum()], states, kinds, [total[end] if end >= 0 else 0]]).astype(float)
+        answers = [(c, b, _pack(total[at]), _pack(shares[at])) for c, b, at in zip(group.column("chunk").to_pylist(), group.column("bucket").to_pylist(), pieces, strict=True)]
+        answers.append((None, answers[0][1], _pack(sums), b""))
+        columns = [pa.array(c, t) for c, t in zip(zip(*answers, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
+        return pa.Table.from_arrays(columns, ["chunk", "bucket", "c", "shares"])
+
+    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
+
+
+@dataclass
+class Totals:
+    tokens: int
+    words: int
+    states: np.ndarray  # expected counts by state, ends of texts included
+    kinds: np.ndarray  # distinct training words by class
+
+    @property
+    def spread(self) -> np.ndarray:
+        """Counts of words never seen, by state."""
+        return (self.words + 1) * (self.states / self.tokens if self.tokens else np.full(STATES, 1 / STATES))
 
-        for batch in batches:
-            for chunk, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
-                words, counts = (text or b"").lower().split(), found.setdefault(chunk, Counter())
-                if held:
-                    for w in words:
-                        counts[w] += 0
-                else:
-                    counts.update(words)
-                size += len(text or b"")
-            if size >= 2 * CHUNK_BYTES:
-                yield from rows()
-                found, size = {}, 0
-        yield from rows()
 
-    return docs.select("chunk", "held_out", "text").mapInArrow(run, "chunk int, word binary, n long")
+def word_emissions(model: Model, totals: Totals, c: np.ndarray, shares: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Emissions of words by state; ``classes`` is ``CLASSES`` for the end of a text."""
+    share = shares / np.maximum(shares.sum(1, keepdims=True, dtype=np.int64), 1)
+    room = np.append(totals.kinds + 1, 1)  # the end has its class for itself
+    prior = totals.spread * model.emit[classes] / room[classes][:, None]
+    return (c[:, None] * share + prior) / (totals.states + totals.spread)
 
 
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """Scores of all rows; ``training`` is the condition that picks the rows to learn from.
 
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), (~training).alias("held_out"))
-    learn = rows.where("not held_out")
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(~F.col("held_out"), 1)).alias("texts")).first()
-    chunks, n_texts = -(-(size["bytes"] or 0) // CHUNK_BYTES) or 1, size["texts"] or 0
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    model = train(learn, "doc_id", "text")
-
-    words = materialize(_words(rows), "words")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    counts = materialize(counts.withColumn("class", F.pmod(F.xxhash64("word"), F.lit(CLASSES)).cast("int")), "counts", free=True)
-    known = counts.where("c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # CLASSES rows
-    of_class = np.ones(CLASSES)
-    for r in known:
-        of_class[r["class"]] += r["c"] + r["v"]
-    n_train = sum(r["c"] for r in known) + n_texts
-    n_kinds = sum(r["v"] for r in known) + (n_texts > 0)
-    shared = docs.sparkSession.sparkContext.broadcast((model, np.log10(of_class)))
-    base = float(np.log10(n_train + n_kinds + 1))
-
-    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
-        model, of_class = shared.value
-        number = {w: i for i, w in enumerate(asked.column("word").to_pylist())}
-        c, kind = (asked.column(x).to_numpy() for x in ("c", "class"))
-        plain = np.log10(c + 1.0)
-        own = plain - of_class[kind] if len(c) else plain
-        sequences, out = [], []
-        for t in texts_of(texts.column("text")):
-            words = t.lower().split()
-            i = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            end = np.log10(n_texts + 1.0)
-            out.append((len(i) + 1, int((c[i] > 0).sum()) + (n_texts > 0), plain[i].sum() + end - base * (len(i) + 1), own[i].sum()))
-            sequences.append(np.append(kind[i], CLASSES).astype(np.int32))
-        hidden = np.zeros(len(sequences))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (~training).alias("held_out"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    buckets = -(-size // bucket_bytes) or 1
+    chunks = materialize(_chunks(rows, id_type, chunk_bytes), "chunks")
+    model = train(chunks)
+    answers = materialize(_answered(_asked(chunks, model, buckets)), "answers", free=True)
+    sums = [_unpack(bytes(r["c"]), float) for r in answers.where("chunk is null").select("c").toLocalIterator()]  # one a bucket
+    sums = np.sum(sums, axis=0) if sums else np.zeros(3 + STATES + CLASSES + 1)
+    totals = Totals(int(sums[0]), int(sums[1]), sums[3 : 3 + STATES], sums[3 + STATES : -1])
+    shared = docs.sparkSession.sparkContext.broadcast((model, totals))
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        model, totals = shared.value
+        kind = texts.schema.field("ids").type.value_type
+        return pa.concat_tables([_scored(model, totals, row, kind, found) for row in texts.to_pylist()])  # one row
+
+    def _scored(model: Model, totals: Totals, row: dict, kind: pa.DataType, found: pa.Table) -> pa.Table:
+        words = [*_unpack(row["words"]).split(), b""]
+        order = np.argsort(_bucket(hashes(words), buckets), kind="stable")
+        by = np.argsort(found.column("bucket").to_numpy(), kind="stable").tolist()
+        c, shares = np.zeros(len(words), np.int64), np.zeros((len(words), STATES), np.uint8)
+        cs, ss = found.column("c").to_pylist(), found.column("shares").to_pylist()
+        c[order] = np.concatenate([_unpack(cs[i], np.int64) for i in by])
+        shares[order] = np.concatenate([_unpack(ss[i], np.uint8).reshape(-1, STATES) for i in by])
+        classes = np.append(_unpack(row["classes"], np.uint16).astype(np.int64), CLASSES)
+        sizes, codes, held = _unpack(row["sizes"], np.int64), _unpack(row["codes"], np.int32), _unpack(row["held"], bool)
+        local = Model(model.start, model.move, word_emissions(model, totals, c, shares, classes))
+        sequences = _sequences(codes, sizes, len(words) - 1)
+        n = sizes + 1
+        flat, stops = np.concatenate(sequences), np.cumsum(n)
+        known, plain = np.concatenate([[0], np.cumsum(c[flat] > 0)]), np.log10(c + 1.0)
+        base = np.array([plain[s].sum() for s in sequences]) - n * np.log10(totals.tokens + totals.words + 1)
+        hidden = np.zeros(len(n))
         for mine, tokens, active in groups(sequences):
-            hidden[mine] = forward(model, tokens, active, False)[0]
-        tokens, seen, plain_score, within = (np.array(x) for x in zip(*out, strict=True)) if out else [np.zeros(0)] * 4
+            hidden[mine] = forward(local, tokens, active, False)[0]
         return pa.table({
-            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(tokens.astype(np.int64)),
-            "n_known": pa.array(seen.astype(np.int64)), "train_tokens": pa.array(np.full(len(out), n_train, np.int64)),
-            "base_score": pa.array(plain_score.astype(float)), "score": pa.array(hidden / np.log(10) + within.astype(float)),
+            "doc_id": pa.array(row["ids"], kind), "held_out": held, "n_tokens": n, "n_known": known[stops] - known[stops - n],
+            "train_tokens": np.full(len(n), totals.tokens), "base_score": base, "score": hidden / np.log(10),
         })
 
-    asked = words.select("chunk", "word").distinct().join(counts, "word")
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, schema)
+    scored = chunks.groupBy("chunk").cogroup(answers.where("chunk is not null").groupBy("chunk")).applyInArrow(run, schema)
     scored = materialize(scored, "scores", free=True)
-    discard(words)
-    discard(counts)
+    discard(chunks)
+    discard(answers)
     return scored
 
 
