@@ -157,9 +157,19 @@ def test_decontamination(spark, docs, empty):
                         ids |= {str(item)} if item is not None else set()
         want[i] = (len(w), len(hit), sorted(ids))
     found = decontamination.contamination(docs, bench).withColumn("k", decontamination.run_words("hit")).collect()
-    assert {r["doc_id"]: (r["n_words"], r["k"], r["items"]) for r in found} == want
+    assert len(found) == len(corpus()) and {r["doc_id"]: (r["n_words"], r["k"], r["items"]) for r in found if r["doc_id"] is not None} == want
     small = decontamination.contamination(docs, bench, block_words=5).withColumn("k", decontamination.run_words("hit")).collect()
-    assert {r["doc_id"]: (r["n_words"], r["k"], r["items"]) for r in small} == want
+    assert {r["doc_id"]: (r["n_words"], r["k"], r["items"]) for r in small if r["doc_id"] is not None} == want
+    odd = [("a", texts[1]), ("a", texts[1]), ("a", "one two three"), (None, texts[1]), ("b", None)]
+    odd = spark.createDataFrame(odd, "doc_id string, text string")
+    every = [
+        sorted(str((r["doc_id"], r["n_words"], r["k"], r["items"])) for r in
+               decontamination.contamination(odd, bench, block_words=n).withColumn("k", decontamination.run_words("hit")).collect())
+        for n in (5, 2_000_000)
+    ]
+    k = want[1]
+    assert every[0] == every[1] == sorted(map(str, [("a", *k), ("a", *k), ("a", 3, 3, ["2"]), (None, *k), ("b", 0, 0, [])]))
+    assert [r["doc_id"] for r in decontamination.drop_hit(odd, bench).collect()] == ["b"]
     assert decontamination.contamination(empty, bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).where("size(items) > 0").count() == 0
     near = decontamination.proximity_matches(decontamination.build_index(docs), [("g", ["one", "three"])], 3).collect()

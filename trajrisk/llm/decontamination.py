@@ -8,19 +8,21 @@ nothing is shuffled; executors share the test windows, which are broadcast in bl
 ``phrase_matches`` intersects offset-adjusted lists from the rarest term of each window on, so that most windows end
 after one look at a count. ``proximity_matches`` finds where all terms of a group stand within a span of words.
 
-Defined cases: null and empty texts have no words and are never hit; items without a word have no window; repeated
-documents are each reported; items of the same id and text count once; rows of ``benchmark`` with a null id mark words
-as hit but are not listed; an empty benchmark hits nothing; other columns are ignored, or kept by ``remove_hits``.
+Defined cases: null and empty texts have no words and are never hit; items without a word have no window; every row is
+reported for itself, whether its id is repeated or null, as a document is known by its shard and its place there; ids
+are of any type; items of the same id and text count once; rows of ``benchmark`` with a null id mark words as hit but
+are not listed; an empty benchmark hits nothing; other columns are ignored, and kept by ``drop_hit``.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ WINDOW = 10
 SHARD_BYTES = 4 << 20
 #: Words of test items broadcast at a time; larger benchmarks are searched in several passes.
 BLOCK_WORDS = 2_000_000
-INDEX = "ids binary, sizes binary, terms binary, counts binary, postings binary"
+#: Places that are compared at a time.
+PLACES = 2_000_000
+INDEX = "sizes binary, terms binary, counts binary, postings binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -46,7 +50,7 @@ class _Codes(dict):
         return n
 
 
-def pack(ids: list, texts: list[bytes | None]) -> dict[str, bytes]:
+def pack(texts: list[bytes | None]) -> dict[str, bytes]:
     """One shard of the index: a row of packed arrays."""
     codes = _Codes()
     sizes, parts = np.zeros(len(texts), np.int32), []
@@ -58,44 +62,51 @@ def pack(ids: list, texts: list[bytes | None]) -> dict[str, bytes]:
     counts = np.bincount(stream, minlength=len(codes)).astype(np.int32)
     lists = np.sort(stream << 32 | np.arange(len(stream)))  # by term, then position
     return {
-        "ids": np.array(ids, np.int64).tobytes(), "sizes": sizes.tobytes(), "terms": b" ".join(codes),
+        "sizes": sizes.tobytes(), "terms": b" ".join(codes),
         "counts": counts.tobytes(), "postings": lists.astype(np.int32).tobytes(),
     }
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The index as a stored table, one row a shard. One pass over the texts, no shuffle; null ids are left out."""
+    """The index as a stored table, one row a shard: its number, the documents' ids, packed arrays. One pass, no shuffle."""
     names = [x.split()[0] for x in INDEX.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row() -> pa.RecordBatch:
-            shard = pack(ids, texts)
-            return pa.RecordBatch.from_arrays([pa.array([shard[n]], pa.binary()) for n in names], names)
+            shard = pack(texts)
+            owners = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, kind))
+            made = [pa.array([task << 32 | count], pa.int64()), owners, *(pa.array([shard[n]], pa.binary()) for n in names)]
+            return pa.RecordBatch.from_arrays(made, ["shard", "ids", *names])
 
-        ids, texts, size = [], [], 0
+        task, count = TaskContext.get().partitionId(), 0
+        ids, texts, size, kind = [], [], 0, pa.null()
         for batch in batches:
+            kind = batch.column(0).type
             for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 ids.append(i)
                 texts.append(t)
                 size += len(t or b"")
                 if size >= shard_bytes:
                     yield row()
-                    ids, texts, size = [], [], 0
+                    ids, texts, size, count = [], [], 0, count + 1
         if ids:
             yield row()
 
-    return materialize(docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, INDEX), "postings")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return materialize(docs.select(id_col, text_col).mapInArrow(run, f"shard long, ids array<{id_type}>, {INDEX}"), "postings")
 
 
 class Shard:
     """A row of the index, opened for lookups."""
 
     def __init__(self, row: dict):
-        self.ids, self.sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32)
+        self.shard, self.ids, self.sizes = row["shard"], row["ids"], np.frombuffer(row["sizes"], np.int32)
         self.counts, self.postings = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["postings"], np.int32)
         self.term_of = {t: i for i, t in enumerate(row["terms"].split(b" "))} if row["terms"] else {}
         self.starts = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
         self.ends = np.cumsum(self.sizes, dtype=np.int64)  # of documents, in the token stream
+        self.stream = np.empty(len(self.postings), np.int32)
+        self.stream[self.postings] = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
 
     def codes(self, terms: list[bytes]) -> np.ndarray:
         return np.fromiter((self.term_of.get(t, -1) for t in terms), np.int64, len(terms))
@@ -106,19 +117,34 @@ class Shard:
     def documents(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, positions, side="right")
 
-    def phrase(self, codes: np.ndarray) -> np.ndarray:
-        """Where a phrase starts: offset-adjusted lists, rarest first; documents are not crossed."""
-        order = np.argsort(self.counts[codes], kind="stable")
-        at = self.positions(codes[order[0]]).astype(np.int64) - order[0]
-        for k in order[1:]:
-            if not len(at):
-                return at
-            have, want = self.positions(codes[k]), at + k
-            i = np.searchsorted(have, want)
-            i[i == len(have)] = 0
-            at = at[have[i] == want]
-        at = at[at >= 0]
-        return at[self.documents(at) == self.documents(at + len(codes) - 1)]
+    def phrases(self, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For phrases of equal length (rows of term codes): numbers of phrases and where they start, piece by piece.
+
+        Lists adjusted by the term's offset are intersected, from the rarest term of each phrase on; documents are not
+        crossed. Whether a place is in a term's list is looked up in ``stream``, which the postings fill.
+        """
+        n, size = matrix.shape[1], self.counts[matrix]
+        order = np.argsort(size, axis=1, kind="stable")
+        rare = np.take_along_axis(size, order[:, :1], 1)[:, 0].astype(np.int64)
+        begin = 0
+        while begin < len(matrix):
+            end = max(begin + 1, begin + int(np.searchsorted(np.cumsum(rare[begin:]), PLACES, side="right")))
+            which = np.repeat(np.arange(begin, end), rare[begin:end])
+            first = order[begin:end, 0]
+            start = self.starts[matrix[np.arange(begin, end), first]]
+            step = np.arange(len(which)) - np.repeat(np.cumsum(rare[begin:end]) - rare[begin:end], rare[begin:end])
+            at = self.postings[np.repeat(start, rare[begin:end]) + step].astype(np.int64) - first[which - begin]
+            good = (at >= 0) & (at + n <= len(self.stream))
+            which, at = which[good], at[good]
+            for k in range(1, n):
+                if not len(at):
+                    break
+                offset = order[which, k]
+                good = self.stream[at + offset] == matrix[which, offset]
+                which, at = which[good], at[good]
+            good = self.documents(at) == self.documents(at + n - 1)
+            yield which[good], at[good]
+            begin = end
 
 
 def windows_of(items: list[tuple[object, bytes]], size: int) -> tuple[list[bytes], dict[int, tuple[np.ndarray, list[list[str]]]]]:
@@ -148,40 +174,43 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
         yield block
 
 
-HITS = "doc_id long, n_words long, hit binary, items array<string>"
-
-
 def phrase_matches(index: DataFrame, items: list[tuple[object, bytes]], size: int = WINDOW) -> DataFrame:
-    """Per indexed document: its number of words, the starts and ends of hit word runs, the ids of matching items."""
+    """Per indexed document, by ``shard`` and ``place``: its id and number of words, the starts and ends of hit word
+    runs, the ids of matching items."""
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast(windows_of(items, size))
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+    schema = f"shard long, place int, doc_id {kind}, n_words long, hit binary, items array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, windows = shared.value
         for batch in batches:
+            arrow = batch.schema.field("ids").type.value_type
             for row in batch.to_pylist():
                 shard = Shard(row)
                 codes = shard.codes(terms)
-                n = len(shard.ids)
-                edges, owners = np.zeros(int(shard.sizes.sum()) + 1, np.int32), [set() for _ in range(n)]
+                n = len(shard.sizes)
+                edges, owners = np.zeros(len(shard.stream) + 1, np.int32), [set() for _ in range(n)]
                 for length, (matrix, ids) in windows.items():
-                    local = codes[matrix]
-                    for w in np.flatnonzero((local >= 0).all(axis=1)):
-                        at = shard.phrase(local[w])
-                        np.add.at(edges, at, 1)
-                        np.add.at(edges, at + length, -1)
-                        for d in np.unique(shard.documents(at)):
-                            owners[d].update(ids[w])
+                    for begin in range(0, len(matrix), PLACES // 10):
+                        local = codes[matrix[begin : begin + PLACES // 10]]
+                        there = np.flatnonzero((local >= 0).all(axis=1))
+                        for which, at in shard.phrases(local[there]):
+                            np.add.at(edges, at, 1)
+                            np.add.at(edges, at + length, -1)
+                            found = np.unique(np.stack([there[which] + begin, shard.documents(at)], axis=1), axis=0)
+                            for w, d in found.tolist():
+                                owners[d].update(ids[w])
                 hit = np.cumsum(edges)[:-1] > 0
                 first = np.concatenate([[0], shard.ends[:-1]]) if n else []
                 runs = [_runs(hit[a:b]) for a, b in zip(first, shard.ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.ids), pa.array(shard.sizes.astype(np.int64)), pa.array(runs, pa.binary()),
-                     pa.array([sorted(x) for x in owners], pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "hit", "items"],
+                    [pa.array(np.full(n, shard.shard)), pa.array(np.arange(n, dtype=np.int32)), pa.array(shard.ids, arrow),
+                     pa.array(shard.sizes.astype(np.int64)), pa.array(runs, pa.binary()), pa.array([sorted(x) for x in owners], pa.list_(pa.string()))],
+                    ["shard", "place", "doc_id", "n_words", "hit", "items"],
                 )
 
-    return index.mapInArrow(run, HITS)
+    return index.mapInArrow(run, schema)
 
 
 def _runs(hit: np.ndarray) -> bytes:
@@ -196,6 +225,7 @@ def proximity_matches(index: DataFrame, groups: list[tuple[str, list[str]]], spa
     From the rarest term of the group on, each of its positions takes the nearest positions of the other terms.
     """
     wanted = [(name, [w for t in terms for w in words_of(t.encode())]) for name, terms in groups]
+    kind = index.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,30 +252,41 @@ def proximity_matches(index: DataFrame, groups: list[tuple[str, list[str]]], spa
                                     best = (start, end)
                         if best:
                             base = int(shard.ends[d - 1]) if d else 0
-                            out.append((int(shard.ids[d]), name, best[0] - base, best[1] - base + 1))
-            columns = list(zip(*sorted(set(out)), strict=True)) or [[]] * 4
+                            out.append((shard.ids[d], name, best[0] - base, best[1] - base + 1))
+            columns = list(zip(*sorted(set(out), key=str), strict=True)) or [[]] * 4
+            arrow = batch.schema.field("ids").type.value_type
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)],
+                [pa.array(c, k) for c, k in zip(columns, (arrow, pa.string(), pa.int64(), pa.int64()), strict=True)],
                 ["doc_id", "group", "start", "end"],
             )
 
-    return index.mapInArrow(run, "doc_id long, `group` string, start long, end long")
+    return index.mapInArrow(run, f"doc_id {kind}, `group` string, start long, end long")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: ``doc_id, n_words, hit`` (runs of hit words), ``items`` (sorted ids of items with a window in it)."""
-    index = build_index(docs)
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Per row of ``docs``: ``shard, place, doc_id, n_words, hit`` (runs of hit words), ``items`` (sorted ids of items found)."""
+    index = build_index(docs, id_col, text_col)
     parts = [phrase_matches(index, b, size) for b in item_blocks(benchmark, "item_id", "text", block_words)]
-    parts = parts or [phrase_matches(index, [], size)]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:  # blocks of a large benchmark: the same shards in the same order of rows, joined by document
-        out = out.unionByName(p)
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), merged.alias("items")).select(
-        "doc_id", "n_words", _merge_runs("hits").alias("hit"), "items"
-    )
+    out = functools.reduce(DataFrame.unionByName, parts) if parts else phrase_matches(index, [], size)
+    if len(parts) > 1:  # each block of a large benchmark has a row for every document
+        merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+        out = out.groupBy("shard", "place").agg(
+            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), merged.alias("items")
+        ).select("shard", "place", "doc_id", "n_words", _merge_runs("hits").alias("hit"), "items")
+    out = materialize(out, "hits")
+    discard(index)
+    return out
+
+
+def drop_hit(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without a window of the benchmark, with all their columns; each row is judged by its own text."""
+    text = F.coalesce(text_col, F.lit(""))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.lit("\0"), text).cast("binary"))
+    found = contamination(docs.select(key.alias("key"), text.alias("text")), benchmark, size, id_col="key")
+    gone = found.where(F.octet_length("hit") > 0).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.join(gone, key == F.col("__key"), "left_anti").select(*docs.columns)
 
 
 def _merge_runs(column: str):
