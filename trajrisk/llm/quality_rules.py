@@ -4,6 +4,9 @@ Each line with a word gets a few 0/1 features. A two-label chain (content, boile
 line sequences; Viterbi decoding labels every line, and the share of characters in content lines decides whether a
 document stays. A handful of plain word rules stands before it.
 
+The labels are of documents; weak labels of their lines, which change inside documents, are made from them first
+(``line_labels``), and the chain's transitions are learned from those changes.
+
 Defined cases: a null or empty text has no words and fails the base rule; lines without a word are not labelled; a
 text without labelled lines has share 0; repeated rows are judged each for itself; rows with a null id are judged like
 any other; other columns, whatever their names, pass through ``keep_good`` untouched. Without labels the chain falls
@@ -84,21 +87,41 @@ def viterbi(emit: np.ndarray, move: list[list[float]]) -> list[int]:
     return out[::-1]
 
 
-def fit_chain(sequences: list[np.ndarray], labels: list[int], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3):
-    """Weights of the chain by gradient ascent on the conditional log-likelihood of weakly labelled lines.
+def line_labels(sequences: list[np.ndarray], bad: np.ndarray, rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> list[np.ndarray]:
+    """Weak labels of single lines, so that the chain sees labels change inside documents.
+
+    A logistic model of single lines is fitted with each document's label on all of its lines, both labels and all
+    documents counting alike. Then a line keeps its document's label unless that model contradicts: lines of bad
+    documents that look like content are content, and lines of good ones that clearly don't are boilerplate.
+    """
+    sizes = np.array([len(s) for s in sequences])
+    x, y = np.concatenate(sequences).astype(float), np.repeat(bad, sizes).astype(float)
+    share = np.where(bad, bad.mean(), 1 - bad.mean())
+    weight = np.repeat(0.5 / share / sizes, sizes) / len(sizes)
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += rate * (x.T @ ((y - p) * weight) * 4 - decay * w)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    label = np.where(np.repeat(bad, sizes), p >= 0.5, p >= 0.8)
+    return np.split(np.where(label, BOILERPLATE, CONTENT), np.cumsum(sizes)[:-1])
+
+
+def fit_chain(sequences: list[np.ndarray], labels: list[np.ndarray], bad: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-3):
+    """Weights of the chain by gradient ascent on the conditional log-likelihood of labelled lines.
 
-    All lines of a document carry the document's label. Expected feature and transition counts come from the
-    forward-backward recursion, run over all sequences at once, one line index at a time.
+    Expected feature and transition counts come from the forward-backward recursion, run over all sequences at once,
+    one line index at a time. Good and ``bad`` documents count alike, and so do long and short ones.
     """
     f = len(FEATURES)
     order = np.argsort([-len(s) for s in sequences], kind="stable")
-    sequences, labels = [sequences[i] for i in order], np.array([labels[i] for i in order])
+    sequences, bad = [sequences[i] for i in order], np.asarray(bad)[order]
     sizes = np.array([len(s) for s in sequences])
     steps = int(sizes[0])
     active = [int((sizes > t).sum()) for t in range(steps)]
     at = [np.stack([s[t] for s in sequences[: active[t]]]).astype(float) for t in range(steps)]
-    share = np.where(labels == CONTENT, (labels == CONTENT).mean(), (labels != CONTENT).mean())
-    weight = 0.5 / share / sizes  # both labels count alike, and so do long and short documents
+    true = [np.array([labels[i][t] for i in order[: active[t]]]) for t in range(steps)]
+    weight = 0.5 / np.where(bad, bad.mean(), 1 - bad.mean()) / sizes
     w, m = np.zeros((f, 2)), np.zeros((2, 2))
     for _ in range(rounds):
         scores = [x @ w for x in at]
@@ -115,7 +138,7 @@ def fit_chain(sequences: list[np.ndarray], labels: list[int], rounds: int = 60,
                 z = np.logaddexp.reduce(pair.reshape(len(pair), -1), axis=1)
                 p = np.exp(pair - z[:, None, None])
                 same = np.zeros_like(p)
-                same[np.arange(len(p)), labels[: len(p)], labels[: len(p)]] = 1
+                same[np.arange(len(p)), true[t][: len(p)], true[t + 1]] = 1
                 gm = gm + ((same - p) * weight[: len(p), None, None]).sum(0) / len(sizes)
                 part = m[None] + ahead[:, None, :]
                 beta = np.zeros((active[t], 2))
@@ -123,7 +146,7 @@ def fit_chain(sequences: list[np.ndarray], labels: list[int], rounds: int = 60,
             p = alpha[t] + beta
             p = np.exp(p - np.logaddexp(p[:, :1], p[:, 1:]))
             y = np.zeros_like(p)
-            y[np.arange(len(p)), labels[: len(p)]] = 1
+            y[np.arange(len(p)), true[t]] = 1
             gw = gw + at[t].T @ ((y - p) * weight[: len(p), None]) / len(sizes)
         w, m = w + rate * gw, m + rate * gm
     return w.tolist(), m.tolist()
@@ -132,8 +155,8 @@ def fit_chain(sequences: list[np.ndarray], labels: list[int], rounds: int = 60,
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, documents: int = TRAINING_DOCUMENTS):
     """Fit the chain on the lines of at most ``documents`` labelled texts (bounded sample, both labels alike).
 
-    Takes rows whose id's crc32 modulo 5 is not 0, in the order of a hash of the id; only 0/1 line features, no texts,
-    reach the driver.
+    Takes rows whose id's crc32 modulo 5 is not 0, in the order of a hash of the id, and one row of each id; only 0/1
+    line features, no texts, reach the driver.
     """
     pool = labels.where(F.col("quality").isNotNull() & (fold_column(F.col("doc_id"), 5) != 0)).select("doc_id", "quality")
     key = F.xxhash64("doc_id")
@@ -144,17 +167,20 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, documents: in
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [bytes(v for r in lines_of(t or b"")[0] for v in r) for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int32()), pa.array(rows, pa.binary())], ["quality", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "quality", "f"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     found = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `documents` ids
-        .select("quality", "text").mapInArrow(features, "quality int, f binary").collect()
+        .select("doc_id", "quality", "text").mapInArrow(features, f"doc_id {kind}, quality int, f binary").where(F.octet_length("f") > 0)
+        .groupBy("doc_id").agg(F.min(F.struct("quality", "f")).alias("r")).select("r.*").collect()
     )
-    found = sorted((r["quality"], bytes(r["f"])) for r in found if r["f"])
-    if len({q for q, _ in found}) < 2:
+    found = sorted((r["quality"], bytes(r["f"])) for r in found)
+    bad = np.array([q != 1 for q, _ in found])
+    if not len(bad) or bad.all() or not bad.any():
         return DEFAULT_MODEL
     sequences = [np.frombuffer(f, np.uint8).reshape(-1, len(FEATURES)) for _, f in found]
-    return fit_chain(sequences, [CONTENT if q == 1 else BOILERPLATE for q, _ in found])
+    return fit_chain(sequences, line_labels(sequences, bad), bad)
 
 
 def repeated_words(words: list[bytes]) -> int:
