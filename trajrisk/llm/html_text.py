@@ -39,7 +39,9 @@ LEFT_OUT_WORDS = frozenset(
     "breadcrumb breadcrumbs footer header masthead comment comments disqus replies cookie cookies consent gdpr notice popup modal overlay "
     "subscribe newsletter signup social share sharing related recommended widget pagination pager skip toolbar".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+#: Where a start or end tag may close, or a quoted value begins.
+_MARK = re.compile(r"""=[ \t\r\n\f]*(["'])|>""")
+_TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/<>]*")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
@@ -53,10 +55,11 @@ BY_NAME, ALWAYS = 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "points", "size", "linked", "own")
+    __slots__ = ("tag", "parent", "block", "parts", "out", "points", "size", "linked", "own")
 
     def __init__(self, tag: str, parent: Node | None, out: int):
         self.tag, self.parent, self.out = tag, parent, out
+        self.block: Node = self if parent is None or tag in BLOCKS else parent.block  # the nearest block, itself included
         self.parts: list = []  # texts and nodes in page order
         self.points, self.size, self.linked, self.own = 0.0, 0, 0, 0
 
@@ -107,49 +110,112 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
+class _Tokens:
+    """Texts and tags of a page in one pass: ``(name, attributes, text)``; end tags have a name that begins with ``/``.
+
+    Time is linear in the page, however broken it is: what was once sought in vain is not sought again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.dead: set[int] = set()  # marks from which no end of a tag follows
+        self.missing: set[str] = set()  # quotes and ends that don't occur any more
+        self.since, self.mark = -1, None  # the last search for a mark: from where, and what it found
+
+    def find(self, what: str, at: int) -> int:
+        found = -1 if what in self.missing else self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag; quoted values may hold others; -1 without one."""
+        seen = []
+        while (m := self.next_mark(at)) and m.start() not in self.dead:
+            if m[1] is None:
+                return m.start()
+            seen.append(m.start())
+            close = self.find(m[1], m.end())
+            at = m.end() if close < 0 else close + 1
+        self.dead.update(seen)
+        return -1
+
+    def next_mark(self, at: int) -> re.Match | None:
+        if not (0 <= self.since <= at and (self.mark is None or at <= self.mark.start())):
+            self.since, self.mark = at, _MARK.search(self.page, at)
+        return self.mark
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            if page[at] != "<":
+                stop = page.find("<", at)
+                stop = end if stop < 0 else stop
+                yield "", "", page[at:stop]
+                at = stop
+                continue
+            if page.startswith("<!--", at):
+                stop = self.find("-->", at + 4)
+                at = end if stop < 0 else stop + 3
+                continue
+            if page.startswith(("<!", "<?"), at):
+                stop = self.find(">", at)
+                at = end if stop < 0 else stop + 1
+                continue
+            name = _TAG_NAME.match(page, at + 1)
+            stop = self.tag_end(name.end()) if name else -1
+            if name and stop < 0:  # quotes that never end: the first > ends the tag
+                stop = self.find(">", name.end())
+            if stop < 0:
+                yield "", "", "<"
+                at += 1
+                continue
+            yield name[0].lower(), page[name.end() : stop], ""
+            at = stop + 1
+            tag = name[0].lower()
+            if tag in RAW and page[stop - 1] != "/":
+                at = self.skip(tag, at)
+
+    def skip(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no markup; without one only scripts and styles go on to the end."""
+        what = f"</{tag}"
+        close = None if what in self.missing else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, at)
+        if close:
+            return close.end()
+        self.missing.add(what)
+        return len(self.page) if tag in ("script", "style") else at
+
+
 def parse(page: str) -> Node:
     root = at = Node("body", None, 0)
-    place, end = 0, len(page)
-    match = _TOKEN.match
-    while place < end:
-        m = match(page, place)
-        place = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                at.parts.append(text)
-            continue
-        tag = tag.lower()
-        if m[1]:
-            node = at
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                at = node.parent
-            continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, place)
-                place = close.end() if close else end if tag in ("script", "style") else place
-            continue
-        if tag in VOID:
+    open_: dict[str, int] = {}  # how many elements of a name are open
+
+    def close_to(node: Node) -> None:
+        nonlocal at
+        while at is not node:
+            open_[at.tag] -= 1
+            at = at.parent
+
+    for tag, attributes, text in _Tokens(page):
+        if not tag:
+            at.parts.append(text)
+        elif tag[0] == "/":
+            if open_.get(tag[1:]):
+                node = at
+                while node.tag != tag[1:]:
+                    node = node.parent
+                close_to(node.parent)
+        elif tag in VOID:
             at.parts.append(Node(tag, at, 0))
-            continue
-        if tag in ("html", "body"):
-            continue
-        if tag in BLOCKS or tag in CLOSES:
-            shut = CLOSES.get(tag, {"p"})
-            node = at
-            while node.tag not in BLOCKS and node.parent is not None:
-                node = node.parent
-            while node.tag in shut and node.parent is not None:
-                at = node = node.parent
-                while node.tag not in BLOCKS and node.parent is not None and node.parent.tag in shut:
-                    at = node = node.parent
-        node = Node(tag, at, _left_out(tag, m[3]))
-        at.parts.append(node)
-        at = node
+        elif tag not in RAW and tag not in ("html", "body"):
+            if tag in BLOCKS or tag in CLOSES:
+                shut = CLOSES.get(tag, {"p"})
+                while at.block.tag in shut and at.block.parent is not None:
+                    close_to(at.block.parent)
+            node = Node(tag, at, _left_out(tag, attributes))
+            at.parts.append(node)
+            open_[tag] = open_.get(tag, 0) + 1
+            at = node
     return root
 
 
@@ -168,9 +234,7 @@ def score(nodes: list[Node]) -> None:
         texts = [p for p in node.parts if type(p) is str]
         node.own = node.size = sum(len(t.strip()) for t in texts)
         node.linked = node.size if node.tag == "a" else 0
-        block = node
-        while block.tag not in BLOCKS and block.parent is not None:
-            block = block.parent
+        block = node.block
         if node.size:
             points = 1 + sum(t.count(",") for t in texts) + min(3, node.size // 100)
             holder = block.parent if block.tag not in ("article", "main", "section", "div", "body") and block.parent is not None else block
