@@ -8,8 +8,8 @@ at any line and has as many words as a known text, however these are wrapped; ru
 
 Defined cases: null and empty texts have no units and no licence; a unit that is empty in canonical form matches
 nothing; blank lines do not end a run, and each of its other lines reports the match;
-rows with one id report the union of their matches, a line number and licence counting once; rows with a null
-id are reported without matches; other columns are ignored. The table of known texts is a parameter; it is broadcast
+rows with one id, a null one included, report the union of their matches, a line number and licence counting once;
+letters of all scripts count, so that a notice with foreign words before or behind is none; other columns are ignored. The table of known texts is a parameter; it is broadcast
 only up to ``BROADCAST_ROWS`` rows, beyond which the join is shuffled.
 """
 
@@ -70,6 +70,8 @@ EQUIVALENT = [
     ("licen[cs]", "licens"), ("non-commercial", "noncommercial"), ("acknowledgement", "acknowledgment"),
     ("http://", "https://"), (r"\bv(?:ersion|er\.)? ?([0-9])", "version $1"),
 ]
+#: What is no letter, mark or digit of any script.
+OTHER = r"[^\p{L}\p{M}\p{N}\n]+"
 COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
 
 
@@ -95,7 +97,7 @@ def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT.replace("(?:copyright", f"(?:{SENTENCE}copyright"), "")
     for pattern, same in EQUIVALENT:
         out = F.regexp_replace(out, pattern, same)
-    return F.regexp_replace(out, r"[^a-z0-9\n]+", " ")
+    return F.regexp_replace(out, OTHER, " ")
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -154,12 +156,12 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = scan(docs, known_digests(spark)).where("doc_id is not null").groupBy("doc_id").agg(
+    found = scan(docs, known_digests(spark)).groupBy(F.col("doc_id").alias("found_id")).agg(
         F.max(F.when(F.col("unit") == 0, F.col("license"))).alias("whole_license"),
         F.count_distinct(F.when(F.col("unit") > 0, F.col("unit"))).alias("n_license_lines"),
         F.concat_ws(",", F.array_sort(F.collect_set("license"))).alias("licenses"),
     )
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
+    return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
         "doc_id", "whole_license", F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"),
         F.coalesce("licenses", F.lit("")).alias("licenses"),
     )
@@ -169,7 +171,7 @@ def _sql_form(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{COPYRIGHT}', '', 'g')"
     for pattern, same in EQUIVALENT:
         out = f"regexp_replace({out}, '{pattern}', '{same.replace('$1', chr(92) + '1')}', 'g')"
-    return f"regexp_replace({out}, '[^a-z0-9\\n]+', ' ', 'g')"
+    return f"regexp_replace({out}, '{OTHER}', ' ', 'g')"
 
 
 _ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in k)) for k in KNOWN)
@@ -183,7 +185,7 @@ WITH known AS (SELECT sha256(trim(regexp_replace({_sql_form("t")}, '\\s+', ' ',
   agg AS (SELECT doc_id, max(license) FILTER (unit = 0) AS whole_license, count(DISTINCT unit) FILTER (unit > 0) AS n,
             string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM hits GROUP BY doc_id)
 SELECT d.doc_id, whole_license, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines, coalesce(licenses, '') AS licenses
-FROM documents d LEFT JOIN agg USING (doc_id)
+FROM documents d LEFT JOIN agg ON d.doc_id IS NOT DISTINCT FROM agg.doc_id
 """
 QUERIES = {"op4_license_scan": op4_license_scan}
 ORACLES = {"op4_license_scan": ORACLE}
