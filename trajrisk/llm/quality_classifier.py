@@ -47,7 +47,7 @@ class Network:
 
 
 def chunks(text: bytes) -> np.ndarray:
-    """Chunks of a text as rows of CHUNK + WIDTH - 1 bytes; the last is filled by repeating the text's end."""
+    """Chunks of a text as rows of CHUNK + WIDTH - 1 bytes; the last is filled with zeros."""
     step, size = CHUNK, CHUNK + WIDTH - 1
     n = max(1, -(-(len(text) - WIDTH + 1) // step))
     padded = np.zeros((n - 1) * step + size, np.uint8)
@@ -145,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAINING_DOCUMENT
     key = F.xxhash64("doc_id")
     parts = [pool.where(c).orderBy(key, "doc_id").limit(documents // 2) for c in ("quality = 1", "quality <> 1")]
     chosen = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `documents` ids
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "text")).alias("r")).select("doc_id", "r.*").collect()  # one row each
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     y = np.array([float(r["quality"] == 1) for r in rows])
     if len(set(y)) < 2:
