@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +17,22 @@ ALNUM = bytes(
 )
 
 
+#: First letters of the names of bucketed tables.
+BUCKETED = "bucketed_"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if not found and spark.sparkContext.master.startswith("local"):
         found = f"file://{tempfile.mkdtemp(prefix='spark-work-')}"
         spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise ValueError("spark.checkpoint.dir is to name a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -40,18 +48,33 @@ def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if free:
         spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, key: str, free: bool = False) -> DataFrame:
+    """Like ``materialize``, with the files bucketed by ``key``: later joins on it need no shuffle of this side."""
+    spark = df.sparkSession
+    name = f"{BUCKETED}{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{work_dir(spark)}/{name}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+    if free:
+        spark._jvm.System.gc()
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     spark = df.sparkSession
     root = work_dir(spark).split(":", 1)[-1].lstrip("/")
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if root in path:
+            name = path.rsplit("/", 1)[-1]
+            if name.startswith(BUCKETED):
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -109,3 +132,14 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ro
     out = materialize(low.unionByName(roots.withColumn("component", F.col("node"))), "components")
     discard(current)
     return out
+
+
+def pack(data: np.ndarray | bytes) -> bytes:
+    """Bytes, or those of an array, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(data if isinstance(data, bytes) else data.tobytes())
+
+
+def unpack(data: bytes, kind=None) -> np.ndarray | bytes:
+    """What ``pack`` took: bytes, or an array of ``kind``."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return raw if kind is None else np.frombuffer(raw, kind)

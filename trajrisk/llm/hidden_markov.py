@@ -28,12 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fold_column, materialize, table, texts_of
+from .common import discard, fold_column, materialize, pack as _pack, table, texts_of, unpack as _unpack
 
 STATES, CLASSES = 8, 8192
 ROUNDS = 5
@@ -78,15 +77,6 @@ class _Numbers(dict):
         return n
 
 
-def _pack(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else x.tobytes())
-
-
-def _unpack(x: bytes, kind=None) -> np.ndarray | bytes:
-    raw = zstandard.ZstdDecompressor().decompress(x)
-    return raw if kind is None else np.frombuffer(raw, kind)
-
-
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
 

@@ -4,7 +4,8 @@ A byte goes if a string of ``LENGTH`` bytes around it also starts earlier: in a
 in the same one. Suffixes are only sorted where that is possible, in four steps:
 
 1. Every window of ``LENGTH`` bytes is given to the least of its hashed 16-byte grams, its anchor; equal windows have
-   equal anchors at equal places. Anchors that occur once in the whole corpus cannot start a repeat and end here.
+   equal anchors at equal places. Anchors that occur once in the whole corpus cannot start a repeat and end here: their
+   hashes are counted in packs, and only those that occur more often come back to their documents.
 2. The remaining windows are cut out with their anchor, and each cutting is told by a 128-bit code of its bytes and of
    its anchor's place. Equal cuttings are folded into the earliest one, first within a task, so that a passage that a
    third of all documents share reaches its bucket once per task, then after a shuffle of the codes by anchor.
@@ -34,16 +35,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table, texts_of
+from .common import discard, materialize, materialize_by, pack as _pack, table, texts_of, unpack as _unpack
 
 LENGTH, GRAM = 100, 16
 #: A difference cover: every residue modulo PERIOD is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of texts that are hashed at a time, and of cuttings that are sorted at a time.
 SEGMENT, BLOCK = 1 << 20, 4 << 20
+#: Bytes of texts whose anchors are packed together, and bytes of the input for each bucket of anchor hashes.
+FLUSH, BUCKET_BYTES = 16 << 20, 32 << 20
 #: Occurrences of an anchor whose cuttings are sorted together, and windows of other anchors that are folded together.
 HOT, FOLDED = BLOCK // LENGTH, 200_000
 NULL_ID = -(1 << 63)
@@ -106,27 +110,80 @@ def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         yield piece()
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """``kid, h, c``: each anchor hash of a text and how often it has it."""
+def _packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, hs, ns, kids``: anchor hashes of about ``FLUSH`` bytes of texts, packed by ranges of the spread hash.
+
+    Of each hash its number of occurrences, and its text if it occurs once here. Hashes that occur more often here are
+    settled: they are also sent with all their texts, without ``ns``, to a bucket by turns, so that a hash that is in
+    very many texts reaches the bucket of its own once a pack.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId(), 0
+        hs: list[np.ndarray] = []
+        kids: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            h, kid = np.concatenate(hs), np.concatenate(kids)
+            order = np.argsort(h * _ODD[0], kind="stable")  # anchors are small hashes: spread them
+            h, kid = h[order], kid[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+            n = np.diff(np.append(at, len(h))).astype(np.int32)
+            many = np.repeat(n > 1, n)
+            out = [((task * 31 + count) % buckets, _pack(h[many]), None, _pack(kid[many]))] if many.any() else []
+            h, kid = h[at], kid[at]
+            bucket = ((h * _ODD[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(h)]), len(h)).tolist()
+            out += [(int(bucket[a]), _pack(h[a:b]), _pack(n[a:b]), _pack(kid[a:b])) for a, b in itertools.pairwise(edges)]
+            return _batch(out, _arrow(PACK))
+
+        size = 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for data, ends, owners, _ in segments([t or b"" for t in texts_of(batch.column(1))]):
                 lo, _, _, h = ranges(data, ends)
-                owner = owners[np.searchsorted(ends, lo, side="right")]
-                order = np.lexsort((h, owner))
-                owner, h = owner[order], h[order]
-                new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])])[: len(h)]
-                at = np.flatnonzero(new)
-                count = np.diff(np.concatenate([at, [len(h)]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[owner[at]]), pa.array(h[at].view(np.int64)), pa.array(count.astype(np.int32))], ["kid", "h", "c"]
-                )
-
-    return docs.select("kid", "text").mapInArrow(run, "kid long, h long, c int")
-
-
+                hs.append(h)
+                kids.append(ids[owners[np.searchsorted(ends, lo, side="right")]])
+                size += len(data)
+                if size >= FLUSH:
+                    yield rows()
+                    hs, kids, size, count = [], [], 0, count + 1
+        if hs:
+            yield rows()
+
+    return docs.select("kid", "text").mapInArrow(run, PACK)
+
+
+def _repeated_anchors(packs: DataFrame, hot: int) -> DataFrame:
+    """``kid, h`` for anchors that occur twice or more; rows without ``kid`` name those that occur more than ``hot`` times."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out_kid, out_h, often, parts = [], [], np.zeros(0, np.int64), []
+        for h, n, kid in zip(*(group.column(x).to_pylist() for x in ("hs", "ns", "kids")), strict=True):
+            h, kid = _unpack(h, np.int64), _unpack(kid, np.int64)
+            if n is None:
+                out_h.append(h)
+                out_kid.append(kid)
+            else:
+                parts.append((h, _unpack(n, np.int32), kid))
+        if parts:
+            h, n, kid = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, n, kid = h[order], n[order], kid[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            total = np.add.reduceat(n.astype(np.int64), at)
+            often = h[at[total > hot]]
+            keep = np.repeat(total > 1, np.diff(np.append(at, len(h)))) & (n == 1)
+            out_h.append(h[keep])
+            out_kid.append(kid[keep])
+        h, kid = np.concatenate([*out_h, often]), np.concatenate([*out_kid, often])
+        named = np.arange(len(h)) >= len(h) - len(often)
+        return pa.table({"kid": pa.array(kid, pa.int64(), mask=named), "h": pa.array(h, pa.int64())})
+
+    return packs.groupBy("bucket").applyInArrow(run, "kid long, h long")
+
+
+PACK = "bucket int, hs binary, ns binary, kids binary"
 CODE = "h long, kid long, dig long, start long, rel int, n int, c0 long, c1 long"
 CUTTING = "h long, kid long, dig long, start long, rel int, n int, cut binary"
 
@@ -250,7 +307,7 @@ def _judged(coded: DataFrame) -> DataFrame:
 
 def _cuttings(places: DataFrame, affected: DataFrame) -> DataFrame:
     """The bytes of the cuttings at ``places``."""
-    wanted = places.groupBy("kid", "dig").agg(F.collect_set(F.struct("h", "start", "rel", "n")).alias("cuts"))
+    wanted = places.groupBy("kid").agg(F.collect_set(F.struct("h", "start", "rel", "n", "dig")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, size, out = _arrow(CUTTING), 0, []
@@ -258,7 +315,9 @@ def _cuttings(places: DataFrame, affected: DataFrame) -> DataFrame:
             kids, digs, cuts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             for i, text in enumerate(texts_of(batch.column(2))):
                 mine = cuts[i].values
-                for h, start, rel, n in zip(*(mine.field(j).to_pylist() for j in range(4)), strict=True):
+                for h, start, rel, n, dig in zip(*(mine.field(j).to_pylist() for j in range(5)), strict=True):
+                    if dig != digs[i]:
+                        continue
                     cut = text[start : start + n - 1 + LENGTH]
                     size += len(cut)
                     out.append((h, kids[i], digs[i], start, rel, n, cut))
@@ -267,7 +326,7 @@ def _cuttings(places: DataFrame, affected: DataFrame) -> DataFrame:
                     size, out = 0, []
         yield _batch(out, schema)
 
-    return affected.select("kid", "dig", "text").join(wanted, ["kid", "dig"]).select("kid", "dig", "text", "cuts").mapInArrow(run, CUTTING)
+    return affected.select("kid", "dig", "text").join(wanted, "kid").select("kid", "dig", "text", "cuts").mapInArrow(run, CUTTING)
 
 
 def _words(data: np.ndarray, at: np.ndarray, count: int) -> list[np.ndarray]:
@@ -395,37 +454,36 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = docs.select(kid.alias("kid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     whole = whole.withColumn("md5", F.md5(F.col("text").cast("binary")))
     whole = whole.withColumn("dig", F.conv(F.substring("md5", 1, 15), 16, 10).cast("long"))
-    anchors = materialize(_anchors(whole), "anchors")
-    twice = anchors.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
-    twice = materialize(twice, "twice")
-    often = [r[0] for r in twice.where(F.col("c") > hot).select("h").collect()]  # at most one for every ``hot`` windows
-    hashes = anchors.join(twice.select("h"), "h").groupBy("kid").agg(F.collect_list("h").alias("hs"))
+    size = whole.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    anchors = materialize(_repeated_anchors(_packed_anchors(whole, -(-size // BUCKET_BYTES) or 1), hot), "anchors", free=True)
+    often = [r[0] for r in anchors.where("kid is null").select("h").collect()]  # at most one for every ``hot`` windows
+    hashes = anchors.where("kid is not null").groupBy("kid").agg(F.collect_list("h").alias("hs"))
     slim = whole.select("kid", "md5")
     owner = slim.groupBy("md5").agg(F.min("kid").alias("owner"))
     copies = slim.join(owner, "md5").where("kid > owner").groupBy("kid").agg(F.collect_set("md5").alias("copies"))
-    marked = whole.join(hashes, "kid", "left").join(copies, "kid", "left")
+    marked = whole.join(hashes.hint("merge"), "kid", "left").join(copies.hint("merge"), "kid", "left")
     marked = marked.withColumn("copy", F.coalesce(F.array_contains("copies", F.col("md5")), F.lit(False)) & (F.octet_length("text") >= LENGTH))
     open_ = F.col("hs").isNotNull() & ~F.col("copy")
-    marked = materialize(
+    marked = materialize_by(
         marked.select(
             "kid", "doc_id", "dig", F.octet_length("text").cast("long").alias("n_bytes"), "copy",
             F.when(~open_ & ~F.col("copy"), F.sha2(F.col("text").cast("binary"), 256)).alias("sha"),
             F.when(open_, F.col("text")).alias("text"), F.when(open_, F.col("hs")).alias("hs"),
-        ), "marked", free=True,
+        ), "marked", "kid", free=True,
     )
     discard(anchors)
-    discard(twice)
     affected = marked.where("hs is not null")
     judged = materialize(_judged(_codes(affected, often)), "judged", free=True)
     later = judged.where("later").selectExpr("kid", "dig", "start as first", "start + n - 1 as last")
     found = later.unionByName(_repeats(_cuttings(judged.where("not later"), affected)))
-    runs = materialize(found.groupBy("kid", "dig").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs", free=True)
+    runs = materialize(found.groupBy("kid").agg(F.collect_list(F.struct("dig", "first", "last")).alias("found")), "runs", free=True)
     discard(judged)
     none_type = "array<struct<first:bigint,last:bigint>>"
     none = F.array().cast(none_type)
     done = marked.where("hs is null").select("doc_id", "n_bytes", "sha", "text", F.lit(None).cast(none_type).alias("runs"))
-    open_rows = affected.join(runs, ["kid", "dig"], "left")
-    return done.unionByName(open_rows.select("doc_id", "n_bytes", "sha", "text", F.coalesce("runs", none).alias("runs"))), [marked, runs]
+    mine = F.transform(F.filter("found", lambda r: r["dig"] == F.col("dig")), lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last")))
+    open_rows = affected.join(runs, "kid", "left").withColumn("runs", F.coalesce(mine, none))
+    return done.unionByName(open_rows.select("doc_id", "n_bytes", "sha", "text", "runs")), [marked, runs]
 
 
 def stripped(rows: DataFrame) -> DataFrame:
