@@ -8,16 +8,18 @@ the leftmost of equals, until no edge joins any two: the segmentation that the m
 are relaxed together, one join each a round.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; characters outside the vocabulary
-become the tokens of their UTF-8 bytes; U+2581 counts as a blank, as in the model; repeated rows are encoded each; a
-text of any length without a blank is one part, relaxed with a heap; other columns are ignored. Decoding takes ids of
+become the tokens of their UTF-8 bytes; U+2581 counts as a blank, as in the model; repeated rows are encoded each;
+parts of more than ``BLOCK`` characters are indexed block by block and cut where no piece reaches across, and what has
+no such place for more than a block is relaxed as a whole in about 100 bytes a character; other columns are ignored. Decoding takes ids of
 control pieces as nothing and replaces bytes that are no UTF-8.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,15 +107,17 @@ class Matcher:
         lone = "" if "\n" in joined else "\n"
         if any(BLANK in p.lstrip(BLANK) for p in texts):
             raise ValueError("pieces with a blank after another character are not supported")
-        self.split = re.compile(f" *[^ {lone}]+| +|{lone}" if lone else " *[^ ]+| +").findall
+        self.split = re.compile(f" *[^ {lone}]+| +|{lone}" if lone else " *[^ ]+| +")
+        self.piece = dict(zip(texts, self.ids.tolist(), strict=True))
 
     @staticmethod
     def _words(g: np.ndarray) -> np.ndarray:
         g = g.astype(np.uint64)
         return (g[:, 0] << np.uint64(48)) | (g[:, 1] << np.uint64(32)) | (g[:, 2] << np.uint64(16)) | g[:, 3]
 
-    def parts(self, text: str) -> list[str]:
-        return self.split(" " + text.replace(BLANK, " ")) if text else []
+    def parts(self, text: str) -> Iterable[str]:
+        text = " " + text.replace(BLANK, " ") if text else ""
+        return self.split.findall(text) if len(text) < BLOCK else (m[0] for m in self.split.finditer(text))
 
     def edges(self, codes: np.ndarray) -> np.ndarray:
         """Piece by place and length, -1 where there is none: suffix array, ranges of all pieces, edges by place."""
@@ -135,17 +139,97 @@ class Matcher:
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all parts, one after the other, and their number for each part."""
-        flat, counts = [], []
-        begin, size = 0, 0
-        for i, p in enumerate(parts):
-            size += len(p) + 1
-            if size >= BLOCK or i + 1 == len(parts):
-                tokens, n = self._block(parts[begin : i + 1])
+        flat, counts, block, size = [], [], [], 0
+
+        def flush() -> None:
+            nonlocal block, size
+            if block:
+                tokens, n = self._block(block)
                 flat.append(tokens)
                 counts.append(n)
-                begin, size = i + 1, 0
+            block, size = [], 0
+
+        for p in parts:
+            if len(p) > BLOCK:
+                flush()
+                tokens = self._huge(p)
+                flat.append(tokens)
+                counts.append([len(tokens)])
+                continue
+            if size + len(p) >= BLOCK:
+                flush()
+            block.append(p)
+            size += len(p) + 1
+        flush()
         return (np.concatenate(flat), np.concatenate(counts)) if flat else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
+    def _huge(self, part: str) -> np.ndarray:
+        """Tokens of a part of more than a block: cut where no piece reaches across."""
+        part = part.replace(" ", BLANK)
+        reach = np.zeros(len(part), np.uint32)  # the lengths of the pieces from each place on, as bits
+        bits = (np.uint32(1) << np.arange(LONGEST + 1, dtype=np.uint32)).astype(np.uint32)
+        for a in range(0, len(part), BLOCK):
+            points = np.frombuffer(part[a : a + BLOCK + LONGEST].encode("utf-32-le", "surrogatepass"), np.uint32)
+            found = self.edges(self.code[points])[:BLOCK]
+            reach[a : a + len(found)] = ((found >= 0) * bits).sum(1, dtype=np.uint32)
+        longest = np.zeros(len(part), np.int64)
+        for n in range(2, LONGEST + 1):
+            longest[reach & bits[n] > 0] = n
+        far = np.maximum.accumulate(np.arange(len(part)) + np.maximum(longest, 1))
+        cuts = np.concatenate([[0], np.flatnonzero(far[:-1] <= np.arange(1, len(part))) + 1, [len(part)]])
+        out, begin = [], 0
+        while begin < len(cuts) - 1:
+            end = max(begin + 1, int(np.searchsorted(cuts, cuts[begin] + BLOCK, "right")) - 1)
+            a, b = int(cuts[begin]), int(cuts[end])
+            runs = [part[x:y] for x, y in itertools.pairwise(cuts[begin : end + 1].tolist())]
+            out.append(self._block(runs)[0] if b - a <= BLOCK else self._relax_huge(part[a:b], reach[a:b]))
+            begin = end
+        return np.concatenate(out)
+
+    def _relax_huge(self, text: str, reach: np.ndarray) -> np.ndarray:
+        """Tokens of a run without a cut. Pairs there at first are sorted in one array; only later ones are in a heap."""
+        size = len(text)
+        _, level = np.unique(-self.scores, return_inverse=True)  # equal scores: the leftmost first
+        right, left = np.arange(1, size + 1, dtype=np.int32), np.arange(-1, size - 1, dtype=np.int32)
+        length = np.ones(size, np.int8)
+
+        def pair(p: int) -> int:
+            """The pair that starts here: level of its score, place, both lengths; -1 for none."""
+            q = int(right[p])
+            if q >= size:
+                return -1
+            a, b = int(length[p]), int(length[q])
+            if a + b > LONGEST or not reach[p] >> (a + b) & 1:
+                return -1
+            return (int(level[self.piece[text[p : p + a + b]]]) << 48) | (p << 8) | (a << 4) | b - 1
+
+        first = np.fromiter((pair(p) for p in range(size)), np.int64, size)
+        first = np.sort(first[first >= 0])
+        heap: list[int] = []
+        at = 0
+        while at < len(first) or heap:
+            if heap and (at == len(first) or heap[0] < first[at]):
+                x = heapq.heappop(heap)
+            else:
+                x = int(first[at])
+                at += 1
+            p, a, b = x >> 8 & (1 << 40) - 1, x >> 4 & 15, (x & 15) + 1
+            q = p + a
+            if length[p] != a or q >= size or length[q] != b:
+                continue
+            r = int(right[q])
+            right[p], length[p], length[q] = r, a + b, 0
+            if r < size:
+                left[r] = p
+            for z in (p, int(left[p])):
+                if z >= 0 and (y := pair(z)) >= 0:
+                    heapq.heappush(heap, y)
+        tokens = []
+        for p in np.flatnonzero(length).tolist():
+            piece = self.piece.get(text[p : p + int(length[p])], -1) if length[p] > 1 or reach[p] & 2 else -1
+            tokens += [piece] if piece >= 0 else [self.v.byte[x] for x in text[p].encode("utf-8", "surrogatepass")]
+        return np.array(tokens, np.int32)
+
     def _block(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer("\0".join([*parts, ""]).replace(" ", BLANK).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(p) for p in parts])
@@ -233,7 +317,7 @@ class _Numbers(dict):
 def encode_texts(matcher: Matcher, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts, one after the other, and their number for each text."""
     numbers = _Numbers()
-    rows = [np.fromiter(map(numbers.__getitem__, p), np.int32, len(p)) for p in (matcher.parts(t or "") for t in texts)]
+    rows = [np.fromiter(map(numbers.__getitem__, matcher.parts(t or "")), np.int32) for t in texts]
     tokens, counts = matcher.encode(list(numbers))
     begins = np.cumsum(counts) - counts
     flat, sizes = [], np.zeros(len(texts), np.int64)
@@ -255,8 +339,11 @@ class Decoder:
         for b, i in enumerate(vocabulary.byte):
             self.table[i] = bytes([b])
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        """Text of the ids, put together a bounded number of pieces at a time."""
+        parts = (ids[s : s + BLOCK] for s in range(0, len(ids), BLOCK))
+        raw = [b"".join(map(self.table.__getitem__, p.tolist() if isinstance(p, np.ndarray) else p)) for p in parts]
+        return b"".join(raw).decode("utf-8", "replace").removeprefix(" ")
 
 
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,7 +357,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
             flat, sizes = encode_texts(matcher, texts)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             same = [
-                decoder.decode(flat[a:b].tolist()) == (t or "") for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)
+                decoder.decode(flat[a:b]) == (t or "") for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)
             ]
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays(
