@@ -71,6 +71,40 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_of_one_id_the_speaker_stays(spark):
+    """Which of different texts with one id stays doesn't depend on the order of rows."""
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(1, t) for t in texts] + [(1, None), (2, texts[0] + " more"), (None, texts[1]), (None, texts[1])]
+    kept = []
+    for parts in (1, 3, 5):
+        found = near_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        kept.append(sorted(map(str, found)))
+    assert kept[0] == kept[1] == kept[2] and len([r for r in found if r["doc_id"] == 1]) == 1
+    assert len([r for r in found if r["doc_id"] is None]) == 2
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    """Recall where the sketch prefix is not exact: 3 000 pairs of 60 to 400 shingles with a similarity from 0.75 to 0.80."""
+    rng, rows, want = np.random.default_rng(8), [], set()
+    for i in range(3_000):
+        n = int(rng.integers(64, 404))
+        a = [f"p{i}w{j}" for j in range(n)]
+        b = list(a)
+        # Each changed word changes five shingles, at the end of the text one more each.
+        while True:
+            inter = len({tuple(a[k : k + 5]) for k in range(n - 4)} & {tuple(b[k : k + 5]) for k in range(len(b) - 4)})
+            union = 2 * (n - 4) - inter
+            if 100 * inter < 80 * union:
+                break
+            b[int(rng.integers(0, n))] += "x"
+        if 100 * inter >= 75 * union:
+            want.add(2 * i)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = {r["component_id"] for r in found.where("component_id <> doc_id").collect()}
+    assert len(want) > 1_500 and got == want
+
+
 def test_long_lists_in_blocks():
     rnd = random.Random(1)
     sets = [np.unique(np.array([rnd.randrange(60) for _ in range(40)], np.uint64)) for _ in range(40)]
@@ -192,6 +226,24 @@ def test_pieces_match_the_library(spark, docs):
     assert len(back) == len(corpus())
 
 
+def test_long_parts_without_blanks(monkeypatch):
+    """Parts beyond a block, with and without places to cut, give the library's tokens."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rnd = random.Random(4)
+    matcher = pieces.Matcher(pieces.Vocabulary.load(pieces.MODEL))
+    odd = [
+        "=" * 700, "".join(rnd.choice("abcdefghij") for _ in range(900)), "".join(rnd.choice("the日本語é🙂-=_") for _ in range(900)),
+        "ab " * 50 + "x" * 400 + " y", " " * 300, "theandingerion" * 60, "".join(rnd.choice("etaoin") for _ in range(3000)),
+    ]
+    for block in (40, 200, 1 << 20):
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        flat, sizes = pieces.encode_texts(matcher, odd)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == model.encode(odd), block
+        assert pieces.Decoder(matcher.v).decode(np.array(model.encode(odd[2]))) == odd[2]
+
+
 def test_viterbi_and_counts():
     rnd = np.random.default_rng(1)
     for n in range(1, 7):
@@ -211,6 +263,45 @@ def test_quality_rules_table(spark, docs, empty):
     assert quality_rules.verdicts(empty, model).count() == 0
 
 
+def test_boilerplate_lines_inside_documents(spark):
+    """Labels change inside documents; the share decides."""
+    rnd = random.Random(9)
+    good = lambda: " ".join(rnd.choice(["river", "stone", "of", "the", "walk", "green", "house"]) + str(rnd.randrange(99)) for _ in range(14)) + "."
+    junk = lambda: " | ".join(rnd.choice(["Home", "Login", "$$$", "###"]) for _ in range(12))
+    rows, labels = [], []
+    for i in range(120):
+        lines = [good() for _ in range(8)] if i % 2 else [good(), *(junk() for _ in range(6)), good(), junk()]
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, i % 2, 0))
+    rows += [(1000, "\n".join([*(good() for _ in range(6)), junk(), junk(), *(good() for _ in range(4))])), (1001, "\n".join([good(), *(junk() for _ in range(12))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_rules.train(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in quality_rules.verdicts(docs, model).collect()}
+    assert 0.5 < got[1000]["content_share"] < 1 and got[1000]["kept"]
+    assert 0 < got[1001]["content_share"] < 0.4 and not got[1001]["kept"]
+    assert all(got[i]["kept"] == bool(i % 2) for i in range(120))
+
+
+def test_quality_base_columns_as_sql(spark, docs):
+    import duckdb
+    import pandas as pd
+
+    rows = [(i, t) for i, t, *_ in corpus()] + [(900, "a b c\na b c\n\n # x $5\ta b c d"), (901, "é ü\x0b日本 é ü 日本\né ü"), (902, "x\u00a0y z\nx\u00a0y z")]
+    texts = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    sql = r"""
+    WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM texts),
+      w AS (SELECT n, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+      g AS (SELECT n, s, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] AS g FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS s FROM w)),
+      r AS (SELECT n, count(DISTINCT q) AS k FROM (SELECT n, unnest([s, s + 1, s + 2]) AS q FROM g WHERE (n, g) IN (SELECT n, g FROM g GROUP BY ALL HAVING count(*) > 1)) GROUP BY n),
+      l AS (SELECT n, count(*) - count(DISTINCT x) AS k FROM (SELECT n, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY n)
+    SELECT doc_id, len(w), coalesce(list_sum(list_transform(w, x -> length(x))), 0), length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')),
+      coalesce(l.k, 0), coalesce(r.k, 0), len(w) < 50 OR 100 * coalesce(r.k, 0) > 50 * len(w) FROM w LEFT JOIN l USING (n) LEFT JOIN r USING (n)"""
+    want = sorted((str(None if pd.isna(x[0]) else int(x[0])), *map(int, x[1:])) for x in duckdb.sql(sql).fetchall())
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r[0]), *map(int, r[1:7])) for r in quality_rules.verdicts(frame, quality_rules.DEFAULT_MODEL).collect())
+    assert got == want
+
+
 def test_hidden_markov_is_exact(spark, docs, empty):
     rng = np.random.default_rng(0)
     k, n = hidden_markov.STATES, hidden_markov.CLASSES + 1
@@ -287,11 +378,36 @@ def test_html_keeps_text_without_article():
     assert html_text.main_text(f"<body><div class='widget'><h1>T</h1>{long}</div></body>").startswith("T Long")
 
 
+def test_html_on_a_table(spark):
+    page = "<body><div class=menu><a href=/>Home</a></div><p>Text, of one page, that is longer than the rest of it.</p></body>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (None, None, page, "x"), (2, "v", None, "x"), (3, "w", "", "x"), (4, "w", "&lt;b&gt; &amp;amp;\u00a0x", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    want = "Text, of one page, that is longer than the rest of it."
+    got = sorted((str(r["page_id"]), r["url"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect())
+    assert got == sorted([("1", "u", want, 54), ("1", "u", want, 54), ("None", None, want, 54), ("2", "v", "", 0), ("3", "w", "", 0), ("4", "w", "<b> &amp; x", 11)], key=str)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for piece in ('<a "', '<a x="', "<b>", "</i>", "<b></i>", '<a x=">" ', "<title>", "<!", "<", "<p>", "<li>", "<table><td><b>", "<a<", "<a =  "):
+        began = time.process_time()
+        html_text.main_text(piece * (300_000 // len(piece)))
+        assert time.process_time() - began < 5, piece
+    assert html_text.main_text('<p>see <a title="5" disk">link</a>, ok</p>') == "see link, ok"
+
+
 def test_license_scan(spark):
     rows = [(1, "MIT licence"), (2, "Copyright (c) 2020 X\nLicenced under  the ISC LICENSE!"), (3, None), (4, ""), (2, "z\nReleased under the MIT License."), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {(r["doc_id"], r["unit"], r["license"]) for r in license_scan.scan(docs, license_scan.known_digests(spark)).collect()}
     assert found == {(2, 0, "ISC"), (2, 2, "ISC"), (2, 2, "MIT")}
+    rows = [(1, "Released under the MIT License. 但是不包括商业用途"), (2, "Не Released under the MIT License."), (None, "Released under the MIT License!"), (None, "«Released under the MIT License»")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in license_scan.scan(odd, license_scan.known_digests(spark)).collect()} == {None}
+    none = license_scan.scan(odd.limit(0), license_scan.known_digests(spark))
+    assert none.count() == 0 and license_scan.scan(odd, license_scan.known_digests(spark, [])).count() == 0
 
 
 def test_license_scan_finds_complete_texts(spark):
@@ -346,3 +462,62 @@ def test_classifier():
     net = quality_classifier.fit([*good[:40], *bad[:40]], np.array([1.0] * 40 + [0.0] * 40))
     p = quality_classifier.predict(net, net.pairs(), [*good[40:], *bad[40:], b"", b"x" * 5000])
     assert (p[:20] > 0.5).mean() > 0.9 and (p[20:40] < 0.5).mean() > 0.9 and ((p >= 0) & (p <= 1)).all()
+
+
+def test_classifier_on_tables(spark, docs, empty):
+    """Repeated and null ids, null texts, clashing columns, empty tables; held-out accuracy."""
+    rnd = random.Random(6)
+    words = ["the", "cat", "sat", "down", "here"]
+    rows = [(i, " ".join(rnd.choice(words) + ("" if i % 2 else "@@") for _ in range(40)), 0.5) for i in range(200)]
+    rows += [rows[3], (3, "another text", 0.1), (None, rows[4][1], 0.2), (900, None, 0.3)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] * 2 + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    table = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    got = quality_classifier.score(table, quality_classifier.train(table, labels)).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 200 and common.fold(str(r["doc_id"]), 5) == 0]
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 2) for r in held]) > 0.9
+    none = quality_classifier.train(table, labels.limit(0))
+    assert {r["score"] for r in quality_classifier.score(table, none).collect()} == {0.5}
+    assert quality_classifier.score(empty, none).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a small folder of tables: each stage by its plain definition."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    words = [f"{a}{b}" for a in ("the", "run", "of", "stone", "walk") for b in "abcdefghij"]
+    sentence = lambda n: " ".join(rnd.choice(words) for _ in range(n)) + "."
+    junk = lambda: " ".join("$$$ ###" for _ in range(12))
+    passage = sentence(60)
+    rows = [(i, "\n".join(sentence(14) for _ in range(6))) for i in range(40)]
+    rows += [(100 + i, f"{sentence(70)}\n{passage}\n{sentence(70)}") for i in range(4)]
+    rows += [(200, rows[3][1]), (201, rows[5][1] + " more"), (300, sentence(80) + " " + rows[7][1][:0]), (400, None), (401, "")]
+    rows += [(500 + i, "\n".join([sentence(6), *(junk() for _ in range(8))])) for i in range(40)]
+    item = " ".join(rows[-43][1].split()[10:30])  # of document 300
+    tables = {
+        "documents": spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(500 + i, 0, 0) for i in range(40)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, item), (None, "no such thing")], "item_id long, text string"),
+    }
+    for name, t in tables.items():
+        t.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    texts = {i: t or "" for i, t in rows}
+    texts = {i: t for i, t in texts.items() if len(t.split()) >= 50 and i < 500}
+    for i in (200, 201):  # copies of smaller ids
+        del texts[i]
+    seen, cut = set(), {}
+    for i, t in sorted(texts.items()):
+        data, hit = t.encode(), np.zeros(len(t.encode()), bool)
+        for p in range(len(data) - 99):
+            if data[p : p + 100] in seen:
+                hit[p : p + 100] = True
+            seen.add(data[p : p + 100])
+        cut[i] = np.frombuffer(data, np.uint8)[~hit].tobytes().decode()
+    assert cut[101] != texts[101] and 300 in cut
+    del cut[300]  # holds a phrase of the benchmark
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+    assert got == {i: model.encode(t) for i, t in cut.items()}

@@ -30,6 +30,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -322,11 +323,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
+def _set_digest(text):
+    """Column with the digest of a text's shingle set, null for an empty one."""
+
+    def digests(texts: pd.Series) -> pd.Series:
+        cache = _Hashes()
+        sets = (shingles(None if t is None else t.encode("utf-8", "surrogatepass"), cache) for t in texts)
+        return pd.Series([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets])
+
+    return F.pandas_udf(digests, "binary")(text)
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each group, with all their columns; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    stay = docs.join(gone, id_col, "left_anti")
-    return stay.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents that stay, one of each group, with all their columns; rows with a null id stay.
+
+    Of rows with one id that stays, the one that speaks for it is kept; of equal ones any.
+    """
+    groups = near_duplicates(docs, id_col, text_col)
+    gone = groups.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    stay = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = groups.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
+    if again.isEmpty():
+        return stay
+    again = materialize(again, "again")
+    several = stay.join(again, id_col, "left_semi").withColumn("__d", _set_digest(F.col(text_col)))
+    order = Window.partitionBy(id_col).orderBy(F.col("__d").asc_nulls_last(), F.col(text_col).asc_nulls_last())
+    one = several.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    return stay.join(again, id_col, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
