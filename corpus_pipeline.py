@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trajrisk.llm import decontamination, near_dedup, pieces, quality_rules, substring_dedup
-from trajrisk.llm.common import materialize, table
+from trajrisk.llm.common import discard, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +26,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a phrase of the benchmark."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where(F.size("items") > 0).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.drop_hit(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +37,15 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("tokens", tokens),
 ]
-#: SQL has no Viterbi labelling, suffix sorting or BPE; tests/llm compares the stages with brute force.
+#: SQL has no Viterbi labelling, suffix sorting or BPE; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        stored = materialize(stage(spark, docs, sf_dir), name)
+        if docs is not before:  # the stored table of the stage before
+            discard(docs)
+        docs = stored
     return STAGES[-1][1](spark, docs, sf_dir)
