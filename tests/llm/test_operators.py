@@ -294,7 +294,7 @@ def test_quality_base_columns_as_sql(spark, docs):
       g AS (SELECT n, s, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] AS g FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS s FROM w)),
       r AS (SELECT n, count(DISTINCT q) AS k FROM (SELECT n, unnest([s, s + 1, s + 2]) AS q FROM g WHERE (n, g) IN (SELECT n, g FROM g GROUP BY ALL HAVING count(*) > 1)) GROUP BY n),
       l AS (SELECT n, count(*) - count(DISTINCT x) AS k FROM (SELECT n, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY n)
-    SELECT doc_id, len(w), coalesce(list_sum(list_transform(w, x -> length(x))), 0), length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')),
+    SELECT doc_id, len(w), coalesce(list_sum(list_transform(w, lambda x: length(x))), 0), length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')),
       coalesce(l.k, 0), coalesce(r.k, 0), len(w) < 50 OR 100 * coalesce(r.k, 0) > 50 * len(w) FROM w LEFT JOIN l USING (n) LEFT JOIN r USING (n)"""
     want = sorted((str(None if pd.isna(x[0]) else int(x[0])), *map(int, x[1:])) for x in duckdb.sql(sql).fetchall())
     frame = spark.createDataFrame(rows, "doc_id long, text string")

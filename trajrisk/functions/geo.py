@@ -58,16 +58,65 @@ def add_utm50n(df: DataFrame, lon: Column, lat: Column, x: str, y: str) -> DataF
     return df.select(*kept, (EASTING + SCALE * radius * east).alias(x), (SCALE * radius * north).alias(y))
 
 
-def utm_sql(lon: str, lat: str) -> tuple[str, str]:
-    """The same projection as SQL text, for oracles."""
-    radius, alpha = _series()
-    e = (FLATTENING * (2 - FLATTENING)) ** 0.5
-    s, d = f"sin(radians({lat}))", f"radians({lon} - {MERIDIAN})"
-    t = f"sinh(atanh({s}) - {e!r} * atanh({e!r} * {s}))"
-    xi, eta = f"atan2({t}, cos({d}))", f"atanh(sin({d}) / sqrt(1 + {t} * {t}))"
-    x = " + ".join([eta, *(f"{a!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(alpha, 1))])
-    y = " + ".join([xi, *(f"{a!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(alpha, 1))])
-    return f"({EASTING} + {SCALE * radius!r} * ({x}))", f"({SCALE * radius!r} * ({y}))"
+def _inverse_series() -> list[float]:
+    n = FLATTENING / (2 - FLATTENING)
+    return [
+        n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3 - 1 / 360 * n**4, n**2 / 48 + n**3 / 15 - 437 / 1440 * n**4,
+        17 / 480 * n**3 - 37 / 840 * n**4, 4397 / 161280 * n**4,
+    ]
+
+
+def add_wgs84(df: DataFrame, x: Column, y: Column, lon: str, lat: str) -> DataFrame:
+    """``df`` with degrees ``lon`` and ``lat`` of UTM 50N metres; the inverse of ``add_utm50n``."""
+    radius, _ = _series()
+    kept = [c for c in df.columns if c not in (lon, lat)]
+    df = df.select(*kept, (y / (SCALE * radius)).alias("_xi"), ((x - EASTING) / (SCALE * radius)).alias("_eta"))
+    xi, eta = F.col("_xi"), F.col("_eta")
+    north, east = xi, eta
+    for j, b in enumerate(_inverse_series(), 1):
+        north = north - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    df = df.select(*kept, north.alias("_n"), east.alias("_e"))
+    df = df.withColumns({"_t0": F.sin("_n") / F.sqrt(F.pow(F.sinh("_e"), 2) + F.pow(F.cos("_n"), 2)), "_lam": F.atan2(F.sinh("_e"), F.cos("_n"))})
+    df = df.withColumn("_t", F.col("_t0"))
+    e2 = FLATTENING * (2 - FLATTENING)
+    for k in range(3):  # tangent of the latitude from that of the conformal latitude: Newton steps
+        t, root = F.col("_t"), F.sqrt(1 + F.col("_t") * F.col("_t"))
+        df = df.withColumn("_s", F.sinh(e2**0.5 * F.atanh(e2**0.5 * t / root)))
+        tau = t * F.sqrt(1 + F.col("_s") * F.col("_s")) - F.col("_s") * root
+        step = (F.col("_t0") - tau) / F.sqrt(1 + tau * tau) * (1 + (1 - e2) * t * t) / ((1 - e2) * root)
+        df = df.withColumn("_t", t + step)
+    return df.select(*kept, (MERIDIAN + F.degrees("_lam")).alias(lon), F.degrees(F.atan("_t")).alias(lat))
+
+
+def reverse_bearing(bearing: Column) -> Column:
+    return F.pmod(bearing + 180, F.lit(360.0))
+
+
+def mercator_mid_lat(lat0: Column, lat1: Column) -> Column:
+    """Latitude in the middle of two others in the web Mercator plane: the centroid of a degree box there and back."""
+    y = lambda lat: F.ln(F.tan(F.radians(lat) / 2 + F.lit(0.7853981633974483)))
+    return F.degrees(2 * F.atan(F.exp((y(lat0) + y(lat1)) / 2)) - F.lit(1.5707963267948966))
+
+
+def obs_log_score(d: Column, beta: Column) -> Column:
+    """Logarithm of the observation score of a distance, not under that of 1e-12."""
+    return F.greatest(-0.5 * F.pow(d / beta, 2), F.lit(-27.631021115928547))
+
+
+def transition_score(path: Column, straight: Column, obs: Column, seg: Column) -> Column:
+    """0.17 for the detour of the path (none without one), 0.83 for the turn from the observed heading."""
+    detour = F.coalesce(F.exp(-F.greatest(path - straight, F.lit(0.0)) / 10), F.lit(0.0))
+    turn = F.coalesce(0.5 * (1 + F.cos(F.radians(angdiff(obs, seg)))), F.lit(0.5))
+    return 0.17 * detour + 0.83 * turn
+
+
+def travel_dir(obs: Column, seg: Column) -> Column:
+    return F.when(obs.isNull() | seg.isNull(), F.lit(None)).when(F.cos(F.radians(angdiff(obs, seg))) >= 0, "forward").otherwise("backward")
+
+
+def cell_of(v: Column, origin: Column, size: float) -> Column:
+    return F.floor((v - origin) / size)
 
 
 def risk_level(z: Column) -> Column:

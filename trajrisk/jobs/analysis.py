@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import behavior, governance, grid, ingest, matching, overspeed_v1, scoring, spatial
+from ..operators import advice, behavior, governance, grid, ingest, matching, overspeed_v1, roads, scoring, spatial
 from ..params import DEFAULTS, Params
 from ..sources.tables import stored
-from ..sources.walk import raw_points, road_lattice
+from ..sources.walk import raw_points, road_lines
 
 
 class Analysis:
@@ -23,49 +23,126 @@ class Analysis:
             self.tables[name] = stored(build(), name)
         return self.tables[name]
 
+    def raw(self) -> DataFrame:
+        return self.once("raw", lambda: raw_points(self.spark, self.dir))
+
     def tagged(self) -> DataFrame:
-        return ingest.tag_invalid(ingest.coerce_types(ingest.resolve_columns(raw_points(self.spark, self.dir), ("event_id",))), self.p)
+        return ingest.tag_invalid(ingest.coerce_types(ingest.resolve_columns(self.raw(), ("event_id",))), self.p)
+
+    def chains(self) -> DataFrame:
+        """Points with kinematics and bearings: one exchange by vehicle, and windows inside it."""
+        points = ingest.segment_trajectories(ingest.split_valid(self.tagged()), p=self.p)
+        return matching.obs_bearings(matching.with_metres(ingest.point_kinematics(points, self.p)))
 
     def points(self) -> DataFrame:
-        chains = ingest.segment_trajectories(ingest.split_valid(self.tagged()), p=self.p)
-        return self.once("points", lambda: ingest.point_kinematics(chains, self.p))
+        return self.once("points", self.chains)
+
+    def road_lines(self) -> DataFrame:
+        return road_lines(self.spark, self.raw())
 
     def edges(self) -> DataFrame:
-        return self.once("edges", lambda: matching.road_edges(road_lattice(self.spark)))
+        return self.once("edges", lambda: roads.road_edges(self.road_lines()))
+
+    def candidates(self) -> DataFrame:
+        return self.once("candidates", lambda: matching.match_candidates(self.points(), self.edges(), self.p))
 
     def matched(self) -> DataFrame:
-        points = matching.with_metres(self.points())
-        return self.once("matched", lambda: matching.nearest_match(points, matching.match_candidates(points, self.edges(), p=self.p)))
+        points = self.candidates()
+        return self.once("matched", lambda: matching.attach_projection(points, matching.viterbi_match(points, self.edges(), p=self.p)))
+
+    def thresholds(self) -> DataFrame:
+        return self.once("thresholds", lambda: behavior.accel_thresholds(self.points(), self.p))
 
     def events(self) -> DataFrame:
         points = self.points()
-        rapid = behavior.rapid_events(points, behavior.accel_thresholds(points, self.p), self.p)
-        return behavior.union_events(behavior.overspeed_events(points, self.p), rapid, matching.reverse_events(self.matched(), self.p))
+        parts = (
+            behavior.overspeed_events(points, self.p), behavior.rapid_events(points, self.thresholds(), self.p), matching.reverse_events(self.matched(), self.p),
+        )
+        return self.once("events", lambda: behavior.union_events(*parts))
+
+    def origin(self) -> DataFrame:
+        return self.once("origin", lambda: grid.grid_origin(self.matched(), self.p))
+
+    def clipped(self) -> DataFrame:
+        return self.once("clipped", lambda: grid.clip_links_to_cells(grid.exposure_links(self.matched(), self.p), self.origin(), self.p))
 
     def grid(self) -> DataFrame:
-        clipped = grid.clip_links_to_cells(grid.exposure_links(self.matched(), self.p), self.p)
-        return self.once("grid", lambda: grid.grid_metrics(clipped, grid.event_cells(self.events(), self.p), self.p))
+        events = grid.event_cells(self.events(), self.origin(), self.p)
+        return self.once("grid", lambda: grid.cell_box_wgs84(grid.grid_metrics(self.clipped(), events, self.p), self.origin(), self.p))
+
+    def weights(self) -> DataFrame:
+        return scoring.entropy_weights(scoring.gate_rapid(self.grid(), self.thresholds(), self.p))
 
     def scores(self) -> DataFrame:
-        cells = self.grid()
-        return scoring.risk_scores(cells, scoring.entropy_weights(cells))
+        return self.once("scores", lambda: scoring.risk_scores(self.grid(), self.thresholds(), self.p))
+
+    def layers(self) -> tuple[DataFrame, DataFrame]:
+        if "spots" not in self.tables:
+            self.tables["spots"], self.tables["facts"] = spatial.hotspot_layers(self.scores(), self.p)
+        return self.tables["spots"], self.tables["facts"]
 
-    def cells(self) -> DataFrame:
-        """Valid cells with the overspeed rate as ``value``."""
-        return scoring.valid_grids(self.grid()).select("grid_id", "col", "row", F.col("overspeed_rate").alias("value"))
+    def cells(self, value: str = "overspeed_rate") -> DataFrame:
+        """Valid cells with a rate as ``value``, and their centres in metres ``x, y`` from the grid's origin."""
+        size = self.p.cell_m
+        rows = scoring.valid_grids(self.scores(), value)
+        return rows.select(
+            "grid_id", "col", "row", F.col(value).alias("value"), ((F.col("col") + 0.5) * size).alias("x"), ((F.col("row") + 0.5) * size).alias("y")
+        )
+
+    def neighbours(self) -> DataFrame:
+        return self.once("neighbours", lambda: spatial.knn_neighbors(self.cells(), self.p))
+
+    def advised(self) -> DataFrame:
+        context = advice.advice_context(self.scores(), self.layers()[0], self.events(), self.p)
+        return self.once("advised", lambda: advice.advice_rules(context, advice.enabled_rules(advice.default_rules(self.spark))))
 
     def v1_points(self) -> DataFrame:
-        raw = raw_points(self.spark, self.dir).select(
+        raw = self.raw().select(
             F.col("event_id").alias("order_id"), F.col("ts").alias("event_time"), (F.col("lon_u") / 1e6).alias("lon"), (F.col("lat_u") / 1e6).alias("lat"),
-            (F.col("Speed") * 3.6).alias("speed_kmh"), "event_type", "user_id",
+            (F.col("Speed") * 3.6).alias("speed_kmh"), "event_type", "user_id", F.col("event_id").alias("source_row"),
         )
         return overspeed_v1.overspeed_flag(raw, self.p)
 
+    def v1_cells(self) -> DataFrame:
+        return self.once("v1_cells", lambda: overspeed_v1.v1_grid(self.v1_points(), self.p))
+
+    def v1_values(self) -> DataFrame:
+        return self.v1_cells().select(
+            "grid_id", F.col("gx").alias("col"), F.col("gy").alias("row"), F.col("overspeed_count").cast("double").alias("value"), F.col("center_lon").alias("x"),
+            F.col("center_lat").alias("y"),
+        )
+
+    def v1_hotspots(self) -> DataFrame:
+        """Cells with a score; the fallback where no cell has one."""
+        cells = self.v1_values()
+        gi = spatial.getis_ord_gi_star(cells, spatial.knn_neighbors(cells, self.p)).where("risk_level <> 'insignificant'")
+        gi = self.v1_cells().join(gi, "grid_id")
+        rows = overspeed_v1.v1_hotspot_fallback(self.v1_cells(), self.p) if gi.isEmpty() else gi
+        return self.once("v1_hotspots", lambda: overspeed_v1.hotspot_ids(rows))
+
+    def trend(self) -> DataFrame:
+        series = overspeed_v1.hourly_series(self.v1_points()).withColumn("key", F.lit("all"))
+        return self.once("trend", lambda: overspeed_v1.mann_kendall(series))
+
+    def v1_moran(self) -> DataFrame:
+        cells = self.v1_values()
+        return spatial.global_moran(cells, spatial.knn_neighbors(cells, self.p))
+
+    def log(self) -> DataFrame:
+        return self.v1_points().select(
+            F.col("event_type").alias("operation_type"), F.col("user_id").cast("string").alias("user"), F.col("event_time").alias("timestamp")
+        )
+
     def feedback(self) -> DataFrame:
-        """Checks on site, one for every 97th event, in the cell of the event."""
+        """Checks on site, one for every event, in its degree cell; the conclusion and the day are those of the event."""
         c = self.p.v1_cell_deg
-        name = F.element_at(F.array(F.lit(governance.HOLDS), F.lit(governance.PARTLY), F.lit(governance.FAILS)), (F.col("event_id") % 3 + 1).cast("int"))
-        return raw_points(self.spark, self.dir).where("event_id % 97 = 0").select(
+        kind = F.col("event_type")
+        name = F.when(kind == "error", governance.FAILS).when(kind == "signup", governance.PARTLY).otherwise(governance.HOLDS)
+        return self.raw().select(
             F.col("event_id").alias("feedback_id"), F.concat(F.lit("G"), F.floor(F.col("lon_u") / 1e6 / c), F.lit("_"), F.floor(F.col("lat_u") / 1e6 / c)).alias("grid_id"),
-            F.date_add(F.lit("2024-01-10").cast("date"), (F.col("event_id") % 9).cast("int")).alias("handled_at"), name.alias("conclusion"),
+            F.to_date("ts").alias("handled_at"), name.alias("conclusion"), F.col("ts").alias("created_at"), F.concat(F.lit("about "), kind).alias("content"),
+            F.col("lon_u").alias("lon"), F.col("lat_u").alias("lat"),
         )
+
+    def v1_overspeeds(self) -> DataFrame:
+        return self.v1_points().where("is_overspeed = 1").select("order_id", "lon", "lat", F.to_date("event_time").alias("day"))

@@ -1,277 +1,501 @@
-"""Queries over the given tables, and the same results as SQL."""
+"""Queries over the given tables; ``oracle.py`` has the same results as SQL."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import utm_sql
-from ..operators import behavior, governance, grid, ingest, matching, overspeed_v1, scoring, spatial
-from ..operators.matching import LEVELS
-from ..sources.walk import LATTICE_SQL, RAW_SQL
+from ..functions.labels import control_suggestions, interpret_analysis, recommendation_rules, recommendation_template
+from ..operators import advice, behavior, governance, grid, ingest, matching, overspeed_v1, roads, scoring, spatial
+from ..sources import files
+from ..sources.tables import new_folder, stored
+from ..streaming import run as streaming_run
+from ..streaming import streams
 from .analysis import Analysis
 
+STAMP, VERSION, PERIOD = "20240605", "AV-1", "2024-06-05"
 
-def _rounded(df, digits: int, *columns: str):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
 
+def _half_even(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.bround(c, digits) for c in columns})
 
-def _points(a):
-    return _rounded(a.points(), 4, "dist_m", "calc_speed_mps", "speed_kmh").select(
+
+def _points(a: Analysis) -> DataFrame:
+    return _half_even(a.points(), 4, "dist_m", "calc_speed_mps", "speed_kmh").select(
         "event_id", "segment_id", "point_order", "dt_s", "dist_m", "calc_speed_mps", "speed_kmh", "quality_flag"
     )
 
 
-def _events(df):
-    return _rounded(df, 3, "value_main").select("event_type", "segment_id", "start_time", "end_time", "duration_s", "value_main", "lon", "lat")
+def _events(df: DataFrame) -> DataFrame:
+    return df.select("event_type", "segment_id", "start_time", "end_time", "duration_s", "value_main", "lon", "lat")
+
+
+def _edges(a: Analysis) -> DataFrame:
+    return _half_even(a.edges(), 1, "length_m", "forward_bearing", "reverse_bearing").select(
+        "edge_id", "fclass", "road_level", "matchable", "oneway", "k", F.size("geometry").alias("n_points"), "length_m", "forward_bearing", "reverse_bearing"
+    )
+
+
+def _parts(a: Analysis) -> DataFrame:
+    rows = roads.edge_parts(a.edges())
+    return _half_even(rows, 1, "along0", "bearing").select("edge_id", "part", "along0", "bearing")
+
+
+def _clipped_roads(a: Analysis) -> DataFrame:
+    return roads.clip_edges_bbox(a.road_lines(), a.p).groupBy("fclass").agg(F.count("*").alias("n"))
+
+
+def _paths(a: Analysis) -> DataFrame:
+    sources = matching.transition_pairs(a.candidates()).select(F.explode(F.array("a.u", "a.v")).alias("n1")).distinct()
+    paths = matching.bounded_shortest_paths(a.edges(), sources, a.p)
+    return paths.agg(F.count("*").alias("n_paths"), F.count_distinct("n1").alias("n_sources"), F.bround(F.max("path_m"), 1).alias("longest_m"), F.bround(F.avg("path_m"), 2).alias("mean_m"))
+
+
+def _ways(a: Analysis) -> DataFrame:
+    pairs = matching.transition_pairs(a.candidates())
+    sources = pairs.select(F.explode(F.array("a.u", "a.v")).alias("n1")).distinct()
+    ways = matching.candidate_path_length(pairs, matching.bounded_shortest_paths(a.edges(), sources, a.p))
+    return ways.groupBy("vehicle_id").agg(
+        F.count("*").alias("n_pairs"), F.count("path_m").alias("n_paths"), F.bround(F.avg("path_m"), 2).alias("mean_path_m"), F.bround(F.avg("straight_m"), 2).alias("mean_straight_m")
+    )
+
+
+def _matched(a: Analysis) -> DataFrame:
+    rows = a.matched().where("matched = 1")
+    return rows.select("event_id", "edge_id", F.bround("proj_dist_m", 2).alias("proj_dist_m"), "travel_dir", F.bround("proj_lon", 5).alias("proj_lon"), F.bround("proj_lat", 5).alias("proj_lat"))
+
+
+def _reverse_ratio(a: Analysis) -> DataFrame:
+    return matching.reverse_ratio(a.matched(), a.p).where("n_judged > 0").select("segment_id", "n_judged", "n_reverse", F.bround("ratio", 4).alias("ratio"))
+
+
+def _details(a: Analysis) -> DataFrame:
+    return a.events().groupBy("event_type").agg(
+        F.count(F.from_json("detail", "map<string,string>")).alias("n"), F.max(F.get_json_object("detail", "$.n_points").cast("long")).alias("most_points"),
+        F.max(F.get_json_object("detail", "$.n_judged").cast("long")).alias("most_judged"), F.bround(F.max(F.get_json_object("detail", "$.from_kmh").cast("double")), 1).alias("most_from_kmh"),
+    )
+
 
+def _exposure(a: Analysis) -> DataFrame:
+    return grid.grid_exposure(a.clipped()).where("exposure_m > 0.01").select("col", "row", F.bround("exposure_m", 1).alias("exposure_m"))
 
-def _rapid(a):
-    p = a.points()
-    return _events(behavior.rapid_events(p, behavior.accel_thresholds(p)))
 
+def _distincts(a: Analysis) -> DataFrame:
+    return grid.grid_distincts(a.clipped().where("part_m > 0.01"), grid.event_cells(a.events(), a.origin(), a.p)).na.fill(0)
 
-def _candidates(a):
-    return _rounded(matching.match_candidates(matching.with_metres(a.points()), a.edges()), 3, "proj_dist_m").select("event_id", "osm_id", "proj_dist_m", "rank")
 
+def _metrics(a: Analysis) -> DataFrame:
+    rows = a.grid().where("exposure_km > 0 OR total_events > 0")
+    return rows.select("grid_id", F.bround("exposure_km", 2).alias("exposure_km"), "overspeed_count", "reverse_count", "rapid_count", "total_events", "quality_flag", "overspeed_rate", "reverse_rate", "rapid_rate")
 
-def _exposure(a):
-    out = grid.grid_exposure(grid.clip_links_to_cells(grid.exposure_links(a.matched())))
-    return out.where("exposure_m > 0.001").select("col", "row", F.round("exposure_m", 2).alias("exposure_m"))
 
+def _gated(a: Analysis) -> DataFrame:
+    return scoring.gate_rapid(a.grid(), a.thresholds(), a.p)
 
-def _metrics(a):
-    return _rounded(a.grid(), 3, "exposure_km").select(
-        "grid_id", "exposure_km", "overspeed_count", "reverse_count", "rapid_count", "quality_flag"
-    ).where("exposure_km > 0 OR overspeed_count + reverse_count + rapid_count > 0")
 
+def _z(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, F.bround("gi_z", 3).alias("gi_z"), "risk_level")
 
-def _log(a):
-    return a.v1_points().select(F.col("event_type").alias("operation_type"), F.col("user_id").cast("string").alias("user"), F.col("event_time").alias("timestamp"))
 
+def _lisa(a: Analysis) -> DataFrame:
+    rows = spatial.local_moran(a.cells(), a.neighbours())
+    return rows.select("grid_id", F.bround("local_i", 3).alias("local_i"), "quadrant", "label")
 
-def _gi(a):
-    cells = a.cells()
-    return spatial.getis_ord_gi_star(cells, spatial.knn_neighbors(cells))
 
+def _permuted(a: Analysis) -> DataFrame:
+    return spatial.lisa_permutations(spatial.local_moran(a.cells(), a.neighbours()), a.p)
 
-def _moran(a):
-    cells = a.cells()
-    return spatial.global_moran(cells, spatial.knn_neighbors(cells))
 
+def _v1_grid(a: Analysis) -> DataFrame:
+    return a.v1_cells().select(
+        "grid_id", "overspeed_count", "trajectory_count", F.bround("mean_speed", 4).alias("mean_speed"), "time_min", "time_max", "time_slice",
+        F.bround("center_lon", 6).alias("center_lon"), F.bround("center_lat", 6).alias("center_lat"),
+    )
 
-def _lisa(a):
-    cells = a.cells()
-    return spatial.local_moran(cells, spatial.knn_neighbors(cells))
 
+def _normalized(a: Analysis) -> DataFrame:
+    raw = a.raw().select(F.col("POSITIONTIME").alias("Time"), F.col("X_position").alias("x"), F.col("Y_position").alias("y"), F.col("Speed").cast("string").alias("Speed"), F.col("event_id").cast("string").alias("ID"))
+    return ingest.normalize_points_v1(raw, "B-1", "events", a.p)
 
-def _rates(a):
-    c = a.p.v1_cell_deg
-    events = a.v1_points().where("is_overspeed = 1").select(
-        F.concat(F.lit("G"), F.floor(F.col("lon") / c), F.lit("_"), F.floor(F.col("lat") / c)).alias("grid_id"), F.to_date("event_time").alias("day")
+
+def _dedup(a: Analysis) -> DataFrame:
+    """Points of one place and hour are one; the earlier row wins, and rows of the first half of the month win over later ones."""
+    rows = a.v1_points().select(F.col("user_id").alias("order_id"), F.date_trunc("hour", "event_time").cast("timestamp_ntz").alias("event_time"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), "source_row", "speed_kmh")
+    half = F.lit("2024-01-16").cast("timestamp_ntz")
+    # Existing rows come from the later half in the order of rows, so that "existing first" is not the order of time.
+    return overspeed_v1.append_points_dedup(rows.where(F.col("event_time") >= half), rows.where(F.col("event_time") < half).unionByName(rows.withColumn("source_row", -F.col("source_row")))).select(
+        "order_id", "event_time", "source_row", F.bround("speed_kmh", 3).alias("speed_kmh")
     )
-    return governance.event_rate_change(a.feedback(), events)
 
 
-STEPS = {
+def _alerts(a: Analysis) -> DataFrame:
+    return overspeed_v1.generate_alerts(a.v1_hotspots(), a.trend(), STAMP)
+
+
+def _series(a: Analysis) -> DataFrame:
+    """Hourly series of every kind of event."""
+    hours = a.v1_points().groupBy(F.col("event_type").alias("key"), F.date_trunc("hour", "event_time").cast("timestamp_ntz").alias("bucket_ts"))
+    return hours.agg(F.sum("is_overspeed").alias("value"))
+
+
+def _boxes(a: Analysis) -> DataFrame:
+    near = governance.events_in_grid_box(a.v1_overspeeds(), a.v1_cells(), a.p)
+    return near.groupBy("grid_id").agg(F.count("*").alias("n"), F.count_distinct("day").alias("n_days"))
+
+
+def _rates(a: Analysis) -> DataFrame:
+    return governance.event_rate_change(a.feedback(), governance.events_in_grid_box(a.v1_overspeeds(), a.v1_cells(), a.p))
+
+
+def _feedback_text(a: Analysis) -> DataFrame:
+    """The ledger as texts and lists."""
+    return a.feedback().select(
+        F.col("feedback_id").cast("string").alias("feedback_id"), F.lit(VERSION).alias("analysis_version"), "grid_id", F.col("handled_at").cast("string").alias("handled_at"), "conclusion",
+        F.array("content", F.lit("seen")).alias("scene_issues"), F.array().cast("array<string>").alias("measures"), F.lit("unit").alias("responsible_unit"),
+        F.lit(governance.REPORTER).alias("reporter"), F.lit("").alias("note"), F.array(F.lit("p.jpg")).alias("photos"), F.col("created_at").cast("string").alias("created_at"),
+    )
+
+
+def _forms(a: Analysis) -> DataFrame:
+    """Forms of which some are bad, by the columns of their event."""
+    kind = F.col("operation_type")
+    forms = a.log().select(
+        F.concat_ws("-", "user", "timestamp").alias("feedback_id"), F.when(kind == "click", "maybe").otherwise(F.concat(F.lit(" "), F.lit(governance.HOLDS))).alias("conclusion"),
+        F.when(kind == "view", "5 June").when(kind == "error", "2024-02-31").otherwise(F.date_format("timestamp", "yyyy-MM-dd")).alias("handled_at"),
+        F.concat(F.lit(" a\n\n b"), kind).alias("scene_issues"), F.lit(None).cast("string").alias("measures"), F.lit(None).cast("string").alias("responsible_unit"),
+        F.lit(" ").alias("reporter"), F.lit(None).cast("string").alias("note"),
+        F.when(kind == "signup", F.array_repeat(F.lit("p.jpg"), 4)).otherwise(F.array(F.lit("p.jpg"))).alias("photos"),
+    )
+    rows = governance.validate_feedback(forms)
+    return rows.groupBy(F.concat_ws(",", "problems").alias("problems"), F.concat_ws("|", "scene_issues").alias("issues"), "reporter").agg(F.count("*").alias("n"))
+
+
+def _logs(a: Analysis) -> DataFrame:
+    return governance.filter_operation_log(a.log(), "2024-01-05", "2024-01-20", ("purchase", "view"))
+
+
+def _payloads(a: Analysis) -> DataFrame:
+    layers = advice.default_risk_layer(a.scores(), a.layers()[0])
+    rows = advice.advice_payload(a.advised(), layers, PERIOD, VERSION).select("payload.*")
+    return rows.select(
+        "grid_id", "risk_level", "selection_type", "composite_risk_index", F.col("indicators.overspeed.index").alias("overspeed_index"),
+        F.col("indicators.suspected_reverse.events").alias("reverse_events"), F.bround("indicators.rapid_speed_change.rate_per_100km", 0).alias("rapid_rate"),
+        F.bround("exposure.distance_km", 1).alias("distance_km"), F.col("exposure.trajectory_segments").alias("segments"), F.col("location_hint.lon").alias("lon"), F.col("location_hint.lat").alias("lat"),
+    )
+
+
+def _fallback(a: Analysis) -> DataFrame:
+    return advice.fallback_advice_text(a.advised(), PERIOD)
+
+
+def _fallback_rows(a: Analysis) -> DataFrame:
+    return _fallback(a).select(
+        "grid_id", "risk_summary", "field_action", F.size("road_env").alias("n_road_env"), F.size("enterprise").alias("n_enterprise"), F.size("education").alias("n_education"),
+        F.concat_ws(",", "basis_ids").alias("basis_ids"),
+    )
+
+
+def _advice_json(a: Analysis) -> DataFrame:
+    """Advice as JSON documents, with a part left out where a cell has no good quality."""
+    rows = _fallback(a).join(a.scores().select("grid_id", "quality_flag"), "grid_id")
+    entry = lambda c: F.transform(c, lambda x: F.struct(x["trigger"].alias("trigger"), x["measure"].alias("measure"), F.lit("owner").alias("owner")))
+    action = F.struct(*(F.lit("x").alias(k) for k in ("when", "where", "deployment", "action")), F.when(F.col("quality_flag") == "valid", "x").alias("completion"))
+    text = F.to_json(F.struct("risk_summary", F.array(action).alias("field_actions"), entry("road_env").alias("road_env"), entry("enterprise").alias("enterprise"), F.when(F.col("quality_flag") == "valid", entry("education")).alias("education"), "basis_ids"))
+    return rows.withColumn("problems", F.concat_ws(",", advice.validate_advice_json(text))).select("grid_id", "problems")
+
+
+def _basis(a: Analysis) -> DataFrame:
+    basis = a.spark.createDataFrame([(b, f"clause {b}", "", "") for b in sorted({r[2] for r in advice.RULES} - {"BASIS-PATENT"})], "basis_id string, name string, content string, source string")
+    return advice.advice_basis(_fallback(a), basis).select("grid_id", "place", "basis_id", "name")
+
+
+def _detail(a: Analysis) -> DataFrame:
+    """Advice exists for valid cells."""
+    made = a.scores().where("quality_flag = 'valid'").select("grid_id", F.concat(F.lit("AD-"), "grid_id").alias("advice_id"))
+    return advice.grid_detail(a.scores(), made).select("grid_id", "quality_flag", "advice_id", "advice_available")
+
+
+def _cache_keys(a: Analysis) -> DataFrame:
+    layers = advice.default_risk_layer(a.scores(), a.layers()[0])
+    key = advice.advice_cache_key(F.lit(VERSION), F.col("grid_id"), F.col("layer"), F.lit("KB-1.0"), F.lit("rule_fallback"))
+    return layers.select("grid_id", key.alias("cache_key"))
+
+
+def _summary(a: Analysis) -> DataFrame:
+    rows = advice.analysis_summary(a.scores(), a.events(), a.weights(), a.layers()[1])
+    return rows.select("grid_count", "n_valid", "n_low_exposure", "n_insufficient_data", "cri_count", "cri_mean", "cri_max", "events", "layers")
+
+
+def _interpreted(a: Analysis) -> DataFrame:
+    one = overspeed_v1.dashboard_metrics(a.v1_cells(), a.v1_hotspots(), a.v1_moran(), a.trend())
+    told = one.select(interpret_analysis(F.col("hotspot_count"), F.col("moran_i"), F.col("trend")).alias("t")).select("t.*")
+    return told.select("hotspot_level", "moran_pattern", "trend_level", F.concat_ws(",", "instructions").alias("instructions"), F.concat_ws(",", "recommendations").alias("recommendations"))
+
+
+def _recommended(a: Analysis) -> DataFrame:
+    rows = a.v1_hotspots()
+    rules = recommendation_rules(F.col("risk_level"), F.col("time_slice"), F.col("mean_speed"), F.lit(0.7))
+    return rows.select(
+        "grid_id", recommendation_template(F.col("risk_level"), F.col("gi_z")).alias("template"), F.concat_ws(",", rules).alias("rules"),
+        F.size(control_suggestions(F.lit("blue"))).alias("n_suggestions"),
+    )
+
+
+# Writing and reading back.
+
+
+def _csv(a: Analysis) -> DataFrame:
+    """Raw points written as a file with another separator, read back and judged."""
+    path = new_folder(a.spark, "csv")
+    a.raw().select("event_id", "POSITIONTIME", "X_position", "Y_position", "BICYCLEID", "TID", "Speed").write.csv(path, header=True, sep="\t")
+    tagged = ingest.tag_invalid(ingest.coerce_types(ingest.resolve_columns(files.read_trajectory_csv(a.spark, path))), a.p)
+    return tagged.groupBy(F.coalesce("isolate_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _batches(a: Analysis) -> DataFrame:
+    """Points of each company as a batch of its own, and the rejected rows; the batch of company 3 read back."""
+    path = new_folder(a.spark, "batches")
+    for company in range(5):
+        files.write_batch(a.points().where(F.col("company_id") == str(company)), f"{path}/points", f"B-{company}")
+    files.write_isolated(ingest.split_isolated(a.tagged()), f"{path}/isolated", "B-0")
+    back = files.load_batch(a.spark, f"{path}/points", "B-3")
+    return back.groupBy("batch_id").agg(F.count("*").alias("n"), F.count_distinct("segment_id").alias("n_segments"), F.min("time").alias("time_min"), F.max("time").alias("time_max"))
+
+
+def _metas(a: Analysis) -> DataFrame:
+    """A batch, an analysis and a network for each user, made at the time of the user's last event; errors aren't finished."""
+    return a.v1_points().groupBy("user_id").agg(
+        F.concat(F.lit("B-"), F.col("user_id")).alias("batch_id"), F.max("event_time").alias("created_at"), F.concat(F.lit("AV-"), F.col("user_id")).alias("analysis_version"),
+        F.when(F.max_by("event_type", "event_time") == "error", "failed").otherwise("completed").alias("status"), F.max("event_time").alias("generated_at"),
+        F.concat(F.lit("RN-"), F.col("user_id")).alias("net_id"), F.min("event_time").alias("built_at"),
+    )
+
+
+def _latest(a: Analysis) -> DataFrame:
+    metas = stored(_metas(a), "metas")
+    return files.latest_batch(metas).crossJoin(files.latest_analysis(metas)).crossJoin(files.latest_network(metas))  # one row each
+
+
+def _road_files(a: Analysis) -> DataFrame:
+    """Roads as GeoJSON lines and edges by network, read back."""
+    path = new_folder(a.spark, "roads")
+    files.road_features(a.road_lines()).write.text(f"{path}/roads.json")
+    edges = roads.road_edges(files.read_road_edges(a.spark, f"{path}/roads.json"))
+    files.write_road_edges(edges, f"{path}/edges", "RN-1")
+    return a.spark.read.parquet(f"{path}/edges").where("net_id = 'RN-1'").groupBy("road_level").agg(F.count("*").alias("n"))
+
+
+def _stage_files(a: Analysis) -> DataFrame:
+    """Results of two analyses; the first is written anew and the second stays."""
+    path = new_folder(a.spark, "stages")
+    for version, rows in (("AV-1", a.grid()), ("AV-2", a.grid().where("quality_flag = 'valid'")), ("AV-1", a.grid().where("quality_flag <> 'valid'"))):
+        files.write_grid(rows, path, version)
+    files.write_events(a.events(), path, "AV-1")
+    files.write_matched(a.matched(), path, "AV-1")
+    return a.spark.read.parquet(f"{path}/grid").groupBy("analysis_version", "quality_flag").agg(F.count("*").alias("n"))
+
+
+def _geojson(a: Analysis) -> DataFrame:
+    rows = a.scores().where("quality_flag = 'valid'")
+    box = files.box_geometry(*(F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")))
+    found = files.to_geojson_features(rows, box, ["grid_id", "cri", "overspeed_count", "quality_flag"])
+    get = lambda p: F.get_json_object("value", p)
+    return found.select(
+        get("$.type").alias("type"), get("$.geometry.type").alias("geometry"), get("$.properties.grid_id").alias("grid_id"), get("$.properties.cri").cast("double").alias("cri"),
+        get("$.geometry.coordinates[0][0][0]").cast("double").alias("first_lon"), get("$.properties.overspeed_count").cast("long").alias("overspeed_count"),
+    )
+
+
+def _hotspot_csv(a: Analysis) -> DataFrame:
+    path = new_folder(a.spark, "hotspots")
+    files.export_hotspots_csv(a.layers()[0], a.scores(), "rapid", path)
+    back = a.spark.read.csv(path, header=True, inferSchema=True)
+    return back.select("grid_id", "risk_level", "selection_type", F.col("rapid_count").cast("long").alias("rapid_count"), F.col("lon").cast("double").alias("lon"))
+
+
+def _report(a: Analysis) -> DataFrame:
+    path = new_folder(a.spark, "report")
+    files.export_report(a.scores(), f"{path}/csv")
+    files.export_report(grid.grid_meta(a.grid()), f"{path}/json", "json")
+    cells = a.spark.read.csv(f"{path}/csv", header=True).agg(F.count("*").alias("n_rows"))
+    return cells.crossJoin(a.spark.read.json(f"{path}/json").select("n_grids", "n_valid", "total_events"))  # one row each
+
+
+def _ledger(a: Analysis) -> DataFrame:
+    """The ledger appended in two parts with broken lines between, read back and filtered."""
+    path = new_folder(a.spark, "ledger")
+    rows = _feedback_text(a)
+    files.append_feedback(rows.where("handled_at < '2024-01-15'"), path)
+    files.append_feedback(rows.where("handled_at >= '2024-01-15'"), path)
+    a.raw().groupBy("event_type").agg(F.count("*")).select(F.concat(F.lit('{"feedback_id": "x", '), "event_type").alias("value")).write.mode("append").text(path)
+    back = governance.filter_feedback(files.read_feedback_jsonl(a.spark, path), VERSION, None, governance.FAILS, "2024-01-10", "2024-01-20")
+    return back.groupBy("handled_at").agg(F.count("*").alias("n"), F.min("feedback_id").alias("first_id"))
+
+
+def _ledger_csv(a: Analysis) -> DataFrame:
+    path = new_folder(a.spark, "ledger_csv")
+    files.export_feedback_csv(_feedback_text(a), path)
+    back = a.spark.read.csv(path, header=True)
+    return back.groupBy(F.col("核查结论").alias("conclusion"), F.col("现场情况").alias("issues")).agg(F.count("*").alias("n"))
+
+
+def _alert_file(a: Analysis) -> DataFrame:
+    path = new_folder(a.spark, "alerts")
+    for _ in range(2):
+        files.append_alerts(_alerts(a), path)
+    return overspeed_v1.alert_statistics(a.spark.read.json(path))
+
+
+def _log_csv(a: Analysis) -> DataFrame:
+    path = new_folder(a.spark, "log")
+    files.export_operation_log_csv(governance.log_with_feedback(_logs(a), a.feedback()), path)
+    back = a.spark.read.csv(path, header=True)
+    return back.groupBy("operation_type").agg(F.count("*").alias("n"), F.count("feedback_id").alias("n_feedback"))
+
+
+# Streams over the stored points, run until the files are read.
+
+
+def _stream(a: Analysis) -> DataFrame:
+    points = stored(a.v1_points().withColumn("event_time", F.col("event_time").cast("timestamp")).select("order_id", "event_time", "lon", "lat", "speed_kmh", "is_overspeed", F.concat(F.lit("V"), "user_id").alias("vehicle_id")), "stream")
+    return a.spark.readStream.schema(points.schema).parquet(points.inputFiles()[0].rsplit("/", 1)[0])
+
+
+def _stream_hours(a: Analysis) -> DataFrame:
+    rows = streaming_run.available_now(streams.stream_hourly_overspeed(_stream(a)), "complete")
+    return rows.select(F.col("bucket_ts").cast("timestamp_ntz").alias("bucket_ts"), "value")
+
+
+def _stream_dedup(a: Analysis) -> DataFrame:
+    twice = _stream(a).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = streaming_run.available_now(streams.stream_point_dedup(twice, "31 days"), "append")
+    return rows.groupBy("vehicle_id").agg(F.count("*").alias("n"))
+
+
+def _stream_segments(a: Analysis) -> DataFrame:
+    rows = streaming_run.available_now(streams.stream_segments(_stream(a).withColumnRenamed("event_time", "time")), "complete")
+    return rows.select("vehicle_id", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("end_time").cast("timestamp_ntz").alias("end_time"), "n_points", F.bround("max_speed", 3).alias("max_speed"))
+
+
+STEPS: dict[str, Callable[[Analysis], DataFrame]] = {
     "isolated_rows": lambda a: ingest.split_isolated(a.tagged()).groupBy("isolate_reason").agg(F.count("*").alias("n")),
-    "isolated_ratio": lambda a: ingest.isolated_ratio(a.tagged()),
+    "isolated_ratio": lambda a: ingest.isolated_ratio(ingest.assert_isolated_ratio(a.tagged(), a.p)),
     "batch_meta": lambda a: ingest.batch_meta(a.tagged(), a.points()),
     "point_kinematics": _points,
     "speed_unit_check": lambda a: ingest.speed_unit_check(a.points()),
-    "overspeed_events": lambda a: _events(behavior.overspeed_events(a.points())),
-    "accel_thresholds": lambda a: behavior.accel_thresholds(a.points()),
-    "rapid_events": _rapid,
-    "network_summary": lambda a: matching.network_summary(a.edges()),
-    "match_candidates": _candidates,
-    "match_summary": lambda a: matching.match_summary(a.matched()),
+    "obs_bearings": lambda a: a.points().select("event_id", F.bround("obs_bearing", 2).alias("obs_bearing")),
+    "overspeed_events": lambda a: _events(behavior.overspeed_events(a.points(), a.p)),
+    "accel_thresholds": lambda a: behavior.accel_thresholds(a.points(), a.p),
+    "rapid_events": lambda a: _events(behavior.rapid_events(a.points(), a.thresholds(), a.p)),
+    "clip_edges_bbox": _clipped_roads,
+    "road_edges": _edges,
+    "edge_parts": _parts,
+    "network_summary": lambda a: roads.network_summary(a.edges()),
+    "match_candidates": lambda a: _half_even(matching.nearest_k_candidates(a.candidates()), 2, "proj_dist_m").select("event_id", "edge_id", "proj_dist_m", "rank"),
+    "chain_dt_mode": lambda a: matching.chain_dt_mode(a.points()),
+    "transition_pairs": lambda a: matching.transition_pairs(a.candidates()).groupBy("vehicle_id", "segment_seq").agg(F.count("*").alias("n_pairs")),
+    "bounded_shortest_paths": _paths,
+    "candidate_path_length": _ways,
+    "viterbi_match": _matched,
+    "match_summary": lambda a: matching.match_summary(a.matched(), matching.chain_dt_mode(a.points())),
     "match_offset_quantiles": lambda a: matching.match_offset_quantiles(a.matched()),
-    "reverse_events": lambda a: _events(matching.reverse_events(a.matched())),
+    "reverse_ratio": _reverse_ratio,
+    "reverse_events": lambda a: _events(matching.reverse_events(a.matched(), a.p)),
     "event_counts": lambda a: behavior.event_counts(a.events()),
-    "event_ids": lambda a: behavior.event_ids(behavior.overspeed_events(a.points())).select("event_id", "segment_id", "start_time"),
+    "event_ids": lambda a: behavior.event_ids(a.events()).where("event_type = 'overspeed'").select("event_id", "segment_id", "start_time"),
+    "event_detail_json": _details,
     "grid_exposure": _exposure,
+    "grid_distincts": _distincts,
     "grid_metrics": _metrics,
-    "entropy_weights": lambda a: _rounded(scoring.entropy_weights(a.grid()), 4, *(f"w_{c}" for c in scoring.RATES)),
-    "risk_scores": lambda a: a.scores(),
-    "knn_neighbors": lambda a: spatial.knn_neighbors(a.cells()),
-    "getis_ord_gi_star": _gi,
-    "global_moran": _moran,
+    "cell_box_wgs84": lambda a: a.grid().select("col", "row", "center_lon", "center_lat", "min_lon", "min_lat", "max_lon", "max_lat"),
+    "grid_meta": lambda a: _half_even(grid.grid_meta(a.grid()), 1, "total_exposure_km"),
+    "entropy_weights": lambda a: _half_even(a.weights(), 4, *(f"w_{c}" for c in scoring.RATES)),
+    "topsis": lambda a: scoring.topsis(_gated(a), a.weights()).select("grid_id", F.bround("closeness", 3).alias("closeness")),
+    "danger_indices": lambda a: scoring.danger_indices(_gated(a)),
+    "risk_scores": lambda a: a.scores().select("grid_id", "overspeed_index", "reverse_index", "rapid_index", "cri", "cri_available"),
+    "knn_neighbors": lambda a: a.neighbours(),
+    "radius_neighbors": lambda a: spatial.radius_neighbors(a.cells(), 600.0).groupBy("i").agg(F.count("*").alias("n")),
+    "getis_ord_gi_star": lambda a: _z(spatial.getis_ord_gi_star(a.cells(), a.neighbours()), "grid_id"),
+    "getis_ord_gi_star_ord": lambda a: _z(spatial.getis_ord_gi_star(a.cells(), a.neighbours(), "ord_getis"), "grid_id"),
+    "zscore_hotspots": lambda a: _z(spatial.zscore_hotspots(a.cells()), "grid_id"),
+    "hotspot_layers": lambda a: _half_even(a.layers()[0], 1, "layer_value").select("layer", "grid_id", "layer_value", F.bround("gi_z", 2).alias("gi_z"), "risk_level", "selection_type"),
+    "hotspot_facts": lambda a: a.layers()[1],
+    "top_risk_fallback": lambda a: _z(spatial.top_risk_fallback(a.cells(), a.p), "grid_id", "value"),
+    "global_moran": lambda a: spatial.global_moran(a.cells(), a.neighbours()),
+    "global_moran_radius": lambda a: spatial.global_moran_radius(a.cells(), 600.0),
     "local_moran": _lisa,
-    "top_risk_fallback": lambda a: spatial.top_risk_fallback(a.cells()),
-    "v1_grid": lambda a: overspeed_v1.v1_grid(a.v1_points()).select("grid_id", "overspeed_count", "trajectory_count", "mean_speed", "time_min", "time_max"),
+    "local_moran_radius": lambda a: _half_even(spatial.local_moran_radius(a.cells(), 600.0), 3, "local_i"),
+    "lisa_permutations": lambda a: _permuted(a).select("grid_id", "lisa_z", "lisa_p", "quadrant"),
+    "lisa_label_counts": lambda a: spatial.lisa_label_counts(_permuted(a), a.p),
+    "hotspot_hull": lambda a: spatial.hotspot_hull(a.v1_points().withColumn("risk_level", F.col("event_type"))).select("risk_level", F.size("hull").alias("n_corners")),
+    "analysis_summary": _summary,
+    "normalize_points_v1": lambda a: _half_even(_normalized(a), 4, "speed_kmh").select("order_id", "event_time", "lon", "lat", "speed_kmh", "is_overspeed", "gender", "age"),
+    "filter_time_range": lambda a: ingest.filter_time_range(a.v1_points(), "2024-01-05 06:00:00", "2024-01-07 18:30:00").groupBy("event_type").agg(F.count("*").alias("n")),
+    "filter_recent_days": lambda a: ingest.filter_recent_days(a.v1_points(), 7, "2024-01-29 00:00:00").groupBy("event_type").agg(F.count("*").alias("n")),
+    "append_points_dedup": _dedup,
+    "v1_grid": _v1_grid,
+    "v1_hotspot_fallback": lambda a: overspeed_v1.v1_hotspot_fallback(a.v1_cells(), a.p).select("grid_id", "overspeed_count", "gi_z", "risk_level"),
+    "v1_hotspots": lambda a: _z(a.v1_hotspots(), "area_id", "grid_id"),
+    "top_hotspots": lambda a: _z(overspeed_v1.top_hotspots(a.v1_hotspots(), 3), "area_id", "grid_id"),
+    "filter_hotspots": lambda a: overspeed_v1.filter_hotspots(a.v1_hotspots(), "all", "2024-01-01 00:00:00", "2024-01-01 12:00:00").select("area_id", "grid_id"),
+    "tag_evolution": lambda a: overspeed_v1.tag_evolution(a.v1_hotspots(), a.trend()).select("grid_id", "evolution_pattern", "pattern_color"),
+    "hotspot_export_rows": lambda a: overspeed_v1.hotspot_export_rows(a.v1_hotspots(), "low").select("area_id", "grid_id", "risk_level", "time_slice", "trajectory_count", "control"),
+    "generate_alerts": lambda a: _alerts(a).select("alert_id", "grid_id", "alert_level", "alert_type", "expected_period", F.size("control_suggestions").alias("n_suggestions"), "status"),
+    "filter_alerts": lambda a: overspeed_v1.filter_alerts(_alerts(a), "blue", "pending").select("alert_id", "grid_id"),
+    "alert_statistics": _alert_file,
+    "risk_distribution": lambda a: overspeed_v1.risk_distribution(a.v1_hotspots()),
+    "dashboard_metrics": lambda a: _half_even(overspeed_v1.dashboard_metrics(a.v1_cells(), a.v1_hotspots(), a.v1_moran(), a.trend()), 4, "moran_i", "trend_z"),
+    "interpret_analysis": _interpreted,
+    "recommendation_template": _recommended,
     "hourly_distribution": lambda a: overspeed_v1.hourly_distribution(a.v1_points()),
     "daily_trend": lambda a: overspeed_v1.daily_trend(a.v1_points()),
+    "daily_trend_hours": lambda a: overspeed_v1.daily_trend(a.v1_points(), "2024-01-09"),
     "hourly_series": lambda a: overspeed_v1.hourly_series(a.v1_points()),
-    "mann_kendall": lambda a: overspeed_v1.mann_kendall(overspeed_v1.hourly_series(a.v1_points()).withColumn("key", F.lit("all"))),
-    "append_points_dedup": lambda a: overspeed_v1.append_points_dedup(a.v1_points(), a.v1_points()).select("order_id", "event_time", "lon", "lat"),
+    "mann_kendall": lambda a: overspeed_v1.mann_kendall(_series(a)),
+    "mean_slope_trend": lambda a: overspeed_v1.mean_slope_trend(_series(a)),
+    "index_quantiles": lambda a: advice.index_quantiles(a.scores()),
+    "hotspot_context": lambda a: advice.hotspot_context(a.layers()[0]).select("grid_id", *(F.col(f"{k}.risk_level").alias(k) for k in spatial.LAYERS)),
+    "default_risk_layer": lambda a: advice.default_risk_layer(a.scores(), a.layers()[0]),
+    "reverse_oneway_ratio": lambda a: _half_even(advice.reverse_oneway_ratio(a.events(), a.scores(), a.p), 4, "oneway_ratio"),
+    "advice_rule_ids": lambda a: a.advised().select("grid_id", F.concat_ws(",", "rule_ids").alias("rule_ids")),
+    "advice_rules": lambda a: a.advised().select("grid_id", F.concat_ws(",", F.transform("rules", lambda r: r["rule_id"])).alias("by_priority"), advice.distinct_rule_notes(F.col("rules"))[1].alias("cautions")),
+    "advice_payload": _payloads,
+    "fallback_advice_text": _fallback_rows,
+    "validate_advice_json": _advice_json,
+    "advice_basis": _basis,
+    "advice_cache_key": _cache_keys,
+    "grid_detail": _detail,
     "feedback_status": lambda a: governance.feedback_status(a.feedback()),
     "false_streak": lambda a: governance.false_streak(a.feedback()),
-    "log_statistics": lambda a: governance.log_statistics(_log(a)),
+    "events_in_grid_box": _boxes,
     "event_rate_change": _rates,
-    "feedback_without_log": lambda a: governance.feedback_without_log(a.feedback(), _log(a).where("operation_type = 'purchase' AND user = '7'")).select("feedback_id", "handled_at"),
-}
-
-_X, _Y = utm_sql("lon", "lat")
-_AX, _AY = utm_sql("u_x / 1e6", "u_y / 1e6")
-_BX, _BY = utm_sql("v_x / 1e6", "v_y / 1e6")
-_LEVEL = "CASE fclass " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEVELS.items()) + " ELSE 'unknown' END"
-_HAVERSINE = (
-    "2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))))"
-)
-#: Common table expressions in the order in which they build on each other.
-PARTS = {
-    "raw": RAW_SQL,
-    "typed": """SELECT event_id, try_cast(POSITIONTIME AS TIMESTAMP) AS time, try_cast(X_position AS DOUBLE) AS lon, try_cast(Y_position AS DOUBLE) AS lat,
-        BICYCLEID AS vehicle_id, TID AS flag, Speed AS raw_speed FROM raw""",
-    "tagged": """SELECT *, CASE WHEN time IS NULL THEN 'invalid_time'
-        WHEN lon IS NOT NULL AND lat IS NOT NULL AND NOT (lon BETWEEN 116.255 AND 116.792 AND lat BETWEEN 39.505 AND 40.028) THEN 'coord_out_of_range'
-        WHEN lon IS NULL OR lat IS NULL THEN 'invalid_coord' END AS isolate_reason FROM typed""",
-    "seq": """SELECT *, sum(head) OVER (PARTITION BY vehicle_id ORDER BY time, event_id ROWS UNBOUNDED PRECEDING) AS sq FROM (
-        SELECT *, CASE WHEN flag = 1 OR lag(time) OVER v IS NULL OR date_diff('second', lag(time) OVER v, time) > 180 THEN 1 ELSE 0 END AS head
-        FROM tagged WHERE isolate_reason IS NULL WINDOW v AS (PARTITION BY vehicle_id ORDER BY time, event_id))""",
-    "moves": """SELECT *, vehicle_id || '-' || CAST(CAST(sq AS BIGINT) AS VARCHAR) AS segment_id, CAST(row_number() OVER c - 1 AS INTEGER) AS point_order,
-        CAST(date_diff('second', lag(time) OVER c, time) AS DOUBLE) AS dt_s, lag(lon) OVER c AS lon0, lag(lat) OVER c AS lat0
-        FROM seq WINDOW c AS (PARTITION BY vehicle_id, sq ORDER BY time, event_id)""",
-    "kin": f"SELECT *, {_HAVERSINE} AS dist_m, CASE WHEN dt_s > 0 THEN {_HAVERSINE} / dt_s END AS mps FROM moves",
-    "over": """SELECT 'overspeed' AS event_type, vehicle_id, segment_id, min(time) AS start_time, max(time) AS end_time, CAST(date_diff('second', min(time), max(time)) AS DOUBLE) AS duration_s,
-        max(mps * 3.6) AS value_main, arg_max(lon, mps * 3.6 - point_order * 1e-9) AS lon, arg_max(lat, mps * 3.6 - point_order * 1e-9) AS lat
-        FROM (SELECT *, sum(CASE WHEN mps * 3.6 > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY vehicle_id, sq ORDER BY point_order ROWS UNBOUNDED PRECEDING) AS run FROM kin)
-        WHERE mps * 3.6 > 20 GROUP BY vehicle_id, segment_id, run HAVING date_diff('second', min(time), max(time)) >= 10 AND count(*) >= 2""",
-    "pairs": """SELECT *, (mps - v0) / dt_s AS a FROM (SELECT *, lag(mps) OVER c AS v0, lag(time) OVER c AS t0 FROM kin WINDOW c AS (PARTITION BY vehicle_id, sq ORDER BY point_order))
-        WHERE dt_s > 0 AND dt_s <= 6 AND v0 IS NOT NULL AND mps IS NOT NULL""",
-    "limits": """SELECT count(*) AS n_motion, round(quantile_cont(a, 0.85), 3) AS p85, round(quantile_cont(a, 0.15), 3) AS p15 FROM pairs WHERE v0 >= 0.5 AND mps >= 0.5""",
-    "rapid": """SELECT event_type, vehicle_id, segment_id, t0 AS start_time, time AS end_time, dt_s AS duration_s, a AS value_main, lon, lat FROM (
-        SELECT *, CASE WHEN a > p85 AND v0 >= 0.5 THEN 'rapid_accel' WHEN a < p15 THEN 'rapid_decel' END AS event_type FROM pairs, limits) WHERE event_type IS NOT NULL""",
-    "lattice": LATTICE_SQL,
-    "edges": f"""SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len, {_LEVEL} AS road_level, degrees(atan2(bx - ax, by_ - ay)) AS dir FROM (
-        SELECT *, {_AX} AS ax, {_AY} AS ay, {_BX} AS bx, {_BY} AS by_ FROM lattice)""",
-    "metric": f"SELECT *, {_X} AS x_m, {_Y} AS y_m FROM kin",
-    "cand0": """SELECT event_id, osm_id, road_level, oneway, dir, sqrt(pow(x_m - ax - t * (bx - ax), 2) + pow(y_m - ay - t * (by_ - ay), 2)) AS dist FROM (
-        SELECT p.event_id, e.*, p.x_m, p.y_m, greatest(0.0, least(1.0, ((x_m - ax) * (bx - ax) + (y_m - ay) * (by_ - ay)) / (len * len))) AS t
-        FROM (SELECT *, CAST(floor(x_m / 200) AS BIGINT) AS cx, CAST(floor(y_m / 200) AS BIGINT) AS cy FROM metric) p
-        JOIN (SELECT *, unnest(range(CAST(floor((least(ax, bx) - 101) / 200) AS BIGINT), CAST(floor((greatest(ax, bx) + 101) / 200) AS BIGINT) + 1)) AS cx FROM (
-          SELECT *, unnest(range(CAST(floor((least(ay, by_) - 101) / 200) AS BIGINT), CAST(floor((greatest(ay, by_) + 101) / 200) AS BIGINT) + 1)) AS cy
-          FROM edges WHERE road_level <> 'unmatchable')) e USING (cx, cy))""",
-    "cand": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(dist, 6), osm_id) AS rank, min(dist) OVER (PARTITION BY event_id) AS best
-        FROM cand0 WHERE dist <= 100) WHERE rank <= 5 AND best <= 45""",
-    "matched": """SELECT m.*, c.osm_id, c.road_level, c.oneway, c.dir, c.dist FROM (
-        SELECT *, lag(x_m) OVER c AS bx_m, lag(y_m) OVER c AS by_m FROM metric WINDOW c AS (PARTITION BY vehicle_id, sq ORDER BY point_order)) m
-        LEFT JOIN (SELECT * FROM cand WHERE rank = 1) c USING (event_id)""",
-    "judged": """SELECT *, count(*) OVER (PARTITION BY vehicle_id, sq) AS n, CASE WHEN osm_id IS NOT NULL AND (x_m <> bx_m OR y_m <> by_m) THEN
-        CASE WHEN oneway = 'B' THEN round(sin(radians(degrees(atan2(x_m - bx_m, y_m - by_m)) - dir)), 9) > 0
-        ELSE round(cos(radians(degrees(atan2(x_m - bx_m, y_m - by_m)) - dir - CASE WHEN oneway = 'T' THEN 180 ELSE 0 END)), 12) <= round(cos(radians(135)), 12) END END AS wrong FROM matched""",
-    "reverse": """SELECT 'reverse' AS event_type, vehicle_id, segment_id, min(time) AS start_time, max(time) AS end_time, CAST(date_diff('second', min(time), max(time)) AS DOUBLE) AS duration_s,
-        count(*) FILTER (wrong) / count(wrong) AS value_main, max(lon) FILTER (point_order = n // 2) AS lon, max(lat) FILTER (point_order = n // 2) AS lat
-        FROM judged GROUP BY vehicle_id, segment_id HAVING count(wrong) > 0 AND count(*) FILTER (wrong) > 0.5 * count(wrong)""",
-    "all_events": "SELECT * FROM over UNION ALL SELECT * FROM rapid UNION ALL SELECT * FROM reverse",
-    "links": """SELECT * FROM (SELECT *, sqrt(pow(x_m - px, 2) + pow(y_m - py, 2)) AS d, date_diff('second', pt, time) AS gap FROM (
-        SELECT vehicle_id, sq, x_m, y_m, time, lag(x_m) OVER c AS px, lag(y_m) OVER c AS py, lag(time) OVER c AS pt FROM matched WHERE osm_id IS NOT NULL
-        WINDOW c AS (PARTITION BY vehicle_id, sq ORDER BY point_order))) WHERE gap > 0 AND gap <= 1800 AND d > 0 AND d <= 200""",
-    "cut": """SELECT col, row, vehicle_id, sq, d * greatest(0.0, least(1.0, x1, y1) - greatest(0.0, x0, y0)) AS part FROM (
-        SELECT *, CASE WHEN abs(x_m - px) < 1e-9 THEN 0.0 ELSE least((col * 250 - px) / (x_m - px), (col * 250 + 250 - px) / (x_m - px)) END AS x0,
-          CASE WHEN abs(x_m - px) < 1e-9 THEN 1.0 ELSE greatest((col * 250 - px) / (x_m - px), (col * 250 + 250 - px) / (x_m - px)) END AS x1,
-          CASE WHEN abs(y_m - py) < 1e-9 THEN 0.0 ELSE least((row * 250 - py) / (y_m - py), (row * 250 + 250 - py) / (y_m - py)) END AS y0,
-          CASE WHEN abs(y_m - py) < 1e-9 THEN 1.0 ELSE greatest((row * 250 - py) / (y_m - py), (row * 250 + 250 - py) / (y_m - py)) END AS y1
-        FROM (SELECT *, unnest(range(CAST(floor(least(py, y_m) / 250) AS BIGINT), CAST(floor(greatest(py, y_m) / 250) AS BIGINT) + 1)) AS row FROM (
-          SELECT *, unnest(range(CAST(floor(least(px, x_m) / 250) AS BIGINT), CAST(floor(greatest(px, x_m) / 250) AS BIGINT) + 1)) AS col FROM links)))""",
-    "cells": f"""SELECT *, round(coalesce(m, 0) / 1000, 4) AS km FROM (SELECT col, row, sum(part) AS m, count(DISTINCT vehicle_id || ':' || CAST(sq AS VARCHAR)) AS segs FROM cut GROUP BY col, row) x
-        FULL JOIN (SELECT CAST(floor({_X} / 250) AS BIGINT) AS col, CAST(floor({_Y} / 250) AS BIGINT) AS row, count(*) FILTER (event_type = 'overspeed') AS o,
-          count(*) FILTER (event_type = 'reverse') AS r, count(*) FILTER (event_type LIKE 'rapid%') AS q FROM all_events GROUP BY 1, 2) y USING (col, row)""",
-    "rated": """SELECT *, CASE WHEN flag = 'valid' THEN round(o / km * 100, 2) END AS ro, CASE WHEN flag = 'valid' THEN round(r / km * 100, 2) END AS rr, CASE WHEN flag = 'valid' THEN round(q / km * 100, 2) END AS rq FROM (
-        SELECT printf('G%04d_%04d', col, row) AS grid_id, col, row, km, coalesce(o, 0) AS o, coalesce(r, 0) AS r, coalesce(q, 0) AS q,
-        CASE WHEN km <= 0 THEN 'insufficient_data' WHEN km >= 1 AND segs >= 5 THEN 'valid' ELSE 'low_exposure' END AS flag FROM cells)""",
-    "valid": "SELECT grid_id, col, row, ro AS value, ro, rr, rq FROM rated WHERE flag = 'valid'",
-    "weights": """SELECT CASE WHEN t > 0 THEN d1 / t ELSE 1.0 / 3 END AS w1, CASE WHEN t > 0 THEN d2 / t ELSE 1.0 / 3 END AS w2, CASE WHEN t > 0 THEN d3 / t ELSE 1.0 / 3 END AS w3 FROM (SELECT *, d1 + d2 + d3 AS t FROM (SELECT """
-    + ", ".join(
-        f"CASE WHEN max(s{i}) > 0 AND min(r{i}) < max(r{i}) THEN 1 + sum(CASE WHEN r{i} > 0 THEN r{i} / s{i} * ln(r{i} / s{i}) ELSE 0 END) / ln(count(*)) ELSE 0.0 END AS d{i}" for i in (1, 2, 3)
-    )
-    + " FROM (SELECT ro AS r1, rr AS r2, rq AS r3, sum(ro) OVER () AS s1, sum(rr) OVER () AS s2, sum(rq) OVER () AS s3 FROM valid)))",
-    "knn": """SELECT i, j, d2 FROM (SELECT a.grid_id AS i, b.grid_id AS j, (a.col - b.col) * (a.col - b.col) + (a.row - b.row) * (a.row - b.row) AS d2,
-        row_number() OVER (PARTITION BY a.grid_id ORDER BY (a.col - b.col) * (a.col - b.col) + (a.row - b.row) * (a.row - b.row), b.grid_id) AS rk FROM valid a, valid b WHERE a.grid_id <> b.grid_id) WHERE rk <= 5""",
-    "v1": """SELECT event_id AS order_id, ts AS event_time, lon_u / 1e6 AS lon, lat_u / 1e6 AS lat, Speed * 3.6 AS speed_kmh, CASE WHEN Speed * 3.6 >= 20 THEN 1 ELSE 0 END AS is_overspeed, event_type, user_id,
-        'G' || CAST(CAST(floor(lon_u / 1e6 / 0.0045) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor(lat_u / 1e6 / 0.0045) AS BIGINT) AS VARCHAR) AS grid_id FROM raw""",
-    "hours": """SELECT h AS bucket_ts, CAST(coalesce(v, 0) AS BIGINT) AS value FROM (SELECT unnest(generate_series(min(date_trunc('hour', event_time)), max(date_trunc('hour', event_time)), INTERVAL 1 HOUR)) AS h FROM v1)
-        LEFT JOIN (SELECT date_trunc('hour', event_time) AS h, sum(is_overspeed) AS v FROM v1 GROUP BY 1) USING (h)""",
-    "feedback": """SELECT order_id AS feedback_id, grid_id, CAST(DATE '2024-01-10' + CAST(order_id % 9 AS INTEGER) AS DATE) AS handled_at,
-        CASE order_id % 3 WHEN 0 THEN '成立' WHEN 1 THEN '部分成立' ELSE '不成立' END AS conclusion FROM v1 WHERE order_id % 97 = 0""",
-}
-_EVENT = "event_type, segment_id, start_time, end_time, duration_s, round(value_main, 3) AS value_main, lon, lat"
-_Z = "CASE WHEN {z} >= 2.58 THEN 'high' WHEN {z} >= 1.96 THEN 'medium' WHEN {z} >= 1.28 THEN 'low' ELSE 'insignificant' END AS level"
-#: The last SELECT of each query.
-FINAL = {
-    "isolated_rows": "SELECT isolate_reason, count(*) AS n FROM tagged WHERE isolate_reason IS NOT NULL GROUP BY 1",
-    "isolated_ratio": "SELECT count(*) AS rows_total, count(isolate_reason) AS rows_isolated, round(count(isolate_reason) / count(*), 4) AS ratio FROM tagged",
-    "batch_meta": """SELECT t.*, k.* FROM (SELECT count(*) AS rows_total, count(isolate_reason) AS rows_isolated, round(count(isolate_reason) / count(*), 4) AS ratio FROM tagged) t,
-        (SELECT count(DISTINCT vehicle_id) AS n_vehicles, count(DISTINCT segment_id) AS n_segments, min(time) AS time_min, max(time) AS time_max, min(lon) AS lon_min, max(lon) AS lon_max,
-        min(lat) AS lat_min, max(lat) AS lat_max FROM kin) k""",
-    "point_kinematics": """SELECT event_id, segment_id, point_order, dt_s, round(dist_m, 4) AS dist_m, round(mps, 4) AS calc_speed_mps, round(mps * 3.6, 4) AS speed_kmh,
-        CASE WHEN mps > 30 THEN 'drift' ELSE 'ok' END AS quality_flag FROM kin""",
-    "speed_unit_check": "SELECT count(*) AS n, round(quantile_cont(abs(raw_speed - mps) / mps, 0.5), 6) AS median_rel FROM kin WHERE mps > 0.3 AND raw_speed IS NOT NULL",
-    "overspeed_events": f"SELECT {_EVENT} FROM over",
-    "accel_thresholds": "SELECT * FROM limits",
-    "rapid_events": f"SELECT {_EVENT} FROM rapid",
-    "network_summary": """SELECT count(*) AS n_edges, round(sum(round(len, 3)) / 1000, 3) AS total_km, count(*) FILTER (oneway <> 'B') AS n_oneway, count(*) FILTER (road_level <> 'unmatchable') AS n_matchable,
-        (SELECT count(*) FROM (SELECT u_x, u_y FROM edges UNION SELECT v_x, v_y FROM edges)) AS n_nodes FROM edges""",
-    "match_candidates": "SELECT event_id, osm_id, round(dist, 3) AS proj_dist_m, CAST(rank AS INTEGER) AS rank FROM cand",
-    "match_summary": "SELECT count(*) AS n_points, count(osm_id) AS n_matched, round(count(osm_id) / count(*), 4) AS match_rate FROM matched",
-    "match_offset_quantiles": """SELECT road_level, count(*) AS n, round(quantile_cont(dist, 0.5), 1) AS p50, round(quantile_cont(dist, 0.95), 1) AS p95, round(quantile_cont(dist, 0.99), 1) AS p99
-        FROM matched WHERE osm_id IS NOT NULL GROUP BY 1""",
-    "reverse_events": f"SELECT {_EVENT} FROM reverse",
-    "event_counts": "SELECT event_type, count(*) AS n FROM all_events GROUP BY 1",
-    "event_ids": """SELECT printf('EV-%06d', row_number() OVER (ORDER BY event_type, start_time, segment_id, value_main)) AS event_id, segment_id, start_time FROM over""",
-    "grid_exposure": "SELECT col, row, round(sum(part), 2) AS exposure_m FROM cut GROUP BY 1, 2 HAVING sum(part) > 0.001",
-    "grid_metrics": """SELECT grid_id, round(km, 3) AS exposure_km, o AS overspeed_count, r AS reverse_count, q AS rapid_count, flag AS quality_flag FROM rated WHERE round(km, 3) > 0 OR o + r + q > 0""",
-    "entropy_weights": "SELECT round(w1, 4) AS w_overspeed_rate, round(w2, 4) AS w_reverse_rate, round(w3, 4) AS w_rapid_rate FROM weights",
-    "risk_scores": """SELECT grid_id, CASE WHEN n > 1 THEN round(CASE WHEN b + w > 0 THEN w / (b + w) ELSE 0 END * 100, 1) END AS cri, CASE WHEN h1 > 0 THEN round(ro / h1 * 100, 1) ELSE 0 END AS overspeed_index,
-        CASE WHEN h2 > 0 THEN round(rr / h2 * 100, 1) ELSE 0 END AS reverse_index, CASE WHEN h3 > 0 THEN round(rq / h3 * 100, 1) ELSE 0 END AS rapid_index FROM (
-        SELECT *, sqrt(pow(w1 * (h1 - ro) / q1, 2) + pow(CASE WHEN q2 > 0 THEN w2 * (h2 - rr) / q2 ELSE 0 END, 2) + pow(w3 * (h3 - rq) / q3, 2)) AS b,
-          sqrt(pow(w1 * (ro - l1) / q1, 2) + pow(CASE WHEN q2 > 0 THEN w2 * (rr - l2) / q2 ELSE 0 END, 2) + pow(w3 * (rq - l3) / q3, 2)) AS w FROM (
-          SELECT *, count(*) OVER () AS n, max(ro) OVER () AS h1, max(rr) OVER () AS h2, max(rq) OVER () AS h3, min(ro) OVER () AS l1, min(rr) OVER () AS l2, min(rq) OVER () AS l3,
-            sqrt(sum(ro * ro) OVER ()) AS q1, sqrt(sum(rr * rr) OVER ()) AS q2, sqrt(sum(rq * rq) OVER ()) AS q3 FROM valid), weights)""",
-    "knn_neighbors": "SELECT i, j, d2 FROM knn",
-    "getis_ord_gi_star": f"""SELECT grid_id, z, {_Z.format(z="z")} FROM (SELECT i AS grid_id, round((avg(value) - any_value(m)) / any_value(s), 4) AS z FROM (SELECT i, j FROM knn UNION ALL SELECT grid_id, grid_id FROM valid) p
-        JOIN valid v ON v.grid_id = p.j, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM valid) GROUP BY i)""",
-    "global_moran": """SELECT n, round(i, 6) AS moran_i, round(e, 6) AS expected, round((i - e) / sqrt((n * n * s1 - n * s2 + 3.0 * n * n) / ((1.0 * n * n - 1) * n * n) - e * e), 4) AS z FROM (
-        SELECT n, -1.0 / (n - 1) AS e, (SELECT sum((a.value - m) * (b.value - m) / 5) FROM knn JOIN valid a ON a.grid_id = i JOIN valid b ON b.grid_id = j) / ss AS i,
-          (SELECT sum(pow(w, 2)) / 2 FROM (SELECT x, y, sum(w) AS w FROM (SELECT i AS x, j AS y, 0.2 AS w FROM knn UNION ALL SELECT j, i, 0.2 FROM knn) GROUP BY 1, 2)) AS s1,
-          (SELECT sum(pow(w, 2)) FROM (SELECT x, sum(w) AS w FROM (SELECT i AS x, 0.2 AS w FROM knn UNION ALL SELECT j, 0.2 FROM knn) GROUP BY 1)) AS s2
-        FROM (SELECT count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss FROM valid))""",
-    "local_moran": """SELECT grid_id, round(x * lag / m2, 4) AS local_i, CASE WHEN round(x, 9) > 0 THEN 'H' ELSE 'L' END || CASE WHEN round(lag, 9) > 0 THEN 'H' ELSE 'L' END AS quadrant FROM (
-        SELECT a.grid_id, any_value(a.value - m) AS x, avg(b.value - m) AS lag, any_value(m2) AS m2 FROM knn JOIN valid a ON a.grid_id = i JOIN valid b ON b.grid_id = j, (SELECT avg(value) AS m, var_pop(value) AS m2 FROM valid) GROUP BY 1)""",
-    "top_risk_fallback": f"""SELECT grid_id, value, z, {_Z.format(z="z")} FROM (SELECT grid_id, value, round((value - avg(value) OVER ()) / stddev_samp(value) OVER (), 4) AS z FROM (SELECT grid_id, value FROM valid ORDER BY value DESC, grid_id LIMIT 8))""",
-    "v1_grid": "SELECT grid_id, CAST(sum(is_overspeed) AS BIGINT) AS overspeed_count, count(*) AS trajectory_count, round(avg(speed_kmh), 4) AS mean_speed, min(event_time) AS time_min, max(event_time) AS time_max FROM v1 GROUP BY 1",
-    "hourly_distribution": "SELECT CAST(hour(event_time) AS INTEGER) AS hour, CAST(sum(is_overspeed) AS BIGINT) AS overspeed, count(*) AS n FROM v1 GROUP BY 1",
-    "daily_trend": "SELECT CAST(event_time AS DATE) AS day, CAST(sum(is_overspeed) AS BIGINT) AS overspeed, count(*) AS n, round(avg(speed_kmh), 4) AS mean_speed FROM v1 GROUP BY 1",
-    "hourly_series": "SELECT bucket_ts, value FROM hours",
-    "mann_kendall": """SELECT 'all' AS key, n, s, round(var_s, 4) AS var_s, round(z, 6) AS z, round(s / (n * (n - 1) / 2), 6) AS tau, CASE WHEN z > 1.959964 THEN 'increasing' WHEN z < -1.959964 THEN 'decreasing' ELSE 'no trend' END AS trend FROM (
-        SELECT *, CASE WHEN s = 0 THEN 0.0 ELSE (s - sign(s)) / sqrt(var_s) END AS z FROM (SELECT (SELECT count(*) FROM hours) AS n, CAST((SELECT sum(sign(b.value - a.value)) FROM hours a JOIN hours b ON a.bucket_ts < b.bucket_ts) AS BIGINT) AS s,
-        (SELECT count(*) * (count(*) - 1) * (2 * count(*) + 5) FROM hours) / 18.0 - (SELECT sum(t * (t - 1) * (2 * t + 5)) FROM (SELECT count(*) AS t FROM hours GROUP BY value)) / 18.0 AS var_s))""",
-    "append_points_dedup": "SELECT DISTINCT order_id, event_time, lon, lat FROM v1",
-    "feedback_status": "SELECT grid_id, count(*) AS n, arg_max(conclusion, (handled_at, feedback_id)) AS latest, max(handled_at) AS latest_at FROM feedback GROUP BY 1",
-    "false_streak": """SELECT grid_id, CAST(sum(lead) AS BIGINT) AS streak, sum(lead) >= 3 AS flagged FROM (SELECT grid_id, min(CASE WHEN conclusion = '不成立' THEN 1 ELSE 0 END) OVER (
-        PARTITION BY grid_id ORDER BY handled_at DESC, feedback_id DESC ROWS UNBOUNDED PRECEDING) AS lead FROM feedback) GROUP BY 1""",
-    "log_statistics": """SELECT event_type AS operation_type, CAST(user_id AS VARCHAR) AS "user", CAST(event_time AS DATE) AS day, count(*) AS n FROM v1 GROUP BY GROUPING SETS ((event_type), (user_id), (CAST(event_time AS DATE)), ())""",
-    "event_rate_change": """SELECT grid_id, t, count(*) FILTER (CAST(event_time AS DATE) - t BETWEEN -14 AND -1) AS before, count(*) FILTER (CAST(event_time AS DATE) - t BETWEEN 0 AND 13) AS after
-        FROM (SELECT grid_id, max(handled_at) AS t FROM feedback GROUP BY 1) LEFT JOIN (SELECT grid_id, event_time FROM v1 WHERE is_overspeed = 1) USING (grid_id) GROUP BY 1, 2""",
-    "feedback_without_log": "SELECT feedback_id, handled_at FROM feedback WHERE handled_at NOT IN (SELECT CAST(event_time AS DATE) FROM v1 WHERE event_type = 'purchase' AND user_id = 7)",
+    "validate_feedback": _forms,
+    "feedback_ledger": lambda a: governance.feedback_ledger(a.feedback(), 50).select("feedback_id", "handled_at", "conclusion"),
+    "feedback_history": lambda a: governance.feedback_history(a.feedback().select("feedback_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit(None).cast("string").alias("created_at"))),
+    "log_statistics": lambda a: governance.log_statistics(a.log()),
+    "filter_operation_log": lambda a: _logs(a).groupBy("operation_type", F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n")),
+    "log_feedback_same_day": lambda a: governance.log_feedback_same_day(_logs(a), a.feedback()).select("timestamp", "user", "feedback_id", "content", "place"),
+    "feedback_without_log": lambda a: governance.feedback_without_log(a.feedback(), _logs(a)).select("feedback_id", "handled_at"),
+    "log_with_feedback": lambda a: governance.log_with_feedback(_logs(a), a.feedback()).groupBy("operation_type", F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("feedback_id").alias("n_feedback")),
+    "read_trajectory_csv": _csv,
+    "load_batch": _batches,
+    "batch_catalog": lambda a: files.batch_catalog(_metas(a)).select("batch_id", "created_at", "status"),
+    "latest_batch": _latest,
+    "read_road_edges": _road_files,
+    "write_stages": _stage_files,
+    "to_geojson_features": _geojson,
+    "export_hotspots_csv": _hotspot_csv,
+    "export_report": _report,
+    "read_feedback_jsonl": _ledger,
+    "export_feedback_csv": _ledger_csv,
+    "export_operation_log_csv": _log_csv,
+    "stream_hourly_overspeed": _stream_hours,
+    "stream_point_dedup": _stream_dedup,
+    "stream_segments": _stream_segments,
 }
 
 
-def queries() -> dict:
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Analysis(spark, sf_dir))) for name, f in STEPS.items()}
-
-
-def _needed(sql: str) -> list[str]:
-    """The parts that a text names, directly or through others."""
-    found = {k for k in PARTS if re.search(rf"\b{k}\b", sql)}
-    for k in reversed(PARTS):
-        if k in found:
-            found |= {x for x in PARTS if x != k and re.search(rf"\b{x}\b", PARTS[k])}
-    return [k for k in PARTS if k in found]
-
-
-def oracles() -> dict[str, str]:
-    return {
-        name: "WITH " + ", ".join(f"{k} AS MATERIALIZED ({PARTS[k]})" for k in _needed(sql)) + " " + sql for name, sql in FINAL.items()
-    }

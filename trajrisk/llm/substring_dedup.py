@@ -49,7 +49,7 @@ SEGMENT, BLOCK = 1 << 20, 4 << 20
 #: Bytes of texts whose anchors are packed together, and bytes of the input for each bucket of anchor hashes.
 FLUSH, BUCKET_BYTES = 16 << 20, 32 << 20
 #: Occurrences of an anchor whose cuttings are sorted together, and windows of other anchors that are folded together.
-HOT, FOLDED = BLOCK // LENGTH, 200_000
+HOT, FOLDED = 2_000, 200_000
 NULL_ID = -(1 << 63)
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..params import DEFAULTS, Params
+from ..sources.tables import stored
+from .ingest import seconds_between
 
 CHAIN = ("vehicle_id", "segment_seq")
 
@@ -20,11 +23,13 @@ def overspeed_events(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     out = runs.groupBy(*CHAIN, "segment_id", "run").agg(
         F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("n_points"), peak.alias("peak")
     )
-    out = out.withColumn("duration_s", F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time")).cast("double"))
+    out = out.withColumn("duration_s", seconds_between(F.col("start_time"), F.col("end_time")))
     out = out.where((F.col("duration_s") >= p.overspeed_s) & (F.col("n_points") >= p.overspeed_points))
+    peak_kmh = F.bround("peak.speed_kmh", 2)
+    detail = F.to_json(F.struct(peak_kmh.alias("peak_kmh"), F.lit(p.overspeed_kmh).alias("threshold_kmh"), "n_points"))
     return out.select(
-        F.lit("overspeed").alias("event_type"), *CHAIN, "segment_id", "start_time", "end_time", "duration_s",
-        F.col("peak.speed_kmh").alias("value_main"), F.col("peak.lon").alias("lon"), F.col("peak.lat").alias("lat"),
+        F.lit("overspeed").alias("event_type"), *CHAIN, "segment_id", "start_time", "end_time", F.bround("duration_s", 1).alias("duration_s"),
+        peak_kmh.alias("value_main"), F.col("peak.lon").alias("lon"), F.col("peak.lat").alias("lat"), detail.alias("detail"),
     )
 
 
@@ -40,18 +45,19 @@ def motion_pairs(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 def accel_thresholds(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """P85 and P15 of accelerations between moving points; one row."""
     moving = motion_pairs(points, p).where((F.col("v0") >= p.moving_mps) & (F.col("speed_mps") >= p.moving_mps))
-    return moving.agg(
-        F.count("*").alias("n_motion"), F.round(F.percentile("a", 0.85), 3).alias("p85"), F.round(F.percentile("a", 0.15), 3).alias("p15")
-    )
+    out = exact_quantiles(moving, "a", (0.85, 0.15))
+    return out.select(F.col("n").alias("n_motion"), F.bround(F.col("q")[0], 3).alias("p85"), F.bround(F.col("q")[1], 3).alias("p15"))
 
 
 def rapid_events(points: DataFrame, thresholds: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Hard accelerations (from a moving start) and brakings, at the second point of a pair."""
     pairs = motion_pairs(points, p).crossJoin(F.broadcast(thresholds))  # thresholds: one row
     kind = F.when((F.col("a") > F.col("p85")) & (F.col("v0") >= p.moving_mps), "rapid_accel").when(F.col("a") < F.col("p15"), "rapid_decel")
+    kmh = lambda c: F.bround(F.col(c) * 3.6, 2)
+    detail = F.to_json(F.struct(F.bround("a", 3).alias("a_mps2"), kmh("v0").alias("from_kmh"), kmh("speed_mps").alias("to_kmh"), F.bround("dt_s", 1).alias("dt_s")))
     return pairs.withColumn("event_type", kind).where("event_type IS NOT NULL").select(
         "event_type", *CHAIN, "segment_id", F.col("t0").alias("start_time"), F.col("time").alias("end_time"),
-        F.col("dt_s").alias("duration_s"), F.col("a").alias("value_main"), "lon", "lat",
+        F.bround("dt_s", 1).alias("duration_s"), F.bround("a", 3).alias("value_main"), "lon", "lat", detail.alias("detail"),
     )
 
 
@@ -63,17 +69,27 @@ def union_events(*parts: DataFrame) -> DataFrame:
 
 
 def event_ids(events: DataFrame, buckets: int = 64) -> DataFrame:
-    """Dense ids in the order (type, start, segment), numbered by range partition so that no single task sorts all."""
+    """Dense ids in the order (type, start, segment, value), numbered by range partition so that no task sorts all.
+
+    The ranged rows are stored before they are counted, as the ranges come from a sample.
+    """
     order = ["event_type", "start_time", "segment_id", "value_main"]
-    ranged = events.repartitionByRange(buckets, *order).withColumn("part", F.spark_partition_id())
-    own = Window.partitionBy("part").orderBy(*order)
-    numbered = ranged.withColumn("place", F.row_number().over(own))
-    sizes = numbered.groupBy("part").agg(F.count("*").alias("k"))
+    ranged = stored(events.repartitionByRange(buckets, *order).withColumn("part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("k"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))  # one row a partition
-    out = numbered.join(F.broadcast(offsets), "part")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    out = ranged.withColumn("place", place).join(F.broadcast(offsets), "part")
     return out.withColumn("event_id", F.format_string("EV-%06d", F.col("base") + F.col("place"))).drop("part", "place", "base")
 
 
+def order_events(events: DataFrame) -> DataFrame:
+    """Sorted for export."""
+    return events.orderBy("event_type", "start_time", "segment_id", "value_main")
+
+
 def event_counts(events: DataFrame) -> DataFrame:
-    return events.groupBy("event_type").agg(F.count("*").alias("n"))
+    """Events by type, and in all under ``total``."""
+    return events.rollup("event_type").agg(F.count("*").alias("n"), F.grouping("event_type").alias("g")).select(
+        F.when(F.col("g") == 1, "total").otherwise(F.col("event_type")).alias("event_type"), "n"
+    )

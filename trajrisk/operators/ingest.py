@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
+from ..functions.quantiles import exact_quantiles
 from ..params import DEFAULTS, Params
 
 #: Accepted column names by standard name, the first that exists is taken.
@@ -43,11 +44,11 @@ def coerce_types(df: DataFrame) -> DataFrame:
 
 
 def tag_invalid(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """``isolate_reason``: null for good rows; the range test is only for coordinates that exist."""
+    """``isolate_reason``: null for good rows; each coordinate that exists is tested against its own range."""
     x0, y0, x1, y1 = p.bbox
-    inside = F.col("lon").between(x0 - p.margin, x1 + p.margin) & F.col("lat").between(y0 - p.margin, y1 + p.margin)
-    both = F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    reason = F.when(F.col("time").isNull(), "invalid_time").when(both & ~inside, "coord_out_of_range").when(~both, "invalid_coord")
+    outside = lambda c, a, b: F.col(c).isNotNull() & ~F.col(c).between(a - p.margin, b + p.margin)
+    out, both = outside("lon", x0, x1) | outside("lat", y0, y1), F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    reason = F.when(F.col("time").isNull(), "invalid_time").when(out, "coord_out_of_range").when(~both, "invalid_coord")
     return df.withColumn("isolate_reason", reason)
 
 
@@ -61,7 +62,7 @@ def split_isolated(df: DataFrame) -> DataFrame:
 
 def isolated_ratio(df: DataFrame) -> DataFrame:
     n, bad = F.count("*"), F.count("isolate_reason")
-    return df.agg(n.alias("rows_total"), bad.alias("rows_isolated"), F.round(F.try_divide(bad, n), 4).alias("ratio"))
+    return df.agg(n.alias("rows_total"), bad.alias("rows_isolated"), F.bround(F.try_divide(bad, n), 4).alias("ratio"))
 
 
 def assert_isolated_ratio(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -72,13 +73,17 @@ def assert_isolated_ratio(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return df
 
 
+def seconds_between(a: Column, b: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", a, b) / 1e6
+
+
 def segment_trajectories(df: DataFrame, tie: str = "event_id", p: Params = DEFAULTS) -> DataFrame:
     """Sub-chains: a new one at a vehicle's first row, a flagged row, or a gap of more than ``gap_s``.
 
-    One exchange by vehicle; later windows on (vehicle_id, segment_seq) reuse it.
+    One exchange by vehicle; windows on (vehicle_id, segment_seq) in the same plan, as those of ``point_kinematics``, reuse it.
     """
     order = Window.partitionBy("vehicle_id").orderBy("time", tie)
-    gap = F.timestamp_diff("SECOND", F.lag("time").over(order), F.col("time"))
+    gap = seconds_between(F.lag("time").over(order), F.col("time"))
     new = F.when((F.col("segment_flag") == 1) | gap.isNull() | (gap > p.gap_s), 1).otherwise(0)
     out = df.withColumn("new", new).withColumn("segment_seq", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     chain = Window.partitionBy("vehicle_id", "segment_seq").orderBy("time", tie)
@@ -91,7 +96,7 @@ def point_kinematics(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Time, distance and speed from the previous point of the sub-chain; null at its first point and where dt is 0."""
     chain = Window.partitionBy("vehicle_id", "segment_seq").orderBy("point_order")
     before = [F.lag(c).over(chain) for c in ("time", "lon", "lat")]
-    dt = F.timestamp_diff("SECOND", before[0], F.col("time")).cast("double")
+    dt = seconds_between(before[0], F.col("time"))
     out = df.withColumns({"dt_s": dt, "dist_m": haversine_m(before[1], before[2], F.col("lon"), F.col("lat"))})
     out = out.withColumn("calc_speed_mps", F.when(F.col("dt_s") > 0, F.col("dist_m") / F.col("dt_s")))
     return out.withColumns({
@@ -113,4 +118,54 @@ def speed_unit_check(points: DataFrame) -> DataFrame:
     """Median relative difference of raw and recomputed speed where the latter exceeds 0.3 m/s."""
     both = points.where("raw_speed_mps IS NOT NULL AND calc_speed_mps > 0.3")
     rel = F.abs(F.col("raw_speed_mps") - F.col("calc_speed_mps")) / F.col("calc_speed_mps")
-    return both.agg(F.count("*").alias("n"), F.round(F.percentile(rel, 0.5), 6).alias("median_rel"))
+    out = exact_quantiles(both.withColumn("rel", rel), "rel", (0.5,))
+    return out.select("n", F.bround(F.col("q")[0], 6).alias("median_rel"))
+
+
+#: Accepted column names of the degree-grid line, the first that exists is taken.
+V1_COLUMNS = {
+    "order_id": ["order_id", "id", "record_id", "轨迹id"], "event_time": ["event_time", "time", "timestamp"],
+    "lon": ["lon", "longitude", "x_position", "x", "经度"], "lat": ["lat", "latitude", "y_position", "y", "纬度"],
+    "speed_kmh": ["speed_kmh", "speedkm", "speed"], "is_overspeed": ["is_overspeed", "overspeed", "overspeeding"], "gender": ["gender", "sex"],
+    "age": ["age", "年龄"],
+}
+UNKNOWN_GENDER = "未知"
+
+
+def normalize_points_v1(df: DataFrame, batch_id: str, source: str, p: Params = DEFAULTS) -> DataFrame:
+    """Points of the degree-grid line: missing ids ``batch-n`` (by row), speed 0, flag by speed, gender unknown, age -1;
+    rows without time or place are left out. Time, place and speed columns are required."""
+    there = {}
+    for c in df.columns:
+        there.setdefault(c.strip().lower(), c)
+    pick = {n: next((there[a] for a in names if a in there), None) for n, names in V1_COLUMNS.items()}
+    if missing := [n for n in ("event_time", "lon", "lat", "speed_kmh") if pick[n] is None]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    text = {n: F.lit(None).cast("string") if c is None else F.col(f"`{c}`").cast("string") for n, c in pick.items()}
+    if pick["order_id"] is None:  # numbered where rows are read, without gaps only inside a partition
+        text["order_id"] = F.concat(F.lit(f"{batch_id}-"), (F.monotonically_increasing_id() + 1).cast("string"))
+    speed = F.coalesce(text["speed_kmh"].try_cast("double"), F.lit(0.0))
+    flag = F.coalesce(text["is_overspeed"].try_cast("double"), (speed >= p.overspeed_kmh).cast("double"))
+    out = df.select(
+        text["order_id"].alias("order_id"), text["event_time"].try_cast("timestamp_ntz").alias("event_time"), text["lon"].try_cast("double").alias("lon"),
+        text["lat"].try_cast("double").alias("lat"), speed.alias("speed_kmh"), flag.cast("int").alias("is_overspeed"),
+        (F.lit(UNKNOWN_GENDER) if pick["gender"] is None else text["gender"]).alias("gender"), F.coalesce(text["age"].try_cast("double"), F.lit(-1.0)).cast("int").alias("age"),
+        F.lit(batch_id).alias("batch_id"), F.lit(source).alias("source_file"),
+    )
+    return out.dropna(subset=["event_time", "lon", "lat"])
+
+
+def filter_time_range(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """``event_time`` from ``start`` to ``end``, both included."""
+    out = df if start is None else df.where(F.col("event_time") >= F.lit(start).cast("timestamp_ntz"))
+    return out if end is None else out.where(F.col("event_time") <= F.lit(end).cast("timestamp_ntz"))
+
+
+def filter_recent_days(df: DataFrame, days: int, now: str) -> DataFrame:
+    """The last ``days`` days before ``now``; 0 for all."""
+    return df if not days else df.where(F.col("event_time") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS"))
+
+
+def order_points(df: DataFrame) -> DataFrame:
+    """Sorted for export."""
+    return df.orderBy("vehicle_id", "time", "segment_seq", "point_order")

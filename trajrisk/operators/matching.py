@@ -1,120 +1,286 @@
-"""Roads, candidate edges of points, nearest-edge matching, wrong-way driving and match quality."""
+"""Map matching: candidate edges, bounded shortest paths, a Viterbi path through the candidates of each sub-chain."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import add_utm50n, angdiff, bearing_deg
+from ..functions.geo import add_utm50n, add_wgs84, angdiff, bearing_deg, obs_log_score, transition_score, travel_dir
+from ..functions.quantiles import exact_quantiles
 from ..params import DEFAULTS, Params
+from ..sources.tables import stored
+from .roads import edge_parts, matchable_edges
 
-#: Road level by class, and the levels that points can be matched to.
-LEVELS = {
-    "trunk": "arterial", "trunk_link": "arterial_link", "primary": "arterial", "primary_link": "arterial_link", "secondary": "sub_arterial",
-    "secondary_link": "sub_arterial_link", "tertiary": "branch", "tertiary_link": "branch", "residential": "branch", "service": "branch",
-    "footway": "unmatchable",
+CHAIN = ("vehicle_id", "segment_seq")
+#: Up to this many road parts, or edges, are sent to every executor; more are joined by shuffle.
+BROADCAST_PARTS, BROADCAST_EDGES = 500_000, 1_000_000
+#: Limits of the projection distance in metres by road level, at its 95th and 99th percentile.
+OFFSET_LIMITS = {
+    "expressway_ramp": (None, 30.0), "arterial": (25.0, 35.0), "arterial_link": (25.0, 35.0), "sub_arterial": (20.0, 30.0),
+    "sub_arterial_link": (20.0, 30.0), "branch": (15.0, 20.0),
 }
-NOT_MATCHABLE = ("unmatchable", "unknown")
-#: Up to this many road parts are sent to every executor; more are joined by shuffle on the cell.
-BROADCAST_PARTS = 200_000
-
-
-def road_edges(lattice: DataFrame) -> DataFrame:
-    """Edges in metres with node ids, level, length, bearing and the number ``k`` among parallel edges."""
-    ends = lattice.select(F.col("u_x").alias("lon"), F.col("u_y").alias("lat")).union(lattice.select("v_x", "v_y")).distinct()
-    nodes = add_utm50n(ends, F.col("lon") / 1e6, F.col("lat") / 1e6, "x", "y").withColumn("node", F.format_string("%.2f,%.2f", "x", "y"))
-    for side, x, y in (("u", "ax", "ay"), ("v", "bx", "by")):  # every node is projected once
-        named = nodes.select(F.col("lon").alias(f"{side}_x"), F.col("lat").alias(f"{side}_y"), F.col("x").alias(x), F.col("y").alias(y), F.col("node").alias(side))
-        lattice = lattice.join(named, [f"{side}_x", f"{side}_y"])
-    level = F.coalesce(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv))[F.col("fclass")], F.lit("unknown"))
-    out = lattice.select("osm_id", "fclass", "oneway", "u", "v", "ax", "ay", "bx", "by")
-    out = out.withColumns({
-        "road_level": level,
-        "length_m": F.round(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")), 3),
-        "forward_bearing": bearing_deg(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")),
-    }).where("length_m >= 0.5")
-    pair = Window.partitionBy(F.least("u", "v"), F.greatest("u", "v")).orderBy("osm_id")
-    return out.withColumn("k", F.row_number().over(pair) - 1)
-
-
-def network_summary(edges: DataFrame) -> DataFrame:
-    nodes = edges.select(F.col("u").alias("n")).union(edges.select("v")).agg(F.count_distinct("n").alias("n_nodes"))
-    return edges.agg(
-        F.count("*").alias("n_edges"), F.round(F.sum("length_m") / 1000, 3).alias("total_km"), F.count_if(F.col("oneway") != "B").alias("n_oneway"),
-        F.count_if(~F.col("road_level").isin(*NOT_MATCHABLE)).alias("n_matchable"),
-    ).crossJoin(nodes)  # two rows of one row each
 
 
 def with_metres(points: DataFrame) -> DataFrame:
     return add_utm50n(points, F.col("lon"), F.col("lat"), "x_m", "y_m")
 
 
-def match_candidates(points: DataFrame, edges: DataFrame, id_col: str = "event_id", p: Params = DEFAULTS) -> DataFrame:
-    """The ``candidates`` nearest matchable edges within ``radius_m`` of each point whose nearest is within ``far_m``.
+def match_candidates(points: DataFrame, edges: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``points`` with ``cands``: the ``candidates`` nearest matchable edges within ``radius_m``, by (distance, edge);
+    none if the nearest is beyond ``far_m``.
 
-    Range join by cells of side ``radius_m``: edges are listed in every cell that their box, widened by the radius,
-    touches; points look in their own cell.
+    Road parts are listed in every cell of side ``radius_m`` that their box, widened by the radius, touches; a point
+    has all its parts in the list of its own cell, and they are ranked inside the row, without a shuffle of points.
     """
     r = p.radius_m
-    parts = edges.where(~F.col("road_level").isin(*NOT_MATCHABLE)).select(
-        "osm_id", "u", "v", "k", "road_level", "oneway", "forward_bearing", "ax", "ay", "bx", "by"
-    )
+    parts = edge_parts(matchable_edges(edges))
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - r) / r), F.floor((F.greatest(a, b) + r) / r))
     listed = parts.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
-    if parts.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS:
-        listed = F.broadcast(listed)
-    cells = points.select(id_col, "x_m", "y_m", F.floor(F.col("x_m") / r).alias("cx"), F.floor(F.col("y_m") / r).alias("cy"))
-    near = cells.join(listed, ["cx", "cy"])
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x_m") - F.col("ax")) * dx + (F.col("y_m") - F.col("ay")) * dy) / (dx * dx + dy * dy)))
-    near = near.withColumn("t", t).withColumns({"proj_x": F.col("ax") + F.col("t") * dx, "proj_y": F.col("ay") + F.col("t") * dy})
-    near = near.withColumn("proj_dist_m", F.hypot(F.col("x_m") - F.col("proj_x"), F.col("y_m") - F.col("proj_y"))).where(F.col("proj_dist_m") <= r)
-    order = Window.partitionBy(id_col).orderBy(F.round("proj_dist_m", 6), "osm_id")
-    ranked = near.withColumns({"rank": F.row_number().over(order), "best": F.min("proj_dist_m").over(Window.partitionBy(id_col))})
-    return ranked.where((F.col("rank") <= p.candidates) & (F.col("best") <= p.far_m)).drop("best", "cx", "cy", "t")
-
-
-def nearest_match(points: DataFrame, candidates: DataFrame, id_col: str = "event_id") -> DataFrame:
-    """All points, with their nearest edge, the observed bearing and ``matched`` 0/1."""
-    chain = Window.partitionBy("vehicle_id", "segment_seq").orderBy("point_order")
-    seen = points.withColumn("obs_bearing", bearing_deg(F.col("x_m") - F.lag("x_m").over(chain), F.col("y_m") - F.lag("y_m").over(chain)))
-    chosen = candidates.where("rank = 1").drop("rank", "x_m", "y_m", "ax", "ay", "bx", "by")
-    return seen.join(chosen, id_col, "left").withColumn("matched", F.col("osm_id").isNotNull().cast("int"))
-
-
-def is_reverse(p: Params = DEFAULTS):
+    fields = [c for c in parts.columns]
+    cells = listed.groupBy("cx", "cy").agg(F.collect_list(F.struct(*fields)).alias("parts"))  # a cell has as many as fit in it
+    if edges.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS:
+        cells = F.broadcast(cells)
+    rows = points.withColumns({"cx": F.floor(F.col("x_m") / r), "cy": F.floor(F.col("y_m") / r)}).join(cells, ["cx", "cy"], "left")
+    x, y = F.col("x_m"), F.col("y_m")
+
+    def foot(q: Column) -> Column:
+        dx, dy = q["bx"] - q["ax"], q["by"] - q["ay"]
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - q["ax"]) * dx + (y - q["ay"]) * dy) / (dx * dx + dy * dy)))
+        return F.struct(q.alias("q"), t.alias("t"), (q["ax"] + t * dx).alias("px"), (q["ay"] + t * dy).alias("py"), F.hypot(dx, dy).alias("size"))
+
+    def candidate(f: Column) -> Column:
+        d, q = F.hypot(x - f["px"], y - f["py"]), f["q"]
+        return F.struct(
+            F.round(d, 6).alias("rank_d"), q["edge_id"].alias("edge_id"), q["part"].alias("part"), d.alias("d"), f["px"].alias("px"), f["py"].alias("py"),
+            (q["along0"] + f["t"] * f["size"]).alias("along"), q["bearing"].alias("seg_bearing"), q["length_m"].alias("length_m"), q["u_key"].alias("u"),
+            q["v_key"].alias("v"), q["k"].alias("k"), q["osm_id"].alias("osm_id"), q["road_level"].alias("road_level"), q["oneway"].alias("oneway"),
+        )
+
+    near = F.array_sort(F.filter(F.transform(F.transform("parts", foot), candidate), lambda c: c["d"] <= r))
+    rows = rows.withColumn("near", near).drop("parts", "cx", "cy")
+    once = F.filter("near", lambda c, i: F.array_position(F.transform("near", lambda o: o["edge_id"]), c["edge_id"]) == i + 1)  # nearest part of an edge
+    best = F.when(F.element_at(once, 1)["d"] <= p.far_m, F.slice(once, 1, p.candidates))
+    none = F.slice("near", 1, 0)
+    return rows.withColumn("cands", F.when(F.size("near") > 0, F.coalesce(best, none)).otherwise(none)).drop("near")
+
+
+def nearest_k_candidates(matched: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """One row a candidate, numbered ``rank`` from 1."""
+    return matched.select(id_col, F.posexplode("cands").alias("at", "c")).select(
+        id_col, (F.col("at") + 1).alias("rank"), "c.osm_id", "c.edge_id", F.col("c.d").alias("proj_dist_m")
+    )
+
+
+def chain_dt_mode(points: DataFrame) -> DataFrame:
+    """Most frequent positive interval of each sub-chain, the smallest of equals, 0 without one; and ``beta`` for it."""
+    mode = F.coalesce(F.mode(F.when(F.col("dt_s") > 0, F.col("dt_s")), True), F.lit(0.0))
+    out = points.groupBy(*CHAIN).agg(mode.alias("dt_mode"))
+    return out.withColumn("beta", F.when(F.col("dt_mode") < 10, 10.0).otherwise(8.0))
+
+
+def obs_bearings(points: DataFrame) -> DataFrame:
+    """``obs_bearing`` from the point before; null at the first point of a sub-chain and without a move."""
+    chain = Window.partitionBy(*CHAIN).orderBy("point_order")
+    return points.withColumn("obs_bearing", bearing_deg(F.col("x_m") - F.lag("x_m").over(chain), F.col("y_m") - F.lag("y_m").over(chain)))
+
+
+def transition_pairs(points: DataFrame) -> DataFrame:
+    """All pairs of candidates of consecutive layers (points with candidates): ``*CHAIN, point_order, a, b``, both
+    candidates and their numbers ``i, j``. A layer looks back with a window, there is no self-join."""
+    chain = Window.partitionBy(*CHAIN).orderBy("point_order")
+    layers = points.where(F.size("cands") > 0).withColumn("before", F.lag("cands").over(chain)).where("before IS NOT NULL")
+    pairs = layers.select(*CHAIN, "point_order", "obs_bearing", "cands", F.posexplode("before").alias("i", "a"))
+    return pairs.select(*CHAIN, "point_order", "obs_bearing", "i", "a", F.posexplode("cands").alias("j", "b"))
+
+
+def bounded_shortest_paths(edges: DataFrame, sources: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """``n1, n2, path_m``: undirected distances of at most ``path_m`` from the nodes ``n1`` of ``sources``.
+
+    Up to ``BROADCAST_EDGES`` edges every task searches from its sources in a copy of the graph; beyond that the paths
+    grow by joins with the edges until none gets shorter.
+    """
+    lines = edges.select(F.col("u_key").alias("a"), F.col("v_key").alias("b"), F.col("length_m").alias("w")).where("a <> b")
+    both = lines.unionByName(lines.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where(F.col("w") <= p.path_m)
+    both = both.groupBy("a", "b").agg(F.min("w").alias("w"))
+    if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
+        return _searched(both, sources, p.path_m)
+    return _relaxed(both, sources, p.path_m)
+
+
+def _searched(steps: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+    table = steps.orderBy("a", "b").toArrow()  # at most 2 * BROADCAST_EDGES rows
+    shared = steps.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("a", "b", "w")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, w = shared.value
+        nodes, first = np.unique(a, return_index=True)
+        place, ends = {n: i for i, n in enumerate(nodes.tolist())}, np.append(first[1:], len(a)).tolist()
+        first, b, w = first.tolist(), b.tolist(), w.tolist()
+        for batch in batches:
+            out: list[tuple[int, int, float]] = []
+            for source in batch.column(0).to_pylist():
+                done: dict[int, float] = {}
+                heap = [(0.0, source)]
+                while heap:
+                    d, n = heapq.heappop(heap)
+                    if n in done:
+                        continue
+                    done[n] = d
+                    if (i := place.get(n)) is not None:
+                        for e in range(first[i], ends[i]):
+                            if b[e] not in done and d + w[e] <= limit:
+                                heapq.heappush(heap, (d + w[e], b[e]))
+                out += [(source, n, d) for n, d in done.items()]
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["n1", "n2", "path_m"]
+            )
+
+    return sources.select("n1").mapInArrow(run, "n1 long, n2 long, path_m double")
+
+
+def _relaxed(steps: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+    known = stored(sources.select("n1", F.col("n1").alias("n2"), F.lit(0.0).alias("path_m"), F.lit(True).alias("fresh")), "paths")
+    while not known.where("fresh").isEmpty():
+        grown = known.where("fresh").join(steps, F.col("n2") == F.col("a")).select("n1", F.col("b").alias("n2"), (F.col("path_m") + F.col("w")).alias("path_m"))
+        grown = grown.where(F.col("path_m") <= limit)
+        rows = known.select("n1", "n2", "path_m", F.lit(False).alias("new")).unionByName(grown.withColumn("new", F.lit(True)))
+        # A path that is new is fresh only if it is shorter than the known one.
+        least = rows.groupBy("n1", "n2").agg(F.min("path_m").alias("path_m"), F.min(F.when(~F.col("new"), F.col("path_m"))).alias("old"))
+        known = stored(least.select("n1", "n2", "path_m", F.coalesce(F.col("path_m") < F.col("old"), F.lit(True)).alias("fresh")), "paths")
+    return known.select("n1", "n2", "path_m")
+
+
+def candidate_path_length(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """Length of the way between the two candidates of each pair, by the nodes at the ends of their edges; null without.
+
+    On one edge it is the difference of the places along it.
+    """
+    ends = lambda c, side: ((c["u"], c["along"]), (c["v"], c["length_m"] - c["along"]))[side]
+    a, b = F.col("a"), F.col("b")
+    ways = F.array(*(F.struct(ends(a, s)[0].alias("n1"), ends(b, t)[0].alias("n2"), (ends(a, s)[1] + ends(b, t)[1]).alias("off")) for s in (0, 1) for t in (0, 1)))
+    keys = [*CHAIN, "point_order", "obs_bearing", "i", "j"]
+    flat = pairs.select(
+        *keys, F.hypot(a["px"] - b["px"], a["py"] - b["py"]).alias("straight_m"), b["seg_bearing"].alias("seg_bearing"),
+        F.when(a["edge_id"] == b["edge_id"], F.abs(a["along"] - b["along"])).alias("same_m"), F.explode(ways).alias("way"),
+    ).select("*", "way.*").drop("way")
+    found = flat.join(paths, ["n1", "n2"], "left")
+    return found.groupBy(*keys, "straight_m", "seg_bearing", "same_m").agg(F.min(F.col("off") + F.col("path_m")).alias("by_nodes")).select(
+        *keys, "straight_m", "seg_bearing", F.coalesce("same_m", "by_nodes").alias("path_m")
+    )
+
+
+def best_path(scores: list[np.ndarray], moves: list[np.ndarray]) -> list[int]:
+    """Viterbi: of each layer the candidate on the best path; the first of equals (to a millionth)."""
+    total, back = scores[0], []
+    for score, move in zip(scores[1:], moves, strict=True):
+        ways = total[:, None] + move
+        k = np.argmax(np.round(ways, 6), axis=0)
+        back.append(k)
+        total = ways[k, np.arange(len(k))] + score
+    at = int(np.argmax(np.round(total, 6)))
+    out = [at]
+    for k in reversed(back):
+        at = int(k[at])
+        out.append(at)
+    return out[::-1]
+
+
+def viterbi_match(points: DataFrame, edges: DataFrame, id_col: str = "event_id", p: Params = DEFAULTS) -> DataFrame:
+    """``id_col, choice``: the candidate (from 0) of each point with candidates on the best path of its sub-chain.
+
+    Scores are columns; only the recursion over a sub-chain's layers runs in Python, one sub-chain at a time.
+    """
+    pairs = transition_pairs(points)
+    nodes = lambda c: F.array(F.col(f"{c}.u"), F.col(f"{c}.v"))
+    sources = pairs.select(F.explode(nodes("a")).alias("n1")).distinct()
+    ways = candidate_path_length(pairs, bounded_shortest_paths(edges, sources, p))
+    move = transition_score(F.col("path_m"), F.col("straight_m"), F.col("obs_bearing"), F.col("seg_bearing"))
+    moves = ways.groupBy(*CHAIN, "point_order").agg(F.collect_list(F.struct("i", "j", move.alias("s"))).alias("moves"))
+    layers = points.where(F.size("cands") > 0).join(chain_dt_mode(points), list(CHAIN))
+    layers = layers.select(id_col, *CHAIN, "point_order", F.transform("cands", lambda c: obs_log_score(c["d"], F.col("beta"))).alias("scores"))
+    layers = layers.join(moves, [*CHAIN, "point_order"], "left")
+    kind = points.schema[id_col].dataType.simpleString()
+
+    def run(chain: pa.Table) -> pa.Table:
+        chain = chain.sort_by("point_order")
+        scores = [np.array(s) for s in chain.column("scores").to_pylist()]
+        moves = []
+        for before, after, found in zip(scores, scores[1:], chain.column("moves").to_pylist()[1:], strict=False):
+            grid = np.zeros((len(before), len(after)))
+            for m in found:
+                grid[m["i"], m["j"]] = m["s"]
+            moves.append(grid)
+        return pa.table({id_col: chain.column(id_col), "choice": pa.array(best_path(scores, moves), pa.int32())})
+
+    return layers.groupBy(*CHAIN).applyInArrow(run, f"{id_col} {kind}, choice int")
+
+
+def attach_projection(points: DataFrame, chosen: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """All points with their chosen edge, its projection and ``matched`` 0/1; without one these are null."""
+    rows = points.join(chosen, id_col, "left").withColumn("c", F.when(F.col("choice").isNotNull(), F.element_at("cands", F.col("choice") + 1)))
+    rows = rows.select(
+        *(c for c in points.columns if c != "cands"), F.col("c").isNotNull().cast("int").alias("matched"), F.col("c.edge_id").alias("edge_id"),
+        F.col("c.osm_id").alias("osm_id"), F.col("c.u").alias("matched_u"), F.col("c.v").alias("matched_v"), F.col("c.k").alias("matched_k"),
+        F.col("c.road_level").alias("road_level"), F.col("c.oneway").alias("oneway"), F.col("c.d").alias("proj_dist_m"),
+        F.col("c.seg_bearing").alias("seg_bearing"), F.col("c.px").alias("proj_x"), F.col("c.py").alias("proj_y"),
+    )
+    rows = rows.withColumn("travel_dir", travel_dir(F.col("obs_bearing"), F.col("seg_bearing")))
+    rows = add_wgs84(rows, F.col("proj_x"), F.col("proj_y"), "proj_lon", "proj_lat")
+    return rows.withColumns({"proj_lon": F.bround("proj_lon", 7), "proj_lat": F.bround("proj_lat", 7)})
+
+
+def is_reverse_point(p: Params = DEFAULTS) -> Column:
     """Against the legal direction; on two-way roads heading to the right of the drawn direction; null without bearings."""
-    obs, seg = F.col("obs_bearing"), F.col("forward_bearing")
+    obs, seg = F.col("obs_bearing"), F.col("seg_bearing")
+    oneway = F.upper(F.coalesce("oneway", F.lit("B")))
     turn = F.round(F.sin(F.radians(obs - seg)), 9)
-    legal = F.when(F.col("oneway") == "T", F.pmod(seg + 180, F.lit(360.0))).otherwise(seg)
-    rule = F.when(F.col("oneway") == "B", turn > 0).otherwise(F.round(angdiff(obs, legal), 9) >= p.reverse_deg)
+    legal = F.when(oneway == "F", seg).otherwise(F.pmod(seg + 180, F.lit(360.0)))
+    rule = F.when(oneway == "B", turn > 0).otherwise(F.round(angdiff(obs, legal), 9) >= p.reverse_deg)
     return F.when(obs.isNotNull() & seg.isNotNull(), rule)
 
 
-def reverse_events(matched: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """One event for each sub-chain with more than ``reverse_ratio`` of its judged points in the wrong direction."""
-    chain = Window.partitionBy("vehicle_id", "segment_seq")
-    rows = matched.withColumns({"wrong": is_reverse(p), "n": F.count("*").over(chain)})
+def reverse_ratio(matched: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Per sub-chain: judged and wrong points, their share, first and last time, the row in the middle, the first row's road."""
+    chain = Window.partitionBy(*CHAIN)
+    rows = matched.withColumns({"wrong": is_reverse_point(p), "n": F.count("*").over(chain)})
     judged = F.count_if(F.col("wrong").isNotNull() & (F.col("matched") == 1))
     bad = F.count_if(F.col("wrong") & (F.col("matched") == 1))
     middle = F.max(F.when(F.col("point_order") == F.floor(F.col("n") / 2), F.struct("lon", "lat")))
-    out = rows.groupBy("vehicle_id", "segment_seq", "segment_id").agg(
-        judged.alias("n_judged"), bad.alias("n_reverse"), F.min("time").alias("start_time"), F.max("time").alias("end_time"), middle.alias("mid")
-    )
-    out = out.where((F.col("n_judged") > 0) & (F.col("n_reverse") > p.reverse_ratio * F.col("n_judged")))
+    out = rows.groupBy(*CHAIN, "segment_id").agg(
+        judged.alias("n_judged"), bad.alias("n_reverse"), F.min("time").alias("start_time"), F.max("time").alias("end_time"), middle.alias("mid"),
+        F.min_by(F.struct("oneway", "road_level"), "point_order").alias("road"),
+    )
+    return out.withColumn("ratio", F.try_divide(F.col("n_reverse"), F.col("n_judged")))
+
+
+def reverse_events(matched: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """One event for each sub-chain with more than ``reverse_ratio`` of its judged points in the wrong direction."""
+    out = reverse_ratio(matched, p).where(F.col("n_reverse") > p.reverse_ratio * F.col("n_judged"))
+    seconds = F.timestamp_diff("MICROSECOND", F.col("start_time"), F.col("end_time")) / 1e6
+    detail = F.to_json(F.struct(F.bround("ratio", 4).alias("ratio"), "n_reverse", "n_judged", "road.oneway", "road.road_level"))
     return out.select(
-        F.lit("reverse").alias("event_type"), "vehicle_id", "segment_seq", "segment_id", "start_time", "end_time",
-        F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time")).cast("double").alias("duration_s"),
-        (F.col("n_reverse") / F.col("n_judged")).alias("value_main"), F.col("mid.lon").alias("lon"), F.col("mid.lat").alias("lat"),
+        F.lit("reverse").alias("event_type"), *CHAIN, "segment_id", "start_time", "end_time", F.bround(seconds, 1).alias("duration_s"),
+        F.bround("ratio", 4).alias("value_main"), F.col("mid.lon").alias("lon"), F.col("mid.lat").alias("lat"), detail.alias("detail"),
     )
 
 
-def match_summary(matched: DataFrame) -> DataFrame:
-    return matched.agg(F.count("*").alias("n_points"), F.sum("matched").alias("n_matched"), F.round(F.avg("matched"), 4).alias("match_rate"))
+def match_summary(matched: DataFrame, modes: DataFrame) -> DataFrame:
+    """Points, matched points, their share; and how many sub-chains are fast or slow (``chain_dt_mode``)."""
+    one = matched.agg(F.count("*").alias("n_points"), F.sum("matched").alias("n_matched"), F.bround(F.avg("matched"), 4).alias("match_rate"))
+    return one.crossJoin(modes.agg(F.count_if(F.col("dt_mode") < 10).alias("n_fast"), F.count_if(F.col("dt_mode") >= 10).alias("n_slow")))  # one row each
 
 
 def match_offset_quantiles(matched: DataFrame) -> DataFrame:
-    q = F.percentile("proj_dist_m", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return matched.where("matched = 1").groupBy("road_level").agg(F.count("*").alias("n"), q.alias("q")).select(
-        "road_level", "n", *(F.round(F.col("q")[i], 1).alias(c) for i, c in enumerate(("p50", "p95", "p99")))
+    """Per road level the number of matched points, quantiles of their distance, and whether these keep the limits."""
+    rows = matched.where("matched = 1").withColumn("d", F.bround("proj_dist_m", 2))
+    q = exact_quantiles(rows, "d", (0.5, 0.95, 0.99), ("road_level",)).select(
+        "road_level", "n", *(F.bround(F.col("q")[i], 1).alias(c) for i, c in enumerate(("p50", "p95", "p99")))
     )
+    limit = lambda i: F.create_map(*(F.lit(x) for k, v in OFFSET_LIMITS.items() for x in (k, v[i] if v[i] is not None else float("inf"))))[F.col("road_level")]
+    return q.withColumn("passes", (F.col("p95") <= limit(0)) & (F.col("p99") <= limit(1)))

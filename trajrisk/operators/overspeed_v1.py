@@ -1,10 +1,16 @@
-"""The degree-grid line: flags, cells, hourly and daily series, trend."""
+"""The degree-grid line: flags, cells, hot spots, hourly and daily series, trend, alerts, dashboard tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import mercator_mid_lat
+from ..functions.labels import alert_level, alert_type, control_suggestions, control_text, evolution_pattern, high_risk_period, pattern_color, time_slice
 from ..params import DEFAULTS, Params
 
 
@@ -12,48 +18,177 @@ def overspeed_flag(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return points.withColumn("is_overspeed", (F.col("speed_kmh") >= p.overspeed_kmh).cast("int"))
 
 
-def append_points_dedup(existing: DataFrame, new: DataFrame) -> DataFrame:
-    return existing.unionByName(new).dropDuplicates(["order_id", "event_time", "lon", "lat"])
+def append_points_dedup(existing: DataFrame, new: DataFrame, order: str = "source_row") -> DataFrame:
+    """Both, one row for each (order_id, event_time, lon, lat): an existing one before a new one, then the first by ``order``."""
+    both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    first = Window.partitionBy("order_id", "event_time", "lon", "lat").orderBy("__new", order)
+    return both.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__new")
 
 
 def v1_grid(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Cells of ``v1_cell_deg``: corner, centre, counts, mean speed, first and last time, time slice."""
     c = p.v1_cell_deg
     cells = points.withColumns({"gx": F.floor(F.col("lon") / c), "gy": F.floor(F.col("lat") / c)})
-    return cells.groupBy("gx", "gy").agg(
+    out = cells.groupBy("gx", "gy").agg(
         F.sum("is_overspeed").alias("overspeed_count"), F.count("order_id").alias("trajectory_count"),
-        F.round(F.avg("speed_kmh"), 4).alias("mean_speed"), F.min("event_time").alias("time_min"), F.max("event_time").alias("time_max"),
-    ).withColumn("grid_id", F.concat(F.lit("G"), F.col("gx"), F.lit("_"), F.col("gy")))
+        F.avg("speed_kmh").alias("mean_speed"), F.min("event_time").alias("time_min"), F.max("event_time").alias("time_max"),
+    )
+    lon, lat = F.col("gx") * c, F.col("gy") * c
+    return out.withColumns({
+        "grid_id": F.concat(F.lit("G"), F.col("gx"), F.lit("_"), F.col("gy")), "lon_min": lon, "lat_min": lat, "center_lon": lon + c / 2,
+        "center_lat": mercator_mid_lat(lat, lat + c), "time_slice": time_slice(F.col("time_min"), F.col("time_max")),
+    })
+
+
+def v1_hotspot_fallback(grid: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """The cells of most overspeeds; z is 2.1 from their median on and 1.7 below."""
+    top = grid.orderBy(F.desc("overspeed_count"), "grid_id").limit(p.fallback_n)
+    half = top.agg(F.median("overspeed_count").alias("half"))  # of at most ``fallback_n`` rows
+    z = F.when(F.col("overspeed_count") >= F.col("half"), 2.1).otherwise(1.7)
+    level = F.when(F.col("gi_z") >= 2.58, "high").when(F.col("gi_z") >= 1.96, "medium").otherwise("low")
+    return top.crossJoin(half).withColumn("gi_z", z).withColumn("risk_level", level).drop("half")  # one row
+
+
+def hotspot_ids(hotspots: DataFrame) -> DataFrame:
+    """``area_id`` HS-0001 and so on by score; hot spots are few."""
+    return hotspots.withColumn("area_id", F.format_string("HS-%04d", F.row_number().over(Window.orderBy(F.desc("gi_z"), "grid_id"))))
+
+
+def alert_ids(alerts: DataFrame, stamp: str) -> DataFrame:
+    return alerts.withColumn("alert_id", F.format_string(f"ALERT-{stamp}-%04d", F.row_number().over(Window.orderBy("area_id"))))
+
+
+def top_hotspots(hotspots: DataFrame, n: int = 10) -> DataFrame:
+    return hotspots.orderBy(F.desc("gi_z"), "area_id").limit(n)
+
+
+def filter_hotspots(hotspots: DataFrame, level: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Of one level (``all`` or none: of any), and with a time span that overlaps the given one."""
+    out = hotspots if level in (None, "all") else hotspots.where(F.col("risk_level") == level)
+    if start is None:
+        return out
+    a, b = F.lit(start).cast("timestamp_ntz"), F.lit(end or start).cast("timestamp_ntz")
+    apart = (F.col("time_max") < a) | (F.col("time_min") > b)
+    return out.where(F.coalesce(~apart, F.lit(True)))
+
+
+def tag_evolution(hotspots: DataFrame, trend: DataFrame) -> DataFrame:
+    """``evolution_pattern`` and ``pattern_color`` from the level, the score and the trend's z (one row)."""
+    rows = hotspots.crossJoin(F.broadcast(trend.select(F.col("z").alias("trend_z"))))
+    rows = rows.withColumn("evolution_pattern", evolution_pattern(F.col("risk_level"), F.col("gi_z"), F.col("trend_z")))
+    return rows.withColumn("pattern_color", pattern_color(F.col("evolution_pattern"))).drop("trend_z")
+
+
+def hotspot_export_rows(hotspots: DataFrame, level: str | None = None) -> DataFrame:
+    out = filter_hotspots(hotspots, level).withColumn("control", control_text(F.col("risk_level")))
+    return out.select("area_id", "grid_id", "risk_level", "time_slice", "gi_z", "trajectory_count", "center_lon", "center_lat", "control")
+
+
+def generate_alerts(hotspots: DataFrame, trend: DataFrame, stamp: str) -> DataFrame:
+    """One pending alert for each hot spot of medium or high risk."""
+    rows = hotspots.crossJoin(F.broadcast(trend.select(F.col("z").alias("trend_z"))))  # one row
+    rows = rows.withColumn("alert_level", alert_level(F.col("risk_level"), F.col("gi_z"), F.col("trend_z"))).where("alert_level IS NOT NULL")
+    rows = rows.withColumns({
+        "alert_type": alert_type(F.col("alert_level")), "expected_period": high_risk_period(F.col("time_slice")),
+        "control_suggestions": control_suggestions(F.col("alert_level")), "status": F.lit("pending"),
+    })
+    return alert_ids(rows, stamp).select(
+        "alert_id", "area_id", "grid_id", "alert_level", "alert_type", "risk_level", "gi_z", "center_lon", "center_lat", "time_slice", "trajectory_count",
+        "expected_period", "control_suggestions", "status",
+    )
+
+
+def filter_alerts(alerts: DataFrame, level: str | None = None, status: str | None = None) -> DataFrame:
+    out = alerts if level is None else alerts.where(F.col("alert_level") == level)
+    return out if status is None else out.where(F.col("status") == status)
+
+
+def alert_statistics(alerts: DataFrame) -> DataFrame:
+    """Counts by level, by status and in all, in one pass."""
+    return alerts.sparkSession.sql("SELECT alert_level, status, count(*) AS n FROM {a} GROUP BY GROUPING SETS ((alert_level), (status), ())", a=alerts)
+
+
+def risk_distribution(hotspots: DataFrame) -> DataFrame:
+    return hotspots.agg(*(F.count_if(F.col("risk_level") == x).alias(x) for x in ("high", "medium", "low")))
+
+
+def dashboard_metrics(grid: DataFrame, hotspots: DataFrame, moran: DataFrame, trend: DataFrame) -> DataFrame:
+    """One row: cells, hot spots, Moran's I and p, trend, hot spots by level."""
+    one = grid.agg(F.count("*").alias("grid_count")).crossJoin(hotspots.agg(F.count("*").alias("hotspot_count")))
+    return one.crossJoin(moran.select("moran_i", F.col("p").alias("moran_p"))).crossJoin(trend.select(F.col("z").alias("trend_z"), "trend")).crossJoin(risk_distribution(hotspots))
 
 
 def hourly_distribution(points: DataFrame) -> DataFrame:
-    return points.groupBy(F.hour("event_time").alias("hour")).agg(F.sum("is_overspeed").alias("overspeed"), F.count("*").alias("n"))
+    """By hour of the day, with a mark at the hour of most overspeeds (the first of equals)."""
+    hours = points.groupBy(F.hour("event_time").alias("hour")).agg(F.sum("is_overspeed").alias("overspeed"), F.count("*").alias("n"))
+    peak = hours.agg(F.max_by("hour", F.struct("overspeed", -F.col("hour"))).alias("peak"))
+    return hours.crossJoin(F.broadcast(peak)).select("hour", "overspeed", "n", (F.col("hour") == F.col("peak")).alias("is_peak"))  # one row
 
 
-def daily_trend(points: DataFrame) -> DataFrame:
-    return points.groupBy(F.to_date("event_time").alias("day")).agg(
-        F.sum("is_overspeed").alias("overspeed"), F.count("*").alias("n"), F.round(F.avg("speed_kmh"), 4).alias("mean_speed")
-    )
+def daily_trend(points: DataFrame, day: str | None = None) -> DataFrame:
+    """By day; of one ``day`` by hour."""
+    key = F.to_date("event_time").alias("day") if day is None else F.hour("event_time").alias("hour")
+    rows = points if day is None else points.where(F.to_date("event_time") == F.lit(day).cast("date"))
+    return rows.groupBy(key).agg(F.sum("is_overspeed").alias("overspeed"), F.count("*").alias("n"), F.bround(F.avg("speed_kmh"), 4).alias("mean_speed"))
 
 
-def hourly_series(points: DataFrame) -> DataFrame:
-    """Hourly sums with empty hours as 0, from the first hour to the last."""
-    hours = points.groupBy(F.date_trunc("hour", "event_time").cast("timestamp_ntz").alias("bucket_ts")).agg(F.sum("is_overspeed").alias("value"))
-    span = hours.agg(F.min("bucket_ts").alias("a"), F.max("bucket_ts").alias("b"))
+def gap_fill_hours(hours: DataFrame) -> DataFrame:
+    """``bucket_ts, value`` with empty hours as 0, from the first hour to the last."""
+    span = hours.agg(F.min("bucket_ts").alias("a"), F.max("bucket_ts").alias("b")).where("a IS NOT NULL")
     calendar = span.select(F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("bucket_ts"))
     return calendar.join(hours, "bucket_ts", "left").select("bucket_ts", F.coalesce("value", F.lit(0)).alias("value"))
 
 
-def mann_kendall(series: DataFrame, key: str = "key") -> DataFrame:
-    """S, tie-corrected variance, z with continuity correction, tau and label of each key's series (``bucket_ts, value``).
-
-    S comes from counts of (earlier, later) pairs of an ordered array, folded in one expression a key.
+def hourly_series(points: DataFrame) -> DataFrame:
+    bucket = F.date_trunc("hour", "event_time").cast("timestamp_ntz").alias("bucket_ts")
+    return gap_fill_hours(points.groupBy(bucket).agg(F.sum("is_overspeed").alias("value")))
+
+
+def sign_sum(values: np.ndarray) -> int:
+    """Sum of the signs of later minus earlier values over all pairs, by merging sorted halves."""
+    total = 0
+    blocks = [values[i : i + 1] for i in range(len(values))]
+    while len(blocks) > 1:
+        merged = []
+        for a, b in zip(blocks[::2], blocks[1::2], strict=False):
+            lower, upper = np.searchsorted(a, b, "left"), np.searchsorted(a, b, "right")
+            total += int(lower.sum() - (len(a) - upper).sum())
+            merged.append(np.sort(np.concatenate([a, b]), kind="stable"))
+        if len(blocks) % 2:
+            merged.append(blocks[-1])
+        blocks = merged
+    return total
+
+
+def mann_kendall(series: DataFrame, key: str = "key", alpha: float = 0.05) -> DataFrame:
+    """``key, n, s, var_s, z, p, tau, trend`` of each key's series (``bucket_ts, value``): tie-corrected variance, continuity
+    correction, two-sided test. A series has one value an hour or day, so a key's fits in a task.
     """
-    array = F.transform(F.array_sort(F.collect_list(F.struct("bucket_ts", "value"))), lambda x: x["value"])
-    s = F.expr("aggregate(sequence(1, size(v) - 1), 0L, (s, i) -> s + aggregate(slice(v, 1, i), 0L, (t, x) -> t + cast(sign(v[i] - x) AS bigint)))")
-    ties = series.groupBy(key, "value").agg(F.count("*").alias("t")).groupBy(key).agg(F.sum(F.expr("t * (t - 1) * (2 * t + 5)")).alias("ties"))
-    out = series.groupBy(key).agg(array.alias("v"), F.count("*").alias("n")).where("n > 1").withColumn("s", s).join(ties, key)
-    out = out.withColumn("var_s", (F.expr("n * (n - 1) * (2 * n + 5)") - F.col("ties")) / 18.0)
-    z = F.when((F.col("s") == 0) | (F.col("var_s") == 0), 0.0).otherwise((F.col("s") - F.signum("s")) / F.sqrt("var_s"))
-    out = out.withColumns({"z": F.round(z, 6), "tau": F.round(F.col("s") / (F.expr("n * (n - 1)") / 2), 6), "var_s": F.round("var_s", 4)})
-    label = F.when(F.col("z") > 1.959964, "increasing").when(F.col("z") < -1.959964, "decreasing").otherwise("no trend")
-    return out.select(key, "n", "s", "var_s", "z", "tau", label.alias("trend"))
+    kind = series.schema[key].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        x = group.sort_by("bucket_ts").column("value").to_numpy().astype(float)
+        n = len(x)
+        s = sign_sum(x)
+        ties = np.unique(x, return_counts=True)[1].astype(float)
+        var = (n * (n - 1) * (2 * n + 5) - (ties * (ties - 1) * (2 * ties + 5)).sum()) / 18
+        z = (s - np.sign(s)) / math.sqrt(var) if s and var > 0 else 0.0
+        p = math.erfc(abs(z) / math.sqrt(2))
+        trend = "no trend" if p >= alpha else "increasing" if z > 0 else "decreasing"
+        tau = s / (n * (n - 1) / 2) if n > 1 else 0.0
+        return pa.table({
+            key: group.column(key).slice(0, 1), "n": pa.array([n], pa.int64()), "s": pa.array([s], pa.int64()), "var_s": [round(var, 4)], "z": [round(float(z), 6)],
+            "p": [round(p, 6)], "tau": [round(tau, 6)], "trend": [trend],
+        })
+
+    schema = f"{key} {kind}, n long, s long, var_s double, z double, p double, tau double, trend string"
+    return series.select(key, "bucket_ts", "value").groupBy(key).applyInArrow(run, schema)
+
+
+def mean_slope_trend(series: DataFrame, key: str = "key") -> DataFrame:
+    """Sign of the mean difference of consecutive values; it is that of the last value against the first."""
+    order = F.struct("bucket_ts")
+    out = series.groupBy(key).agg(F.count("*").alias("n"), F.max_by("value", order).alias("last"), F.min_by("value", order).alias("first"))
+    slope = F.when(F.col("n") > 1, (F.col("last") - F.col("first")) / (F.col("n") - 1)).otherwise(0.0)
+    trend = F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing").otherwise("no trend")
+    return out.select(key, "n", F.bround(slope, 6).alias("slope")).withColumn("trend", trend)

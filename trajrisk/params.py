@@ -15,6 +15,7 @@ class Params:
     radius_m: float = 100.0
     far_m: float = 45.0
     candidates: int = 5
+    path_m: float = 600.0
     overspeed_kmh: float = 20.0
     overspeed_s: float = 10.0
     overspeed_points: int = 2
@@ -32,6 +33,11 @@ class Params:
     fallback_n: int = 8
     v1_cell_deg: float = 0.0045
     feedback_days: int = 14
+    box_lon: float = 0.0016
+    box_lat: float = 0.0012
+    min_cells: int = 5
+    lisa_p: float = 0.05
+    permutations: int = 999
 
 
 DEFAULTS = Params()

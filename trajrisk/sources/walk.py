@@ -1,7 +1,6 @@
-"""Trajectories laid over the ``events`` table: a deterministic walk, and a lattice of roads below it.
+"""Trajectories laid over the ``events`` table: a deterministic walk, and roads below it.
 
-Positions are whole micro-degrees until the end, so that running sums are exact in every engine. The text is plain SQL
-that Spark and the oracles' engine read alike.
+Positions are whole micro-degrees until the end, so that running sums are exact in every engine.
 """
 
 from __future__ import annotations
@@ -29,13 +28,20 @@ FROM (SELECT *, 25200 + leg * 600 + j * dt AS t,
       FROM (SELECT *, CAST(floor(rn / 12.0) AS BIGINT) AS leg, rn % 12 AS j
         FROM (SELECT event_id, user_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM {events}) a) b) c) d) e
 """
-LATTICE = """
-SELECT CAST(row_number() OVER (ORDER BY vertical, i, j) AS BIGINT) AS osm_id, u_x, u_y, v_x, v_y,
-  CASE (i + 2 * j) % 7 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' WHEN 2 THEN 'tertiary' WHEN 3 THEN 'residential' WHEN 4 THEN 'footway' WHEN 5 THEN 'service' ELSE 'trunk_link' END AS fclass,
-  CASE (3 * i + j) % 5 WHEN 0 THEN 'F' WHEN 1 THEN 'T' ELSE 'B' END AS oneway
-FROM (SELECT a.i, b.j, v.vertical, 116458300 + 975 * a.i AS u_x, 39714000 + 750 * b.j AS u_y,
-    116458300 + 975 * (a.i + 1 - v.vertical) AS v_x, 39714000 + 750 * (b.j + v.vertical) AS v_y
-  FROM {i} a, {j} b, {v} v WHERE (v.vertical = 0 AND a.i < 50) OR (v.vertical = 1 AND b.j < 46)) e
+#: Roads below the places that are visited at least twice, and one cell around: the network grows with the table.
+ROADS = """
+SELECT (i + 10000) * 200000 + (j + 10000) * 2 + vertical AS osm_id,
+  CASE pmod(i + 2 * j, 7) WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' WHEN 2 THEN 'tertiary' WHEN 3 THEN 'residential' WHEN 4 THEN 'footway' WHEN 5 THEN 'service' ELSE 'trunk_link' END AS fclass,
+  CASE pmod(3 * i + j, 5) WHEN 0 THEN 'F' WHEN 1 THEN 't' WHEN 2 THEN NULL ELSE 'B' END AS oneway, CAST(NULL AS STRING) AS name, CAST(NULL AS DOUBLE) AS maxspeed,
+  array(filter(array(
+    named_struct('lon', u_x / 1e6, 'lat', u_y / 1e6),
+    CASE WHEN pmod(i + 3 * j + vertical, 11) = 0 THEN named_struct('lon', (u_x + 487 - 467 * vertical) / 1e6, 'lat', (u_y + 20 + 355 * vertical) / 1e6) END,
+    named_struct('lon', v_x / 1e6, 'lat', v_y / 1e6)), p -> p IS NOT NULL)) AS lines
+FROM (SELECT i, j, vertical, 116458300 + 975 * i AS u_x, 39714000 + 750 * j AS u_y, 116458300 + 975 * (i + 1 - vertical) AS v_x, 39714000 + 750 * (j + vertical) AS v_y
+  FROM (SELECT DISTINCT i + di AS i, j + dj AS j FROM (
+      SELECT CAST(floor((lon_u - 116458300) / 975.0) AS BIGINT) AS i, CAST(floor((lat_u - 39714000) / 750.0) AS BIGINT) AS j FROM {points} GROUP BY 1, 2 HAVING count(*) >= 2)
+    LATERAL VIEW explode(array(-1, 0, 1)) a AS di LATERAL VIEW explode(array(-1, 0, 1)) b AS dj)
+  LATERAL VIEW explode(array(0, 1)) c AS vertical)
 """
 
 
@@ -44,10 +50,6 @@ def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def road_lattice(spark: SparkSession) -> DataFrame:
-    numbers = {n: spark.range(k).withColumnRenamed("id", c) for n, k, c in (("i", 51, "i"), ("j", 47, "j"), ("v", 2, "vertical"))}
-    return spark.sql(LATTICE, **numbers)
-
-
-RAW_SQL = RAW.format(events="events")
-LATTICE_SQL = LATTICE.format(i="(SELECT range AS i FROM range(51))", j="(SELECT range AS j FROM range(47))", v="(SELECT range AS vertical FROM range(2))")
+def road_lines(spark: SparkSession, points: DataFrame) -> DataFrame:
+    """Roads as a road file has them, below the points of ``raw_points``."""
+    return spark.sql(ROADS, points=points)
