@@ -17,6 +17,10 @@ ALNUM = bytes(
 )
 
 
+#: Values of a key that are sent to every executor, at most.
+BROADCAST_IDS = 4_000_000
+#: Tasks that rows of one key are dealt to where that key may be very frequent.
+SALTS = 32
 #: First letters of the names of bucketed tables.
 BUCKETED = "bucketed_"
 
@@ -66,6 +70,23 @@ def materialize_by(df: DataFrame, name: str, key: str, free: bool = False) -> Da
     return spark.table(name)
 
 
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """Left join on ``key`` of which one value may be in very many rows of ``left``: these are dealt to ``SALTS`` tasks by
+    ``by``. ``right`` has one row a value, and only values that are worth it, as each row is sent ``SALTS`` times."""
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")
+
+
+def leave_out(docs: DataFrame, gone: DataFrame, key, gone_key: str) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` (a column) is not among the distinct values of ``gone_key``, with all their columns.
+
+    Up to ``BROADCAST_IDS`` values go to every executor, so that the texts stay where they are; more are joined by shuffle.
+    """
+    gone = materialize(gone, "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, key == F.col(gone_key), "left_anti").select(*docs.columns)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, discard, materialize, table, texts_of
+from .common import ALNUM, discard, leave_out, materialize, table, texts_of
 
 WINDOW = 10
 #: Text bytes in a shard, beyond which the next one begins. A single longer text makes a longer shard.
@@ -286,7 +286,7 @@ def drop_hit(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col:
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.lit("\0"), text).cast("binary"))
     found = contamination(docs.select(key.alias("key"), text.alias("text")), benchmark, size, id_col="key")
     gone = found.where(F.octet_length("hit") > 0).select(F.col("doc_id").alias("__key")).distinct()
-    return docs.join(gone, key == F.col("__key"), "left_anti").select(*docs.columns)
+    return leave_out(docs, gone, key, "__key")
 
 
 def _merge_runs(column: str):

@@ -36,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, table, texts_of
+from .common import connected_components, discard, leave_out, materialize, salted_left_join, table, texts_of
 
 SHINGLE, SKETCH, THRESHOLD = 5, 64, 75
 WHOLE, NEED = 48, 28
 #: Lists of more entries are compared in blocks of this many documents instead of pair by pair.
 LONG_LIST, BLOCK = 48, 512
+#: Classes with a value beyond which it is hot, and hot values at most.
+HOT_VALUE, MOST_HOT = 1_000, 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -120,15 +122,20 @@ def _all_values(texts: DataFrame) -> DataFrame:
 
 def _lists(values: DataFrame, size, need) -> DataFrame:
     """``value, rep, n, single``: the prefixes, without the ``single`` values that only that class has."""
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    shared = materialize(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    # Values of very many classes don't meet in one task: there are few, they are joined where the classes are.
+    often = F.col("df") > max(HOT_VALUE, (shared.agg(F.sum("df")).first()[0] or 0) // MOST_HOT)
+    hot = F.broadcast(shared.where(often))  # at most MOST_HOT rows
+    joined = values.join(hot, "value").unionByName(values.join(hot, "value", "left_anti").join(shared.where(~often), "value"))
     own = Window.partitionBy("rep")
-    ranked = values.join(shared, "value").withColumns({
+    ranked = joined.withColumns({
         "single": size - F.count("*").over(own), "rank": F.row_number().over(own.orderBy("df", "value")),
     })
     prefixes = materialize(ranked.where(F.col("single") + F.col("rank") <= size - need + 1).select("value", "rep", "n", "single"), "prefixes")
     wide = prefixes.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
     lists = materialize(prefixes.join(wide, "value"), "lists", free=True)
     discard(prefixes)
+    discard(shared)
     return lists
 
 
@@ -301,8 +308,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(sketch(docs, id_col, text_col), "sketches")
     full = rows.where("n_shingles > 0 and doc_id is not null")
     voice = full.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    owner = voice.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = materialize(voice.join(owner, "digest").select("doc_id", "rep", "digest"), "members")
+    owner = voice.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
+    members = salted_left_join(voice, owner, "digest", "doc_id")
+    members = materialize(members.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "digest"), "members")
     classes = materialize(
         full.join(members.where("doc_id = rep"), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
         .select("rep", F.col("n_shingles").alias("n"), "digest", "sketch"), "classes", free=True,
@@ -340,8 +348,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows with one id that stays, the one that speaks for it is kept; of equal ones any.
     """
     groups = near_duplicates(docs, id_col, text_col)
-    gone = groups.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    stay = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    stay = leave_out(docs, gone, F.col(id_col), "__gone")
     again = groups.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
     if again.isEmpty():
         return stay

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, materialize_by, pack as _pack, table, texts_of, unpack as _unpack
+from .common import discard, materialize, materialize_by, pack as _pack, salted_left_join, table, texts_of, unpack as _unpack
 
 LENGTH, GRAM = 100, 16
 #: A difference cover: every residue modulo PERIOD is a difference of two members.
@@ -459,8 +459,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = [r[0] for r in anchors.where("kid is null").select("h").collect()]  # at most one for every ``hot`` windows
     hashes = anchors.where("kid is not null").groupBy("kid").agg(F.collect_list("h").alias("hs"))
     slim = whole.select("kid", "md5")
-    owner = slim.groupBy("md5").agg(F.min("kid").alias("owner"))
-    copies = slim.join(owner, "md5").where("kid > owner").groupBy("kid").agg(F.collect_set("md5").alias("copies"))
+    owner = slim.groupBy("md5").agg(F.min("kid").alias("owner"), F.count("*").alias("m")).where("m > 1").drop("m")
+    copies = salted_left_join(slim, owner, "md5", "kid").where("kid > owner").groupBy("kid").agg(F.collect_set("md5").alias("copies"))
     marked = whole.join(hashes.hint("merge"), "kid", "left").join(copies.hint("merge"), "kid", "left")
     marked = marked.withColumn("copy", F.coalesce(F.array_contains("copies", F.col("md5")), F.lit(False)) & (F.octet_length("text") >= LENGTH))
     open_ = F.col("hs").isNotNull() & ~F.col("copy")
