@@ -233,6 +233,7 @@ PARTS = {
     "v1gi": "SELECT grid_id, gi_z, " + _LEVEL.format(z="round(gi_z, 9)") + " AS risk_level FROM (" + _gi("v1c", "v1knn") + ") WHERE fine = 1 AND round(gi_z, 9) >= 1.28",
     "v1top": """SELECT grid_id, CASE WHEN o >= median(o) OVER () THEN 2.1 ELSE 1.7 END AS gi_z, CASE WHEN o >= median(o) OVER () THEN 'medium' ELSE 'low' END AS risk_level, o FROM (SELECT * FROM v1c ORDER BY o DESC, grid_id LIMIT 8)""",
     "v1hot": """SELECT *, printf('HS-%04d', row_number() OVER (ORDER BY gi_z DESC, grid_id)) AS area_id FROM (SELECT * FROM v1gi UNION ALL SELECT grid_id, gi_z, risk_level FROM v1top WHERE NOT EXISTS (SELECT 1 FROM v1gi)) JOIN v1c USING (grid_id)""",
+    "v1fb": "SELECT *, printf('HS-%04d', row_number() OVER (ORDER BY gi_z DESC, grid_id)) AS area_id FROM (SELECT grid_id, gi_z, risk_level FROM v1top) JOIN v1c USING (grid_id)",
     "hours": """SELECT h AS bucket_ts, CAST(coalesce(v, 0) AS BIGINT) AS value FROM (SELECT unnest(generate_series(min(date_trunc('hour', event_time)), max(date_trunc('hour', event_time)), INTERVAL 1 HOUR)) AS h FROM v1)
         LEFT JOIN (SELECT date_trunc('hour', event_time) AS h, sum(is_overspeed) AS v FROM v1 GROUP BY 1) USING (h)""",
     "kinds": "SELECT event_type AS key, date_trunc('hour', event_time) AS bucket_ts, sum(is_overspeed) AS value FROM v1 GROUP BY 1, 2",
@@ -293,7 +294,7 @@ FINAL = {
     "transition_pairs": "SELECT vehicle_id, sq AS segment_seq, count(*) AS n_pairs FROM pair GROUP BY 1, 2",
     "bounded_shortest_paths": "SELECT count(*) AS n_paths, count(DISTINCT n1) AS n_sources, round_even(max(d), 1) AS longest_m, round_even(avg(d), 2) AS mean_m FROM sp",
     "candidate_path_length": "SELECT vehicle_id, count(*) AS n_pairs, count(path) AS n_paths, round_even(avg(path), 2) AS mean_path_m, round_even(avg(straight), 2) AS mean_straight_m FROM ways GROUP BY 1",
-    "viterbi_match": "SELECT event_id, osm_id * 1000 AS edge_id, round_even(off_m, 2) AS proj_dist_m, CASE WHEN obs IS NOT NULL THEN CASE WHEN cos(radians(obs - dir)) >= 0 THEN 'forward' ELSE 'backward' END END AS travel_dir, round_even(round_even(plon, 7), 5) AS proj_lon, round_even(round_even(plat, 7), 5) AS proj_lat FROM ("
+    "viterbi_match": "SELECT event_id, osm_id * 1000 AS edge_id, round_even(off_m, 2) AS proj_dist_m, CASE WHEN obs IS NOT NULL THEN CASE WHEN cos(radians(obs - dir)) >= 0 THEN 'forward' ELSE 'backward' END END AS travel_dir, round_even(plon, 7) AS proj_lon, round_even(plat, 7) AS proj_lat FROM ("
     + _degrees("SELECT * FROM matched WHERE osm_id IS NOT NULL", "px", "py", "plon", "plat") + ")",
     "match_summary": """SELECT count(*) AS n_points, count(osm_id) AS n_matched, round_even(count(osm_id) / count(*), 4) AS match_rate, (SELECT count(*) FROM modes WHERE dt_mode < 10) AS n_fast, (SELECT count(*) FROM modes WHERE dt_mode >= 10) AS n_slow FROM matched""",
     "match_offset_quantiles": """SELECT *, p95 <= CASE road_level WHEN 'arterial' THEN 25 WHEN 'sub_arterial' THEN 20 WHEN 'branch' THEN 15 WHEN 'expressway_ramp' THEN 1e9 END AND p99 <= CASE road_level WHEN 'arterial' THEN 35 WHEN 'sub_arterial' THEN 30 WHEN 'branch' THEN 20 WHEN 'expressway_ramp' THEN 30 END AS passes FROM (
@@ -346,8 +347,8 @@ FINAL = {
     "hotspot_export_rows": "SELECT area_id, grid_id, risk_level, slice AS time_slice, n AS trajectory_count, '三级管控：常态化巡查' AS control FROM v1hot WHERE risk_level = 'low'",
     "risk_distribution": "SELECT count(*) FILTER (risk_level = 'high') AS high, count(*) FILTER (risk_level = 'medium') AS medium, count(*) FILTER (risk_level = 'low') AS low FROM v1hot",
     "hourly_distribution": "SELECT hour, overspeed, n, hour = arg_max(hour, (overspeed, -hour)) OVER () AS is_peak FROM (SELECT CAST(hour(event_time) AS INTEGER) AS hour, CAST(sum(is_overspeed) AS BIGINT) AS overspeed, count(*) AS n FROM v1 GROUP BY 1)",
-    "daily_trend": "SELECT CAST(event_time AS DATE) AS day, CAST(sum(is_overspeed) AS BIGINT) AS overspeed, count(*) AS n, round_even(avg(speed_kmh), 4) AS mean_speed FROM v1 GROUP BY 1",
-    "daily_trend_hours": "SELECT CAST(hour(event_time) AS INTEGER) AS hour, CAST(sum(is_overspeed) AS BIGINT) AS overspeed, count(*) AS n, round_even(avg(speed_kmh), 4) AS mean_speed FROM v1 WHERE CAST(event_time AS DATE) = DATE '2024-01-09' GROUP BY 1",
+    "daily_trend": "SELECT CAST(event_time AS DATE) AS day, CAST(sum(is_overspeed) AS BIGINT) AS overspeed, count(*) AS n, round_even(avg(speed_kmh), 6) AS mean_speed FROM v1 GROUP BY 1",
+    "daily_trend_hours": "SELECT CAST(hour(event_time) AS INTEGER) AS hour, CAST(sum(is_overspeed) AS BIGINT) AS overspeed, count(*) AS n, round_even(avg(speed_kmh), 6) AS mean_speed FROM v1 WHERE CAST(event_time AS DATE) = DATE '2024-01-09' GROUP BY 1",
     "hourly_series": "SELECT bucket_ts, value FROM hours",
     "mann_kendall": "SELECT key, n, s, round(var_s, 4) AS var_s, round(z, 6) AS z, round(p, 6) AS p, round(s / (n * (n - 1) / 2), 6) AS tau, CASE WHEN abs(z) <= 1.959963984540054 THEN 'no trend' WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM mk",
     "mean_slope_trend": "SELECT *, CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'no trend' END AS trend FROM (SELECT key, count(*) AS n, round_even(avg(d), 6) AS slope FROM (SELECT key, value - lag(value) OVER (PARTITION BY key ORDER BY bucket_ts) AS d FROM kinds) GROUP BY 1)",
@@ -404,7 +405,7 @@ FINAL = {
 }
 _ALERT = """SELECT printf('ALERT-20240605-%04d', row_number() OVER (ORDER BY area_id)) AS alert_id, grid_id, alert_level, CASE alert_level WHEN 'red' THEN '加强的热点' WHEN 'yellow' THEN '新增热点' ELSE '持续的热点' END AS alert_type,
     CASE WHEN hour(a) IN (7, 8) THEN '早高峰（7:00-9:00）' WHEN hour(a) IN (17, 18) THEN '晚高峰（17:00-19:00）' WHEN hour(a) IN (12, 13) THEN '午间小高峰（12:00-14:00）' WHEN hour(a) IN (21, 22) THEN '夜间平峰（21:00-23:00）' ELSE '全天' END AS expected_period,
-    CAST(CASE alert_level WHEN 'blue' THEN 2 ELSE 3 END AS INTEGER) AS n_suggestions, 'pending' AS status FROM (SELECT *, CASE WHEN risk_level = 'high' AND gi_z >= 2.58 THEN 'red' WHEN risk_level = 'high' AND abs(z) > 2.58 THEN 'yellow' WHEN risk_level IN ('medium', 'high') THEN 'blue' END AS alert_level FROM v1hot, mk) WHERE alert_level IS NOT NULL"""
+    CAST(CASE alert_level WHEN 'blue' THEN 2 ELSE 3 END AS INTEGER) AS n_suggestions, 'pending' AS status FROM (SELECT *, CASE WHEN risk_level = 'high' AND gi_z >= 2.58 THEN 'red' WHEN risk_level = 'high' AND abs(z) > 2.58 THEN 'yellow' WHEN risk_level IN ('medium', 'high') THEN 'blue' END AS alert_level FROM v1fb, mk) WHERE alert_level IS NOT NULL"""
 _DASH = f"""SELECT (SELECT count(*) FROM v1c) AS grid_count, (SELECT count(*) FROM v1hot) AS hotspot_count, round_even(round(i, 6), 4) AS moran_i, round({_erfc("zz")}, 4) AS moran_p, round_even(round(z, 6), 4) AS trend_z,
     CASE WHEN abs(z) <= 1.959963984540054 THEN 'no trend' WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS trend, (SELECT count(*) FROM v1hot WHERE risk_level = 'high') AS high, (SELECT count(*) FROM v1hot WHERE risk_level = 'medium') AS medium,
     (SELECT count(*) FROM v1hot WHERE risk_level = 'low') AS low FROM (SELECT *, (i - e) / sqrt(var) AS zz FROM ({_moran("v1c", "v1knn", "0.2")})), (SELECT z FROM mk)"""

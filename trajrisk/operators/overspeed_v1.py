@@ -129,7 +129,7 @@ def daily_trend(points: DataFrame, day: str | None = None) -> DataFrame:
     """By day; of one ``day`` by hour."""
     key = F.to_date("event_time").alias("day") if day is None else F.hour("event_time").alias("hour")
     rows = points if day is None else points.where(F.to_date("event_time") == F.lit(day).cast("date"))
-    return rows.groupBy(key).agg(F.sum("is_overspeed").alias("overspeed"), F.count("*").alias("n"), F.bround(F.avg("speed_kmh"), 4).alias("mean_speed"))
+    return rows.groupBy(key).agg(F.sum("is_overspeed").alias("overspeed"), F.count("*").alias("n"), F.bround(F.avg("speed_kmh"), 6).alias("mean_speed"))
 
 
 def gap_fill_hours(hours: DataFrame) -> DataFrame:
