@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import zstandard
@@ -44,6 +46,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of at most ``size`` bytes for what is run inside; the setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 

@@ -36,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, leave_out, materialize, salted_left_join, table, texts_of
+from .common import connected_components, discard, leave_out, materialize, salted_left_join, small_batches, table, texts_of
 
 SHINGLE, SKETCH, THRESHOLD = 5, 64, 75
 WHOLE, NEED = 48, 28
 #: Lists of more entries are compared in blocks of this many documents instead of pair by pair.
 LONG_LIST, BLOCK = 48, 512
+#: Words whose hashes a task keeps at hand.
+CACHED_WORDS = 250_000
 #: Classes with a value beyond which it is hot, and hot values at most.
 HOT_VALUE, MOST_HOT = 1_000, 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -61,7 +63,7 @@ def shingles(text: bytes | None, cache: _Hashes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if n < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
-    if len(cache) > 1_000_000:
+    if len(cache) > CACHED_WORDS:
         cache.clear()
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
     x = h[: n - 4] * _MIX[0]
@@ -305,6 +307,11 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    with small_batches(docs.sparkSession):
+        return _groups(docs, id_col, text_col)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = materialize(sketch(docs, id_col, text_col), "sketches")
     full = rows.where("n_shingles > 0 and doc_id is not null")
     voice = full.groupBy("doc_id").agg(F.min("digest").alias("digest"))
