@@ -17,27 +17,27 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     before anything is sorted, and only buckets that hold a wanted rank are.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    span = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    span = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     join = (lambda a, b: a.join(F.broadcast(b), by)) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))  # a row a group
-    width = F.col("hi") - F.col("lo")
-    place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    placed = join(rows, span).withColumn("bucket", place.cast("int"))
-    sizes = placed.groupBy(*by, "bucket").agg(F.count("*").alias("c"))
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0)))  # at most ``buckets`` rows a group
-    wanted = span.select(*by, "n", F.posexplode(F.array(*(F.lit(float(q)) for q in qs))).alias("at", "p")).where("n > 0")
-    rank = (F.col("n") - 1) * F.col("p")
-    wanted = wanted.select(*by, "at", F.explode(F.array(F.struct(F.floor(rank).alias("k"), (1 - (rank - F.floor(rank))).alias("share")), F.struct((F.floor(rank) + 1).alias("k"), (rank - F.floor(rank)).alias("share")))).alias("w"))
-    wanted = wanted.select(*by, "at", "w.k", "w.share").where("share > 0")
-    held = join(sizes.withColumnRenamed("c", "size"), wanted) if by else sizes.withColumnRenamed("c", "size").crossJoin(F.broadcast(wanted))
-    held = held.where("base <= k AND k < base + size")
-    open_ = held.select(*by, "bucket", "base").distinct()
-    folded = placed.join(F.broadcast(open_), [*by, "bucket"]).groupBy(*by, "bucket", "base", "v").agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    folded = folded.withColumn("end", F.col("base") + F.sum("c").over(order))
-    found = folded.join(F.broadcast(held.select(*by, "bucket", "at", "k", "share")), [*by, "bucket"]).where("k < end AND k >= end - c")
-    found = found.groupBy(*by, "at").agg(F.sum(F.col("v") * F.col("share")).alias("x"))
-    array = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"])
+    width = F.col("_hi") - F.col("_lo")
+    place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
+    placed = join(rows, span).withColumn("_bucket", place.cast("int"))
+    sizes = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0)))  # at most ``buckets`` rows a group
+    wanted = span.select(*by, "n", F.posexplode(F.array(*(F.lit(float(q)) for q in qs))).alias("_at", "_p")).where("n > 0")
+    rank = (F.col("n") - 1) * F.col("_p")
+    wanted = wanted.select(*by, "_at", F.explode(F.array(F.struct(F.floor(rank).alias("_k"), (1 - (rank - F.floor(rank))).alias("_share")), F.struct((F.floor(rank) + 1).alias("_k"), (rank - F.floor(rank)).alias("_share")))).alias("_w"))
+    wanted = wanted.select(*by, "_at", "_w._k", "_w._share").where("_share > 0")
+    held = join(sizes.withColumnRenamed("_c", "_size"), wanted) if by else sizes.withColumnRenamed("_c", "_size").crossJoin(F.broadcast(wanted))
+    held = held.where("_base <= _k AND _k < _base + _size")
+    open_ = held.select(*by, "_bucket", "_base").distinct()
+    folded = placed.join(F.broadcast(open_), [*by, "_bucket"]).groupBy(*by, "_bucket", "_base", "_v").agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    folded = folded.withColumn("_end", F.col("_base") + F.sum("_c").over(order))
+    found = folded.join(F.broadcast(held.select(*by, "_bucket", "_at", "_k", "_share")), [*by, "_bucket"]).where("_k < _end AND _k >= _end - _c")
+    found = found.groupBy(*by, "_at").agg(F.sum(F.col("_v") * F.col("_share")).alias("_x"))
+    array = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"])
     out = found.groupBy(*by).agg(array.alias("q"))
     return span.select(*by, "n").join(out, by, "left") if by else span.select("n").join(out, F.lit(True), "left")

@@ -51,7 +51,7 @@ def index_quantiles(scored: DataFrame) -> DataFrame:
     names = [*(f"{k}_index" for k in KINDS), "cri"]
     stack = F.expr(f"stack({len(names)}, " + ", ".join(f"'{n}', coalesce({n}, 0D)" for n in names) + ") AS (name, v)")
     q = exact_quantiles(scored.select(stack), "v", (0.75, 0.9), ("name",))
-    pick = lambda n, i: F.max(F.when(F.col("name") == n, F.bround(F.col("q")[i], 4)))
+    pick = lambda n, i: F.max(F.when(F.col("name") == n, F.bround(F.get("q", F.lit(i)), 4)))
     return q.agg(
         *(pick(f"{k}_index", i).alias(f"{k}_{p}") for k in KINDS for i, p in enumerate(("p75", "p90"))), pick("cri", 0).alias("cri_p75")
     )

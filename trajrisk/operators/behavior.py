@@ -46,7 +46,7 @@ def accel_thresholds(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """P85 and P15 of accelerations between moving points; one row."""
     moving = motion_pairs(points, p).where((F.col("v0") >= p.moving_mps) & (F.col("speed_mps") >= p.moving_mps))
     out = exact_quantiles(moving, "a", (0.85, 0.15))
-    return out.select(F.col("n").alias("n_motion"), F.bround(F.col("q")[0], 3).alias("p85"), F.bround(F.col("q")[1], 3).alias("p15"))
+    return out.select(F.col("n").alias("n_motion"), F.bround(F.get("q", F.lit(0)), 3).alias("p85"), F.bround(F.get("q", F.lit(1)), 3).alias("p15"))
 
 
 def rapid_events(points: DataFrame, thresholds: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -119,7 +119,7 @@ def speed_unit_check(points: DataFrame) -> DataFrame:
     both = points.where("raw_speed_mps IS NOT NULL AND calc_speed_mps > 0.3")
     rel = F.abs(F.col("raw_speed_mps") - F.col("calc_speed_mps")) / F.col("calc_speed_mps")
     out = exact_quantiles(both.withColumn("rel", rel), "rel", (0.5,))
-    return out.select("n", F.bround(F.col("q")[0], 6).alias("median_rel"))
+    return out.select("n", F.bround(F.get("q", F.lit(0)), 6).alias("median_rel"))
 
 
 #: Accepted column names of the degree-grid line, the first that exists is taken.

@@ -280,7 +280,7 @@ def match_offset_quantiles(matched: DataFrame) -> DataFrame:
     """Per road level the number of matched points, quantiles of their distance, and whether these keep the limits."""
     rows = matched.where("matched = 1").withColumn("d", F.bround("proj_dist_m", 2))
     q = exact_quantiles(rows, "d", (0.5, 0.95, 0.99), ("road_level",)).select(
-        "road_level", "n", *(F.bround(F.col("q")[i], 1).alias(c) for i, c in enumerate(("p50", "p95", "p99")))
+        "road_level", "n", *(F.bround(F.get("q", F.lit(i)), 1).alias(c) for i, c in enumerate(("p50", "p95", "p99")))
     )
     limit = lambda i: F.create_map(*(F.lit(x) for k, v in OFFSET_LIMITS.items() for x in (k, v[i] if v[i] is not None else float("inf"))))[F.col("road_level")]
     return q.withColumn("passes", (F.col("p95") <= limit(0)) & (F.col("p99") <= limit(1)))
