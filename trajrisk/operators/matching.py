@@ -19,6 +19,8 @@ from .roads import edge_parts, matchable_edges
 CHAIN = ("vehicle_id", "segment_seq")
 #: Up to this many road parts, or edges, are sent to every executor; more are joined by shuffle.
 BROADCAST_PARTS, BROADCAST_EDGES = 500_000, 1_000_000
+#: Up to this many paths are sent to every executor: pairs of candidates, by far the most rows, then stay where their sub-chain is.
+BROADCAST_PATHS = 2_000_000
 #: Limits of the projection distance in metres by road level, at its 95th and 99th percentile.
 OFFSET_LIMITS = {
     "expressway_ramp": (None, 30.0), "arterial": (25.0, 35.0), "arterial_link": (25.0, 35.0), "sub_arterial": (20.0, 30.0),
@@ -199,7 +201,8 @@ def viterbi_match(points: DataFrame, edges: DataFrame, id_col: str = "event_id",
     pairs = transition_pairs(points)
     nodes = lambda c: F.array(F.col(f"{c}.u"), F.col(f"{c}.v"))
     sources = pairs.select(F.explode(nodes("a")).alias("n1")).distinct()
-    ways = candidate_path_length(pairs, bounded_shortest_paths(edges, sources, p))
+    paths = stored(bounded_shortest_paths(edges, sources, p), "paths")
+    ways = candidate_path_length(pairs, F.broadcast(paths) if paths.count() <= BROADCAST_PATHS else paths)
     move = transition_score(F.col("path_m"), F.col("straight_m"), F.col("obs_bearing"), F.col("seg_bearing"))
     moves = ways.groupBy(*CHAIN, "point_order").agg(F.collect_list(F.struct("i", "j", move.alias("s"))).alias("moves"))
     layers = points.where(F.size("cands") > 0).join(chain_dt_mode(points), list(CHAIN))
