@@ -449,6 +449,8 @@ def test_warc(spark):
     got = {r["page_id"]: r for r in warc.read_captures(warc.lookup(index, warc.keys_of(pages))).collect()}
     assert len(got) == 6 and got[1]["record_type"] == "revisit" and got[1]["refers_to"] == 2 and got[3]["refers_to"] == 4
     assert bytes(got[2]["payload"]) == "<p>é</p>".encode() and got[1]["payload_bytes"] == 9 and got[5]["payload_bytes"] == 5000
+    clash = pages.withColumns({"sha": F.lit("x"), "owner": F.lit(1), "key": F.lit("k"), "file": F.lit("f")})
+    assert warc.write_archives(clash, common.new_path(spark, "warc")).count() == 6
     some = warc.lookup(index, spark.createDataFrame([("com,b)/",), ("nowhere",)], "key string")).collect()
     assert sorted(str(r["page_id"]) for r in some) == ["2", "5", "None"]
     none = warc.build_index(warc.write_archives(pages.limit(0), path), path)

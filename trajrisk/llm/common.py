@@ -101,6 +101,11 @@ def leave_out(docs: DataFrame, gone: DataFrame, key, gone_key: str) -> DataFrame
     return docs.join(F.broadcast(gone) if few else gone, key == F.col(gone_key), "left_anti").select(*docs.columns)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     spark = df.sparkSession
@@ -110,8 +115,7 @@ def discard(df: DataFrame) -> None:
             name = path.rsplit("/", 1)[-1]
             if name.startswith(BUCKETED):
                 spark.sql(f"DROP TABLE IF EXISTS {name}")
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete_folder(spark, path)
 
 
 def fold(key: str, folds: int) -> int:

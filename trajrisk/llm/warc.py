@@ -32,7 +32,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, table, texts_of
+from .common import delete_folder, materialize, new_path, salted_left_join, table, texts_of
 
 BLOCK_LINES, MIN_BYTES = 1_000, 0
 #: An archive file is closed beyond this size; ranges closer than GAP are read at once, up to READ bytes.
@@ -103,8 +103,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     slim = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "sha")
-    owner = slim.groupBy("sha").agg(F.max("page_id").alias("owner"))
-    others = slim.distinct().join(owner, "sha").where("not (page_id <=> owner)").select(F.col("page_id").alias("pid"), F.col("sha").alias("s"), "owner")
+    owner = slim.groupBy("sha").agg(F.max("page_id").alias("owner"), F.count("*").alias("m")).where("m > 1").drop("m")
+    # Many pages may have one payload, as the empty one: they are dealt to several tasks.
+    others = salted_left_join(slim.distinct(), owner, "sha", "page_id").where("owner is not null and not (page_id <=> owner)").select(F.col("page_id").alias("pid"), F.col("sha").alias("s"), "owner")
     rows = rows.join(others, (rows["sha"] == others["s"]) & rows["page_id"].eqNullSafe(others["pid"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +291,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, path = table(spark, sf_dir, "pages"), new_path(spark, "warc")
     index = build_index(write_archives(pages, path), path)
     found = read_captures(lookup(index, keys_of(pages)), payload=False)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = materialize(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    delete_folder(spark, path)  # archives and index
+    return found
 
 
 ORACLE = r"""
