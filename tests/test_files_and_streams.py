@@ -117,3 +117,28 @@ def test_session_gap_is_that_of_segments(spark, tmp_path):
     spark.createDataFrame([("V", t, 1.0) for t in times], "vehicle_id string, time timestamp, speed_kmh double").write.parquet(f"file://{tmp_path}/s")
     stream = spark.readStream.schema("vehicle_id string, time timestamp, speed_kmh double").parquet(f"file://{tmp_path}/s")
     assert sorted(r["n_points"] for r in run.available_now(streams.stream_segments(stream), "complete").collect()) == [1, 2]
+
+
+def test_a_batch_from_files(spark, tmp_path):
+    """A few vehicles along a small lattice of roads, from files to a stored analysis."""
+    from trajrisk.jobs.batch import run_batch
+
+    lines = ["BICYCLEID,POSITIONTIME,X_position,Y_position"]
+    for v in range(8):
+        for k in range(60):
+            t = T + timedelta(seconds=5 * k)
+            lines.append(f"V{v},{t:%Y-%m-%d %H:%M:%S},{116.50 + 0.0004 * k + v * 1e-5:.6f},{39.75 + 0.00001 * (v % 3):.6f}")
+    lines.append("V9,never,116.5,39.75")
+    (tmp_path / "t.csv").write_text("\n".join(lines))
+    rows = [(i, "secondary", "F" if i % 2 else "B", None, None, [[(116.495 + 0.002 * i, 39.75), (116.497 + 0.002 * i, 39.75)]]) for i in range(20)]
+    files.road_features(spark.createDataFrame(rows, roads.ROAD_SCHEMA)).write.text(f"file://{tmp_path}/roads.json")
+    out = f"file://{tmp_path}/out"
+    run_batch(spark, f"file://{tmp_path}/t.csv", f"file://{tmp_path}/roads.json", out, "B-1", "RN-1", "AV-1")
+    assert files.load_batch(spark, f"{out}/batches", "B-1").count() == 480 and spark.read.parquet(f"{out}/isolated").count() == 1
+    assert spark.read.parquet(f"{out}/matched").where("matched = 1").count() == 480
+    grid = spark.read.parquet(f"{out}/grid")
+    length = spark.read.parquet(f"{out}/matched").agg(F.max("proj_x") - F.min("proj_x")).first()[0] / 1000
+    assert grid.agg(F.sum("exposure_km")).first()[0] == pytest.approx(8 * length, rel=0.02)
+    assert grid.agg(F.sum("total_events")).first()[0] == spark.read.parquet(f"{out}/events").count() > 0
+    assert spark.read.json(f"{out}/summary/AV-1").first()["grid_count"] == grid.count()
+    assert spark.read.json(f"{out}/advice/AV-1").count() == grid.count()

@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 
 from ..operators import advice, behavior, governance, grid, ingest, matching, overspeed_v1, roads, scoring, spatial
 from ..params import DEFAULTS, Params
-from ..sources.tables import stored
+from ..sources.tables import delete, stored
 from ..sources.walk import raw_points, road_lines
 
 
 class Analysis:
-    """Steps of one analysis over the ``events`` table of ``sf_dir``; those that several others read are stored once."""
+    """Steps of one analysis; those that several others read are stored once.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, p: Params = DEFAULTS):
-        self.spark, self.dir, self.p = spark, sf_dir, p
-        self.tables: dict[str, DataFrame] = {}
+    Over the ``events`` table of ``sf_dir``, or over ``raw`` rows as of a trajectory file, with a column ``event_id``
+    that orders rows of one time, and ``lines`` of roads.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, p: Params = DEFAULTS, raw: DataFrame | None = None, lines: DataFrame | None = None):
+        self.spark, self.dir, self.p, self.lines = spark, sf_dir, p, lines
+        self.tables: dict[str, DataFrame] = {} if raw is None else {"raw": raw}
+
+    def close(self) -> None:
+        """Delete the stored steps."""
+        for t in self.tables.values():
+            delete(t)
+        self.tables.clear()
 
     def once(self, name: str, build) -> DataFrame:
         if name not in self.tables:
@@ -38,7 +48,7 @@ class Analysis:
         return self.once("points", self.chains)
 
     def road_lines(self) -> DataFrame:
-        return road_lines(self.spark, self.raw())
+        return road_lines(self.spark, self.raw()) if self.lines is None else self.lines
 
     def edges(self) -> DataFrame:
         return self.once("edges", lambda: roads.road_edges(self.road_lines()))

@@ -27,3 +27,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(df: DataFrame) -> None:
+    """Delete the files of a table that was stored here; of others nothing."""
+    spark = df.sparkSession
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "").split(":", 1)[-1].lstrip("/")
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root and root in path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
