@@ -25,7 +25,6 @@ component and are kept; other columns pass through ``keep_first`` untouched.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
