@@ -105,6 +105,30 @@ def test_pairs_just_above_the_threshold_are_found(spark):
     assert len(want) > 1_500 and got == want
 
 
+def test_documents_in_long_lists(spark, monkeypatch):
+    """Many texts of many sizes around one passage, with copies under and over the threshold: links by blocks and size classes."""
+    monkeypatch.setattr(near_dedup, "LONG_LIST", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rnd, rows = random.Random(21), []
+    passage = [f"p{i}" for i in range(30)]
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(rnd.choice([4, 8, 12, 40]))]
+        base = passage + own
+        for _ in range(2):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                copy[rnd.randrange(30, len(copy))] = f"z{rnd.randrange(9999)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = root[a], root[b]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == root
+
+
 def test_long_lists_in_blocks():
     rnd = random.Random(1)
     sets = [np.unique(np.array([rnd.randrange(60) for _ in range(40)], np.uint64)) for _ in range(40)]

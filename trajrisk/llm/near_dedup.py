@@ -234,27 +234,41 @@ def block_links(first: list[tuple[int, int, np.ndarray]], second: list[tuple[int
 def _hot_links(entries: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of documents that meet in long lists: clusters of such lists, compared block by block.
 
-    Documents of a cluster are dealt to blocks of about ``BLOCK`` rows; every pair of blocks is a group of its own.
+    Documents of a cluster are dealt to size classes, each a quarter larger than the one before, so that links are only
+    possible inside a class and between neighbours; and these to blocks of about ``BLOCK`` rows. Every pair of blocks
+    that may have links is a group of its own.
     """
     cluster = connected_components(entries.select(F.col("rep").alias("a"), F.col("star.b").alias("b")))
     cluster = cluster.withColumnRenamed("node", "rep")
-    count = cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = entries.select("rep", "c").distinct().join(cluster, "rep").join(count, "component").join(texts, "rep")
-    mine, other = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("mine", mine.cast("int")).withColumn("other", other)
-    rows = rows.select("component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "c", "text")
+    step = float(np.log(100 / THRESHOLD))
+    rows = entries.select("rep", "n", "c").distinct().join(cluster, "rep").withColumn("s", F.floor(F.log("n") / step).cast("int"))
+    count = rows.groupBy("component", "s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    near = lambda d: count.select("component", (F.col("s") - d).alias("s"), F.col("blocks").alias(f"b{d + 1}"))
+    for d in (-1, 0, 1):  # blocks of the class before, of the own one and of the next
+        rows = rows.join(near(d), ["component", "s"], "left")
+    mine = F.pmod(F.xxhash64("rep"), F.col("b1")).cast("int")
+    numbers = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
+    group = lambda s, t, lo, hi: F.struct(s.alias("s"), t.alias("t"), lo.alias("lo"), hi.alias("hi"))
+    rows = rows.withColumn("mine", mine)
+    own, s_ = F.col("mine"), F.col("s")
+    groups = F.concat(
+        F.transform(numbers(F.col("b1")), lambda o: group(s_, s_, F.least(own, o), F.greatest(own, o))),
+        F.transform(numbers(F.col("b2")), lambda o: group(s_, s_ + 1, own, o)), F.transform(numbers(F.col("b0")), lambda o: group(s_ - 1, s_, o, own)),
+    )
+    rows = rows.select("component", "rep", "c", "s", "mine", F.explode(groups).alias("g")).join(texts, "rep")
+    rows = rows.select("component", F.col("g.s").alias("s0"), F.col("g.t").alias("s1"), "g.lo", "g.hi", F.struct("s", "mine").alias("mine"), "rep", "c", "text")
 
     def compare(group: pa.Table) -> pa.Table:
         cache = _Hashes()
-        blocks: dict[int, list] = {}
+        blocks: dict[tuple[int, int], list] = {}
         for mine, rep, c, text in zip(*(group.column(x).to_pylist() for x in ("mine", "rep", "c")), texts_of(group.column("text")), strict=True):
-            blocks.setdefault(mine, []).append((rep, c, shingles(text, cache)))
+            blocks.setdefault((mine["s"], mine["mine"]), []).append((rep, c, shingles(text, cache)))
         parts = list(blocks.values())
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        found = block_links(parts[0], None) if lo == hi else block_links(*parts) if len(parts) == 2 else []
+        s0, s1, lo, hi = (group.column(x)[0].as_py() for x in ("s0", "s1", "lo", "hi"))
+        found = block_links(parts[0], None) if (s0, lo) == (s1, hi) else block_links(*parts) if len(parts) == 2 else []
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return rows.groupBy("component", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("component", "s0", "s1", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
