@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from . import (
-    decontamination, hidden_markov, html_text, license_scan, near_dedup, pieces, quality_classifier, quality_rules, substring_dedup, warc,
+    decontamination, hidden_markov, html_text, license_scan, near_dedup, pieces, quality_classifier, quality_rules, ranked_search, substring_dedup, warc,
 )
 
-MODULES = [quality_classifier, warc, pieces, license_scan, decontamination, hidden_markov, quality_rules, html_text, near_dedup, substring_dedup]
+MODULES = [quality_classifier, warc, pieces, license_scan, decontamination, hidden_markov, quality_rules, html_text, near_dedup, substring_dedup, ranked_search]
 
 
 def queries() -> dict:
