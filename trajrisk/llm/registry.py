@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from . import (
-    decontamination, hidden_markov, html_text, license_scan, near_dedup, packing, pieces, quality_classifier, quality_rules, ranked_search, substring_dedup, warc,
+    decontamination, hidden_markov, html_text, license_scan, near_dedup, packing, pieces, quality_classifier, quality_rules, ranked_search, substring_dedup, token_alignment, warc,
 )
 
-MODULES = [quality_classifier, warc, pieces, license_scan, decontamination, hidden_markov, quality_rules, html_text, near_dedup, substring_dedup, packing, ranked_search]
+MODULES = [quality_classifier, warc, pieces, license_scan, decontamination, hidden_markov, quality_rules, html_text, near_dedup, substring_dedup, token_alignment, packing, ranked_search]
 
 
 def queries() -> dict:
