@@ -5,7 +5,7 @@ of each document is cut into a few items. Each item begins as a partition of its
 but one empty. The two partitions of the largest imbalance are merged again and again, the fullest windows of one onto
 the emptiest of the other, until one partition is left, whose windows are nearly equal. Where a window exceeds the
 capacity the number of windows rises and differencing begins anew: first by short windows of a power of two of ids, the
-sizes that need no padding, each cut from the longest item, and each twice as long as the one before.
+sizes that need no padding, cut from the longest items, the larger the more exceeds; then by full windows.
 
 Nothing is shuffled: a batch's windows hold its own documents, and the padding of a batch does not depend on the number
 of batches.
@@ -17,8 +17,8 @@ are ignored. Strings of special tokens in a text are read as the library's defau
 
 from __future__ import annotations
 
+import functools
 import heapq
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .stretches import Encoder, gather, stretches
+from .stretches import Encoder, JoinedTokens, gather, stretches
 
 #: The tokenizer is a parameter; this place of the public vocabulary is only the default.
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
@@ -40,6 +40,8 @@ BATCH_IDS = 1 << 19
 #: Parts of a sequence's length: what is left of a document beside whole sequences is cut into items of one such part
 #: at most, as few items of a window leave large differences (2 % of padding for whole rests, 0.5 % for quarters).
 PARTS = 4
+#: Bits of a node's number.
+BITS = 32
 #: The shortest window that is opened for what exceeds the capacity.
 SHORTEST = 64
 
@@ -49,35 +51,36 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(sizes)
     if not n or k == 1:
         return np.zeros(n, np.int64), np.array([sizes.sum()] * k, np.int64)[:k]
-    # A node is an item or two nodes that share a window. Partitions list their non-empty windows, the fullest first.
+    # A node is an item or two nodes that share a window. Partitions list their non-empty windows, the fullest first, as
+    # numbers of the sum and, in the lower bits, the node.
+    node = (1 << BITS) - 1
     children: list[tuple[int, int]] = []
-    heap: list[tuple[int, int]] = []
-    parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        parts[i] = (sizes[i : i + 1].astype(np.int64), np.array([i], np.int64))
-        heap.append((-int(sizes[i]), i))
+    parts = {i: [int(x) << BITS | i] for i, x in enumerate(sizes)}
+    heap = [(-int(x), i) for i, x in enumerate(sizes)]
     heapq.heapify(heap)
     name = n
     while len(heap) > 1:
         (_, x), (_, y) = heapq.heappop(heap), heapq.heappop(heap)
-        (a, na), (b, nb) = parts.pop(x), parts.pop(y)
-        over = max(0, len(a) + len(b) - k)  # the emptiest windows of one take the emptiest, non-empty ones of the other
-        keep_a, keep_b = len(a) - over, len(b) - over
-        sums = np.concatenate([a[:keep_a], b[:keep_b], a[keep_a:] + b[keep_b:][::-1]])
-        first = n + len(children)
-        children += zip(na[keep_a:].tolist(), nb[keep_b:][::-1].tolist(), strict=True)
-        nodes = np.concatenate([na[:keep_a], nb[:keep_b], np.arange(first, first + over)])
-        order = np.argsort(-sums, kind="stable")
-        parts[name] = (sums[order], nodes[order])
-        least = int(sums[order[-1]]) if len(sums) == k else 0
-        heapq.heappush(heap, (least - int(sums[order[0]]), name))
+        a, b = parts.pop(x), parts.pop(y)
+        over = len(a) + len(b) - k
+        if over > 0:  # the emptiest windows of one take the fullest of as many of the other
+            both, first = [], n + len(children)
+            for i, (p, q) in enumerate(zip(a[len(a) - over :], reversed(b[len(b) - over :]), strict=True)):
+                children.append((p & node, q & node))
+                both.append((p >> BITS) + (q >> BITS) << BITS | first + i)
+            a = a[: len(a) - over] + b[: len(b) - over] + both
+        else:
+            a = a + b
+        a.sort(reverse=True)
+        parts[name] = a
+        heapq.heappush(heap, ((a[-1] >> BITS if len(a) == k else 0) - (a[0] >> BITS), name))
         name += 1
-    sums, nodes = parts[heap[0][1]]
+    last = parts[heap[0][1]]
     window = np.full(n + len(children), -1, np.int64)
-    window[nodes] = np.arange(len(nodes))
+    window[[x & node for x in last]] = np.arange(len(last))
     for i in range(len(children) - 1, -1, -1):
         window[list(children[i])] = window[n + i]
-    return window[:n], np.concatenate([sums, np.zeros(k - len(sums), np.int64)])
+    return window[:n], np.array([x >> BITS for x in last] + [0] * (k - len(last)), np.int64)
 
 
 def windows(items: list[list[int]], length: int) -> list[list[tuple[int, int, int]]]:
@@ -109,30 +112,27 @@ def windows(items: list[list[int]], length: int) -> list[list[tuple[int, int, in
         total -= size
         short.append(window)
 
-    # What full windows cannot take goes into short ones: the bits of the rest, in steps of the shortest.
-    rest = total % length
-    for bit in range(length.bit_length() - 2, SHORTEST.bit_length() - 2, -1):
-        if rest >> bit & 1 and total >= 1 << bit:
-            open_short(1 << bit)
-    size = SHORTEST
+    # What full windows cannot take, in steps of the shortest window, goes into short ones.
+    rest = -(-(total % length) // SHORTEST) * SHORTEST
+    if rest < length and total >= 2 * length:
+        for bit in range(length.bit_length() - 1):
+            if rest >> bit & 1:
+                open_short(1 << bit)
+    size, more = SHORTEST, 0
     while True:
         at = [i for i, x in enumerate(items) if x[2]]
         if not at:
             return short
-        k = max(1, -(-total // length)) if total % length >= SHORTEST or total < length else total // length
-        window, sums = differencing(np.array([items[i][2] for i in at], np.int64), k)
-        if sums.max() <= length:
+        window, sums = differencing(np.array([items[i][2] for i in at], np.int64), max(1, -(-total // length)) + more)
+        over = int(np.maximum(sums - length, 0).sum())
+        if not over:
             break
-        if total <= 2 * size or size >= length:
-            k = -(-total // length)
-            while True:
-                window, sums = differencing(np.array([items[i][2] for i in at], np.int64), k)
-                if sums.max() <= length:
-                    break
-                k += 1
-            break
-        open_short(size)
-        size *= 2
+        size = max(size, 1 << (over // 8).bit_length())
+        if size < length and total >= 2 * size:
+            open_short(size)
+            size *= 2
+        else:
+            more += 1 + over // (4 * length)
     full: list[list[tuple[int, int, int]]] = [[] for _ in sums]
     for i, w in zip(at, window.tolist(), strict=True):
         full[w].append(tuple(items[i]))
@@ -150,12 +150,10 @@ def pack_batch(sizes: np.ndarray, length: int, parts: int = PARTS) -> list[list[
     return out + windows(items, length)
 
 
-def token_encoder(model: str) -> Encoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(model)
-    return Encoder(lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)])
+@functools.lru_cache(1)
+def encoder_of(model: str) -> Encoder:
+    """One encoder for all tasks of a worker, as loading takes time."""
+    return Encoder(JoinedTokens(model, specials=True))
 
 
 def pack_documents(
@@ -166,7 +164,7 @@ def pack_documents(
     names = ["doc_id", "doc_tokens", "start", "ids", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, sequence = token_encoder(model), TaskContext.get().partitionId(), 0
+        encoder, task, sequence = encoder_of(model), TaskContext.get().partitionId(), 0
         owners, found, size, arrow = [], [], 0, pa.null()
 
         def packed() -> Iterator[pa.RecordBatch]:
@@ -194,12 +192,12 @@ def pack_documents(
                 piece = batch.slice(a, 512)
                 encoder.begin()
                 texts = [stretches(t) if t else [] for t in piece.column(1).to_pylist()]
-                # The first stretch of a text has no blank before it.
-                rows = [encoder.numbers([(t[0],), *t[1:]] if t else []) for t in texts]
-                tokens, starts, sizes = encoder.finish(lambda p: p[0] if isinstance(p, tuple) else f" {p}")
-                for i, r in zip(piece.column(0).to_pylist(), rows, strict=True):
+                rows = [encoder.numbers(t[1:]) for t in texts]
+                tokens, starts, sizes = encoder.finish()
+                heads = encoder.encode.alone([t[0] if t else "" for t in texts])  # no blank is before a text
+                for i, head, r in zip(piece.column(0).to_pylist(), heads, rows, strict=True):
                     owners.append(i)
-                    found.append(np.append(gather(tokens, starts[r], sizes[r]), np.int32(closing)))
+                    found.append(np.concatenate([head, gather(tokens, starts[r], sizes[r]), [closing]]).astype(np.int32))
                     size += len(found[-1])
                     if size >= batch_ids:
                         yield from packed()

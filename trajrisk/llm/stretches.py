@@ -6,6 +6,8 @@ and pieces hold a blank at their front only. A stretch is kept without that blan
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 from collections.abc import Callable
 
@@ -23,38 +25,81 @@ def stretches(text: str) -> list[str]:
     return [s[1:] for s in CUT.split(f" {text}")]
 
 
+class Numbers(dict):
+    """Numbers keys in the order of their first look-up."""
+
+    def __missing__(self, key: object) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class JoinedTokens:
+    """Function from stretches to their byte-level BPE tokens, one after the other, and their numbers. Stretches are put
+    together, which is faster, and their tokens told apart by their bytes. ``specials``: whether strings of special
+    tokens in a text are these tokens."""
+
+    def __init__(self, model: str, specials: bool, joined: int = 4000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(model)
+        self.model.encode_special_tokens = not specials
+        self.joined = joined
+        self.size = np.array([len(x) for x in byte_tokens(model)], np.int64)
+
+    def __call__(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, counts, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], self.joined
+        for a in range(0, len(parts), n * 8):
+            some = [parts[b : b + n] for b in range(a, min(a + n * 8, len(parts)), n)]
+            for mine, ids in zip(some, self.alone([" " + " ".join(x) for x in some]), strict=True):
+                ends = np.cumsum([len(x) + 1 if x.isascii() else len(x.encode("utf-8", "surrogatepass")) + 1 for x in mine])
+                flat.append(ids)
+                counts.append(np.diff(np.searchsorted(np.cumsum(self.size[ids]), ends, "right"), prepend=0))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def alone(self, texts: list[str]) -> list[np.ndarray]:
+        """Tokens of whole texts as they are."""
+        return [np.array(x.ids, np.int32) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def byte_tokens(model: str) -> list[bytes]:
+    """Bytes of the ids of a byte-level vocabulary, which writes bytes without a printable form as later characters."""
+    from tokenizers import Tokenizer
+
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    t = Tokenizer.from_file(model)
+    tokens = (t.id_to_token(i) or "" for i in range(t.get_vocab_size()))
+    return [bytes(byte[c] for c in x) if all(c in byte for c in x) else x.encode() for x in tokens]
+
+
 class Encoder:
     """Token ids of distinct stretches, of which the latest are kept: at most ``most`` of them between two batches."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 600_000):
         self.encode, self.most = encode, most
-        self.number: dict[object, int] = {}
-        self.tokens: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = Numbers()
+        self.tokens, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def begin(self) -> None:
         """Before a batch: forget all, if there are more than wanted."""
         if len(self.number) > self.most:
-            self.number, self.tokens, self.sizes = {}, [], []
+            self.forget()
 
-    def numbers(self, parts: list) -> np.ndarray:
+    def numbers(self, parts: list[str]) -> np.ndarray:
         """Numbers of stretches; new ones get the next numbers and wait for ``finish``."""
-        number = self.number
-        return np.fromiter((number.setdefault(p, len(number)) for p in parts), np.int64, len(parts))
+        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
 
-    def finish(self, text_of: Callable[[object], str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def finish(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of all stretches, one after the other, where each begins and how many it has."""
-        known = sum(map(len, self.sizes))
-        if known < len(self.number):
-            new = [text_of(p) for p in list(self.number)[known:]]
-            for a in range(0, len(new), 10_000):
-                found = self.encode(new[a : a + 10_000])
-                self.sizes.append(np.array([len(x) for x in found], np.int64))
-                self.tokens.append(np.array([i for x in found for i in x], np.int32))
-            self.sizes, self.tokens = [np.concatenate(self.sizes)], [np.concatenate(self.tokens)]
-        if not self.sizes:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return self.tokens[0], np.cumsum(self.sizes[0]) - self.sizes[0], self.sizes[0]
+        if len(self.sizes) < len(self.number):
+            tokens, sizes = self.encode(list(itertools.islice(self.number, len(self.sizes), None)))
+            self.tokens, self.sizes = np.concatenate([self.tokens, tokens]), np.concatenate([self.sizes, sizes])
+        return self.tokens, np.cumsum(self.sizes) - self.sizes, self.sizes
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -3,9 +3,9 @@
 ``align`` takes two token tables ``(key, at, id)``. Lengths come from a table of the vocabulary; a windowed sum gives
 each token its end. A full equi-join of both sides on key and end leaves one row for every byte offset where a token of
 either side ends: the stretch of bytes before it lies in one token of each side, and every overlapping pair of tokens
-shares exactly one such stretch. So the rows are the links; both ids come from the nearest end at or behind a row, in
-the same window that counts the cuts, the offsets where both sides end, and so numbers the groups. No pair is made that
-is not a link, however long a group is.
+shares exactly one such stretch. So the rows are the links; both ids come from the nearest end at or behind a row, a
+range join that the same window does which counts the cuts, the offsets where both sides end, and so numbers the
+groups. No pair is made that is not a link, however long a group is.
 
 ``alignments`` applies this to documents. No token of either vocabulary reaches across the blanks at which ``stretches``
 cuts, so blocks of documents are aligned by their distinct stretches, one after the other under the block's number as
@@ -20,8 +20,9 @@ stretch however long; ids are of any type; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import os
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,28 +32,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, pack, table, unpack
-from .stretches import Encoder, gather, stretches
+from .stretches import JoinedTokens, Numbers, byte_tokens, gather, stretches
 
 #: The vocabularies are parameters; these places of the public ones are only the defaults.
 BYTE_MODEL, PIECE_MODEL = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes of a block, beyond which the next one begins. A single longer text makes a longer block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Bits of an id in a pair's number.
 BITS = 24
 
 
-def byte_tokens(model: str) -> list[bytes]:
-    """Bytes of the ids of a byte-level vocabulary, which writes bytes without a printable form as later characters."""
-    from tokenizers import Tokenizer
-
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    others = [b for b in range(256) if b not in plain]
-    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    t = Tokenizer.from_file(model)
-    tokens = (t.id_to_token(i) or "" for i in range(t.get_vocab_size()))
-    return [bytes(byte[c] for c in x) if all(c in byte for c in x) else x.encode() for x in tokens]
-
-
 def piece_tokens(model: str) -> list[bytes]:
     """Bytes of the ids of a vocabulary of pieces; control pieces and the unknown one have none."""
     import sentencepiece
@@ -66,20 +55,27 @@ def piece_tokens(model: str) -> list[bytes]:
     return out
 
 
-def byte_encoder(model: str) -> Encoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(model)
-    t.encode_special_tokens = True
-    return Encoder(lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)])
+@functools.lru_cache(1)
+def vocabularies_of(byte_model: str, piece_model: str):
+    """Encoders and token bytes of both vocabularies, once for all tasks of a worker."""
+    return (JoinedTokens(byte_model, specials=False), piece_encoder(piece_model)), (byte_tokens(byte_model), piece_tokens(piece_model))
 
 
-def piece_encoder(model: str) -> Encoder:
+def piece_encoder(model: str):
+    """Function from stretches to their tokens, one after the other, and their numbers."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model)
-    return Encoder(lambda texts: m.encode([t[1:] for t in texts], num_threads=1))
+
+    def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(parts), 10_000):
+            found = m.encode(parts[a : a + 10_000], num_threads=1)
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(counts[-1].sum())))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    return encode
 
 
 def align(a: DataFrame, b: DataFrame, a_bytes: DataFrame, b_bytes: DataFrame, key: str) -> DataFrame:
@@ -87,14 +83,17 @@ def align(a: DataFrame, b: DataFrame, a_bytes: DataFrame, b_bytes: DataFrame, ke
 
     ``a`` and ``b`` have ``key, at, id``, the vocabularies ``id, n_bytes`` (few rows: these are broadcast). Groups are
     numbered from the end of a key on; rows whose ends are those of both tokens are the last of their group.
+
+    The full join on key and end is a union folded by both: a full outer join forgets how its sides are dealt out, and
+    Spark would shuffle all tokens again for the window, where the union leaves them where they are.
     """
 
-    def ends(tokens: DataFrame, lengths: DataFrame, name: str) -> DataFrame:
-        so_far = Window.partitionBy(key).orderBy("at")
+    def ends(tokens: DataFrame, lengths: DataFrame, name: str, other: str) -> DataFrame:
+        so_far = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sized = tokens.join(F.broadcast(lengths), "id").where("n_bytes > 0")
-        return sized.select(key, F.sum("n_bytes").over(so_far).cast("int").alias("end"), F.col("id").alias(name))
+        return sized.select(key, F.sum("n_bytes").over(so_far).cast("int").alias("end"), F.col("id").alias(name), F.lit(None).cast("int").alias(other))
 
-    both = ends(a, a_bytes, "a").join(ends(b, b_bytes, "b"), [key, "end"], "full_outer")
+    both = ends(a, a_bytes, "a", "b").unionByName(ends(b, b_bytes, "b", "a")).groupBy(key, "end").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     back = Window.partitionBy(key).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     a_ends, b_ends = F.col("a").isNotNull(), F.col("b").isNotNull()
     return both.select(
@@ -114,30 +113,28 @@ def blocks_of(docs: DataFrame, byte_model: str, piece_model: str, id_col: str, t
     names = ["block", "ids", "counts", "stretches", "lengths", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, encoders = (byte_tokens(byte_model), piece_tokens(piece_model)), (byte_encoder(byte_model), piece_encoder(piece_model))
+        encoders, tables = vocabularies_of(byte_model, piece_model)
         task, count, arrow = TaskContext.get().partitionId(), 0, pa.null()
         ids, texts, size = [], [], 0
 
         def row() -> pa.RecordBatch:
-            number: dict[str, int] = {}
-            docs = []
+            number, docs = Numbers(), []
             for t in texts:
                 parts = stretches(t) if t else []
-                docs.append(np.fromiter((number.setdefault(p, len(number)) for p in parts), np.int32, len(parts)))
+                docs.append(np.fromiter(map(number.__getitem__, parts), np.int32, len(parts)))
             distinct = list(number)
             fine, tokens = np.ones(len(distinct), bool), []
-            for encoder, known in zip(encoders, tables, strict=True):
-                encoder.begin()
-                mine = encoder.numbers(distinct)
-                flat, starts, sizes = encoder.finish(lambda p: f" {p}")
-                flat, sizes = gather(flat, starts[mine], sizes[mine]), sizes[mine]
-                raw, at = flat.tolist(), 0
-                for i, (p, n) in enumerate(zip(distinct, sizes.tolist(), strict=True)):
-                    if b"".join([known[x] for x in raw[at : at + n]]) != f" {p}".encode("utf-8", "surrogatepass"):
-                        fine[i] = False
-                    at += n
+            raw = [f" {p}".encode("utf-8", "surrogatepass") for p in distinct]
+            lengths = np.fromiter(map(len, raw), np.int32, len(raw))
+            for encode, known in zip(encoders, tables, strict=True):
+                flat, sizes = encode(distinct)
+                given = list(map(known.__getitem__, flat.tolist()))
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                long = np.concatenate([[0], np.cumsum(np.fromiter(map(len, given), np.int64, len(given)))])
+                if b"".join(given) != b"".join(raw) or (long[at[1:]] - long[at[:-1]] != lengths).any():
+                    fine &= np.array([b"".join(given[x:y]) == r for x, y, r in zip(at[:-1], at[1:], raw, strict=True)], bool)
                 tokens.append((flat, sizes))
-            lengths = np.array([len(p.encode("utf-8", "surrogatepass")) + 1 for p in distinct], np.int32) * fine
+            lengths *= fine
             docs = [d if fine[d].all() else d[:0] for d in docs]
             lists = [flat[np.repeat(fine, sizes)] for flat, sizes in tokens]
             blobs = [np.array([len(d) for d in docs], np.int32), np.concatenate(docs), lengths]
@@ -227,10 +224,10 @@ def alignments(
         return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), pa.array(value, k))
 
     def digest(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {n: left[n][0].as_py() for n in ("block", "counts", "stretches", "lengths")}
+        row = {n: left[n][0].as_py() for n in ("own", "counts", "stretches", "lengths")}
         made = _digest_block(row, right, labels.value)
         arrays = [
-            pa.array([row["block"]]), left["ids"].combine_chunks(), *(one(made[n], pa.int64()) for n in numbers), one(made["groups_sha256"], pa.string()),
+            pa.array([row["own"]]), left["ids"].combine_chunks(), *(one(made[n], pa.int64()) for n in numbers), one(made["groups_sha256"], pa.string()),
             *(pa.array([row[n]], pa.binary()) for n in ("counts", "stretches")), one(made["pairs"], pa.int64()), one(made["held"], pa.int32()),
             *(pa.array([made[n]], pa.binary()) for n in ("links", "link_counts")),
         ]
@@ -240,7 +237,7 @@ def alignments(
         f"block long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
         "counts binary, stretches binary, pairs array<long>, held array<int>, links binary, link_counts binary"
     )
-    packed = blocks.select("block", "ids", "counts", "stretches", "lengths").groupBy("block")
+    packed = blocks.select(F.col("block").alias("own"), "ids", "counts", "stretches", "lengths").groupBy("own")
     made = materialize(packed.cogroup(links.groupBy("block")).applyInArrow(digest, schema), "aligned", free=True)
     discard(blocks)
 
