@@ -1,11 +1,12 @@
 """Projection, quantiles, road geometry."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trajrisk.functions import geo, labels
-from trajrisk.functions.quantiles import exact_quantiles
+from trajrisk.functions.quantiles import exact_quantiles, ranked_ranges
 from trajrisk.operators import roads
 
 
@@ -31,13 +32,27 @@ def test_quantiles(spark):
     rows = [(k, float(v)) for k, x in values.items() for v in x] + [("a", None), ("e", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(4)
     qs = (0.0, 0.15, 0.5, 0.95, 1.0)
-    got = {r["k"]: r for r in exact_quantiles(df, "v", qs, ("k",), buckets=16).collect()}
+    got = {r["k"]: r for r in exact_quantiles(df, "v", qs, ("k",), small=20).collect()}
     assert set(got) == set(values)
     for k, x in values.items():
         assert got[k]["n"] == len(x) and got[k]["q"] == pytest.approx(np.quantile(x, qs).tolist()), k
     assert exact_quantiles(df.where("k = 'e'"), "v", qs).first()["n"] == 0
 
 
+def test_quantiles_beside_an_outlier(spark):
+    """Ranges shrink to few rows whatever lies far away, or stands in most rows."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=100_000), [1e9, -1e12, np.inf]])
+    tied = np.concatenate([np.full(40_000, 1.0), np.full(40_000, 2.0), 1 + rng.random(5_000)])
+    df = spark.createDataFrame(pd.DataFrame({"k": ["x"] * len(x) + ["t"] * len(tied), "v": np.concatenate([x, tied])})).repartition(5)
+    qs = (0.0, 0.15, 0.5, 0.85, 0.999)
+    ranges = ranked_ranges(df.select("k", F.col("v").alias("_v")), qs, ["k"], small=500).collect()
+    assert all(r["_value"] is not None or r["_size"] <= 500 for r in ranges) and len(ranges) > 10
+    got = {r["k"]: r["q"] for r in exact_quantiles(df, "v", qs, ("k",), small=500).collect()}
+    for k, values in (("x", x), ("t", tied)):
+        assert got[k] == pytest.approx(np.quantile(values, qs).tolist())
+
+
 def test_bearings(spark):
     df = spark.createDataFrame([(0.0, 1.0, 0.0), (1.0, 0.0, 90.0), (0.0, -1.0, 180.0), (-1.0, 0.0, 270.0), (0.0, 0.0, None)], "dx double, dy double, want double")
     for r in df.withColumns({"b": geo.bearing_deg(F.col("dx"), F.col("dy")), "r": geo.reverse_bearing(F.col("want")), "d": geo.angdiff(F.col("want"), F.lit(10.0))}).collect():

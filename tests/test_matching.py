@@ -40,14 +40,30 @@ def test_viterbi_is_the_best_of_all_paths():
     assert matching.best_path([np.zeros(3), np.zeros(2)], [np.zeros((3, 2))]) == [0, 0]
 
 
-def test_paths_by_search_and_by_joins(spark):
+def test_paths_over_tile_borders(spark):
+    """Paths in tiles of any side against a search of the whole graph; most of them cross borders of small tiles."""
     edges = lattice(spark)
     sources = edges.where("osm_id % 7 = 0").select(F.col("u_key").alias("n1")).distinct()
-    steps = edges.select(F.col("u_key").alias("a"), F.col("v_key").alias("b"), F.col("length_m").alias("w"))
-    both = steps.unionByName(steps.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    one = {(r["n1"], r["n2"]): r["path_m"] for r in matching.bounded_shortest_paths(edges, sources).collect()}
-    two = {(r["n1"], r["n2"]): r["path_m"] for r in matching._relaxed(both, sources, DEFAULTS.path_m).collect()}
-    assert set(one) == set(two) and all(one[k] == pytest.approx(two[k]) for k in one) and max(one.values()) <= 600 and len(one) > 300
+    rows = [(r["u_key"], r["v_key"], r["length_m"]) for r in edges.collect()]
+    near = {}
+    for a, b, w in rows + [(b, a, w) for a, b, w in rows]:
+        near.setdefault(a, []).append((b, w))
+    want = {}
+    for (source,) in sources.collect():
+        best, open_ = {source: 0.0}, [source]
+        while open_:
+            n = open_.pop()
+            for m, w in near[n]:
+                if best[n] + w <= DEFAULTS.path_m and best[n] + w < best.get(m, 1e9) - 1e-9:
+                    best[m] = best[n] + w
+                    open_.append(m)
+        want |= {(source, m): d for m, d in best.items()}
+    assert len(want) > 300
+    for side in (90.0, 250.0, matching.TILE_M):
+        got = [((r["n1"], r["n2"]), r["path_m"]) for r in matching.bounded_shortest_paths(edges, sources, tile_m=side).collect()]
+        assert len(got) == len(dict(got)) and dict(got).keys() == want.keys() and all(d == pytest.approx(want[k]) for k, d in got)
+    lone = matching.bounded_shortest_paths(edges, spark.createDataFrame([(5,)], "n1 long")).collect()
+    assert [tuple(r) for r in lone] == [(5, 5, 0.0)]
 
 
 def test_points_on_edges_return_these_edges(spark):

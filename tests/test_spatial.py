@@ -35,9 +35,15 @@ def test_permutations_do_not_depend_on_partitions(spark):
     local = spatial.local_moran(df, spatial.knn_neighbors(df))
     one, many = ({r["grid_id"]: r for r in spatial.lisa_permutations(local.repartition(n)).collect()} for n in (1, 8))
     assert one == many and all(1 / 1000 <= r["lisa_p"] <= 1 for r in one.values())
-    # The moments that take the place of draws beyond a bound are those of the draws.
-    exact = {r["grid_id"]: r for r in spatial.lisa_permutations(local, limit=10).collect()}
-    assert np.corrcoef([one[k]["lisa_z"] for k in one], [exact[k]["lisa_z"] for k in one])[0, 1] > 0.99
+    # The plain definition: every cell draws its neighbours' values from all others, by the shared numbers.
+    names = sorted(one)
+    draws = spatial.shared_draws(len(names) - 1, 5, DEFAULTS.permutations, 1)
+    assert draws.min() == 0 and draws.max() == 47 and all(len(set(row)) == 5 for row in draws.tolist())
+    for i, name in enumerate(names):
+        r, others = one[name], [one[m]["x"] for m in names if m != name]
+        sims = np.array([r["x"] * np.mean([others[d] for d in row]) / r["m2"] for row in draws.tolist()])
+        larger = int((np.round(sims, 9) >= round(r["local_i"], 9)).sum())
+        assert r["lisa_p"] == (min(larger, 999 - larger) + 1) / 1000 and r["lisa_z"] == pytest.approx((r["local_i"] - sims.mean()) / sims.std())
     assert sum(r["n"] for r in spatial.lisa_label_counts(spatial.lisa_permutations(local)).collect()) == sum(r["lisa_p"] < 0.05 for r in one.values())
     assert {r["label"] for r in one.values()} <= {"高-高", "低-低", "高-低", "低-高"}
 

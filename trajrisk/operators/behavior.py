@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..params import DEFAULTS, Params
-from ..sources.tables import stored
 from .ingest import seconds_between
+from .numbering import numbered
 
 CHAIN = ("vehicle_id", "segment_seq")
 
@@ -68,19 +68,10 @@ def union_events(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def event_ids(events: DataFrame, buckets: int = 64) -> DataFrame:
-    """Dense ids in the order (type, start, segment, value), numbered by range partition so that no task sorts all.
-
-    The ranged rows are stored before they are counted, as the ranges come from a sample.
-    """
-    order = ["event_type", "start_time", "segment_id", "value_main"]
-    ranged = stored(events.repartitionByRange(buckets, *order).withColumn("part", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("k"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))  # one row a partition
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    out = ranged.withColumn("place", place).join(F.broadcast(offsets), "part")
-    return out.withColumn("event_id", F.format_string("EV-%06d", F.col("base") + F.col("place"))).drop("part", "place", "base")
+def event_ids(events: DataFrame) -> DataFrame:
+    """Dense ids ``EV-000001`` and so on in the order (type, start, segment, value)."""
+    out = numbered(events, ["event_type", "start_time", "segment_id", "value_main"], "__number")
+    return out.withColumn("event_id", F.format_string("EV-%06d", F.col("__number") + 1)).drop("__number")
 
 
 def order_events(events: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,10 @@ from ..sources.tables import stored
 from .roads import edge_parts, matchable_edges
 
 CHAIN = ("vehicle_id", "segment_seq")
-#: Up to this many road parts, or edges, are sent to every executor; more are joined by shuffle.
-BROADCAST_PARTS, BROADCAST_EDGES = 500_000, 1_000_000
+#: Up to this many road parts are sent to every executor; more are joined by shuffle.
+BROADCAST_PARTS = 500_000
+#: Side of the tiles in which paths are searched.
+TILE_M = 2400.0
 #: Up to this many paths are sent to every executor: pairs of candidates, by far the most rows, then stay where their sub-chain is.
 BROADCAST_PATHS = 2_000_000
 #: Limits of the projection distance in metres by road level, at its 95th and 99th percentile.
@@ -100,62 +101,61 @@ def transition_pairs(points: DataFrame) -> DataFrame:
     return pairs.select(*CHAIN, "point_order", "obs_bearing", "i", "a", F.posexplode("cands").alias("j", "b"))
 
 
-def bounded_shortest_paths(edges: DataFrame, sources: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def bounded_shortest_paths(edges: DataFrame, sources: DataFrame, p: Params = DEFAULTS, tile_m: float = TILE_M) -> DataFrame:
     """``n1, n2, path_m``: undirected distances of at most ``path_m`` from the nodes ``n1`` of ``sources``.
 
-    Up to ``BROADCAST_EDGES`` edges every task searches from its sources in a copy of the graph; beyond that the paths
-    grow by joins with the edges until none gets shorter.
+    The plane is cut into tiles of side ``tile_m``. A path of at most ``path_m`` never leaves the halo of that width
+    around its source's tile, so each tile is searched by itself: its sources against the edges whose ends are both in
+    the tile or its halo. A task holds one tile's roads, whatever the size of the network.
     """
-    lines = edges.select(F.col("u_key").alias("a"), F.col("v_key").alias("b"), F.col("length_m").alias("w")).where("a <> b")
-    both = lines.unionByName(lines.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where(F.col("w") <= p.path_m)
-    both = both.groupBy("a", "b").agg(F.min("w").alias("w"))
-    if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
-        return _searched(both, sources, p.path_m)
-    return _relaxed(both, sources, p.path_m)
-
-
-def _searched(steps: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
-    table = steps.orderBy("a", "b").toArrow()  # at most 2 * BROADCAST_EDGES rows
-    shared = steps.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("a", "b", "w")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, w = shared.value
-        nodes, first = np.unique(a, return_index=True)
-        place, ends = {n: i for i, n in enumerate(nodes.tolist())}, np.append(first[1:], len(a)).tolist()
-        first, b, w = first.tolist(), b.tolist(), w.tolist()
-        for batch in batches:
-            out: list[tuple[int, int, float]] = []
-            for source in batch.column(0).to_pylist():
-                done: dict[int, float] = {}
-                heap = [(0.0, source)]
-                while heap:
-                    d, n = heapq.heappop(heap)
-                    if n in done:
-                        continue
-                    done[n] = d
-                    if (i := place.get(n)) is not None:
-                        for e in range(first[i], ends[i]):
-                            if b[e] not in done and d + w[e] <= limit:
-                                heapq.heappush(heap, (d + w[e], b[e]))
-                out += [(source, n, d) for n, d in done.items()]
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["n1", "n2", "path_m"]
-            )
-
-    return sources.select("n1").mapInArrow(run, "n1 long, n2 long, path_m double")
-
-
-def _relaxed(steps: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
-    known = stored(sources.select("n1", F.col("n1").alias("n2"), F.lit(0.0).alias("path_m"), F.lit(True).alias("fresh")), "paths")
-    while not known.where("fresh").isEmpty():
-        grown = known.where("fresh").join(steps, F.col("n2") == F.col("a")).select("n1", F.col("b").alias("n2"), (F.col("path_m") + F.col("w")).alias("path_m"))
-        grown = grown.where(F.col("path_m") <= limit)
-        rows = known.select("n1", "n2", "path_m", F.lit(False).alias("new")).unionByName(grown.withColumn("new", F.lit(True)))
-        # A path that is new is fresh only if it is shorter than the known one.
-        least = rows.groupBy("n1", "n2").agg(F.min("path_m").alias("path_m"), F.min(F.when(~F.col("new"), F.col("path_m"))).alias("old"))
-        known = stored(least.select("n1", "n2", "path_m", F.coalesce(F.col("path_m") < F.col("old"), F.lit(True)).alias("fresh")), "paths")
-    return known.select("n1", "n2", "path_m")
+    halo = p.path_m + 1  # nodes are rounded to centimetres, lengths to millimetres
+    x, y = lambda c: F.shiftright(c, 32) / 100, lambda c: F.col(c).bitwiseAND(0xFFFFFFFF) / 100
+    lines = edges.select(F.col("u_key").alias("a"), F.col("v_key").alias("b"), F.col("length_m").alias("w")).where(f"a <> b AND w <= {p.path_m}")
+    lines = lines.groupBy("a", "b").agg(F.min("w").alias("w"))
+
+    def tiles(at) -> Column:
+        low, high = F.least(at("a"), at("b")), F.greatest(at("a"), at("b"))
+        return F.explode(F.sequence(F.ceil((high - halo) / tile_m) - 1, F.floor((low + halo) / tile_m)))
+
+    near = lines.withColumn("tx", tiles(x)).withColumn("ty", tiles(y))
+    asked = sources.select("n1", F.floor(x("n1") / tile_m).alias("tx"), F.floor(y("n1") / tile_m).alias("ty"))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = _within(*(right[c].to_numpy() for c in ("a", "b", "w")), left["n1"].to_pylist(), p.path_m) if len(left) else ([], [], [])
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["n1", "n2", "path_m"])
+
+    return asked.groupBy("tx", "ty").cogroup(near.groupBy("tx", "ty")).applyInArrow(search, "n1 long, n2 long, path_m double")
+
+
+def _within(a: np.ndarray, b: np.ndarray, w: np.ndarray, sources: list[int], limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From each source the nodes within ``limit`` and their distances, over the undirected edges ``a, b`` of lengths ``w``."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    start, other = np.concatenate([ends[: len(a)], ends[len(a) :]]), np.concatenate([ends[len(a) :], ends[: len(a)]])
+    order = np.argsort(start, kind="stable")
+    first = np.searchsorted(start[order], np.arange(len(nodes) + 1)).tolist()
+    other, length = other[order].tolist(), np.concatenate([w, w])[order].tolist()
+    place = {n: i for i, n in enumerate(nodes.tolist())}
+    n1, n2, far = [], [], []
+    for source in sources:
+        if source not in place:  # a node without edges
+            n1.append(np.array([source]))
+            n2.append(np.array([source]))
+            far.append(np.zeros(1))
+            continue
+        done: dict[int, float] = {}
+        heap = [(0.0, place[source])]
+        while heap:
+            d, n = heapq.heappop(heap)
+            if n in done:
+                continue
+            done[n] = d
+            for e in range(first[n], first[n + 1]):
+                if other[e] not in done and d + length[e] <= limit:
+                    heapq.heappush(heap, (d + length[e], other[e]))
+        n1.append(np.full(len(done), source))
+        n2.append(nodes[list(done)])
+        far.append(np.fromiter(done.values(), np.float64, len(done)))
+    return np.concatenate(n1), np.concatenate(n2), np.concatenate(far)
 
 
 def candidate_path_length(pairs: DataFrame, paths: DataFrame) -> DataFrame:

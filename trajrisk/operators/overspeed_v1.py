@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import mercator_mid_lat
 from ..functions.labels import alert_level, alert_type, control_suggestions, control_text, evolution_pattern, high_risk_period, pattern_color, time_slice
 from ..params import DEFAULTS, Params
+from .numbering import numbered
 
 
 def overspeed_flag(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -50,12 +51,14 @@ def v1_hotspot_fallback(grid: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def hotspot_ids(hotspots: DataFrame) -> DataFrame:
-    """``area_id`` HS-0001 and so on by score; hot spots are few."""
-    return hotspots.withColumn("area_id", F.format_string("HS-%04d", F.row_number().over(Window.orderBy(F.desc("gi_z"), "grid_id"))))
+    """``area_id`` HS-0001 and so on by score, the highest first."""
+    out = numbered(hotspots, [F.desc("gi_z"), F.col("grid_id")], "__number")
+    return out.withColumn("area_id", F.format_string("HS-%04d", F.col("__number") + 1)).drop("__number")
 
 
 def alert_ids(alerts: DataFrame, stamp: str) -> DataFrame:
-    return alerts.withColumn("alert_id", F.format_string(f"ALERT-{stamp}-%04d", F.row_number().over(Window.orderBy("area_id"))))
+    out = numbered(alerts, ["area_id"], "__number")
+    return out.withColumn("alert_id", F.format_string(f"ALERT-{stamp}-%04d", F.col("__number") + 1)).drop("__number")
 
 
 def top_hotspots(hotspots: DataFrame, n: int = 10) -> DataFrame:

@@ -2,51 +2,60 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import risk_level
 from ..functions.labels import LISA_LABELS
 from ..params import DEFAULTS, Params
-from ..sources.tables import stored
+from ..sources.tables import delete, stored
+from .numbering import numbered
 
-#: Cells up to which their values are sent to every executor for permutations; beyond it moments take their place.
-BROADCAST_CELLS = 2_000_000
+#: Numbers that are drawn for each permutation, of which the first distinct ones are taken.
+DRAWN = 64
+#: Coefficients of the fit of the complementary error function.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 #: Layers of hot spots and the column that each is made of.
 LAYERS = {"comprehensive": "cri", "overspeed": "overspeed_rate", "reverse": "reverse_rate", "rapid": "rapid_rate"}
 
 
 def normal_p(z: Column) -> Column:
-    """Two-sided p value under the normal distribution."""
-
-    def both_tails(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2))).astype("float64")
-
-    return F.pandas_udf(both_tails, "double")(z)
+    """Two-sided p value under the normal distribution, to some 1e-7 of itself: a Chebyshev fit of the complementary
+    error function."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    series = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        series = F.lit(c) + t * series
+    return t * F.exp(series - x * x)
 
 
 def knn_neighbors(cells: DataFrame, p: Params = DEFAULTS, by: tuple[str, ...] = ()) -> DataFrame:
     """``*by, i, j, d2``: the nearest other cells of every cell (``grid_id, col, row``), by (distance, grid_id).
 
-    Cells look into the 3 x 3 blocks of side 1, 2, 4 and so on around their own; what is no farther than the side is
-    certain, and a cell with enough certain neighbours, or whose blocks hold all others, is done. Every round is an
-    equi-join on blocks of those that are not.
+    Cells look into the 3 x 3 blocks around their own; what is no farther than a block's side is certain. A cell with
+    enough certain neighbours, or that has seen all others of its group, is done; the rest look again into blocks of
+    twice the side. The first side is such that blocks hold about as many cells as are asked for. Every round is an
+    equi-join on blocks of those that are not done.
     """
     by = list(by)
     k = p.neighbours
     here = stored(cells.select(*by, "grid_id", "col", "row"), "cells")
     size = here.groupBy(*by).agg(F.count("*").alias("size"), F.max("col").alias("c1"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.min("row").alias("r0"))
-    extent = size.agg(F.max(F.greatest(F.col("c1") - F.col("c0"), F.col("r1") - F.col("r0"))).alias("e")).first()["e"]
-    size = size.select(*by, (F.col("size") - 1).alias("others"))
+    wide, high = F.col("c1") - F.col("c0") + 1, F.col("r1") - F.col("r0") + 1
+    facts = size.agg(F.max(F.greatest(wide, high)).alias("e"), F.max(wide * high * k / F.col("size")).alias("area")).first()
+    extent = facts["e"]
+    others = size.select(*by, (F.col("size") - 1).alias("others"))  # a row a group
     open_ = here
-    found, side = [], 1
+    found, side = [], 1 << max(0, math.ceil(math.log2(max(1.0, math.sqrt(float(facts["area"] or 1))))))
     while True:
         block = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
         steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
@@ -54,15 +63,21 @@ def knn_neighbors(cells: DataFrame, p: Params = DEFAULTS, by: tuple[str, ...] =
         mine = mine.select(*by, "i", "c", "r", (F.floor(F.col("c") / side) + F.col("s.x")).alias("bc"), (F.floor(F.col("r") / side) + F.col("s.y")).alias("br"))
         other = here.select(*by, F.col("grid_id").alias("j"), F.col("col").alias("c2"), F.col("row").alias("r2"), block("col").alias("bc"), block("row").alias("br"))
         near = mine.join(other, [*by, "bc", "br"]).where("i <> j").select(*by, "i", "j", F.expr("(c - c2) * (c - c2) + (r - r2) * (r - r2)").cast("long").alias("d2"))
-        order = Window.partitionBy(*by, "i").orderBy("d2", "j")
-        near = near.withColumns({"rank": F.row_number().over(order), "sure": F.count_if(F.col("d2") <= side * side).over(Window.partitionBy(*by, "i"))})
-        last = extent is None or side > extent  # the blocks hold all
-        near = near.where("rank <= %d" % k if last else f"rank <= {k} AND sure >= {k}").select(*by, "i", "j", "d2")
+        one = Window.partitionBy(*by, "i")
+        near = near.withColumns({"rank": F.row_number().over(one.orderBy("d2", "j")), "sure": F.count_if(F.col("d2") <= side * side).over(one), "seen": F.count("*").over(one)})
+        last = extent is None or side >= extent  # the blocks hold all
+        near = near.join(F.broadcast(others), by) if by else near.crossJoin(F.broadcast(others))  # a row a group
+        near = near.where(f"rank <= {k}" if last else f"rank <= {k} AND (sure >= {k} OR seen = others)").select(*by, "i", "j", "d2")
         near = stored(near, "neighbours")
         found.append(near)
         if last:
             break
-        open_ = stored(open_.join(near.select(*by, F.col("i").alias("grid_id")).distinct(), [*by, "grid_id"], "left_anti"), "open")
+        left = open_.join(near.select(*by, F.col("i").alias("grid_id")).distinct(), [*by, "grid_id"], "left_anti")
+        left = stored(left.join(F.broadcast(others.where("others > 0")), by) if by else left.crossJoin(F.broadcast(others.where("others > 0"))), "open")
+        left, before = left.drop("others"), open_
+        if before is not here:
+            delete(before)
+        open_ = left
         if open_.isEmpty():
             break
         side *= 2
@@ -231,58 +246,58 @@ def local_moran_radius(cells: DataFrame, radius: float) -> DataFrame:
     return rows.withColumn("label", lisa_label(F.col("quadrant")))
 
 
-def permuted(x: np.ndarray, place: int, k: int, draws: int, seed: int) -> np.ndarray:
-    """Means of ``k`` distinct other values than that at ``place``, drawn ``draws`` times."""
-    rng = np.random.default_rng(seed)
-    others = len(x) - 1
-    k = min(k, others)
-    at = rng.integers(0, others, (draws, k))
-    while True:  # draw again where one draw took a value twice
-        twice = (np.diff(np.sort(at, axis=1), axis=1) == 0).any(axis=1)
-        if not twice.any():
-            break
-        at[twice] = rng.integers(0, others, (int(twice.sum()), k))
-    return x[at + (at >= place)].mean(axis=1)
+def shared_draws(others: int, k: int, permutations: int, seed: int) -> np.ndarray:
+    """For each permutation ``k`` distinct numbers below ``others``: the first of those that digests of the seed, the
+    permutation and 0, 1, 2 and so on give; -1 where ``DRAWN`` digests have less."""
+    out = np.full((permutations, k), -1, np.int64)
+    for i in range(permutations):
+        numbers = (int(hashlib.md5(f"{seed}-{i}-{j}".encode()).hexdigest()[:15], 16) % others for j in range(DRAWN))
+        found = list(itertools.islice(dict.fromkeys(numbers), k))
+        out[i, : len(found)] = found
+    return out
 
 
-def lisa_permutations(local: DataFrame, p: Params = DEFAULTS, seed: int = 1, limit: int = BROADCAST_CELLS) -> DataFrame:
+def lisa_permutations(local: DataFrame, p: Params = DEFAULTS, seed: int = 1) -> DataFrame:
     """``local`` with ``lisa_z`` and ``lisa_p`` against conditional permutations: the neighbours' values are drawn from all
-    other cells. A cell's draws follow from the seed and its id alone, however the rows are partitioned.
+    other cells.
 
-    Beyond ``limit`` cells the exact mean and variance of such draws, and the normal distribution, take their place.
+    Cells are numbered in the order of their ids. All cells share one table of draws, of a size that does not depend on
+    the number of cells: ranks among the others. A rank is the number of a cell, or of the next one for cells that stand
+    before it, so that the values of these few numbers are all that is sent to the tasks.
     """
-    if local.limit(limit + 1).count() > limit:
-        one = local.agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-        rows = local.crossJoin(F.broadcast(one))  # one row
-        m = (F.col("s") - F.col("x")) / (F.col("n") - 1)
-        v = (F.col("ss") - F.col("x") * F.col("x")) / (F.col("n") - 1) - m * m
-        sd = F.sqrt(v / F.col("k") * (F.col("n") - 1 - F.col("k")) / (F.col("n") - 2))
-        z = F.when(sd > 0, F.signum("x") * (F.col("lag") - m) / sd).otherwise(0.0)
-        rows = rows.withColumn("lisa_z", z)
-        return rows.withColumn("lisa_p", normal_p(F.col("lisa_z")) / 2).drop("n", "s", "ss")
-    values = local.select("grid_id", "x").orderBy("grid_id").toArrow()  # at most ``limit`` rows
-    shared = local.sparkSession.sparkContext.broadcast((values.column("grid_id").to_pylist(), values.column("x").to_numpy()))
+    cells = stored(numbered(local, ["grid_id"], "__n"), "numbered")
+    n, k = cells.agg(F.count("*"), F.coalesce(F.max("k"), F.lit(0))).first()
+    others, k = n - 1, int(min(k, max(n - 1, 0)))
+    draws = shared_draws(others, k, p.permutations, seed) if others > 0 else np.zeros((p.permutations, 0), np.int64)
+    wanted = np.unique(np.concatenate([draws[draws >= 0], draws[draws >= 0] + 1]))  # at most 2 * permutations * k
+    table = cells.sparkSession.createDataFrame([(int(i),) for i in wanted], "__n long")
+    known = {r["__n"]: r["x"] for r in cells.select("__n", "x").join(F.broadcast(table), "__n").collect()}
+    here = np.array([[known.get(d, np.nan) for d in row] for row in draws.tolist()]).reshape(draws.shape)
+    after = np.array([[known.get(d + 1, np.nan) for d in row] for row in draws.tolist()]).reshape(draws.shape)
+    shared = cells.sparkSession.sparkContext.broadcast((draws, here, after))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, x = shared.value
-        place = {n: i for i, n in enumerate(names)}
+        draws, here, after = shared.value
         for batch in batches:
-            z, q = [], []
-            for name, own, i, k, m2 in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("grid_id", "x", "local_i", "k", "m2")), strict=True):
-                if len(x) < 2 or not m2:
-                    z.append(0.0)
-                    q.append(1.0)
+            z, q = np.zeros(batch.num_rows), np.ones(batch.num_rows)
+            columns = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("__n", "x", "local_i", "k", "m2"))
+            for row, (number, own, i, size, m2) in enumerate(zip(*columns, strict=True)):
+                if others < 1 or not m2:
                     continue
-                sims = own * permuted(x, place[name], k, p.permutations, xxhash.xxh64_intdigest(name, seed)) / m2
+                size = min(int(size), draws.shape[1])
+                values = np.where(draws[:, :size] >= number, after[:, :size], here[:, :size])
+                some = draws[:, :size] >= 0
+                sims = own * np.where(some, values, 0.0).sum(axis=1) / some.sum(axis=1) / m2
                 sd = sims.std()
-                z.append(float((i - sims.mean()) / sd) if sd > 0 else 0.0)
-                larger = int((sims >= i).sum())
-                larger = min(larger, p.permutations - larger)
-                q.append((larger + 1) / (p.permutations + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z, pa.float64()), pa.array(q, pa.float64())], [*batch.schema.names, "lisa_z", "lisa_p"])
+                z[row] = (i - sims.mean()) / sd if sd > 0 else 0.0
+                larger = int((np.round(sims, 9) >= round(i, 9)).sum())
+                q[row] = (min(larger, p.permutations - larger) + 1) / (p.permutations + 1)
+            at = batch.schema.get_field_index("__n")
+            kept = [c for c in range(batch.num_columns) if c != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(z), pa.array(q)], [*(batch.schema.names[c] for c in kept), "lisa_z", "lisa_p"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in local.schema) + ", lisa_z double, lisa_p double"
-    return local.mapInArrow(run, schema)
+    return cells.mapInArrow(run, schema)
 
 
 def lisa_label_counts(lisa: DataFrame, p: Params = DEFAULTS) -> DataFrame:
