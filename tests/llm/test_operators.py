@@ -402,6 +402,80 @@ def test_html_keeps_text_without_article():
     assert html_text.main_text(f"<body><div class='widget'><h1>T</h1>{long}</div></body>").startswith("T Long")
 
 
+BOILERPLATE = (
+    "related-posts related-articles comment-thread user-comments respond share-buttons social-icons ad-slot ad-unit ad_300x250 advert-mpu sponsored-content "
+    "newsletter-form most-read recommended-reads topbar alert announcement disclaimer commentList relatedStories ad1 read-next"
+).split()
+LOOK_ALIKES = "has-sidebar no-comments content-header commentary adhoc shared-text addresses socialism headers category-social tag-ads overflow-hidden".split()
+
+
+def test_html_boilerplate_by_any_part_of_a_name():
+    long = "<p>" + "Long, long, long words of a text, " * 40 + "end.</p>"
+    for name in BOILERPLATE:
+        for tag in ("div", "section"):
+            part = f"<{tag} class='x {name}'><p>This is gone, all of it, as it should be.</p></{tag}>"
+            for page in (f"<body><div>{long}{part}</div></body>", f"<body><article>{long}{part}</article></body>", f"<body><div>{long}</div>{part}</body>", f"<body><article>{long}</article>{part}</body>"):
+                assert html_text.main_text(page).endswith("end."), (name, page[-200:])
+    for name in LOOK_ALIKES:
+        part = f"<div class='{name}'><p>This stays, all of it, as it should do.</p></div>"
+        for page in (f"<body><div>{long}{part}</div></body>", f"<body><article>{long}{part}</article></body>", f"<body><div>{long}</div>{part}</body>"):
+            assert html_text.main_text(page).endswith("end. This stays, all of it, as it should do."), (name, page[-200:])
+    for name in ("social-history", "alert-report", "related-work"):  # nothing else is on the page
+        assert html_text.main_text(f"<body><nav>x</nav><div class='{name}'>{long}</div></body>").endswith("end."), name
+    assert html_text.main_text(f"<body><div class='user-comments'>{long}</div></body>") == ""
+
+
+def test_html_parts_told_by_headings_and_nesting():
+    long = "<p>" + "Long, long, long words of a text, " * 40 + "end.</p>"
+    note = "<p>Nice, post, friend, I would say so too!</p>"
+    for head in ("Comments", "3 comments", "Comments (12)", "Leave a reply", "Related articles", "You may also like", "Most read", "Share this", "Advertisement"):
+        for page in (f"<article>{long}<div><h3>{head}</h3>{note}</div></article>", f"<div>{long}<h2>{head}</h2>{note}<ul><li>{note}</li></ul></div>"):
+            assert html_text.main_text(f"<body>{page}</body>").endswith("end."), (head, page[-150:])
+        assert html_text.main_text(f"<body><div>{long}<h2>{head}</h2>{note}<h2>Second</h2><p>More.</p></div></body>").endswith("end. Second More."), head
+    assert html_text.main_text(f"<body><div>{long}<h2>Comments on the law</h2>{note}</div></body>").endswith("so too!")
+    assert html_text.main_text(f"<body><article>{long}<article>{note}</article><article>{note}</article></article></body>").endswith("end.")
+    pages = f"<body><main><article><h1>A</h1>{long}</article></main><main><article><p>Short second.</p></article></main><article><p>Third, also short.</p></article></body>"
+    assert html_text.main_text(pages).startswith("A Long") and html_text.main_text(pages).endswith("end. Short second. Third, also short.")
+
+
+def test_html_against_pages_of_known_text():
+    """Random pages, put together from parts that belong to the text and parts that do not, as deep and in such order as it comes."""
+    rnd = random.Random(31)
+    words = lambda n: " ".join(rnd.choice(["stone", "river", "walks,", "under", "light", "&amp;", "old", "é"]) for _ in range(n)) + "."
+    for _ in range(300):
+        want: list[str] = []
+
+        def told(n, want=want):
+            text = words(n)
+            want.append(text.replace("&amp;", "&"))
+            return text
+
+        def good(depth):
+            kind = rnd.choice(["p", "p", "p", "ul", "table", "quote", "deep" if depth else "p"])
+            if kind == "p":
+                return f"<p>{told(rnd.randint(12, 60))}" + rnd.choice(["</p>", ""])
+            if kind == "ul":
+                return "<ul>" + "".join(f"<li>{told(9)}" for _ in range(3)) + "</ul>"
+            if kind == "table":
+                return f"<table><tr><td>{told(6)}<td>{told(6)}</table>"
+            if kind == "quote":
+                return f"<blockquote><p>{told(15)}</p></blockquote>"
+            return f"<div class='{rnd.choice(LOOK_ALIKES)}'>" + "".join(good(depth - 1) for _ in range(2)) + "</div>"
+
+        def bad():
+            inner = rnd.choice([f"<p>{words(12)}</p>", f"<ul><li><a href=x>{words(3)}</a></li></ul>", f"<div><span>{words(8)}</span></div>"])
+            return rnd.choice([
+                f"<div class='{rnd.choice(BOILERPLATE)}'>{inner}</div>", f"<section id='{rnd.choice(BOILERPLATE)}'>{inner}</section>", f"<nav>{inner}</nav>", f"<aside>{inner}</aside>",
+                f"<form>{inner}</form>", f"<script>var a = '{words(5)}</p>';</script>", f"<style>{words(3)}</style>", f"<!-- {words(4)} -->", f"<footer>{inner}</footer>",
+            ])
+
+        lead = f"<p>{told(60)}</p>"
+        body = lead + "".join(good(2) if rnd.random() < 0.7 else bad() for _ in range(rnd.randint(6, 14)))
+        tag = rnd.choice(["article", "main", "div", "section"])
+        page = f"<html><head><title>{words(3)}</title></head><body>{bad()}{bad()}<{tag}>{body}</{tag}>{bad()}{bad()}</body></html>"
+        assert html_text.main_text(page).split() == " ".join(want).split(), page
+
+
 def test_html_on_a_table(spark):
     page = "<body><div class=menu><a href=/>Home</a></div><p>Text, of one page, that is longer than the rest of it.</p></body>"
     rows = [(1, "u", page, "x"), (1, "u", page, "x"), (None, None, page, "x"), (2, "v", None, "x"), (3, "w", "", "x"), (4, "w", "&lt;b&gt; &amp;amp;\u00a0x", "x")]

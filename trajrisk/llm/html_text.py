@@ -4,8 +4,13 @@ The markup is read into a small tree (unclosed paragraphs and list items are clo
 of their own pass points to their parent and, halved, to their grandparent: one for being there, one for each comma,
 up to three for length. A container's points are discounted by its link density. The best container and those of its
 siblings that score like it or hold paragraphs, lists, tables or headings that are not mostly links are kept (beside an
-article or main element only those that score like it or are long); menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are left out wherever they stand.
+article or main element only those that score like it or are long), and with an article all others of the page.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever
+they stand. They are told by their elements; by the words of their class, id and role names, in whatever combination,
+unless these say what a container has or lacks; by a heading that announces them; and, as the standard has it for
+comments, by articles inside articles. What is told by a name alone is taken back if it has the article's heading and
+most of the text, or if the page has no paragraph besides.
 
 Defined cases: a null or empty page has an empty text; text outside of all elements counts as the body's; character
 references are decoded once; unknown and unclosed elements are taken as they come; a page whose text is all in
@@ -15,6 +20,7 @@ boilerplate has an empty text; repeated pages are extracted each; other columns
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -32,26 +38,52 @@ BLOCKS = frozenset(
 )
 #: What a start tag closes if it is the current block: itself, or what cannot hold it.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-#: Elements and class or id words of what is not main text.
+#: Elements, and words of class, id or role names, of what is not main text.
 LEFT_OUT = frozenset("nav header footer aside form button select option dialog menu head fieldset label".split())
-LEFT_OUT_WORDS = frozenset(
-    "ad ads advert advertisement advertising adbox banner sponsor sponsored promo promotion sidebar side-bar menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer header masthead comment comments disqus replies cookie cookies consent gdpr notice popup modal overlay "
-    "subscribe newsletter signup social share sharing related recommended widget pagination pager skip toolbar".split()
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adbox adsense adslot adunit banner banners sponsor sponsors sponsored promo promos "
+    "promoted promotion promotions sidebar nav navbar navigation menu menus breadcrumb breadcrumbs comment comments commenters disqus reply replies "
+    "respond cookie cookies consent gdpr notice notices popup modal overlay lightbox subscribe subscription newsletter newsletters signup share shares "
+    "sharing social related recommended recommendation recommendations trending widget widgets pagination pager skip toolbar topbar masthead alert "
+    "alerts announcement announcements disclaimer disclaimers paywall teaser teasers".split()
+)
+#: Two words that together are such a mark.
+PAIRS = frozenset({
+    ("most", "read"), ("most", "viewed"), ("most", "popular"), ("most", "shared"), ("read", "next"), ("read", "more"), ("more", "from"), ("more", "stories"),
+    ("also", "like"), ("side", "bar"), ("sign", "up"), ("log", "in"), ("call", "action"),
+})
+#: Words that are a mark only where the rest of the name places it.
+PLACED = frozenset("header footer foot head".split())
+#: Marks of readers' comments: what has them is never taken back for want of other text.
+READERS = frozenset("comment comments commenters disqus reply replies respond".split())
+#: Words of names that say what a container has, lacks or is filed under.
+STATES = frozenset("has have no non not without with hide is are category tag type format status".split())
+#: Headings of parts that are not main text.
+ANNOUNCES = re.compile(
+    r"(?:\d+ )?(?:(?:reader |user |readers' )?comments?|responses?|replies|leave a (?:comment|reply)|join the (?:conversation|discussion)|related(?: \w+)?|"
+    r"recommended(?: \w+)*|you (?:may|might) also like(?: this)?|read (?:more|next)|more (?:from|stories)(?: [\w ]+)?|most (?:read|popular|viewed|shared)(?: \w+)?|"
+    r"share(?: this)?(?: \w+)?|follow us(?: on \w+)?|advertisements?|sponsored(?: \w+)?|subscribe(?: [\w ]+)?|(?:our )?newsletters?|sign up(?: [\w ]+)?|"
+    r"trending(?: \w+)?|popular (?:posts|articles|stories))(?: ?\(\d+\))?:?",
+    re.I,
 )
 #: Where a start or end tag may close, or a quoted value begins.
 _MARK = re.compile(r"""=[ \t\r\n\f]*(["'])|>""")
 _TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/<>]*")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 #: Parts that hold text of their own kind beside paragraphs.
-CONTENT = frozenset("p ul ol dl table pre blockquote figure h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTENT = HEADINGS | frozenset("p ul ol dl table pre blockquote figure".split())
 
 
 #: Words that only place or shape what the other words of a name say.
 PLACING = frozenset("site page main global top bottom left right primary secondary wrapper wrap container inner box area list block section bar links item".split())
-BY_NAME, ALWAYS = 1, 2
+#: How sure it is that an element is not main text: by a name with other words in it, by a name, or whatever it holds.
+BY_PART, BY_NAME, ALWAYS = 1, 2, 3
+#: Characters from which on a block outside of links is a paragraph.
+PARAGRAPH = 25
 
 
 class Node:
@@ -67,39 +99,92 @@ class Node:
 def _left_out(tag: str, attributes: str) -> int:
     if tag in LEFT_OUT:
         return ALWAYS
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return 0
     if _hidden(attributes):
         return ALWAYS
-    names = " ".join(x for m in _NAMES.findall(attributes) for x in m).lower().split()
-    return BY_NAME if any(map(_boilerplate, names)) else 0
+    names = " ".join(x for m in _NAMES.findall(attributes) for x in m).split()
+    return max(map(_mark, names), default=0)
 
 
-def _boilerplate(name: str) -> bool:
-    """A name counts as a whole: of its words one at least is of boilerplate and the others only place it."""
-    if name in LEFT_OUT_WORDS:
-        return True
-    words = {w for w in re.split(r"[_-]+", name) if w}
-    return not LEFT_OUT_WORDS.isdisjoint(words) and words <= LEFT_OUT_WORDS | PLACING
+def _mark(name: str) -> int:
+    """Whether a class, id or role name is one of boilerplate: a mark in any of its words, unless it says what is there."""
+    words = [w for w in re.split(r"[^a-z]+", _HUMP.sub("-", name).lower()) if w]
+    found = [w for w in words if w in MARKS]
+    placed = PLACED.intersection(words)
+    rest = set(words) - MARKS - PLACED - PLACING
+    if not STATES.isdisjoint(words):
+        return 0
+    if not READERS.isdisjoint(words) or (found or placed) and not rest:
+        return BY_NAME
+    return BY_PART if found or any(p in PAIRS for p in itertools.pairwise(words)) else 0
 
 
-def _readmit(root: Node) -> None:
-    """Containers that are left out by name only stay if they hold most of the text and an article or its heading."""
+def _text_of(node: Node, most: int = 80) -> str:
+    """The beginning of a node's text."""
+    parts, stack, size = [], [node], 0
+    while stack and size < most:
+        x = stack.pop()
+        if type(x) is str:
+            parts.append(x)
+            size += len(x)
+        else:
+            stack += reversed(x.parts)
+    return " ".join(html.unescape("".join(parts)).split())
+
+
+def _announced(nodes: list[Node]) -> None:
+    """Leaves out what a heading announces as boilerplate: its container, if it stands first there, or else what follows it
+    up to the next heading of its rank."""
+    for head in nodes:
+        if head.tag not in HEADINGS or head.out or head.parent is None or not ANNOUNCES.fullmatch(_text_of(head)):
+            continue
+        beside = head.parent.parts
+        at = next(i for i, p in enumerate(beside) if p is head)
+        alone = not any(p.strip() if type(p) is str else p.tag not in VOID for p in beside[:at])
+        if alone and head.parent.tag in ("div", "section", "li", "ul", "ol"):
+            head.parent.out = max(head.parent.out, BY_NAME)
+            continue
+        for p in beside[at:]:
+            if type(p) is not Node:
+                continue
+            if p is not head and p.tag in HEADINGS and p.tag <= head.tag:
+                break
+            p.out = max(p.out, BY_NAME)
+
+
+def _decide(root: Node) -> None:
+    """Leaves out what headings and nesting tell, and takes back what only a name told."""
     nodes, stack = [], [root]
     while stack:
         node = stack.pop()
         nodes.append(node)
         stack += [p for p in node.parts if type(p) is Node and p.out != ALWAYS]
-    if not any(n.out for n in nodes):
-        return
-    size, heads = {}, {}
+    _announced(nodes)
+    size, heads, inside = {}, {}, {}
     for n in reversed(nodes):
         below = [p for p in n.parts if type(p) is Node and id(p) in size]
         size[id(n)] = sum(len(p.strip()) for p in n.parts if type(p) is str) + sum(size[id(p)] for p in below)
-        heads[id(n)] = n.tag in ("article", "main", "h1") or any(heads[id(p)] for p in below)
+        heads[id(n)] = n.tag in ("main", "h1") or n.tag == "article" and not n.out or any(heads[id(p)] for p in below)
+    for n in nodes:  # an article inside an article is a reader's comment, unless it is most of it
+        outer = inside.get(id(n.parent)) if n.parent is not None else None
+        if n.tag == "article" and outer is not None and 2 * size[id(n)] <= size[id(outer)]:
+            n.out = max(n.out, BY_NAME)
+        inside[id(n)] = n if n.tag == "article" else outer
     for n in nodes:
         if n.out and heads[id(n)] and 2 * size[id(n)] > size[id(root)]:
             n.out = 0
+    stack, parts, other = [root], [], 0
+    while stack:
+        n = stack.pop()
+        if n.out == BY_PART:
+            parts.append(n)
+        elif not n.out and n.tag != "a":
+            other = max(other, sum(len(p.strip()) for p in n.parts if type(p) is str))
+            stack += [p for p in n.parts if type(p) is Node]
+    if other < PARAGRAPH:
+        for n in parts:
+            n.out = 0
 
 
 def _hidden(attributes: str) -> bool:
@@ -255,7 +340,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    _readmit(root)
+    _decide(root)
     nodes = _order(root)
     score(nodes)
     final = {id(n): n.points * (1 - _density(n)) for n in nodes}
@@ -269,17 +354,28 @@ def main_text(page: str | None) -> str:
             break
         node = node.parent
     top = Node("body", None, 0)
-    top.parts = [best] if best.parent is None else [p if _kept(p, best, final) else " " for p in best.parent.parts]
+    if best.parent is None:
+        top.parts = [best]
+    else:
+        kept = {id(p) for p in best.parent.parts if type(p) is Node and _kept(p, best, final)}
+        loose = best.parent if best.tag not in ("article", "main") else None  # texts beside the best container count
+        if best.tag in ("article", "main"):
+            kept |= {id(n) for n in nodes if n.tag in ("article", "main") and n.size and _density(n) < 0.25}
+        stack: list = [root]
+        while stack:  # in page order; what is kept is taken as a whole
+            x = stack.pop()
+            if type(x) is str or id(x) in kept:
+                top.parts += [x, " "] if type(x) is str else [x]
+            elif not x.out:
+                stack += [p for p in reversed(x.parts) if type(p) is Node or x is loose]
     blocks: list[str] = []
     _collect(top, blocks)
     return " ".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
 
-def _kept(p: Node | str, best: Node, final: dict[int, float]) -> bool:
+def _kept(p: Node, best: Node, final: dict[int, float]) -> bool:
     """Whether a part beside the best container belongs to the text."""
     whole = best.tag in ("article", "main")
-    if type(p) is str:
-        return not whole
     if p is best or p.out:
         return p is best
     if whole:

@@ -37,7 +37,7 @@ from .stretches import JoinedTokens, Numbers, byte_tokens, gather, stretches
 #: The vocabularies are parameters; these places of the public ones are only the defaults.
 BYTE_MODEL, PIECE_MODEL = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes of a block, beyond which the next one begins. A single longer text makes a longer block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Bits of an id in a pair's number.
 BITS = 24
 
@@ -161,19 +161,19 @@ def blocks_of(docs: DataFrame, byte_model: str, piece_model: str, id_col: str, t
 def _digest_block(row: dict, links: pa.Table, labels: list[bytes]) -> dict:
     """What a block's documents are made of, from the links of its stretches."""
     end = links["end"].to_numpy()
-    order = np.argsort(end)
-    end = end[order]
-    a, b = (links[n].to_numpy()[order].astype(np.int64) for n in "ab")
-    a_ends, b_ends = (links[n].to_numpy(zero_copy_only=False)[order] for n in ("a_ends", "b_ends"))
-    group = -links["cut_group"].to_numpy()[order].astype(np.int64)
+    order = np.argsort(end).astype(np.int32)
     lengths = unpack(row["lengths"], np.int32)
-    stretch = np.searchsorted(np.cumsum(lengths, dtype=np.int64), end)
+    stretch = np.searchsorted(np.cumsum(lengths, dtype=np.int64), end[order]).astype(np.int32)
+    a, b = (links[n].to_numpy()[order] for n in "ab")
+    a_ends, b_ends = (links[n].to_numpy(zero_copy_only=False)[order] for n in ("a_ends", "b_ends"))
+    group = links["cut_group"].to_numpy()[order]
+    del links, end, order
     n = len(lengths)
     per = {"n_a": np.bincount(stretch[a_ends], minlength=n), "n_b": np.bincount(stretch[b_ends], minlength=n), "n_links": np.bincount(stretch, minlength=n)}
     per["n_groups"] = np.bincount(stretch[a_ends & b_ends], minlength=n)
     # Texts of groups: the ids of either side, in order.
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    number = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    number = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]), dtype=np.int32) if len(group) else np.zeros(0, np.int32)
     sides = []
     for ids, ends in ((a, a_ends), (b, b_ends)):
         names = list(map(labels.__getitem__, ids[ends].tolist()))
@@ -183,7 +183,9 @@ def _digest_block(row: dict, links: pa.Table, labels: list[bytes]) -> dict:
     groups = [x + b"|" + y for x, y in zip(*sides, strict=True)]
     at = (np.cumsum(per["n_groups"]) - per["n_groups"]).tolist()
     text = [groups[s] if k == 1 else b";".join(groups[s : s + k]) for s, k in zip(at, per["n_groups"].tolist(), strict=True)]
-    pairs, pair = np.unique(a << BITS | b, return_inverse=True)
+    del sides, groups
+    pairs, pair = np.unique(a.astype(np.int64) << BITS | b, return_inverse=True)
+    pair = pair.astype(np.int32)
     link_starts = np.cumsum(per["n_links"]) - per["n_links"]
     counts, flat = unpack(row["counts"], np.int32), unpack(row["stretches"], np.int32)
     out = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
@@ -199,7 +201,7 @@ def _digest_block(row: dict, links: pa.Table, labels: list[bytes]) -> dict:
         found = pair[gather(np.arange(len(pair)), link_starts[once], per["n_links"][once])]
         stamp[found] = np.arange(len(found))
         held[found[stamp[found] == np.arange(len(found))]] += 1
-    return out | {"pairs": pairs, "held": held, "links": pack(pair.astype(np.int32)), "link_counts": pack(per["n_links"].astype(np.int32))}
+    return out | {"pairs": pairs, "held": held, "links": pack(pair), "link_counts": pack(per["n_links"].astype(np.int32))}
 
 
 def alignments(
