@@ -40,7 +40,7 @@ class Analysis:
         return ingest.tag_invalid(ingest.coerce_types(ingest.resolve_columns(self.raw(), ("event_id",))), self.p)
 
     def chains(self) -> DataFrame:
-        """Points with kinematics and bearings: one exchange by vehicle, and windows inside it."""
+        """Points with kinematics and bearings: one exchange of the points by vehicle and slice of time, and windows inside it."""
         points = ingest.segment_trajectories(ingest.split_valid(self.tagged()), p=self.p)
         return matching.obs_bearings(matching.with_metres(ingest.point_kinematics(points, self.p)))
 
@@ -122,21 +122,25 @@ class Analysis:
             F.col("center_lat").alias("y"),
         )
 
+    def v1_neighbours(self) -> DataFrame:
+        return self.once("v1_neighbours", lambda: spatial.knn_neighbors(self.v1_values(), self.p))
+
     def v1_hotspots(self) -> DataFrame:
         """Cells with a score; the fallback where no cell has one."""
-        cells = self.v1_values()
-        gi = spatial.getis_ord_gi_star(cells, spatial.knn_neighbors(cells, self.p)).where("risk_level <> 'insignificant'")
-        gi = self.v1_cells().join(gi, "grid_id")
-        rows = overspeed_v1.v1_hotspot_fallback(self.v1_cells(), self.p) if gi.isEmpty() else gi
-        return self.once("v1_hotspots", lambda: overspeed_v1.hotspot_ids(rows))
+
+        def found() -> DataFrame:
+            gi = spatial.getis_ord_gi_star(self.v1_values(), self.v1_neighbours()).where("risk_level <> 'insignificant'")
+            gi = self.v1_cells().join(gi, "grid_id")
+            return overspeed_v1.hotspot_ids(overspeed_v1.v1_hotspot_fallback(self.v1_cells(), self.p) if gi.isEmpty() else gi)
+
+        return self.once("v1_hotspots", found)
 
     def trend(self) -> DataFrame:
         series = overspeed_v1.hourly_series(self.v1_points()).withColumn("key", F.lit("all"))
         return self.once("trend", lambda: overspeed_v1.mann_kendall(series))
 
     def v1_moran(self) -> DataFrame:
-        cells = self.v1_values()
-        return spatial.global_moran(cells, spatial.knn_neighbors(cells, self.p))
+        return spatial.global_moran(self.v1_values(), self.v1_neighbours())
 
     def log(self) -> DataFrame:
         return self.v1_points().select(

@@ -223,6 +223,10 @@ PARTS = {
     "facts": """SELECT layer, coalesce(n_valid, 0) AS n_valid, coalesce(n, 0) AS n_significant, coalesce(st, CASE WHEN coalesce(n_valid, 0) < 5 THEN 'insufficient_data' ELSE 'no_risk' END) AS selection_type
         FROM (VALUES ('comprehensive'), ('overspeed'), ('reverse'), ('rapid')) l(layer) LEFT JOIN (SELECT layer, count(*) AS n_valid FROM lcells GROUP BY 1) USING (layer)
         LEFT JOIN (SELECT layer, count(*) AS n, any_value(selection_type) AS st FROM spots GROUP BY 1) USING (layer)""",
+    "lisa_cells": """SELECT *, CASE WHEN round(x, 9) > 0 THEN 'H' ELSE 'L' END || CASE WHEN round(lag, 9) > 0 THEN 'H' ELSE 'L' END AS quadrant, x * lag / m2 AS i, row_number() OVER (ORDER BY grid_id) - 1 AS n, count(*) OVER () AS cells FROM (
+        SELECT a.grid_id, any_value(a.value - m) AS x, avg(b.value - m) AS lag, any_value(m2) AS m2, count(*) AS k FROM knn JOIN valid a ON a.grid_id = i JOIN valid b ON b.grid_id = j, (SELECT avg(value) AS m, var_pop(value) AS m2 FROM valid) GROUP BY 1)""",
+    "lisa_draws": """SELECT perm, number, row_number() OVER (PARTITION BY perm ORDER BY first) AS place FROM (SELECT perm, number, min(j) AS first FROM (SELECT perm, j, CAST('0x' || substr(md5('1-' || perm || '-' || j), 1, 15) AS BIGINT) % (SELECT count(*) - 1 FROM lisa_cells) AS number
+        FROM range(999) a(perm), range(64) b(j)) GROUP BY 1, 2)""",
     "v1": """SELECT event_id AS order_id, ts AS event_time, lon_u / 1e6 AS lon, lat_u / 1e6 AS lat, CAST(step AS DOUBLE) / dt * 3.6 AS speed_kmh, CASE WHEN CAST(step AS DOUBLE) / dt * 3.6 >= 20 THEN 1 ELSE 0 END AS is_overspeed, event_type, user_id,
         CAST(floor(lon_u / 1e6 / 0.0045) AS BIGINT) AS gx, CAST(floor(lat_u / 1e6 / 0.0045) AS BIGINT) AS gy FROM raw""",
     "v1g": "SELECT *, 'G' || gx || '_' || gy AS grid_id FROM v1",
@@ -425,6 +429,29 @@ FINAL |= {
 #: Which series the trend is of.
 _SERIES = {"mann_kendall": "SELECT * FROM kinds"}
 _ALL = "SELECT 'all' AS key, * FROM hours"
+#: All cells draw from one table of numbers, made of digests: of the first 64 for a permutation those that differ.
+_PERMUTED = f"""SELECT grid_id, quadrant, {_LABEL} AS label, round_even(CASE WHEN sd > 0 THEN (i - m) / sd ELSE 0 END, 3) AS lisa_z, round_even((least(larger, 999 - larger) + 1) / 1000.0, 3)::DOUBLE AS lisa_p FROM (
+    SELECT c.grid_id, any_value(c.quadrant) AS quadrant, any_value(c.i) AS i, avg(sim) AS m, stddev_pop(sim) AS sd, count(*) FILTER (WHERE round(sim, 9) >= round(c.i, 9)) AS larger FROM (
+      SELECT c.grid_id, d.perm, any_value(c.x) * avg(o.x) / any_value(c.m2) AS sim FROM lisa_cells c JOIN lisa_draws d ON d.place <= c.k JOIN lisa_cells o ON o.n = d.number + CASE WHEN d.number >= c.n THEN 1 ELSE 0 END GROUP BY 1, 2) s
+    JOIN lisa_cells c ON c.grid_id = s.grid_id GROUP BY 1)"""
+FINAL |= {
+    "lisa_permutations": f"SELECT grid_id, lisa_z, lisa_p, quadrant FROM ({_PERMUTED})",
+    "lisa_label_counts": f"SELECT label, count(*) AS n FROM ({_PERMUTED}) WHERE lisa_p < 0.05 GROUP BY 1",
+    "filter_days": "SELECT event_type, count(*) AS n FROM v1 WHERE CAST(event_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-07' GROUP BY 1",
+    "finished_batches": """SELECT 'B-' || (user_id % 5) AS batch_id, 'completed' AS status, count(*) AS rows_total, count(DISTINCT user_id) AS n_vehicles, min(time) AS time_min, count(*) AS n FROM kin WHERE user_id % 5 < 4 GROUP BY user_id % 5""",
+    "merge_points": "SELECT CAST(event_time AS DATE) AS day, count(*) AS n, CAST(sum(order_id) AS BIGINT) AS rows_sum, round_even(sum(speed_kmh), 3) AS speed_sum FROM v1 GROUP BY 1",
+    "read_feedback_jdbc": """SELECT CAST(order_id AS VARCHAR) AS feedback_id, 'G' || CAST(floor(lon / 0.0045) AS BIGINT) || '_' || CAST(floor(lat / 0.0045) AS BIGINT) AS area_id, CASE event_type WHEN 'error' THEN '不成立' WHEN 'signup' THEN '部分成立' ELSE '成立' END AS user_type,
+        round_even(lon, 6) AS lon, round_even(lat, 6) AS lat FROM v1 ORDER BY event_time DESC, CAST(order_id AS VARCHAR) DESC LIMIT 200""",
+    # Hours that end behind the watermark, which is that of two micro-batches before when rows are judged late.
+    "stream_hourly_overspeed": """SELECT * FROM (WITH a AS (SELECT *, date_trunc('hour', event_time) AS h, least(date_diff('day', DATE '2024-01-01', CAST(event_time AS DATE)) // 5 + CASE WHEN order_id % 50 = 0 THEN 2 ELSE 0 END, 5) AS arrival FROM v1),
+        w AS (SELECT b.arrival, (SELECT max(event_time) FROM a WHERE a.arrival <= b.arrival - 2) - INTERVAL 10 MINUTE AS mark FROM (SELECT DISTINCT arrival FROM a) b)
+        SELECT h AS bucket_ts, CAST(sum(is_overspeed) AS BIGINT) AS value FROM a JOIN w USING (arrival) WHERE (mark IS NULL OR h + INTERVAL 1 HOUR > mark) AND h + INTERVAL 1 HOUR <= (SELECT max(event_time) FROM v1) - INTERVAL 10 MINUTE GROUP BY 1)""",
+    # Chains of the points that the watermark has passed; the last one of a vehicle, if it has ended by then.
+    "stream_segments": """SELECT * FROM (WITH w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS mark FROM raw), p AS (SELECT * FROM raw, w WHERE ts < mark),
+        q AS (SELECT *, sum(head) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN rn % 30 = 17 OR NOT coalesce(date_diff('microsecond', lag(ts) OVER u, ts) <= 180000000, false) THEN 1 ELSE 0 END AS head FROM p WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id))),
+        r AS (SELECT user_id, run, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n_points, max(CAST(step AS DOUBLE) / dt * 3.6) AS most, any_value(mark) AS mark FROM q GROUP BY 1, 2)
+        SELECT 'V' || user_id AS vehicle_id, start_time, end_time, n_points, round_even(most, 3) AS max_speed FROM r QUALIFY run < max(run) OVER (PARTITION BY user_id) OR end_time + INTERVAL 180 SECOND < mark)""",
+}
 RECURSIVE = ("grown", "best")
 
 

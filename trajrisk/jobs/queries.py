@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import control_suggestions, interpret_analysis, recommendation_rules, recommendation_template
 from ..operators import advice, behavior, governance, grid, ingest, matching, overspeed_v1, roads, scoring, spatial
-from ..sources import files
+from ..sources import commits, files
 from ..sources.tables import new_folder, stored
 from ..streaming import run as streaming_run
 from ..streaming import streams
@@ -364,9 +365,27 @@ def _stream(a: Analysis) -> DataFrame:
     return a.spark.readStream.schema(points.schema).parquet(points.inputFiles()[0].rsplit("/", 1)[0])
 
 
+def _arrivals(a: Analysis, rows: DataFrame, slices: int = 6) -> DataFrame:
+    """A stream of ``rows``, a micro-batch for each value of ``arrival``, in that order."""
+    rows, path = stored(rows, "arrivals"), new_folder(a.spark, "stream")
+    for k in range(slices):
+        rows.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.parquet(f"{path}/{k}")
+    schema = rows.drop("arrival").schema
+    return a.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _slice(time: str) -> Column:
+    """Five days each."""
+    return F.floor(F.date_diff(F.col(time), F.lit("2024-01-01").cast("date")) / 5).cast("int")
+
+
 def _stream_hours(a: Analysis) -> DataFrame:
-    rows = streaming_run.available_now(streams.stream_hourly_overspeed(_stream(a)), "complete")
-    return rows.select(F.col("bucket_ts").cast("timestamp_ntz").alias("bucket_ts"), "value")
+    """Points arrive by five days; some come ten days late, of which those behind the watermark are dropped."""
+    rows = a.v1_points().select(F.col("event_time").cast("timestamp").alias("event_time"), "is_overspeed", "order_id")
+    late = F.when(F.col("order_id") % 50 == 0, 2).otherwise(0)
+    rows = rows.withColumn("arrival", F.least(_slice("event_time") + late, F.lit(5))).drop("order_id")
+    hours = streaming_run.available_now(streams.stream_hourly_overspeed(_arrivals(a, rows)), "append")
+    return hours.select(F.col("bucket_ts").cast("timestamp_ntz").alias("bucket_ts"), "value")
 
 
 def _stream_dedup(a: Analysis) -> DataFrame:
@@ -376,8 +395,53 @@ def _stream_dedup(a: Analysis) -> DataFrame:
 
 
 def _stream_segments(a: Analysis) -> DataFrame:
-    rows = streaming_run.available_now(streams.stream_segments(_stream(a).withColumnRenamed("event_time", "time")), "complete")
-    return rows.select("vehicle_id", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("end_time").cast("timestamp_ntz").alias("end_time"), "n_points", F.bround("max_speed", 3).alias("max_speed"))
+    rows = a.raw().select(
+        F.concat(F.lit("V"), "user_id").alias("vehicle_id"), F.col("ts").cast("timestamp").alias("time"), "event_id", F.col("TID").cast("int").alias("segment_flag"),
+        (F.col("Speed") * 3.6).alias("speed_kmh"), _slice("ts").alias("arrival"),
+    )
+    runs = streaming_run.available_now(streams.stream_segments(_arrivals(a, rows)), "append")
+    return runs.select("vehicle_id", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("end_time").cast("timestamp_ntz").alias("end_time"), "n_points", F.bround("max_speed", 3).alias("max_speed"))
+
+
+# A log of finished work, a growing store, a database.
+
+
+def _finished(a: Analysis) -> DataFrame:
+    """Points of each company as a batch; that of company 4 breaks off before its row is in the log, that of company 1 is
+    published twice."""
+    root = new_folder(a.spark, "work")
+    for company in (0, 1, 1, 2, 3):
+        mine = a.points().where(F.col("company_id") == str(company))
+        facts = lambda mine=mine: mine.agg(F.count("*").alias("rows_total"), F.count_distinct("vehicle_id").alias("n_vehicles"), F.min("time").alias("time_min"))
+        commits.publish(a.spark, root, "batch", f"B-{company}", lambda mine=mine, c=company: files.write_batch(mine, f"{root}/batches", f"B-{c}", "overwrite"), facts)
+    files.write_batch(a.points().where("company_id = '4'"), f"{root}/batches", "B-4")
+    log = commits.rows(a.spark, root, "batch")
+    held = a.spark.read.parquet(f"{root}/batches").join(F.broadcast(log.select("batch_id")), "batch_id").groupBy("batch_id").agg(F.count("*").alias("n"))  # a row a batch
+    return files.batch_catalog(log).join(held, "batch_id").select("batch_id", "status", "rows_total", "n_vehicles", "time_min", "n")
+
+
+def _merged(a: Analysis) -> DataFrame:
+    """A store of points that grows by five days at a time, each of which brings the last day again."""
+    path = new_folder(a.spark, "store")
+    points = stored(a.v1_points().select("order_id", "event_time", "lon", "lat", "speed_kmh", "source_row"), "v1_points")
+    for k in range(6):
+        again = F.to_date("event_time") == F.date_add(F.lit("2024-01-01").cast("date"), 5 * k - 1)
+        new = points.where(_slice("event_time") == k).unionByName(points.where(again).withColumn("source_row", F.col("source_row") + 1_000_000_000))
+        overspeed_v1.merge_points(new, path)
+    back = a.spark.read.parquet(path)
+    return back.groupBy("day").agg(F.count("*").alias("n"), F.sum("source_row").alias("rows_sum"), F.bround(F.sum("speed_kmh"), 3).alias("speed_sum"))
+
+
+def _database(a: Analysis) -> DataFrame:
+    """The feedback in a database, in memory, as where one is not at hand; its newest rows."""
+    url, driver = f"jdbc:derby:memory:f{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    text = lambda c: F.col(c).cast("string").alias(c)
+    rows = a.feedback().select(text("feedback_id"), "content", F.col("grid_id").alias("area_id"), "conclusion", (F.col("lon") / 1e6).alias("lon"), (F.col("lat") / 1e6).alias("lat"), text("created_at"))
+    rows = rows.withColumns({"user_type": F.col("conclusion"), "photo_path": F.lit("")}).drop("conclusion")
+    types = ", ".join(f"{c} VARCHAR(64)" for c in ("feedback_id", "content", "area_id", "user_type", "photo_path", "created_at"))
+    rows.write.option("createTableColumnTypes", types).jdbc(url, "feedbacks", properties=driver)
+    newest = files.read_feedback_jdbc(a.spark, url, limit=200, **driver)
+    return newest.select("feedback_id", "area_id", "user_type", F.bround("lon", 6).alias("lon"), F.bround("lat", 6).alias("lat"))
 
 
 STEPS: dict[str, Callable[[Analysis], DataFrame]] = {
@@ -428,7 +492,7 @@ STEPS: dict[str, Callable[[Analysis], DataFrame]] = {
     "global_moran_radius": lambda a: spatial.global_moran_radius(a.cells(), 600.0),
     "local_moran": _lisa,
     "local_moran_radius": lambda a: _half_even(spatial.local_moran_radius(a.cells(), 600.0), 3, "local_i"),
-    "lisa_permutations": lambda a: _permuted(a).select("grid_id", "lisa_z", "lisa_p", "quadrant"),
+    "lisa_permutations": lambda a: _permuted(a).select("grid_id", F.bround("lisa_z", 3).alias("lisa_z"), F.bround("lisa_p", 3).alias("lisa_p"), "quadrant"),
     "lisa_label_counts": lambda a: spatial.lisa_label_counts(_permuted(a), a.p),
     "hotspot_hull": lambda a: spatial.hotspot_hull(a.v1_points().withColumn("risk_level", F.col("event_type"))).select("risk_level", F.size("hull").alias("n_corners")),
     "analysis_summary": _summary,
@@ -492,25 +556,37 @@ STEPS: dict[str, Callable[[Analysis], DataFrame]] = {
     "read_feedback_jsonl": _ledger,
     "export_feedback_csv": _ledger_csv,
     "export_operation_log_csv": _log_csv,
+    "finished_batches": _finished,
+    "merge_points": _merged,
+    "filter_days": lambda a: ingest.filter_days(a.v1_points(), "2024-01-05", "2024-01-07").groupBy("event_type").agg(F.count("*").alias("n")),
+    "read_feedback_jdbc": _database,
     "stream_hourly_overspeed": _stream_hours,
     "stream_point_dedup": _stream_dedup,
     "stream_segments": _stream_segments,
 }
 
 
-_SHARED: dict[tuple[str, str], Analysis] = {}
+_SHARED: dict[tuple[str, ...], Analysis] = {}
 
 
 def shared(spark: SparkSession, sf_dir: str) -> Analysis:
-    """The analysis of a folder in this session, so that queries share its stored steps."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The analysis of a folder, as its events are now, in this session and checkpoint folder, so that queries share its
+    stored steps."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()
+    where = spark._jvm.org.apache.hadoop.fs.Path(events[0]) if events else None
+    state = str(where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()) if where else ""
+    key = spark.sparkContext.applicationId, sf_dir, spark.conf.get("spark.checkpoint.dir", ""), str(len(events)), state
     if key not in _SHARED:
         _SHARED[key] = Analysis(spark, sf_dir)
+        # Storing the first step may have set the folder.
+        _SHARED[(*key[:2], spark.conf.get("spark.checkpoint.dir", ""), *key[3:])] = _SHARED[key]
     return _SHARED[key]
 
 
 def forget() -> None:
-    """Queries begin anew, as where each is timed for itself."""
+    """Queries begin anew, as where each is timed for itself; the stored steps are deleted."""
+    for a in {id(a): a for a in _SHARED.values()}.values():
+        a.close()
     _SHARED.clear()
 
 

@@ -9,6 +9,8 @@ from ..functions.geo import haversine_m
 from ..functions.quantiles import exact_quantiles
 from ..params import DEFAULTS, Params
 
+#: Seconds of a slice of time, by which a vehicle's points are dealt out.
+SLICE_S = 6 * 3600
 #: Accepted column names by standard name, the first that exists is taken.
 REQUIRED = {
     "time": ["POSITIONTIME", "position_time", "Time", "时间", "定位时间"],
@@ -77,25 +79,56 @@ def seconds_between(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b) / 1e6
 
 
-def segment_trajectories(df: DataFrame, tie: str = "event_id", p: Params = DEFAULTS) -> DataFrame:
-    """Sub-chains: a new one at a vehicle's first row, a flagged row, or a gap of more than ``gap_s``.
+def segment_trajectories(df: DataFrame, tie: str = "event_id", p: Params = DEFAULTS, slice_s: int = SLICE_S) -> DataFrame:
+    """Sub-chains ``segment_seq, segment_id, point_order``: a new one at a vehicle's first row, a flagged row, or a gap of
+    more than ``gap_s``; and ``before``, the time and place of the point before in the sub-chain.
 
-    One exchange by vehicle; windows on (vehicle_id, segment_seq) in the same plan, as those of ``point_kinematics``, reuse it.
+    A segmented scan: points are dealt out by vehicle and slice of time, so that one vehicle's history spreads over
+    tasks. A slice is folded to a row (points, breaks, first and last point); running sums over a vehicle's slices give
+    what each one carries on, and its points add their own.
     """
-    order = Window.partitionBy("vehicle_id").orderBy("time", tie)
-    gap = seconds_between(F.lag("time").over(order), F.col("time"))
-    new = F.when((F.col("segment_flag") == 1) | gap.isNull() | (gap > p.gap_s), 1).otherwise(0)
-    out = df.withColumn("new", new).withColumn("segment_seq", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chain = Window.partitionBy("vehicle_id", "segment_seq").orderBy("time", tie)
-    return out.withColumns({
-        "point_order": F.row_number().over(chain) - 1, "segment_id": F.concat_ws("-", "vehicle_id", F.col("segment_seq").cast("string")),
-    }).drop("new")
+    rows = df.withColumn("slice", F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("time")) / slice_s))
+    key = ["vehicle_id", "slice"]
+    here = Window.partitionBy(*key).orderBy("time", tie)
+    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"own": F.lag(F.struct("time", "lon", "lat")).over(here), "at": F.row_number().over(here) - 1})
+    breaks = F.coalesce((F.col("segment_flag") == 1) | (seconds_between(F.col("own.time"), F.col("time")) > p.gap_s), F.lit(False)) & (F.col("at") > 0)
+    rows = rows.withColumn("inner", breaks)
+    folded = rows.groupBy(*key).agg(
+        F.count("*").alias("n"), F.count_if("inner").alias("breaks"), F.max(F.when(F.col("inner"), F.col("at"))).alias("last_break"),
+        F.min_by(F.struct("time", "segment_flag"), "at").alias("first"), F.max_by(F.struct("time", "lon", "lat"), "at").alias("last"),
+    )
+    slices = Window.partitionBy("vehicle_id").orderBy("slice")
+    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
+    folded = folded.withColumns({"carried": F.lag("last").over(slices), "base": F.coalesce(F.sum("n").over(earlier), F.lit(0))})
+    head = F.col("carried").isNull() | F.coalesce(F.col("first.segment_flag") == 1, F.lit(False)) | (seconds_between(F.col("carried.time"), F.col("first.time")) > p.gap_s)
+    folded = folded.withColumn("head", head)
+    folded = folded.withColumn("broken", F.col("base") + F.coalesce("last_break", F.when(F.col("head"), F.lit(0))))
+    folded = folded.select(
+        *key, "carried", "base", "head", F.coalesce(F.sum(F.col("breaks") + F.col("head").cast("int")).over(earlier), F.lit(0)).alias("seq_base"),
+        F.max("broken").over(earlier).alias("broken"),
+    )
+    rows = rows.join(folded, key).withColumn("new", F.when(F.col("at") == 0, F.col("head")).otherwise(F.col("inner")))
+    place = F.col("base") + F.col("at")
+    begun = F.coalesce(F.max(F.when(F.col("new"), place)).over(so_far), F.col("broken"))
+    rows = rows.withColumns({
+        "segment_seq": F.col("seq_base") + F.sum(F.col("new").cast("int")).over(so_far), "point_order": (place - begun).cast("int"),
+        "before": F.when(~F.col("new"), F.coalesce("own", "carried")),
+    })
+    rows = rows.drop("slice", "own", "at", "inner", "carried", "base", "head", "seq_base", "broken", "new")
+    return rows.withColumn("segment_id", F.concat_ws("-", "vehicle_id", F.col("segment_seq").cast("string")))
 
 
 def point_kinematics(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Time, distance and speed from the previous point of the sub-chain; null at its first point and where dt is 0."""
-    chain = Window.partitionBy("vehicle_id", "segment_seq").orderBy("point_order")
-    before = [F.lag(c).over(chain) for c in ("time", "lon", "lat")]
+    """Time, distance and speed from the previous point of the sub-chain; null at its first point and where dt is 0.
+
+    The previous point is ``before``, if the points have it, else it is looked up.
+    """
+    if "before" in df.columns:
+        before = [F.col(f"before.{c}") for c in ("time", "lon", "lat")]
+    else:
+        chain = Window.partitionBy("vehicle_id", "segment_seq").orderBy("point_order")
+        before = [F.lag(c).over(chain) for c in ("time", "lon", "lat")]
     dt = seconds_between(before[0], F.col("time"))
     out = df.withColumns({"dt_s": dt, "dist_m": haversine_m(before[1], before[2], F.col("lon"), F.col("lat"))})
     out = out.withColumn("calc_speed_mps", F.when(F.col("dt_s") > 0, F.col("dist_m") / F.col("dt_s")))
@@ -166,6 +199,12 @@ def filter_recent_days(df: DataFrame, days: int, now: str) -> DataFrame:
     return df if not days else df.where(F.col("event_time") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+def filter_days(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Points from the day ``start`` to the day ``end``, both whole days."""
+    out = df if start is None else df.where(F.col("event_time") >= F.lit(start).cast("date").cast("timestamp_ntz"))
+    return out if end is None else out.where(F.col("event_time") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
+
+
 def order_points(df: DataFrame) -> DataFrame:
     """Sorted for export."""
     return df.orderBy("vehicle_id", "time", "segment_seq", "point_order")

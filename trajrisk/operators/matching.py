@@ -87,7 +87,12 @@ def chain_dt_mode(points: DataFrame) -> DataFrame:
 
 
 def obs_bearings(points: DataFrame) -> DataFrame:
-    """``obs_bearing`` from the point before; null at the first point of a sub-chain and without a move."""
+    """``obs_bearing`` from the point before; null at the first point of a sub-chain and without a move. The point before
+    is ``before``, if the points have it (it is dropped), else it is looked up."""
+    if "before" in points.columns:
+        rows = add_utm50n(points, F.col("before.lon"), F.col("before.lat"), "before_x", "before_y")
+        rows = rows.withColumn("obs_bearing", bearing_deg(F.col("x_m") - F.col("before_x"), F.col("y_m") - F.col("before_y")))
+        return rows.drop("before", "before_x", "before_y")
     chain = Window.partitionBy(*CHAIN).orderBy("point_order")
     return points.withColumn("obs_bearing", bearing_deg(F.col("x_m") - F.lag("x_m").over(chain), F.col("y_m") - F.lag("y_m").over(chain)))
 

@@ -3,29 +3,61 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import mercator_mid_lat
 from ..functions.labels import alert_level, alert_type, control_suggestions, control_text, evolution_pattern, high_risk_period, pattern_color, time_slice
 from ..params import DEFAULTS, Params
+from ..sources.tables import delete, stored
 from .numbering import numbered
 
 
+#: Blocks of time in which the signs of a series are counted.
+BLOCKS = 64
+#: A trend is tested for series of more buckets than this.
+TREND_BUCKETS = 4
+
+
 def overspeed_flag(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return points.withColumn("is_overspeed", (F.col("speed_kmh") >= p.overspeed_kmh).cast("int"))
 
 
+POINT_KEY = ("order_id", "event_time", "lon", "lat")
+
+
 def append_points_dedup(existing: DataFrame, new: DataFrame, order: str = "source_row") -> DataFrame:
     """Both, one row for each (order_id, event_time, lon, lat): an existing one before a new one, then the first by ``order``."""
     both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    first = Window.partitionBy("order_id", "event_time", "lon", "lat").orderBy("__new", order)
+    first = Window.partitionBy(*POINT_KEY).orderBy("__new", order)
     return both.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__new")
 
 
+def merge_points(new: DataFrame, path: str, order: str = "source_row") -> DataFrame:
+    """Append to a growing store of points below ``path``, partitioned by ``day``; what was merged.
+
+    Equal points have one time, so only the days of ``new`` are read, merged and written anew; all others stay as they
+    are. The merged days are stored before they replace the old ones, so that a failure leaves the store as it was.
+    """
+    spark = new.sparkSession
+    fresh = stored(new.withColumn("day", F.to_date("event_time")), "new_points")
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException:  # the first points of the store
+        held = None
+    days = [r["day"] for r in fresh.select("day").distinct().collect()]  # of one batch
+    old = fresh.limit(0) if held is None else held.where(F.col("day").isin(days)).select(*fresh.columns)
+    merged = stored(append_points_dedup(old, fresh, order), "merged_points")
+    merged.repartition("day").write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    delete(fresh)
+    return merged
+
+
 def v1_grid(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Cells of ``v1_cell_deg``: corner, centre, counts, mean speed, first and last time, time slice."""
     c = p.v1_cell_deg
@@ -163,29 +195,55 @@ def sign_sum(values: np.ndarray) -> int:
     return total
 
 
-def mann_kendall(series: DataFrame, key: str = "key", alpha: float = 0.05) -> DataFrame:
+def mann_kendall(series: DataFrame, key: str = "key", alpha: float = 0.05, least: int = 0, blocks: int = BLOCKS) -> DataFrame:
     """``key, n, s, var_s, z, p, tau, trend`` of each key's series (``bucket_ts, value``): tie-corrected variance, continuity
-    correction, two-sided test. A series has one value an hour or day, so a key's fits in a task.
+    correction, two-sided test. Series of ``least`` or fewer buckets have no trend, S and z 0 and p 1.
+
+    A key's time is cut into ``blocks`` of equal length. Signs inside a block are counted in its own task; those between
+    blocks come from the blocks' value histograms: for each value of a block, how many values of earlier blocks are less
+    and how many are greater, by running sums over blocks and then over values.
     """
     kind = series.schema[key].dataType.simpleString()
-
-    def run(group: pa.Table) -> pa.Table:
-        x = group.sort_by("bucket_ts").column("value").to_numpy().astype(float)
-        n = len(x)
-        s = sign_sum(x)
-        ties = np.unique(x, return_counts=True)[1].astype(float)
-        var = (n * (n - 1) * (2 * n + 5) - (ties * (ties - 1) * (2 * ties + 5)).sum()) / 18
-        z = (s - np.sign(s)) / math.sqrt(var) if s and var > 0 else 0.0
-        p = math.erfc(abs(z) / math.sqrt(2))
-        trend = "no trend" if p >= alpha else "increasing" if z > 0 else "decreasing"
-        tau = s / (n * (n - 1) / 2) if n > 1 else 0.0
-        return pa.table({
-            key: group.column(key).slice(0, 1), "n": pa.array([n], pa.int64()), "s": pa.array([s], pa.int64()), "var_s": [round(var, 4)], "z": [round(float(z), 6)],
-            "p": [round(p, 6)], "tau": [round(tau, 6)], "trend": [trend],
-        })
-
-    schema = f"{key} {kind}, n long, s long, var_s double, z double, p double, tau double, trend string"
-    return series.select(key, "bucket_ts", "value").groupBy(key).applyInArrow(run, schema)
+    span = series.groupBy(key).agg(F.min("bucket_ts").alias("t0"), F.max("bucket_ts").alias("t1"))
+    step = lambda a, b: F.timestamp_diff("MICROSECOND", F.col(a).cast("timestamp_ntz"), F.col(b).cast("timestamp_ntz"))
+    block = F.floor(step("t0", "bucket_ts") / (step("t0", "t1") + 1) * blocks).cast("int")
+    rows = series.join(span, key).select(key, block.alias("block"), "bucket_ts", F.col("value").cast("double").alias("value"))
+
+    def inside(group: pa.Table) -> pa.Table:
+        x = group.sort_by("bucket_ts").column("value").to_numpy()
+        return pa.table({key: group.column(key).slice(0, 1), "s": pa.array([sign_sum(x)], pa.int64())})
+
+    own = rows.groupBy(key, "block").applyInArrow(inside, f"{key} {kind}, s long").groupBy(key).agg(F.sum("s").alias("s"))
+    counts = rows.groupBy(key, "block", "value").agg(F.count("*").alias("h"))
+    there = counts.select(key, "block").distinct().join(counts.select(key, "value").distinct(), key)  # blocks x distinct values
+    full = there.join(counts, [key, "block", "value"], "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    earlier = Window.partitionBy(key, "value").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    full = full.withColumn("before", F.coalesce(F.sum("h").over(earlier), F.lit(0)))
+    within = Window.partitionBy(key, "block")
+    less = F.coalesce(F.sum("before").over(within.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    full = full.withColumns({"less": less, "all": F.sum("before").over(within)})
+    cross = full.groupBy(key).agg(F.sum(F.col("h") * (F.col("less") - (F.col("all") - F.col("less") - F.col("before")))).alias("between"))
+    ties = rows.groupBy(key, "value").agg(F.count("*").alias("t")).groupBy(key)
+    t = F.col("t").cast("double")
+    facts = ties.agg(F.sum("t").alias("n"), F.sum(t * (t - 1) * (2 * t + 5)).alias("tied"))
+    one = facts.join(own, key).join(cross, key).select(key, "n", (F.col("s") + F.col("between")).alias("s"), "tied")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, s, tied in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                var = (n * (n - 1) * (2 * n + 5) - tied) / 18
+                s = s if n > least else 0
+                z = (s - (s > 0) + (s < 0)) / math.sqrt(var) if s and var > 0 else 0.0
+                p = math.erfc(abs(z) / math.sqrt(2))
+                trend = "no trend" if p >= alpha else "increasing" if z > 0 else "decreasing"
+                out.append((n, s, round(var, 4), round(float(z), 6), round(p, 6), round(s / (n * (n - 1) / 2), 6) if n > 1 else 0.0, trend))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            types = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.string()]
+            arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, [key, "n", "s", "var_s", "z", "p", "tau", "trend"])
+
+    return one.mapInArrow(test, f"{key} {kind}, n long, s long, var_s double, z double, p double, tau double, trend string")
 
 
 def mean_slope_trend(series: DataFrame, key: str = "key") -> DataFrame:

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators.governance import FEEDBACK_SCHEMA, feedback_export_rows
 from ..operators.roads import ROAD_SCHEMA
+from . import commits
 
 #: Columns of a stored batch, in order.
 BATCH_COLUMNS = (
     "batch_id", "vehicle_id", "device_id", "company_id", "lock_id", "segment_id", "segment_seq", "point_order", "time", "lon", "lat", "speed_mps", "speed_kmh",
     "dist_m", "dt_s", "calc_speed_mps", "quality_flag", "segment_flag", "lock_status", "ts_raw", "raw_speed_mps", "raw_distance", "raw_duration",
 )
+#: Columns of the feedback table of a database.
+FEEDBACK_TABLE = ("feedback_id", "content", "area_id", "user_type", "lon", "lat", "photo_path", "created_at")
 SEPARATORS = ",\t;|"
 #: Head of the ledger export.
 LEDGER_HEAD = ("反馈编号", "分析版本", "网格编号", "处置时间", "核查结论", "现场情况", "已采取措施", "责任单位", "反馈人", "补充说明", "照片", "提交时间")
@@ -31,19 +34,20 @@ def read_trajectory_csv(spark: SparkSession, path: str, sep: str | None = None)
     return rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
 
 
-def write_batch(points: DataFrame, path: str, batch_id: str) -> None:
-    """Standard points of one batch, partitioned by batch; a batch that is there is an error, as batches don't change."""
+def write_batch(points: DataFrame, path: str, batch_id: str, mode: str = "errorifexists") -> None:
+    """Standard points of one batch, partitioned by batch; a batch that is there is an error, as batches don't change
+    (``mode`` overwrite is for one that was left unfinished)."""
     rows = points.withColumn("batch_id", F.lit(batch_id))
     rows = rows.select(*(c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in BATCH_COLUMNS))
     rows = rows.withColumn("time", F.date_trunc("second", "time").cast("timestamp_ntz")).drop("batch_id")
-    rows.write.mode("errorifexists").parquet(f"{path}/batch_id={batch_id}")
+    rows.write.mode(mode).parquet(f"{path}/batch_id={batch_id}")
 
 
-def write_isolated(isolated: DataFrame, path: str, batch_id: str) -> bool:
+def write_isolated(isolated: DataFrame, path: str, batch_id: str, mode: str = "errorifexists") -> bool:
     """Rejected rows, only if there are any."""
     if isolated.isEmpty():
         return False
-    isolated.write.mode("errorifexists").parquet(f"{path}/batch_id={batch_id}")
+    isolated.write.mode(mode).parquet(f"{path}/batch_id={batch_id}")
     return True
 
 
@@ -52,6 +56,13 @@ def load_batch(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("batch_id") == batch_id)
 
 
+def load_finished_batch(spark: SparkSession, root: str, batch_id: str) -> DataFrame:
+    """A batch that a job below ``root`` has finished; any other is an error, whatever files of it lie there."""
+    if not commits.is_finished(spark, root, "batch", batch_id):
+        raise ValueError(f"batch {batch_id} is not finished")
+    return load_batch(spark, f"{root}/batches", batch_id)
+
+
 def batch_catalog(metas: DataFrame) -> DataFrame:
     """Batches, the newest first."""
     return metas.orderBy(F.desc("created_at"), F.desc("batch_id"))
@@ -98,7 +109,8 @@ def road_features(roads: DataFrame) -> DataFrame:
 
 
 def write_road_edges(edges: DataFrame, path: str, net_id: str) -> None:
-    edges.withColumn("net_id", F.lit(net_id)).write.partitionBy("net_id").mode("append").parquet(path)
+    """The edges of one network, written anew without touching the others."""
+    edges.withColumn("net_id", F.lit(net_id)).write.partitionBy("net_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_stage(rows: DataFrame, path: str, analysis_version: str) -> None:
@@ -156,14 +168,26 @@ def append_feedback(feedback: DataFrame, path: str) -> None:
 
 
 def export_feedback_csv(feedback: DataFrame, path: str) -> None:
-    feedback_export_rows(feedback).toDF(*LEDGER_HEAD).write.mode("overwrite").csv(path, header=True)
+    """The ledger under its titles, as CSV; the first title of each file begins with a byte order mark, for spreadsheets."""
+    rows = feedback_export_rows(feedback).toDF("\ufeff" + LEDGER_HEAD[0], *LEDGER_HEAD[1:])
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def read_feedback_jdbc(spark: SparkSession, url: str, table: str = "feedbacks", limit: int = 200, quote: str = '"', **options: str) -> DataFrame:
+    """The newest ``limit`` rows of a feedback table. Columns, order and limit are part of the query that the database
+    answers (``FETCH FIRST``, as the SQL standard has it), so that no more rows than these come over."""
+    name = lambda c: f"{quote}{c}{quote}"
+    query = f"SELECT {', '.join(map(name, FEEDBACK_TABLE))} FROM {table} ORDER BY {name('created_at')} DESC, {name('feedback_id')} DESC FETCH FIRST {int(limit)} ROWS ONLY"
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) newest", **options).load().select(*FEEDBACK_TABLE)
 
 
-def read_feedback_jdbc(spark: SparkSession, url: str, table: str = "feedbacks", limit: int = 200, **options: str) -> DataFrame:
-    """The newest ``limit`` rows of a feedback table; sort and limit are pushed to the database."""
-    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-    rows = rows.select("feedback_id", "content", "area_id", "user_type", "lon", "lat", "photo_path", "created_at")
-    return rows.orderBy(F.desc("created_at")).limit(limit)
+def read_feedback_days_jdbc(spark: SparkSession, url: str, days: list[str], table: str = "feedbacks", quote: str = '"', **options: str) -> DataFrame:
+    """The whole feedback of some days, a task and a query of the database for each day. Columns and further filters are
+    pushed to it."""
+    at = f"{quote}created_at{quote}"
+    one = [f"{at} >= '{d}' AND {at} < '{d} 99'" for d in days]
+    rows = spark.read.jdbc(url, table, predicates=one, properties=options)
+    return rows.select(*FEEDBACK_TABLE)
 
 
 def append_alerts(alerts: DataFrame, path: str) -> None:
