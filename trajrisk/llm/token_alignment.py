@@ -8,9 +8,10 @@ range join that the same window does which counts the cuts, the offsets where bo
 groups. No pair is made that is not a link, however long a group is.
 
 ``alignments`` applies this to documents. No token of either vocabulary reaches across the blanks at which ``stretches``
-cuts, so blocks of documents are aligned by their distinct stretches, one after the other under the block's number as
-key; each document's groups and links are then put together from those of its stretches. Pairs are counted by document
-in each block, summed over all blocks in Spark, and handed back to the blocks that hold them.
+cuts, so a corpus is aligned by its distinct stretches: each is encoded and aligned once, in packs that take the place
+of ``key``. Blocks of documents list their stretches, which are joined with what the alignment found for them; each
+document's groups and links are then put together from those of its stretches. Pairs are counted by document in each
+block, summed over all blocks in Spark, and handed back to the blocks that hold them.
 
 Defined cases: null and empty texts, and texts whose tokens do not give back a blank and the text (such as a U+2581,
 which a piece takes for a blank), have no tokens: zeros and an empty digest, and no share in counts; every row is a
@@ -31,15 +32,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pack, table, unpack
+from .common import discard, materialize, materialize_by, pack, table, unpack
 from .stretches import JoinedTokens, Numbers, byte_tokens, gather, stretches
 
 #: The vocabularies are parameters; these places of the public ones are only the defaults.
 BYTE_MODEL, PIECE_MODEL = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Text bytes of a block, beyond which the next one begins. A single longer text makes a longer block.
-BLOCK_BYTES = 6 << 20
+#: Text bytes of a block of documents, beyond which the next one begins. A single longer text makes a longer block.
+BLOCK_BYTES = 12 << 20
+#: Characters of the stretches of a pack; a single longer stretch makes a longer pack.
+PACK_CHARS = 1 << 20
 #: Bits of an id in a pair's number.
 BITS = 24
+#: A link as it is stored with its stretch: both ids, and whether either token ends where the bytes they share do.
+LINK = np.dtype([("a", "<u4"), ("b", "<u4"), ("a_ends", "?"), ("b_ends", "?")])
 
 
 def piece_tokens(model: str) -> list[bytes]:
@@ -106,119 +111,166 @@ def _lengths(spark: SparkSession, tokens: list[bytes]) -> DataFrame:
     return spark.createDataFrame([(i, len(t)) for i, t in enumerate(tokens)], "id int, n_bytes int").coalesce(1)
 
 
-def blocks_of(docs: DataFrame, byte_model: str, piece_model: str, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """One row a block of documents: its number, ids, the stretches of each document as packed numbers, the byte lengths
-    of the distinct stretches and the tokens of both vocabularies over them. No shuffle."""
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """One row a block of documents: its number, their ids, the number of stretches of each document, these as numbers of
+    the block's distinct stretches ``parts``. No shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["block", "ids", "counts", "stretches", "lengths", "a", "b"]
+    names = ["block", "ids", "counts", "stretches", "parts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders, tables = vocabularies_of(byte_model, piece_model)
         task, count, arrow = TaskContext.get().partitionId(), 0, pa.null()
-        ids, texts, size = [], [], 0
+        ids, rows, size, number = [], [], 0, Numbers()
 
         def row() -> pa.RecordBatch:
-            number, docs = Numbers(), []
-            for t in texts:
+            one = lambda x, k: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k))
+            blobs = [np.array([len(r) for r in rows], np.int32), np.concatenate(rows)]
+            made = [one(ids, arrow), *(pa.array([pack(x)], pa.binary()) for x in blobs), one(list(number), pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | count]), *made], names)
+
+        for batch in batches:
+            arrow = batch.column(0).type
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
                 parts = stretches(t) if t else []
-                docs.append(np.fromiter(map(number.__getitem__, parts), np.int32, len(parts)))
-            distinct = list(number)
-            fine, tokens = np.ones(len(distinct), bool), []
-            raw = [f" {p}".encode("utf-8", "surrogatepass") for p in distinct]
+                rows.append(np.fromiter(map(number.__getitem__, parts), np.int32, len(parts)))
+                size += len(t or "")
+                if size >= block_bytes:
+                    yield row()
+                    ids, rows, size, count, number = [], [], 0, count + 1, Numbers()
+        if ids:
+            yield row()
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"block long, ids array<{kind}>, counts binary, stretches binary, parts array<string>")
+
+
+def packs_of(parts: DataFrame, byte_model: str, piece_model: str, pack_chars: int = PACK_CHARS) -> DataFrame:
+    """One row a pack of distinct stretches ``part``: its number, the stretches, whether the tokens of both vocabularies
+    give each back, the byte lengths of these, and the tokens of both over them. No shuffle."""
+    names = ["pack", "parts", "fine", "lengths", "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders, tables = vocabularies_of(byte_model, piece_model)
+        task, count = TaskContext.get().partitionId(), 0
+        held, size = [], 0
+
+        def row() -> pa.RecordBatch:
+            raw = [f" {p}".encode("utf-8", "surrogatepass") for p in held]
             lengths = np.fromiter(map(len, raw), np.int32, len(raw))
+            fine, tokens = np.ones(len(raw), bool), []
             for encode, known in zip(encoders, tables, strict=True):
-                flat, sizes = encode(distinct)
+                flat, sizes = encode(held)
                 given = list(map(known.__getitem__, flat.tolist()))
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 long = np.concatenate([[0], np.cumsum(np.fromiter(map(len, given), np.int64, len(given)))])
                 if b"".join(given) != b"".join(raw) or (long[at[1:]] - long[at[:-1]] != lengths).any():
                     fine &= np.array([b"".join(given[x:y]) == r for x, y, r in zip(at[:-1], at[1:], raw, strict=True)], bool)
                 tokens.append((flat, sizes))
-            lengths *= fine
-            docs = [d if fine[d].all() else d[:0] for d in docs]
-            lists = [flat[np.repeat(fine, sizes)] for flat, sizes in tokens]
-            blobs = [np.array([len(d) for d in docs], np.int32), np.concatenate(docs), lengths]
             one = lambda x, k: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k))
-            made = [one(ids, arrow), *(pa.array([pack(x)], pa.binary()) for x in blobs), *(one(x, pa.int32()) for x in lists)]
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | count]), *made], names)
+            lists = [one(flat[np.repeat(fine, sizes)], pa.int32()) for flat, sizes in tokens]
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | count]), one(held, pa.string()), one(fine, pa.bool_()), one(lengths[fine], pa.int32()), *lists], names)
 
         for batch in batches:
-            arrow = batch.column(0).type
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(t)
-                size += len(t or "")
-                if size >= block_bytes:
+            for p in batch.column(0).to_pylist():
+                held.append(p)
+                size += len(p)
+                if size >= pack_chars:
                     yield row()
-                    ids, texts, size, count = [], [], 0, count + 1
-        if ids:
+                    held, size, count = [], 0, count + 1
+        if held:
             yield row()
 
-    schema = f"block long, ids array<{kind}>, counts binary, stretches binary, lengths binary, a array<int>, b array<int>"
-    return materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "blocks")
+    return parts.select("part").mapInArrow(run, "pack long, parts array<string>, fine array<boolean>, lengths array<int>, a array<int>, b array<int>")
 
 
-def _digest_block(row: dict, links: pa.Table, labels: list[bytes]) -> dict:
-    """What a block's documents are made of, from the links of its stretches."""
+def _links_of_pack(row: pa.Table, links: pa.Table) -> pa.Table:
+    """``part, links`` for the stretches of a pack: their links in order, packed; null where tokens don't give a stretch back."""
     end = links["end"].to_numpy()
-    order = np.argsort(end).astype(np.int32)
-    lengths = unpack(row["lengths"], np.int32)
-    stretch = np.searchsorted(np.cumsum(lengths, dtype=np.int64), end[order]).astype(np.int32)
-    a, b = (links[n].to_numpy()[order] for n in "ab")
-    a_ends, b_ends = (links[n].to_numpy(zero_copy_only=False)[order] for n in ("a_ends", "b_ends"))
-    group = links["cut_group"].to_numpy()[order]
-    del links, end, order
-    n = len(lengths)
-    per = {"n_a": np.bincount(stretch[a_ends], minlength=n), "n_b": np.bincount(stretch[b_ends], minlength=n), "n_links": np.bincount(stretch, minlength=n)}
-    per["n_groups"] = np.bincount(stretch[a_ends & b_ends], minlength=n)
+    order = np.argsort(end)
+    record = np.zeros(len(end), LINK)
+    for n in ("a", "b", "a_ends", "b_ends"):
+        record[n] = links[n].to_numpy(zero_copy_only=False)[order]
+    fine = row["fine"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    lengths = row["lengths"].combine_chunks().flatten().to_numpy()
+    stop = np.zeros(len(fine), np.int64)
+    stop[fine] = np.searchsorted(end[order], np.cumsum(lengths, dtype=np.int64), "right") * LINK.itemsize
+    offsets = np.concatenate([[0], np.maximum.accumulate(stop)]).astype(np.int32)
+    parts = row["parts"].combine_chunks().flatten()
+    blobs = pa.Array.from_buffers(pa.binary(), len(fine), [pa.array(fine).buffers()[1], pa.py_buffer(offsets), pa.py_buffer(record.tobytes())])
+    return pa.table([parts, blobs], ["part", "links"])
+
+
+def _digest_block(row: dict, at: np.ndarray, blobs: pa.Array, labels: list[bytes]) -> dict:
+    """What a block's documents are made of, from the links of its stretches ``at``."""
+    order = np.argsort(at)
+    blobs = blobs.take(pa.array(order))
+    fine = blobs.is_valid().to_numpy(zero_copy_only=False)
+    n_links = blobs.fill_null(b"").cast(pa.large_binary())
+    record = np.frombuffer(b"".join(n_links.to_pylist()), LINK)
+    n = len(at)
+    per = {"n_links": np.diff(np.frombuffer(n_links.buffers()[1], np.int64)[n_links.offset : n_links.offset + n + 1]) // LINK.itemsize}
+    del blobs, n_links
+    a, b, a_ends, b_ends = (record[x] for x in ("a", "b", "a_ends", "b_ends"))
+    stretch = np.repeat(np.arange(n, dtype=np.int32), per["n_links"])
+    cut = a_ends & b_ends
+    per |= {"n_a": np.bincount(stretch[a_ends], minlength=n), "n_b": np.bincount(stretch[b_ends], minlength=n), "n_groups": np.bincount(stretch[cut], minlength=n)}
     # Texts of groups: the ids of either side, in order.
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    number = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]), dtype=np.int32) if len(group) else np.zeros(0, np.int32)
+    number = np.cumsum(cut, dtype=np.int32) - cut
     sides = []
     for ids, ends in ((a, a_ends), (b, b_ends)):
         names = list(map(labels.__getitem__, ids[ends].tolist()))
-        size = np.bincount(number[ends], minlength=len(first))
-        at = (np.cumsum(size) - size).tolist()
-        sides.append([names[s] if k == 1 else b",".join(names[s : s + k]) for s, k in zip(at, size.tolist(), strict=True)])
+        size = np.bincount(number[ends], minlength=int(cut.sum()))
+        start = (np.cumsum(size) - size).tolist()
+        sides.append([names[s] if k == 1 else b",".join(names[s : s + k]) for s, k in zip(start, size.tolist(), strict=True)])
     groups = [x + b"|" + y for x, y in zip(*sides, strict=True)]
-    at = (np.cumsum(per["n_groups"]) - per["n_groups"]).tolist()
-    text = [groups[s] if k == 1 else b";".join(groups[s : s + k]) for s, k in zip(at, per["n_groups"].tolist(), strict=True)]
-    del sides, groups
+    start = (np.cumsum(per["n_groups"]) - per["n_groups"]).tolist()
+    text = [groups[s] if k == 1 else b";".join(groups[s : s + k]) for s, k in zip(start, per["n_groups"].tolist(), strict=True)]
+    del sides, groups, names, stretch, number
     pairs, pair = np.unique(a.astype(np.int64) << BITS | b, return_inverse=True)
     pair = pair.astype(np.int32)
     link_starts = np.cumsum(per["n_links"]) - per["n_links"]
     counts, flat = unpack(row["counts"], np.int32), unpack(row["stretches"], np.int32)
+    if not fine.all():  # documents with such a stretch have no tokens
+        ends = np.cumsum(counts)
+        bad = np.add.reduceat(np.append(~fine[flat], False).astype(np.int64), np.minimum(ends - counts, len(flat))) * (counts > 0) > 0
+        flat, counts = flat[np.repeat(~bad, counts)], np.where(bad, 0, counts).astype(np.int32)
     out = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
     held, stamp = np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int64)
-    at = 0
+    begin = 0
     for size in counts.tolist():
-        mine = flat[at : at + size]
-        at += size
+        mine = flat[begin : begin + size]
+        begin += size
         for k in ("n_a", "n_b", "n_groups", "n_links"):
             out[k].append(int(per[k][mine].sum()))
         out["groups_sha256"].append(hashlib.sha256(b";".join([text[s] for s in mine.tolist()])).hexdigest() if size else "")
         once = np.unique(mine)
-        found = pair[gather(np.arange(len(pair)), link_starts[once], per["n_links"][once])]
+        found = gather(pair, link_starts[once], per["n_links"][once])
         stamp[found] = np.arange(len(found))
         held[found[stamp[found] == np.arange(len(found))]] += 1
-    return out | {"pairs": pairs, "held": held, "links": pack(pair), "link_counts": pack(per["n_links"].astype(np.int32))}
+    return out | {"pairs": pairs, "held": held, "links": pack(pair), "link_counts": pack(per["n_links"].astype(np.int32)), "counts": pack(counts), "stretches": pack(flat)}
 
 
 def alignments(
-    docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
+    docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+    pack_chars: int = PACK_CHARS,
+) -> DataFrame:
     """Per document ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     vocabularies = byte_tokens(byte_model), piece_tokens(piece_model)
     labels = spark.sparkContext.broadcast([b"%d" % i for i in range(max(map(len, vocabularies)))])
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks_of(docs, byte_model, piece_model, id_col, text_col, block_bytes)
+    blocks = materialize(blocks_of(docs, id_col, text_col, block_bytes), "blocks")
+    places = materialize_by(blocks.select(F.col("block").alias("own"), F.posexplode("parts").alias("place", "part")), "places", "part", free=True)
+    packs = materialize(packs_of(places.select("part").distinct(), byte_model, piece_model, pack_chars), "packs")
 
     def tokens(name: str) -> DataFrame:
-        return blocks.select("block", name).repartition(tasks, "block").select("block", F.posexplode(name).alias("at", "id"))
+        return packs.select("pack", name).repartition(tasks, "pack").select("pack", F.posexplode(name).alias("at", "id"))
+
+    links = align(tokens("a"), tokens("b"), *(_lengths(spark, v) for v in vocabularies), key="pack")
+    whole = packs.select(F.col("pack").alias("own_pack"), "parts", "fine", "lengths").groupBy("own_pack")
+    known = materialize(whole.cogroup(links.groupBy("pack")).applyInArrow(_links_of_pack, "part string, links binary"), "links", free=True)
+    discard(packs)
 
-    links = align(tokens("a"), tokens("b"), *(_lengths(spark, v) for v in vocabularies), key="block")
     numbers = ["n_a", "n_b", "n_groups", "n_links"]
     names = ["block", "ids", *numbers, "groups_sha256", "counts", "stretches", "pairs", "held", "links", "link_counts"]
 
@@ -226,11 +278,11 @@ def alignments(
         return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), pa.array(value, k))
 
     def digest(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {n: left[n][0].as_py() for n in ("own", "counts", "stretches", "lengths")}
-        made = _digest_block(row, right, labels.value)
+        row = {n: left[n][0].as_py() for n in ("block", "counts", "stretches")}
+        made = _digest_block(row, right["place"].to_numpy(), right["links"].combine_chunks(), labels.value)
         arrays = [
-            pa.array([row["own"]]), left["ids"].combine_chunks(), *(one(made[n], pa.int64()) for n in numbers), one(made["groups_sha256"], pa.string()),
-            *(pa.array([row[n]], pa.binary()) for n in ("counts", "stretches")), one(made["pairs"], pa.int64()), one(made["held"], pa.int32()),
+            pa.array([row["block"]]), left["ids"].combine_chunks(), *(one(made[n], pa.int64()) for n in numbers), one(made["groups_sha256"], pa.string()),
+            *(pa.array([made[n]], pa.binary()) for n in ("counts", "stretches")), one(made["pairs"], pa.int64()), one(made["held"], pa.int32()),
             *(pa.array([made[n]], pa.binary()) for n in ("links", "link_counts")),
         ]
         return pa.table(arrays, names)
@@ -239,9 +291,11 @@ def alignments(
         f"block long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
         "counts binary, stretches binary, pairs array<long>, held array<int>, links binary, link_counts binary"
     )
-    packed = blocks.select(F.col("block").alias("own"), "ids", "counts", "stretches", "lengths").groupBy("own")
-    made = materialize(packed.cogroup(links.groupBy("block")).applyInArrow(digest, schema), "aligned", free=True)
-    discard(blocks)
+    found = places.join(known, "part").select("own", "place", "links").groupBy("own")
+    packed = blocks.select("block", "ids", "counts", "stretches").groupBy("block")
+    made = materialize(packed.cogroup(found).applyInArrow(digest, schema), "aligned", free=True)
+    for t in (blocks, places, known):
+        discard(t)
 
     each = made.select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("at", "x")).select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
     count = each.where("held > 0").groupBy("pair").agg(F.sum("held").alias("count"))
