@@ -43,8 +43,15 @@ BLOCK_BYTES = 12 << 20
 PACK_CHARS = 1 << 20
 #: Bits of an id in a pair's number.
 BITS = 24
-#: A link as it is stored with its stretch: both ids, and whether either token ends where the bytes they share do.
-LINK = np.dtype([("a", "<u4"), ("b", "<u4"), ("a_ends", "?"), ("b_ends", "?")])
+
+
+def link_type(ids: int) -> np.dtype:
+    """A link as it is stored with its stretch: both ids, and whether either token ends where the bytes they share do (1
+    for that of the first vocabulary, 2 for that of the second)."""
+    kind = "<u2" if ids <= 1 << 16 else "<u4"
+    return np.dtype([("a", kind), ("b", kind), ("ends", "u1")])
+
+
 
 
 def piece_tokens(model: str) -> list[bytes]:
@@ -182,34 +189,35 @@ def packs_of(parts: DataFrame, byte_model: str, piece_model: str, pack_chars: in
     return parts.select("part").mapInArrow(run, "pack long, parts array<string>, fine array<boolean>, lengths array<int>, a array<int>, b array<int>")
 
 
-def _links_of_pack(row: pa.Table, links: pa.Table) -> pa.Table:
+def _links_of_pack(row: pa.Table, links: pa.Table, kind: np.dtype) -> pa.Table:
     """``part, links`` for the stretches of a pack: their links in order, packed; null where tokens don't give a stretch back."""
     end = links["end"].to_numpy()
     order = np.argsort(end)
-    record = np.zeros(len(end), LINK)
-    for n in ("a", "b", "a_ends", "b_ends"):
-        record[n] = links[n].to_numpy(zero_copy_only=False)[order]
+    record = np.zeros(len(end), kind)
+    for n in "ab":
+        record[n] = links[n].to_numpy()[order]
+        record["ends"] += links[f"{n}_ends"].to_numpy(zero_copy_only=False)[order] * np.uint8("ab".index(n) + 1)
     fine = row["fine"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     lengths = row["lengths"].combine_chunks().flatten().to_numpy()
     stop = np.zeros(len(fine), np.int64)
-    stop[fine] = np.searchsorted(end[order], np.cumsum(lengths, dtype=np.int64), "right") * LINK.itemsize
+    stop[fine] = np.searchsorted(end[order], np.cumsum(lengths, dtype=np.int64), "right") * kind.itemsize
     offsets = np.concatenate([[0], np.maximum.accumulate(stop)]).astype(np.int32)
     parts = row["parts"].combine_chunks().flatten()
     blobs = pa.Array.from_buffers(pa.binary(), len(fine), [pa.array(fine).buffers()[1], pa.py_buffer(offsets), pa.py_buffer(record.tobytes())])
     return pa.table([parts, blobs], ["part", "links"])
 
 
-def _digest_block(row: dict, at: np.ndarray, blobs: pa.Array, labels: list[bytes]) -> dict:
+def _digest_block(row: dict, at: np.ndarray, blobs: pa.Array, kind: np.dtype, labels: list[bytes]) -> dict:
     """What a block's documents are made of, from the links of its stretches ``at``."""
     order = np.argsort(at)
     blobs = blobs.take(pa.array(order))
     fine = blobs.is_valid().to_numpy(zero_copy_only=False)
     n_links = blobs.fill_null(b"").cast(pa.large_binary())
-    record = np.frombuffer(b"".join(n_links.to_pylist()), LINK)
+    record = np.frombuffer(b"".join(n_links.to_pylist()), kind)
     n = len(at)
-    per = {"n_links": np.diff(np.frombuffer(n_links.buffers()[1], np.int64)[n_links.offset : n_links.offset + n + 1]) // LINK.itemsize}
+    per = {"n_links": np.diff(np.frombuffer(n_links.buffers()[1], np.int64)[n_links.offset : n_links.offset + n + 1]) // kind.itemsize}
     del blobs, n_links
-    a, b, a_ends, b_ends = (record[x] for x in ("a", "b", "a_ends", "b_ends"))
+    a, b, a_ends, b_ends = record["a"], record["b"], record["ends"] & 1 > 0, record["ends"] & 2 > 0
     stretch = np.repeat(np.arange(n, dtype=np.int32), per["n_links"])
     cut = a_ends & b_ends
     per |= {"n_a": np.bincount(stretch[a_ends], minlength=n), "n_b": np.bincount(stretch[b_ends], minlength=n), "n_groups": np.bincount(stretch[cut], minlength=n)}
@@ -246,7 +254,7 @@ def _digest_block(row: dict, at: np.ndarray, blobs: pa.Array, labels: list[bytes
         found = gather(pair, link_starts[once], per["n_links"][once])
         stamp[found] = np.arange(len(found))
         held[found[stamp[found] == np.arange(len(found))]] += 1
-    return out | {"pairs": pairs, "held": held, "links": pack(pair), "link_counts": pack(per["n_links"].astype(np.int32)), "counts": pack(counts), "stretches": pack(flat)}
+    return out | {"pairs": pairs, "held": held, "links": pack(pair), "link_counts": pack(per["n_links"].astype(np.int32))}
 
 
 def alignments(
@@ -257,7 +265,7 @@ def alignments(
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     vocabularies = byte_tokens(byte_model), piece_tokens(piece_model)
-    labels = spark.sparkContext.broadcast([b"%d" % i for i in range(max(map(len, vocabularies)))])
+    labels, link = spark.sparkContext.broadcast([b"%d" % i for i in range(max(map(len, vocabularies)))]), link_type(max(map(len, vocabularies)))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialize(blocks_of(docs, id_col, text_col, block_bytes), "blocks")
     places = materialize_by(blocks.select(F.col("block").alias("own"), F.posexplode("parts").alias("place", "part")), "places", "part", free=True)
@@ -268,61 +276,65 @@ def alignments(
 
     links = align(tokens("a"), tokens("b"), *(_lengths(spark, v) for v in vocabularies), key="pack")
     whole = packs.select(F.col("pack").alias("own_pack"), "parts", "fine", "lengths").groupBy("own_pack")
-    known = materialize(whole.cogroup(links.groupBy("pack")).applyInArrow(_links_of_pack, "part string, links binary"), "links", free=True)
+    each = whole.cogroup(links.groupBy("pack")).applyInArrow(lambda left, right: _links_of_pack(left, right, link), "part string, links binary")
+    known = materialize_by(each, "links", "part", free=True)  # as the places are, so that neither is shuffled to join them
     discard(packs)
 
     numbers = ["n_a", "n_b", "n_groups", "n_links"]
-    names = ["block", "ids", *numbers, "groups_sha256", "counts", "stretches", "pairs", "held", "links", "link_counts"]
+    names = ["block", "ids", *numbers, "groups_sha256", "pairs", "held", "links", "link_counts"]
 
     def one(value: list, k: pa.DataType) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), pa.array(value, k))
 
     def digest(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {n: left[n][0].as_py() for n in ("block", "counts", "stretches")}
-        made = _digest_block(row, right["place"].to_numpy(), right["links"].combine_chunks(), labels.value)
+        made = _digest_block(row, right["place"].to_numpy(), right["links"].combine_chunks(), link, labels.value)
         arrays = [
             pa.array([row["block"]]), left["ids"].combine_chunks(), *(one(made[n], pa.int64()) for n in numbers), one(made["groups_sha256"], pa.string()),
-            *(pa.array([made[n]], pa.binary()) for n in ("counts", "stretches")), one(made["pairs"], pa.int64()), one(made["held"], pa.int32()),
+            one(made["pairs"], pa.int64()), one(made["held"], pa.int32()),
             *(pa.array([made[n]], pa.binary()) for n in ("links", "link_counts")),
         ]
         return pa.table(arrays, names)
 
     schema = (
         f"block long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
-        "counts binary, stretches binary, pairs array<long>, held array<int>, links binary, link_counts binary"
+        "pairs array<long>, held array<int>, links binary, link_counts binary"
     )
     found = places.join(known, "part").select("own", "place", "links").groupBy("own")
     packed = blocks.select("block", "ids", "counts", "stretches").groupBy("block")
     made = materialize(packed.cogroup(found).applyInArrow(digest, schema), "aligned", free=True)
-    for t in (blocks, places, known):
+    for t in (places, known):
         discard(t)
 
     each = made.select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("at", "x")).select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
     count = each.where("held > 0").groupBy("pair").agg(F.sum("held").alias("count"))
     most = count.groupBy(F.shiftright("pair", BITS).alias("a")).agg(F.max("count").alias("most"))
     count = count.withColumn("a", F.shiftright("pair", BITS)).join(most, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
-    known = each.join(count, "pair").select("block", "at", "count", "best")
+    known = each.join(count, "pair").select("block", "at", "count", "best")  # one row for each pair of a block
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {n: unpack(left[n][0].as_py(), np.int32) for n in ("counts", "stretches", "links", "link_counts")}
         size = int(row["links"].max()) + 1 if len(row["links"]) else 0
+        counted = left["n_a"].combine_chunks().flatten().to_numpy() > 0
         total, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
         at = right["at"].to_numpy()
         total[at], best[at] = right["count"].to_numpy(), right["best"].to_numpy(zero_copy_only=False)
         n = len(row["link_counts"])
         owner = np.repeat(np.arange(n), row["link_counts"])
-        sums = [np.zeros(n, np.int64) for _ in range(2)]
-        for s, values in zip(sums, (total, best), strict=True):
-            np.add.at(s, owner, values[row["links"]])
+        sums = [np.bincount(owner, weights=values[row["links"]], minlength=n).astype(np.int64) for values in (total, best)]
         ends = np.concatenate([[0], np.cumsum(row["counts"])])
         per = [np.concatenate([[0], np.cumsum(s[row["stretches"]])]) for s in sums]
-        count_sum, n_best = (p[ends[1:]] - p[ends[:-1]] for p in per)
+        count_sum, n_best = ((p[ends[1:]] - p[ends[:-1]]) * counted for p in per)
         lists = [left[x].combine_chunks().flatten() for x in ("ids", *numbers)]
         return pa.table([*lists, pa.array(n_best), pa.array(count_sum), left["groups_sha256"].combine_chunks().flatten()], ["doc_id", *numbers, "n_best", "count_sum", "groups_sha256"])
 
-    left = made.select(F.col("block").alias("own"), "ids", *numbers, "groups_sha256", "counts", "stretches", "links", "link_counts").groupBy("own")
+    left = made.select(F.col("block").alias("own"), "ids", *numbers, "groups_sha256", "links", "link_counts")
+    left = left.join(blocks.select(F.col("block").alias("own"), "counts", "stretches"), "own").groupBy("own")
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return left.cogroup(known.groupBy("block")).applyInArrow(finish, schema)
+    out = materialize(left.cogroup(known.groupBy("block")).applyInArrow(finish, schema), "alignments", free=True)
+    for t in (made, blocks):
+        discard(t)
+    return out
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
