@@ -6,13 +6,14 @@ are summed within tasks and then across partitions.
 
 * The first ``ROUNDS`` rounds, from seeded random emissions, tell the states apart. In them a state emits hash classes
   of words (``CLASSES`` and one for the end of a text), so that the model that is sent out has a fixed size.
-* The last round gathers expected counts by word and state. Chunks send their distinct words, with counts and state
-  shares, in packed pieces to buckets of the vocabulary, which sum them and send them back to the chunks that asked.
+* The last round gathers expected counts by word and state. Chunks send their distinct words, with counts in all and by
+  state, in packed pieces to buckets of the vocabulary, which sum them and send them back to the chunks that asked. A
+  token's state shares are whole steps of 1/255, so that sums don't depend on how texts are put into chunks.
   A word crosses the shuffle once a chunk, however often it occurs; the number of buckets follows the input.
 
 The scaled forward recursion over the word emissions then gives the exact likelihood of each text. State s emits word w
-with (E(w, s) + L(s) * B(k, s) / (V(k) + 1)) / (E(s) + L(s)): E are the expected counts of the last round, with the
-state shares of a word in steps of 1/255, B(k, s) is the emission of the word's class k, V(k) the distinct training words
+with (E(w, s) + L(s) * B(k, s) / (V(k) + 1)) / (E(s) + L(s)): E are the expected counts of the last round, E(w, s) in
+proportion to the word's summed steps, B(k, s) is the emission of the word's class k, V(k) the distinct training words
 of the class, the one more is for words never seen, and L(s) spreads V + 1 counts over the states by their use.
 
 Defined cases: null and empty texts are the end token alone; repeated rows count and are scored each; a row with a
@@ -40,7 +41,7 @@ ROUNDS = 5
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
 #: Tokens in a group of texts that go through the recursion side by side.
 GROUP_TOKENS = 800_000
-#: Steps in which the state shares of a word are sent.
+#: Steps in which the state shares of a token are counted.
 SHARES = 255
 
 
@@ -170,8 +171,9 @@ def forward(model: Model, tokens: np.ndarray, active: list[int], keep: bool) ->
     return total, alphas, scales
 
 
-def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of all sequences (Baum-Welch counts)."""
+def expect(model: Model, sequences: list[np.ndarray], steps: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions of all sequences (Baum-Welch counts); with ``steps`` the state shares of each
+    token in whole steps, so that emissions are integers, and their sums the same in any order."""
     k, rows = len(model.start), len(model.emit)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((rows, k))
     e32, m32 = model.emit.astype(np.float32, copy=False), model.move.astype(np.float32)
@@ -191,6 +193,8 @@ def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.nd
             ahead = e32[tokens[at : at + n]] * b / scales[at : at + n, None]
         start += gamma[: active[0]].sum(0)
         move += pairs * model.move
+        if steps:
+            gamma = np.rint(gamma * np.float32(steps))
         for s in range(k):
             emit[:, s] += np.bincount(tokens, weights=gamma[:, s], minlength=rows)
     return start, move, emit
@@ -232,7 +236,7 @@ def train(chunks: DataFrame, rounds: int = ROUNDS) -> Model:
 
 
 def _asked(chunks: DataFrame, model: Model, buckets: int) -> DataFrame:
-    """``bucket, chunk, words, n, shares``: the words of a chunk by bucket, their training counts and state shares."""
+    """``bucket, chunk, words, n, shares``: the words of a chunk by bucket, their training counts in all and by state."""
     shared = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +247,11 @@ def _asked(chunks: DataFrame, model: Model, buckets: int) -> DataFrame:
                 sizes, learn = _unpack(row["sizes"], np.int64), ~_unpack(row["held"], bool)
                 codes, classes = _unpack(row["codes"], np.int32), _unpack(row["classes"], np.uint16).astype(np.int64)
                 local = Model(model.start, model.move, model.emit.astype(np.float32)[np.append(classes, CLASSES)])
-                counts = expect(local, _sequences(codes, sizes, len(words), learn))[2]
+                counts = expect(local, _sequences(codes, sizes, len(words), learn), SHARES)[2]
                 n = np.bincount(codes[np.repeat(learn, sizes)], minlength=len(words)).astype(np.int32)
                 # The end of a text is a word of its own, empty, which every chunk asks for.
                 words, n = [*words, b""], np.append(n, np.int32(learn.sum()))
-                shares = np.rint(counts / np.maximum(counts.sum(1, keepdims=True), 1e-30) * SHARES).astype(np.uint8)
+                shares = counts.astype(np.int64)
                 bucket = _bucket(hashes(words), buckets)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order], [buckets]])))
@@ -268,27 +272,25 @@ ANSWER = "chunk long, bucket int, c binary, shares binary"
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """Per bucket and chunk the corpus counts and state shares of the words asked for, in their order.
+    """Per bucket and chunk the corpus counts, in all and by state, of the words asked for, in their order.
 
     A row without a chunk has what a bucket adds to the totals: tokens, words, expected counts by state, words by class.
     """
 
     def run(group: pa.Table) -> pa.Table:
         numbers = _Numbers()
-        pieces, total, mass = [], np.zeros(1024, np.int64), np.zeros((1024, STATES))
+        pieces, total, mass = [], np.zeros(1024, np.int64), np.zeros((1024, STATES), np.int64)
         for words, n, shares in zip(*(group.column(x).to_pylist() for x in ("words", "n", "shares")), strict=True):
             at = np.fromiter(map(numbers.__getitem__, _unpack(words).split(b"\n")), np.int64)
             while len(numbers) > len(total):
                 total, mass = np.concatenate([total, np.zeros_like(total)]), np.concatenate([mass, np.zeros_like(mass)])
-            n, shares = _unpack(n, np.int32), _unpack(shares, np.uint8).reshape(-1, STATES).astype(float)
-            total[at] += n  # a chunk's words are distinct
-            mass[at] += n[:, None] * shares / np.maximum(shares.sum(1, keepdims=True), 1)
+            total[at] += _unpack(n, np.int32)  # a chunk's words are distinct
+            mass[at] += _unpack(shares, np.int64).reshape(-1, STATES)
             pieces.append(at)
         words = list(numbers)
-        total, mass = total[: len(words)], mass[: len(words)]
-        shares = np.rint(mass / np.maximum(total, 1)[:, None] * SHARES).astype(np.uint8)
+        total, shares = total[: len(words)], mass[: len(words)]
         known = total > 0
-        whole = np.maximum(shares.sum(1, keepdims=True, dtype=np.int64), 1)
+        whole = np.maximum(shares.sum(1, keepdims=True), 1)
         states = (total[:, None] * (shares / whole)).sum(0)
         real = known & np.array([w != b"" for w in words], bool)
         kinds = np.bincount(_class(hashes(words))[real], minlength=CLASSES)
@@ -352,10 +354,10 @@ def score(
         words = [*_unpack(row["words"]).split(), b""]
         order = np.argsort(_bucket(hashes(words), buckets), kind="stable")
         by = np.argsort(found.column("bucket").to_numpy(), kind="stable").tolist()
-        c, shares = np.zeros(len(words), np.int64), np.zeros((len(words), STATES), np.uint8)
+        c, shares = np.zeros(len(words), np.int64), np.zeros((len(words), STATES), np.int64)
         cs, ss = found.column("c").to_pylist(), found.column("shares").to_pylist()
         c[order] = np.concatenate([_unpack(cs[i], np.int64) for i in by])
-        shares[order] = np.concatenate([_unpack(ss[i], np.uint8).reshape(-1, STATES) for i in by])
+        shares[order] = np.concatenate([_unpack(ss[i], np.int64).reshape(-1, STATES) for i in by])
         classes = np.append(_unpack(row["classes"], np.uint16).astype(np.int64), CLASSES)
         sizes, codes, held = _unpack(row["sizes"], np.int64), _unpack(row["codes"], np.int32), _unpack(row["held"], bool)
         local = Model(model.start, model.move, word_emissions(model, totals, c, shares, classes))
