@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import advice, behavior, governance, grid, ingest, matching, overspeed_v1, roads, scoring, spatial
 from ..params import DEFAULTS, Params
-from ..sources.tables import delete, stored
+from ..sources.tables import delete, delete_folder, new_folder, stored, within
 from ..sources.walk import raw_points, road_lines
 
 
@@ -21,16 +21,19 @@ class Analysis:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, p: Params = DEFAULTS, raw: DataFrame | None = None, lines: DataFrame | None = None):
         self.spark, self.dir, self.p, self.lines = spark, sf_dir, p, lines
         self.tables: dict[str, DataFrame] = {} if raw is None else {"raw": raw}
+        self.folder = new_folder(spark, "analysis")
 
     def close(self) -> None:
-        """Delete the stored steps."""
-        for t in self.tables.values():
-            delete(t)
+        """Delete the stored steps, and what operators stored on the way to them."""
+        if "raw" in self.tables:
+            delete(self.tables["raw"])
+        delete_folder(self.spark, self.folder)
         self.tables.clear()
 
     def once(self, name: str, build) -> DataFrame:
         if name not in self.tables:
-            self.tables[name] = stored(build(), name)
+            with within(self.folder):
+                self.tables[name] = stored(build(), name)
         return self.tables[name]
 
     def raw(self) -> DataFrame:
@@ -88,7 +91,9 @@ class Analysis:
 
     def layers(self) -> tuple[DataFrame, DataFrame]:
         if "spots" not in self.tables:
-            self.tables["spots"], self.tables["facts"] = spatial.hotspot_layers(self.scores(), self.p)
+            scores = self.scores()
+            with within(self.folder):
+                self.tables["spots"], self.tables["facts"] = spatial.hotspot_layers(scores, self.p)
         return self.tables["spots"], self.tables["facts"]
 
     def cells(self, value: str = "overspeed_rate") -> DataFrame:
@@ -110,6 +115,7 @@ class Analysis:
         raw = self.raw().select(
             F.col("event_id").alias("order_id"), F.col("ts").alias("event_time"), (F.col("lon_u") / 1e6).alias("lon"), (F.col("lat_u") / 1e6).alias("lat"),
             (F.col("Speed") * 3.6).alias("speed_kmh"), "event_type", "user_id", F.col("event_id").alias("source_row"),
+            F.when(F.col("user_id") % 7 == 0, "女").otherwise("男").alias("gender"), (F.col("user_id") % 20 + 15).cast("int").alias("age"),
         )
         return overspeed_v1.overspeed_flag(raw, self.p)
 

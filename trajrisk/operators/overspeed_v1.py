@@ -153,18 +153,32 @@ def dashboard_metrics(grid: DataFrame, hotspots: DataFrame, moran: DataFrame, tr
     return one.crossJoin(moran.select("moran_i", F.col("p").alias("moran_p"))).crossJoin(trend.select(F.col("z").alias("trend_z"), "trend")).crossJoin(risk_distribution(hotspots))
 
 
-def hourly_distribution(points: DataFrame) -> DataFrame:
-    """By hour of the day, with a mark at the hour of most overspeeds (the first of equals)."""
-    hours = points.groupBy(F.hour("event_time").alias("hour")).agg(F.sum("is_overspeed").alias("overspeed"), F.count("*").alias("n"))
-    peak = hours.agg(F.max_by("hour", F.struct("overspeed", -F.col("hour"))).alias("peak"))
-    return hours.crossJoin(F.broadcast(peak)).select("hour", "overspeed", "n", (F.col("hour") == F.col("peak")).alias("is_peak"))  # one row
+def hourly_distribution(points: DataFrame, by: str | None = None) -> DataFrame:
+    """By hour of the day (of each area ``by``), with a mark at the hour of most overspeeds (the first of equals)."""
+    key = [by] if by else []
+    hours = points.groupBy(*key, F.hour("event_time").alias("hour")).agg(F.sum("is_overspeed").alias("overspeed"), F.count("*").alias("n"))
+    peak = hours.groupBy(*key).agg(F.max_by("hour", F.struct("overspeed", -F.col("hour"))).alias("peak"))
+    both = hours.join(peak, key) if by else hours.crossJoin(F.broadcast(peak))  # one row
+    return both.select(*key, "hour", "overspeed", "n", (F.col("hour") == F.col("peak")).alias("is_peak"))
 
 
-def daily_trend(points: DataFrame, day: str | None = None) -> DataFrame:
-    """By day; of one ``day`` by hour."""
+def daily_trend(points: DataFrame, day: str | None = None, by: str | None = None) -> DataFrame:
+    """By day; of one ``day`` by hour; of each area ``by``."""
     key = F.to_date("event_time").alias("day") if day is None else F.hour("event_time").alias("hour")
     rows = points if day is None else points.where(F.to_date("event_time") == F.lit(day).cast("date"))
-    return rows.groupBy(key).agg(F.sum("is_overspeed").alias("overspeed"), F.count("*").alias("n"), F.bround(F.avg("speed_kmh"), 6).alias("mean_speed"))
+    keys = [by, key] if by else [key]
+    return rows.groupBy(*keys).agg(F.sum("is_overspeed").alias("overspeed"), F.count("*").alias("n"), F.bround(F.avg("speed_kmh"), 6).alias("mean_speed"))
+
+
+#: Names of the gender, and the ages, of the riders that education is for.
+MALE, YOUNG = ("男", "male", "m"), (18, 30)
+
+
+def young_male_share(points: DataFrame, by: str = "grid_id") -> DataFrame:
+    """``by, young_male``: the share of points of young men in all points whose gender and age are known; null without such."""
+    gender, age = F.lower(F.trim("gender")), F.col("age")
+    known = gender.isNotNull() & (gender != "未知") & (age >= 0)
+    return points.groupBy(by).agg(F.avg(F.when(known, (gender.isin(*MALE) & age.between(*YOUNG)).cast("double"))).alias("young_male"))
 
 
 def gap_fill_hours(hours: DataFrame) -> DataFrame:
