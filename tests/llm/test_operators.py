@@ -71,6 +71,18 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_ids_of_any_type(spark):
+    """Near-duplicates and repeats by text ids are those by numbers in the order of these ids; null ids stay null."""
+    rows = [(i, t) for i, t, *_ in corpus()]
+    name = lambda i: None if i is None else f"doc-{i:04d}"
+    plain, named = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(name(i), t) for i, t in rows], "doc_id string, text string")
+    want = sorted(str((name(r["doc_id"]), r["n_shingles"], name(r["component_id"]), r["kept"])) for r in near_dedup.near_duplicates(plain).collect())
+    assert want == sorted(str(tuple(r)) for r in near_dedup.near_duplicates(named).collect())
+    assert near_dedup.keep_first(named).count() == near_dedup.keep_first(plain).count()
+    stripped = lambda df: substring_dedup.stripped(substring_dedup.repeated_ranges(df)[0]).drop("kept").collect()
+    assert sorted(str((name(r[0]), *r[1:])) for r in stripped(plain)) == sorted(str(tuple(r)) for r in stripped(named))
+
+
 def test_of_one_id_the_speaker_stays(spark):
     """Which of different texts with one id stays doesn't depend on the order of rows."""
     texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]

@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 #: ASCII letters to lower case, everything that is not a digit, a letter or a byte above 0x7F to a blank.
 ALNUM = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -91,6 +93,14 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, by: str) -> Da
     return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")
 
 
+def id_numbers(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """``__id, __number`` for the ids of a table: numbers in their order; none where ids are whole numbers themselves."""
+    if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return None
+    ids = docs.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
+    return materialize(numbered(ids, ["__id"], "__number"), "ids")
+
+
 def leave_out(docs: DataFrame, gone: DataFrame, key, gone_key: str) -> DataFrame:
     """Rows of ``docs`` whose ``key`` (a column) is not among the distinct values of ``gone_key``, with all their columns.
 

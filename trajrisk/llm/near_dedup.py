@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, leave_out, materialize, salted_left_join, small_batches, table, texts_of
+from .common import connected_components, discard, id_numbers, leave_out, materialize, salted_left_join, small_batches, table, texts_of
 
 SHINGLE, SKETCH, THRESHOLD = 5, 64, 75
 WHOLE, NEED = 48, 28
@@ -312,7 +312,18 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``; ids that are no whole numbers are numbered in
+    their order and given back."""
+    numbers = id_numbers(docs, id_col)
+    if numbers is not None:
+        rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(numbers, "__id", "left")
+        found = near_duplicates(rows.select(F.col("__number").alias("doc_id"), "text"))
+        name = lambda c: numbers.select(F.col("__number").alias(c), F.col("__id").alias(f"{c}_name"))
+        out = found.join(name("doc_id"), "doc_id", "left").join(name("component_id"), "component_id", "left")
+        out = materialize(out.select(F.col("doc_id_name").alias("doc_id"), "n_shingles", F.col("component_id_name").alias("component_id"), "kept"), "groups")
+        for t in (found, numbers):
+            discard(t)
+        return out
     with small_batches(docs.sparkSession):
         return _groups(docs, id_col, text_col)
 

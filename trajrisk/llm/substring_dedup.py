@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, materialize_by, pack as _pack, salted_left_join, table, texts_of, unpack as _unpack
+from .common import discard, id_numbers, materialize, materialize_by, pack as _pack, salted_left_join, table, texts_of, unpack as _unpack
 
 LENGTH, GRAM = 100, 16
 #: A difference cover: every residue modulo PERIOD is a difference of two members.
@@ -450,7 +450,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents that lose nothing have only ``sha``, the digest of their bytes; the others have their text and ``runs``
     of removed window starts; for copies of earlier documents ``runs`` is null as well as ``sha``.
     """
-    kid = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    numbers = id_numbers(docs, id_col)
+    if numbers is not None:  # ids that are no whole numbers count by their order
+        docs = docs.select(id_col, text_col).join(numbers.withColumnRenamed("__id", id_col), id_col, "left")
+    kid = F.coalesce(F.col(id_col if numbers is None else "__number").cast("long"), F.lit(NULL_ID))
     whole = docs.select(kid.alias("kid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     whole = whole.withColumn("md5", F.md5(F.col("text").cast("binary")))
     whole = whole.withColumn("dig", F.conv(F.substring("md5", 1, 15), 16, 10).cast("long"))
@@ -555,7 +558,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stripped(repeated_ranges(table(spark, sf_dir, "documents"))[0]).drop("kept")
+    rows, made = repeated_ranges(table(spark, sf_dir, "documents"))
+    out = materialize(stripped(rows).drop("kept"), "stripped")
+    for t in made:
+        discard(t)
+    return out
 
 
 QUERIES = {"op10_substring_dedup": op10_substring_dedup}
