@@ -267,8 +267,10 @@ def alignments(
     vocabularies = byte_tokens(byte_model), piece_tokens(piece_model)
     labels, link = spark.sparkContext.broadcast([b"%d" % i for i in range(max(map(len, vocabularies)))]), link_type(max(map(len, vocabularies)))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialize(blocks_of(docs, id_col, text_col, block_bytes), "blocks")
-    places = materialize_by(blocks.select(F.col("block").alias("own"), F.posexplode("parts").alias("place", "part")), "places", "part", free=True)
+    made = materialize(blocks_of(docs, id_col, text_col, block_bytes), "blocks")
+    places = materialize_by(made.select(F.col("block").alias("own"), F.posexplode("parts").alias("place", "part")), "places", "part", free=True)
+    blocks = materialize_by(made.drop("parts"), "blocks", "block")  # by block, so that it is not shuffled to meet its stretches
+    discard(made)
     packs = materialize(packs_of(places.select("part").distinct(), byte_model, piece_model, pack_chars), "packs")
 
     def tokens(name: str) -> DataFrame:
