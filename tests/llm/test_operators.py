@@ -576,6 +576,28 @@ def test_classifier():
     assert (p[:20] > 0.5).mean() > 0.9 and (p[20:40] < 0.5).mean() > 0.9 and ((p >= 0) & (p <= 1)).all()
 
 
+def test_convolution_against_brute_force():
+    """Every filter at every place of every chunk of whole texts, by the plain sum over its bytes."""
+    rng = np.random.default_rng(11)
+    net = quality_classifier.Network.start(3)
+    net.bias, net.v, net.v0 = rng.normal(size=quality_classifier.FILTERS).astype(np.float32), rng.normal(size=2 * quality_classifier.FILTERS).astype(np.float32), 0.3
+    width, chunk = quality_classifier.WIDTH, quality_classifier.CHUNK
+    texts = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, width - 1, width, chunk, chunk + width - 1, chunk + width, 2 * chunk + 40)]
+    found = quality_classifier.features(net, net.pairs(), texts)
+    for text, got in zip(texts, found, strict=True):
+        n = max(1, -(-(len(text) - width + 1) // chunk))
+        data = text + bytes(n * chunk + width - 1 - len(text))
+        tops = []
+        for c in range(n):
+            places = range(c * chunk, (c + 1) * chunk)
+            sums = [sum(net.w[j, data[p + j]].astype(float) for j in range(width)) for p in places]
+            tops.append(np.maximum(np.max(sums, axis=0) + net.bias, 0))
+        want = np.concatenate([np.mean(tops, axis=0), np.max(tops, axis=0)])
+        assert got == pytest.approx(want, abs=1e-4)
+    p = quality_classifier.predict(net, net.pairs(), texts)
+    assert p == pytest.approx(1 / (1 + np.exp(-(found @ net.v + net.v0))))
+
+
 def test_classifier_on_tables(spark, docs, empty):
     """Repeated and null ids, null texts, clashing columns, empty tables; held-out accuracy."""
     rnd = random.Random(6)
