@@ -81,22 +81,22 @@ def seconds_between(a: Column, b: Column) -> Column:
 
 def segment_trajectories(df: DataFrame, tie: str = "event_id", p: Params = DEFAULTS, slice_s: int = SLICE_S) -> DataFrame:
     """Sub-chains ``segment_seq, segment_id, point_order``: a new one at a vehicle's first row, a flagged row, or a gap of
-    more than ``gap_s``; and ``before``, the time and place of the point before in the sub-chain.
+    more than ``gap_s``; and ``before``, the time and place (if points have one) of the point before in the sub-chain.
 
     A segmented scan: points are dealt out by vehicle and slice of time, so that one vehicle's history spreads over
     tasks. A slice is folded to a row (points, breaks, first and last point); running sums over a vehicle's slices give
     what each one carries on, and its points add their own.
     """
     rows = df.withColumn("slice", F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("time")) / slice_s))
-    key = ["vehicle_id", "slice"]
+    key, point = ["vehicle_id", "slice"], F.struct(*(c for c in ("time", "lon", "lat") if c in df.columns))
     here = Window.partitionBy(*key).orderBy("time", tie)
     so_far = here.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"own": F.lag(F.struct("time", "lon", "lat")).over(here), "at": F.row_number().over(here) - 1})
+    rows = rows.withColumns({"own": F.lag(point).over(here), "at": F.row_number().over(here) - 1})
     breaks = F.coalesce((F.col("segment_flag") == 1) | (seconds_between(F.col("own.time"), F.col("time")) > p.gap_s), F.lit(False)) & (F.col("at") > 0)
     rows = rows.withColumn("inner", breaks)
     folded = rows.groupBy(*key).agg(
         F.count("*").alias("n"), F.count_if("inner").alias("breaks"), F.max(F.when(F.col("inner"), F.col("at"))).alias("last_break"),
-        F.min_by(F.struct("time", "segment_flag"), "at").alias("first"), F.max_by(F.struct("time", "lon", "lat"), "at").alias("last"),
+        F.min_by(F.struct("time", "segment_flag"), "at").alias("first"), F.max_by(point, "at").alias("last"),
     )
     slices = Window.partitionBy("vehicle_id").orderBy("slice")
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)

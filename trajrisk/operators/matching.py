@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,23 +164,34 @@ def _within(a: np.ndarray, b: np.ndarray, w: np.ndarray, sources: list[int], lim
     return np.concatenate(n1), np.concatenate(n2), np.concatenate(far)
 
 
-def candidate_path_length(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+def candidate_path_length(pairs: DataFrame, paths: DataFrame, few: bool = False) -> DataFrame:
     """Length of the way between the two candidates of each pair, by the nodes at the ends of their edges; null without.
 
-    On one edge it is the difference of the places along it.
+    On one edge it is the difference of the places along it. ``few`` paths are sent to every task, where each pair looks
+    up its four ways; more are joined with a row for each way.
     """
-    ends = lambda c, side: ((c["u"], c["along"]), (c["v"], c["length_m"] - c["along"]))[side]
     a, b = F.col("a"), F.col("b")
-    ways = F.array(*(F.struct(ends(a, s)[0].alias("n1"), ends(b, t)[0].alias("n2"), (ends(a, s)[1] + ends(b, t)[1]).alias("off")) for s in (0, 1) for t in (0, 1)))
+    ends = lambda c, side: ((c["u"], c["along"]), (c["v"], c["length_m"] - c["along"]))[side]
     keys = [*CHAIN, "point_order", "obs_bearing", "i", "j"]
-    flat = pairs.select(
+    facts = [
         *keys, F.hypot(a["px"] - b["px"], a["py"] - b["py"]).alias("straight_m"), b["seg_bearing"].alias("seg_bearing"),
-        F.when(a["edge_id"] == b["edge_id"], F.abs(a["along"] - b["along"])).alias("same_m"), F.explode(ways).alias("way"),
-    ).select("*", "way.*").drop("way")
+        F.when(a["edge_id"] == b["edge_id"], F.abs(a["along"] - b["along"])).alias("same_m"),
+    ]
+    named = [*keys, "straight_m", "seg_bearing"]
+    sides = [(s, t) for s in (0, 1) for t in (0, 1)]
+    if few:
+        nodes = [x.alias(f"{c}{s}") for c, e in (("a", a), ("b", b)) for s in (0, 1) for x in (ends(e, s)[0],)]
+        off = [(ends(a, s)[1] + ends(b, t)[1]).alias(f"off{s}{t}") for s, t in sides]
+        rows = pairs.select(*facts, *nodes, *off)
+        for s, t in sides:
+            way = F.broadcast(paths.select(F.col("n1").alias(f"a{s}"), F.col("n2").alias(f"b{t}"), F.col("path_m").alias(f"way{s}{t}")))
+            rows = rows.join(way, [f"a{s}", f"b{t}"], "left")
+        least = F.least(*(F.col(f"off{s}{t}") + F.col(f"way{s}{t}") for s, t in sides))  # nulls are left out
+        return rows.select(*named, F.coalesce("same_m", least).alias("path_m"))
+    ways = F.array(*(F.struct(ends(a, s)[0].alias("n1"), ends(b, t)[0].alias("n2"), (ends(a, s)[1] + ends(b, t)[1]).alias("off")) for s, t in sides))
+    flat = pairs.select(*facts, F.explode(ways).alias("way")).select("*", "way.*").drop("way")
     found = flat.join(paths, ["n1", "n2"], "left")
-    return found.groupBy(*keys, "straight_m", "seg_bearing", "same_m").agg(F.min(F.col("off") + F.col("path_m")).alias("by_nodes")).select(
-        *keys, "straight_m", "seg_bearing", F.coalesce("same_m", "by_nodes").alias("path_m")
-    )
+    return found.groupBy(*named, "same_m").agg(F.min(F.col("off") + F.col("path_m")).alias("by_nodes")).select(*named, F.coalesce("same_m", "by_nodes").alias("path_m"))
 
 
 def best_path(scores: list[np.ndarray], moves: list[np.ndarray]) -> list[int]:
@@ -207,23 +219,24 @@ def viterbi_match(points: DataFrame, edges: DataFrame, id_col: str = "event_id",
     nodes = lambda c: F.array(F.col(f"{c}.u"), F.col(f"{c}.v"))
     sources = pairs.select(F.explode(nodes("a")).alias("n1")).distinct()
     paths = stored(bounded_shortest_paths(edges, sources, p), "paths")
-    ways = candidate_path_length(pairs, F.broadcast(paths) if paths.count() <= BROADCAST_PATHS else paths)
+    ways = candidate_path_length(pairs, paths, paths.count() <= BROADCAST_PATHS)
     move = transition_score(F.col("path_m"), F.col("straight_m"), F.col("obs_bearing"), F.col("seg_bearing"))
-    moves = ways.groupBy(*CHAIN, "point_order").agg(F.collect_list(F.struct("i", "j", move.alias("s"))).alias("moves"))
+    moves = ways.groupBy(*CHAIN, "point_order").agg(F.array_sort(F.collect_list(F.struct("i", "j", move.alias("s")))).alias("moves"))
+    moves = moves.withColumn("moves", F.transform("moves", lambda m: m["s"]))  # row by row of the layer before
     layers = points.where(F.size("cands") > 0).join(chain_dt_mode(points), list(CHAIN))
     layers = layers.select(id_col, *CHAIN, "point_order", F.transform("cands", lambda c: obs_log_score(c["d"], F.col("beta"))).alias("scores"))
     layers = layers.join(moves, [*CHAIN, "point_order"], "left")
     kind = points.schema[id_col].dataType.simpleString()
 
+    def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+        whole = column.combine_chunks()
+        flat, sizes = whole.flatten().to_numpy(zero_copy_only=False), np.nan_to_num(pc.list_value_length(whole).to_numpy(zero_copy_only=False)).astype(int)
+        return np.split(flat, np.cumsum(sizes)[:-1])
+
     def run(chain: pa.Table) -> pa.Table:
         chain = chain.sort_by("point_order")
-        scores = [np.array(s) for s in chain.column("scores").to_pylist()]
-        moves = []
-        for before, after, found in zip(scores, scores[1:], chain.column("moves").to_pylist()[1:], strict=False):
-            grid = np.zeros((len(before), len(after)))
-            for m in found:
-                grid[m["i"], m["j"]] = m["s"]
-            moves.append(grid)
+        scores = lists(chain.column("scores"))
+        moves = [m.reshape(len(a), len(b)) for a, b, m in zip(scores, scores[1:], lists(chain.column("moves"))[1:], strict=False)]
         return pa.table({id_col: chain.column(id_col), "choice": pa.array(best_path(scores, moves), pa.int32())})
 
     return layers.groupBy(*CHAIN).applyInArrow(run, f"{id_col} {kind}, choice int")
