@@ -234,3 +234,55 @@ def test_search_stops_early_and_is_exact(spark):
     for _, text in items:
         shard.best([(w.encode(), weight[w.encode()]) for w in sorted(set(text.split()))], 10, 1)
     assert len(completed) > 15 and max(completed) <= 10 * ranked_search.CANDIDATES
+
+
+def test_very_long_texts(spark):
+    """One text of a million characters in each operator that reads whole texts."""
+    from trajrisk.llm import common, decontamination, hidden_markov, near_dedup, pieces, warc
+
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(40_000)}" for _ in range(160_000)]
+    long, near = " ".join(words), " ".join([*words[:80_000], "changed", *words[80_001:]])
+    docs = spark.createDataFrame([(1, long), (2, near), (3, "short text of five words"), (4, None)], "doc_id long, text string")
+    groups = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs).collect()}
+    assert groups[2]["component_id"] == 1 and groups[3]["kept"] and groups[1]["n_shingles"] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    items = spark.createDataFrame([(1, " ".join(words[-12:])), (2, " ".join(words[70_000:70_030]))], "item_id long, text string")
+    hits = {r["doc_id"]: r for r in decontamination.contamination(docs, items).collect()}
+    assert hits[1]["items"] == hits[2]["items"] == ["1", "2"] and hits[1]["n_words"] == len(words) and hits[3]["items"] == []
+    scores = {r["doc_id"]: r for r in hidden_markov.score(docs, F.lit(True)).collect()}
+    assert scores[1]["n_tokens"] == len(words) + 1 and scores[1]["n_known"] == len(words) + 1 and -20 < scores[1]["score"] / scores[1]["n_tokens"] < 0
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/").alias("url"), F.col("text").alias("html"))
+    path = common.new_path(spark, "warc")
+    got = {r["page_id"]: r for r in warc.read_captures(warc.lookup(warc.build_index(warc.write_archives(pages, path), path), warc.keys_of(pages))).collect()}
+    assert got[1]["payload_bytes"] == len(long) and bytes(got[2]["payload"]) == near.encode() and got[4]["payload_bytes"] == 0
+    assert pieces.encode(docs.limit(0)).count() == 0
+
+
+def test_ids_left_out_by_shuffle(spark, docs, monkeypatch):
+    """More ids than are sent to every task are joined instead."""
+    from trajrisk.llm import common
+
+    gone = spark.createDataFrame([(i,) for i in (1, 3, 5)], "k long")
+    by_broadcast = sorted(map(str, common.leave_out(docs, gone, F.col("doc_id"), "k").collect()))
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    assert sorted(map(str, common.leave_out(docs, gone, F.col("doc_id"), "k").collect())) == by_broadcast and len(by_broadcast) == len(corpus()) - 4
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables; null ids, null texts and repeated rows, which no stage stumbles over."""
+    import corpus_pipeline
+
+    rnd = random.Random(6)
+    text = lambda: "\n".join(" ".join(rnd.choice(["stone", "river", "walks", "under", "light"]) + str(rnd.randrange(99)) for _ in range(14)) + "." for _ in range(6))
+    rows = [(i, text()) for i in range(12)]
+    rows += [rows[2], rows[2], (None, rows[3][1]), (None, text()), (3, text()), (20, None), (21, "")]
+    for name, some in (("empty", []), ("odd", rows)):
+        folder = f"file://{tmp_path}/{name}"
+        table = [(i, t, "en", "s", len(t or "")) for i, t in some]
+        spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i, _ in some], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "nothing of these"), (None, None)] if some else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        ids = [r["doc_id"] for r in got]
+        assert (name == "empty") == (not got) and ids.count(2) <= 1
+        assert name == "empty" or {0, 1, 4, 5}.issubset(ids) and 20 not in ids and 21 not in ids
