@@ -8,7 +8,8 @@ are summed within tasks and then across partitions.
   of words (``CLASSES`` and one for the end of a text), so that the model that is sent out has a fixed size.
 * The last round gathers expected counts by word and state. Chunks send their distinct words, with counts in all and by
   state, in packed pieces to buckets of the vocabulary, which sum them and send them back to the chunks that asked. A
-  token's state shares are whole steps of 1/255, so that sums don't depend on how texts are put into chunks.
+  token's state shares are the same in any group of texts and are counted in whole steps of 1/255, so that sums don't
+  depend on how texts are put into chunks.
   A word crosses the shuffle once a chunk, however often it occurs; the number of buckets follows the input.
 
 The scaled forward recursion over the word emissions then gives the exact likelihood of each text. State s emits word w
@@ -99,7 +100,7 @@ def _chunks(rows: DataFrame, id_type: str, chunk_bytes: int) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             words = list(numbers)
-            flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             blobs = (np.array(held, bool), np.array(sizes, np.int64), flat, b" ".join(words), _class(hashes(words)).astype(np.uint16))
             column = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, kind))
             made = [pa.array([task << 32 | count], pa.int64()), column, *(pa.array([_pack(b)], pa.binary()) for b in blobs)]
@@ -113,7 +114,7 @@ def _chunks(rows: DataFrame, id_type: str, chunk_bytes: int) -> DataFrame:
                 ids.append(i)
                 held.append(out)
                 sizes.append(len(words))
-                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 size += len(text or b"")
                 if size >= chunk_bytes:
                     yield row()
@@ -126,6 +127,12 @@ def _chunks(rows: DataFrame, id_type: str, chunk_bytes: int) -> DataFrame:
     return rows.select("doc_id", "held_out", "text").mapInArrow(run, f"chunk long, ids array<{id_type}>, {blobs}")
 
 
+def _by_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch one at a time, as each holds a whole chunk."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _sequences(codes: np.ndarray, sizes: np.ndarray, end: int, which: np.ndarray | None = None) -> list[np.ndarray]:
     """The texts' tokens, each with ``end`` behind."""
     stops = np.cumsum(sizes)
@@ -144,13 +151,18 @@ def groups(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray,
             end += 1
         mine = order[at:end]
         sizes = np.array([len(sequences[i]) for i in mine])
-        flat = np.concatenate([sequences[i] for i in mine])
-        time = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        by_time = np.argsort(time, kind="stable")
-        yield mine, flat[by_time], np.bincount(time).tolist()
+        time = np.arange(sizes.sum(), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        tokens, active = np.concatenate([sequences[i] for i in mine])[np.argsort(time, kind="stable")], np.bincount(time).tolist()
+        del time  # the caller works on the group meanwhile
+        yield mine, tokens, active
         at = end
 
 
+def _times(rows: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """``rows @ square``. A single row goes twice: alone it would be a vector, whose sums are rounded in another order."""
+    return rows @ square if len(rows) > 1 else (np.repeat(rows, 2, 0) @ square)[: len(rows)]
+
+
 def forward(model: Model, tokens: np.ndarray, active: list[int], keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """Natural log-likelihoods of the sequences of a group; with ``keep`` also scaled alphas and scales by token."""
     kind = np.float32 if keep else np.float64
@@ -161,7 +173,7 @@ def forward(model: Model, tokens: np.ndarray, active: list[int], keep: bool) ->
     at, a = 0, None
     for n in active:
         e = emit[tokens[at : at + n]]
-        a = model.start.astype(kind) * e if a is None else (a[:n] @ move) * e
+        a = model.start.astype(kind) * e if a is None else _times(a[:n], move) * e
         c = a.sum(1)
         a /= c[:, None]
         total[:n] += np.log(c)
@@ -173,13 +185,14 @@ def forward(model: Model, tokens: np.ndarray, active: list[int], keep: bool) ->
 
 def expect(model: Model, sequences: list[np.ndarray], steps: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions of all sequences (Baum-Welch counts); with ``steps`` the state shares of each
-    token in whole steps, so that emissions are integers, and their sums the same in any order."""
+    token in whole steps, so that emissions are integers, and their sums the same in any order; moves are not counted then.
+
+    A token's shares are the same in any group; sums over tokens are in double precision."""
     k, rows = len(model.start), len(model.emit)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((rows, k))
-    e32, m32 = model.emit.astype(np.float32, copy=False), model.move.astype(np.float32)
+    e32, back = model.emit.astype(np.float32, copy=False), np.ascontiguousarray(model.move.T.astype(np.float32))
     for _, tokens, active in groups(sequences):
         _, alphas, scales = forward(model, tokens, active, True)
-        gamma = np.empty_like(alphas)
         ends = np.cumsum(active)
         pairs = np.zeros((k, k))
         ahead = None  # emission times beta over scale, one time on
@@ -187,16 +200,19 @@ def expect(model: Model, sequences: list[np.ndarray], steps: int = 0) -> tuple[n
             n, at = active[t], int(ends[t]) - active[t]
             b = np.ones((n, k), np.float32)
             if ahead is not None:
-                pairs += alphas[at : at + len(ahead)].T @ ahead
-                b[: len(ahead)] = ahead @ m32.T
-            gamma[at : at + n] = alphas[at : at + n] * b
+                if not steps:
+                    pairs += alphas[at : at + len(ahead)].T.astype(float) @ ahead.astype(float)
+                b[: len(ahead)] = _times(ahead, back)
+            alphas[at : at + n] *= b  # of this time on, alphas are the state shares
             ahead = e32[tokens[at : at + n]] * b / scales[at : at + n, None]
-        start += gamma[: active[0]].sum(0)
+        start += alphas[: active[0]].sum(0, dtype=float)
         move += pairs * model.move
         if steps:
-            gamma = np.rint(gamma * np.float32(steps))
+            alphas *= np.float32(steps)
+            np.rint(alphas, out=alphas)
         for s in range(k):
-            emit[:, s] += np.bincount(tokens, weights=gamma[:, s], minlength=rows)
+            emit[:, s] += np.bincount(tokens, weights=alphas[:, s], minlength=rows)
+        del alphas, scales, ahead  # before the next group
     return start, move, emit
 
 
@@ -208,7 +224,7 @@ def _expected(chunks: DataFrame, model: Model) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, k = None, STATES
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _by_row(batch):
                 sizes, learn = _unpack(row["sizes"], np.int64), ~_unpack(row["held"], bool)
                 classes = _unpack(row["classes"], np.uint16).astype(np.int32)
                 codes = classes[_unpack(row["codes"], np.int32)]
@@ -242,23 +258,22 @@ def _asked(chunks: DataFrame, model: Model, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
-                words = _unpack(row["words"]).split()
+            for row in _by_row(batch):
                 sizes, learn = _unpack(row["sizes"], np.int64), ~_unpack(row["held"], bool)
-                codes, classes = _unpack(row["codes"], np.int32), _unpack(row["classes"], np.uint16).astype(np.int64)
-                local = Model(model.start, model.move, model.emit.astype(np.float32)[np.append(classes, CLASSES)])
-                counts = expect(local, _sequences(codes, sizes, len(words), learn), SHARES)[2]
-                n = np.bincount(codes[np.repeat(learn, sizes)], minlength=len(words)).astype(np.int32)
+                codes, classes = _unpack(row["codes"], np.int32), _unpack(row["classes"], np.uint16)
+                n = np.bincount(codes[np.repeat(learn, sizes)], minlength=len(classes)).astype(np.int32)
+                local = Model(model.start, model.move, model.emit.astype(np.float32)[np.append(classes, np.uint16(CLASSES))])
+                shares = expect(local, _sequences(codes, sizes, len(classes), learn), SHARES)[2]
+                del local, codes
                 # The end of a text is a word of its own, empty, which every chunk asks for.
-                words, n = [*words, b""], np.append(n, np.int32(learn.sum()))
-                shares = counts.astype(np.int64)
+                words, n = [*_unpack(row["words"]).split(), b""], np.append(n, np.int32(learn.sum()))
                 bucket = _bucket(hashes(words), buckets)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order], [buckets]])))
                 out = []
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     i = order[a:b]
-                    blobs = (b"\n".join([words[j] for j in i.tolist()]), n[i], shares[i])
+                    blobs = (b"\n".join([words[j] for j in i.tolist()]), n[i], shares[i].astype(np.int64))
                     out.append((int(bucket[i[0]]), row["chunk"], *map(_pack, blobs)))
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -319,10 +334,12 @@ class Totals:
 
 def word_emissions(model: Model, totals: Totals, c: np.ndarray, shares: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Emissions of words by state; ``classes`` is ``CLASSES`` for the end of a text."""
-    share = shares / np.maximum(shares.sum(1, keepdims=True, dtype=np.int64), 1)
-    room = np.append(totals.kinds + 1, 1)  # the end has its class for itself
-    prior = totals.spread * model.emit[classes] / room[classes][:, None]
-    return (c[:, None] * share + prior) / (totals.states + totals.spread)
+    whole = np.maximum(shares.sum(1, dtype=np.int64), 1)
+    room = np.append(totals.kinds + 1, 1)[classes]  # the end has its class for itself
+    out = np.empty(shares.shape)
+    for s, (spread, states) in enumerate(zip(totals.spread, totals.states, strict=True)):
+        out[:, s] = (c * (shares[:, s] / whole) + spread * model.emit[classes, s] / room) / (states + spread)
+    return out
 
 
 def score(
@@ -348,29 +365,31 @@ def score(
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         model, totals = shared.value
         kind = texts.schema.field("ids").type.value_type
-        return pa.concat_tables([_scored(model, totals, row, kind, found) for row in texts.to_pylist()])  # one row
+        return pa.concat_tables([_scored(model, totals, row, kind, found) for b in texts.to_batches() for row in _by_row(b)])  # one row
 
     def _scored(model: Model, totals: Totals, row: dict, kind: pa.DataType, found: pa.Table) -> pa.Table:
-        words = [*_unpack(row["words"]).split(), b""]
-        order = np.argsort(_bucket(hashes(words), buckets), kind="stable")
+        order = np.argsort(_bucket(hashes([*_unpack(row["words"]).split(), b""]), buckets), kind="stable")
         by = np.argsort(found.column("bucket").to_numpy(), kind="stable").tolist()
-        c, shares = np.zeros(len(words), np.int64), np.zeros((len(words), STATES), np.int64)
-        cs, ss = found.column("c").to_pylist(), found.column("shares").to_pylist()
-        c[order] = np.concatenate([_unpack(cs[i], np.int64) for i in by])
-        shares[order] = np.concatenate([_unpack(ss[i], np.int64).reshape(-1, STATES) for i in by])
-        classes = np.append(_unpack(row["classes"], np.uint16).astype(np.int64), CLASSES)
+        c, shares = np.zeros(len(order), np.int64), np.zeros((len(order), STATES), np.int64)
+        at = 0
+        for i in by:  # answers are in the order of the words of their bucket
+            part = _unpack(found.column("c")[i].as_py(), np.int64)
+            mine = order[at : at + len(part)]
+            c[mine], shares[mine] = part, _unpack(found.column("shares")[i].as_py(), np.int64).reshape(-1, STATES)
+            at += len(part)
+        classes = np.append(_unpack(row["classes"], np.uint16), np.uint16(CLASSES))
         sizes, codes, held = _unpack(row["sizes"], np.int64), _unpack(row["codes"], np.int32), _unpack(row["held"], bool)
         local = Model(model.start, model.move, word_emissions(model, totals, c, shares, classes))
-        sequences = _sequences(codes, sizes, len(words) - 1)
-        n = sizes + 1
-        flat, stops = np.concatenate(sequences), np.cumsum(n)
-        known, plain = np.concatenate([[0], np.cumsum(c[flat] > 0)]), np.log10(c + 1.0)
+        del shares
+        sequences = _sequences(codes, sizes, len(order) - 1)
+        n, real, plain = sizes + 1, c > 0, np.log10(c + 1.0)
+        known = np.array([np.count_nonzero(real[s]) for s in sequences], np.int64)
         base = np.array([plain[s].sum() for s in sequences]) - n * np.log10(totals.tokens + totals.words + 1)
         hidden = np.zeros(len(n))
         for mine, tokens, active in groups(sequences):
             hidden[mine] = forward(local, tokens, active, False)[0]
         return pa.table({
-            "doc_id": pa.array(row["ids"], kind), "held_out": held, "n_tokens": n, "n_known": known[stops] - known[stops - n],
+            "doc_id": pa.array(row["ids"], kind), "held_out": held, "n_tokens": n, "n_known": known,
             "train_tokens": np.full(len(n), totals.tokens), "base_score": base, "score": hidden / np.log(10),
         })
 
