@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
 
-from trajrisk.llm import hidden_markov
+from trajrisk.llm import hidden_markov, packing, stretches
 
 
 def _sequences(lengths, seed: int = 3) -> list[np.ndarray]:
@@ -41,3 +45,44 @@ def test_recursion_keeps_one_row_of_states_a_token():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 65 * tokens
+
+
+def test_frequent_stretches_are_encoded_once():
+    """Those that come again stay when the encoder has more than it wants; the others go."""
+    asked = []
+
+    def encode(parts):
+        asked.extend(map(str, parts))
+        return np.array([len(str(x)) for x in parts], np.int32), np.ones(len(parts), np.int64)
+
+    encoder = stretches.Encoder(encode, most=50)
+    for i in range(12):
+        parts = ["the", "and", *(f"rare{i}x{j}" for j in range(20)), "the", "of"]
+        encoder.begin()
+        numbers = encoder.numbers(pa.array(parts))
+        tokens, starts, sizes = encoder.finish()
+        assert stretches.gather(tokens, starts[numbers], sizes[numbers]).tolist() == [len(x) for x in parts]
+        assert len(encoder.number) <= 50 + 23
+    assert [asked.count(x) for x in ("the", "and", "of")] == [1, 1, 1] and len(asked) == 3 + 12 * 20
+    encoder = stretches.Encoder(encode, most=10)
+    for _ in range(3):  # all come again, and are more than it keeps
+        encoder.begin()
+        encoder.numbers(pa.array([f"w{j}" for j in range(30)]))
+        encoder.finish()
+        assert len(encoder.number) == 30
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_texts_are_encoded_by_pieces_as_whole(kind, monkeypatch):
+    """Blanks, white space and special tokens anywhere, with pieces of few bytes and an encoder that forgets."""
+    rng = random.Random(1)
+    marks = [" ", "  ", "\n", " \n", "\u3000 ", "\xa0", "\x1c ", "\x85 ", "\u200b ", "\t", "a", "B,", "\u00e9", "\u65e5\u672c", "<|endoftext|>", "7", "'s", "\x00"]
+    texts = [None, "", " ", "  ", "a", " a", "a ", "\n", "\n ", *("".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(400))]
+    whole = Tokenizer.from_file(packing.MODEL)
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    monkeypatch.setattr(packing, "PIECE_BYTES", 300)
+    encoder = stretches.Encoder(stretches.JoinedTokens(packing.MODEL, specials=True), most=100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, kind)], ["doc_id", "text"])
+    pieces = list(packing.pieces_of(batch))
+    assert len(pieces) > 10 and [i for p in pieces for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert [x.tolist() for p in pieces for x in packing.encoded(encoder, p.column(1), 1)] == want

@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .stretches import Encoder, JoinedTokens, gather, stretches
+from .stretches import Encoder, JoinedTokens, gather, split_texts
 
 #: The tokenizer is a parameter; this place of the public vocabulary is only the default.
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
@@ -37,6 +38,8 @@ LENGTH = 2048
 CLOSING = 1
 #: Ids that are packed together: beyond, the next batch begins.
 BATCH_IDS = 1 << 19
+#: Bytes of the texts that are encoded together.
+PIECE_BYTES = 4 << 20
 #: Parts of a sequence's length: what is left of a document beside whole sequences is cut into items of one such part
 #: at most, as few items of a window leave large differences (2 % of padding for whole rests, 0.5 % for quarters).
 PARTS = 4
@@ -156,6 +159,28 @@ def encoder_of(model: str) -> Encoder:
     return Encoder(JoinedTokens(model, specials=True))
 
 
+def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch that are encoded together: texts of about ``PIECE_BYTES``, at least one row."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def encoded(encoder: Encoder, texts: pa.Array, closing: int) -> list[np.ndarray]:
+    """Ids of each text and the closing one."""
+    encoder.begin()
+    heads, parts, ends = split_texts(texts)
+    rest = encoder.numbers(parts)
+    tokens, starts, sizes = encoder.finish()
+    first = encoder.encode.alone(heads)  # no blank is before a text
+    flat, total = gather(tokens, starts[rest], sizes[rest]), np.concatenate([[0], np.cumsum(sizes[rest])])
+    last, stops = np.array([closing], np.int32), total[ends].tolist()
+    return [np.concatenate([head, flat[a:b], last]) for head, a, b in zip(first, [0, *stops[:-1]], stops, strict=True)]
+
+
 def pack_documents(
     docs: DataFrame, model: str = MODEL, length: int = LENGTH, closing: int = CLOSING, batch_ids: int = BATCH_IDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -188,17 +213,11 @@ def pack_documents(
 
         for batch in batches:
             arrow = batch.column(0).type
-            for a in range(0, batch.num_rows, 512):
-                piece = batch.slice(a, 512)
-                encoder.begin()
-                texts = [stretches(t) if t else [] for t in piece.column(1).to_pylist()]
-                rows = [encoder.numbers(t[1:]) for t in texts]
-                tokens, starts, sizes = encoder.finish()
-                heads = encoder.encode.alone([t[0] if t else "" for t in texts])  # no blank is before a text
-                for i, head, r in zip(piece.column(0).to_pylist(), heads, rows, strict=True):
+            for piece in pieces_of(batch):
+                for i, ids in zip(piece.column(0).to_pylist(), encoded(encoder, piece.column(1), closing), strict=True):
                     owners.append(i)
-                    found.append(np.concatenate([head, gather(tokens, starts[r], sizes[r]), [closing]]).astype(np.int32))
-                    size += len(found[-1])
+                    found.append(ids)
+                    size += len(ids)
                     if size >= batch_ids:
                         yield from packed()
                         owners, found, size = [], [], 0

@@ -9,14 +9,19 @@ from __future__ import annotations
 import itertools
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space before a blank: such texts are cut with care.
 GAP = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )(?=\s*\S)")
 
+#: The same and texts with a blank at an end, for Arrow, whose own white space is ASCII only.
+ODD = f"^ | $|[{''.join(f'\\x{{{c:x}}}' for c in range(0x3001) if chr(c).isspace())}] "
+
 
 def stretches(text: str) -> list[str]:
     """The stretches of a blank and ``text``, each without its first blank; put together with blanks they are the text."""
@@ -74,8 +79,30 @@ def byte_tokens(model: str) -> list[bytes]:
     return [bytes(byte[c] for c in x) if all(c in byte for c in x) else x.encode() for x in tokens]
 
 
+def split_texts(texts: pa.Array) -> tuple[list[str], pa.Array, np.ndarray]:
+    """First stretches of texts, all others one after the other, and where those of each text end; a null is empty."""
+    odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).fill_null(False).to_numpy(zero_copy_only=False))
+    if len(odd):
+        parts = pc.split_pattern(texts, " ").to_pylist()
+        for i in odd.tolist():
+            parts[i] = stretches(texts[i].as_py())
+        lists = pa.array(parts, pa.list_(texts.type))
+    else:
+        lists = pc.split_pattern(texts, " ")
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ends = lists.flatten(), np.cumsum(sizes)
+    heads = [""] * len(texts)
+    some = np.flatnonzero(sizes)
+    first = (ends - sizes)[some]
+    for i, head in zip(some.tolist(), flat.take(pa.array(first)).to_pylist(), strict=True):
+        heads[i] = head
+    rest = np.ones(len(flat), bool)
+    rest[first] = False
+    return heads, flat.filter(pa.array(rest)), np.cumsum(np.maximum(sizes - 1, 0))
+
+
 class Encoder:
-    """Token ids of distinct stretches, of which the latest are kept: at most ``most`` of them between two batches."""
+    """Token ids of distinct stretches. Beyond ``most`` of them, those that came in one batch only are forgotten."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 600_000):
         self.encode, self.most = encode, most
@@ -83,22 +110,39 @@ class Encoder:
 
     def forget(self) -> None:
         self.number = Numbers()
-        self.tokens, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.tokens, self.sizes, self.again = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def begin(self) -> None:
-        """Before a batch: forget all, if there are more than wanted."""
-        if len(self.number) > self.most:
-            self.forget()
-
-    def numbers(self, parts: list[str]) -> np.ndarray:
-        """Numbers of stretches; new ones get the next numbers and wait for ``finish``."""
-        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        """Before a batch: if there are more than wanted, keep those that came again since the last time, unless these are
+        more than half as many."""
+        if len(self.number) <= self.most:
+            return
+        kept, keys = np.flatnonzero(self.again), list(self.number)
+        tokens, sizes = self.tokens, self.sizes
+        self.forget()
+        if len(kept) <= self.most // 2:
+            self._look_up((keys[i] for i in kept.tolist()), len(kept))
+            self.tokens, self.sizes = gather(tokens, (np.cumsum(sizes) - sizes)[kept], sizes[kept]), sizes[kept]
+            self.again = np.zeros(len(kept), bool)
+
+    def _look_up(self, parts: Iterable[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, parts), np.int64, n)
+
+    def numbers(self, parts: pa.Array) -> np.ndarray:
+        """Numbers of the stretches of a batch, of which each distinct one is looked up once; new ones get the next numbers
+        and wait for ``finish``."""
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)  # much faster than a list
+        distinct = self._look_up(distinct, len(distinct))
+        self.again[distinct[distinct < len(self.again)]] = True
+        return distinct[coded.indices.to_numpy()]
 
     def finish(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of all stretches, one after the other, where each begins and how many it has."""
         if len(self.sizes) < len(self.number):
             tokens, sizes = self.encode(list(itertools.islice(self.number, len(self.sizes), None)))
             self.tokens, self.sizes = np.concatenate([self.tokens, tokens]), np.concatenate([self.sizes, sizes])
+            self.again = np.append(self.again, np.zeros(len(sizes), bool))
         return self.tokens, np.cumsum(self.sizes) - self.sizes, self.sizes
 
 
