@@ -24,8 +24,10 @@ are never cut; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ ROUNDS = 5
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
 #: Tokens in a group of texts that go through the recursion side by side.
 GROUP_TOKENS = 800_000
+#: Tokens in a block of times that are worked on at once where no recursion is needed, so that they stay in the cache.
+BLOCK_TOKENS = 16_384
 #: Rows of a product of states, a multiple of the blocks of the common libraries (2, 4, 8, 12 and 16).
 ROWS = 48
 #: Steps in which the state shares of a token are counted.
@@ -137,55 +141,90 @@ def _by_row(batch: pa.RecordBatch) -> Iterator[dict]:
 
 def _sequences(codes: np.ndarray, sizes: np.ndarray, end: int, which: np.ndarray | None = None) -> list[np.ndarray]:
     """The texts' tokens, each with ``end`` behind."""
-    stops = np.cumsum(sizes)
-    numbers = range(len(sizes)) if which is None else np.flatnonzero(which)
-    return [np.append(codes[stops[i] - sizes[i] : stops[i]], np.int32(end)) for i in numbers]
+    stops = np.cumsum(sizes + 1)
+    flat = np.empty(len(codes) + len(sizes), np.int32)
+    real = np.ones(len(flat), bool)
+    real[stops - 1] = False
+    flat[real], flat[stops - 1] = codes, end
+    numbers = slice(None) if which is None else which
+    return [flat[a:b] for a, b in zip((stops - sizes - 1)[numbers].tolist(), stops[numbers].tolist(), strict=True)]
 
 
-def groups(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, list[int]]]:
+def groups(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
     """Sequences of similar length side by side: their numbers, tokens by time, sequences that reach each time."""
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    lengths = np.array([len(x) for x in sequences], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    ends = np.cumsum(lengths[order])
     at = 0
     while at < len(order):
-        size, end = 0, at
-        while end < len(order) and (end == at or size + len(sequences[order[end]]) <= GROUP_TOKENS):
-            size += len(sequences[order[end]])
-            end += 1
+        most = GROUP_TOKENS + (ends[at - 1] if at else 0)
+        end = max(at + 1, int(np.searchsorted(ends, most, "right")))
         mine = order[at:end]
-        sizes = np.array([len(sequences[i]) for i in mine])
-        time = np.arange(sizes.sum(), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
-        tokens, active = np.concatenate([sequences[i] for i in mine])[np.argsort(time, kind="stable")], np.bincount(time).tolist()
-        del time  # the caller works on the group meanwhile
-        yield mine, tokens, active
+        sizes = lengths[mine]
+        active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")
+        first = np.cumsum(active) - active  # place of the first sequence's token, by time
+        tokens = np.empty(sizes.sum(), np.int32)
+        for j, i in enumerate(mine.tolist()):
+            tokens[first[: lengths[i]] + j] = sequences[i]
+        yield mine, tokens, active.tolist()
         at = end
 
 
-def _times(rows: np.ndarray, square: np.ndarray) -> np.ndarray:
-    """``rows @ square``, in products of ``ROWS`` rows: a row's sums are then rounded alike whatever rows are beside it,
-    as libraries take what is left of their own blocks, and single rows, in another order."""
-    n, k = rows.shape
-    if n % ROWS:
-        rows = np.concatenate([rows, np.zeros((-n % ROWS, k), rows.dtype)])
-    return (rows.reshape(-1, ROWS, k) @ square).reshape(-1, k)[:n]
+def _blocks(active: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """Stretches of time with some ``BLOCK_TOKENS`` tokens: first time, time behind, first token, token behind."""
+    first = lo = hi = 0
+    for t, n in enumerate(active):
+        if hi > lo and hi + n - lo > BLOCK_TOKENS:
+            yield first, t, lo, hi
+            first, lo = t, hi
+        hi += n
+    yield first, len(active), lo, hi
 
 
-def forward(model: Model, tokens: np.ndarray, active: list[int], keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Natural log-likelihoods of the sequences of a group; with ``keep`` also scaled alphas and scales by token."""
+class _Product:
+    """Buffers for the states of up to ``n`` sequences, ``held``, and their product with ``square``, ``out``.
+
+    Products are of ``ROWS`` rows: a row's sums are then rounded alike whatever rows are beside it, as libraries take
+    what is left of their own blocks, and single rows, in another order."""
+
+    def __init__(self, n: int, square: np.ndarray):
+        self.square = square
+        self.held = np.zeros((-(-n // ROWS) * ROWS, len(square)), square.dtype)
+        self.out = np.ones_like(self.held)
+
+    def step(self, n: int) -> Callable[[], np.ndarray]:
+        """A function that fills the first ``n`` rows of ``out``."""
+        if n <= ROWS:  # np.dot has the same product with less around it, which counts in the long tails of long texts
+            return partial(np.dot, self.held[:ROWS], self.square, self.out[:ROWS])
+        shape = (-(-n // ROWS), ROWS, len(self.square))
+        size = shape[0] * ROWS
+        return partial(np.matmul, self.held[:size].reshape(shape), self.square, self.out[:size].reshape(shape))
+
+
+def forward(model: Model, tokens: np.ndarray, active: list[int], keep: bool) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray | None]:
+    """Natural log-likelihoods of the sequences of a group; with ``keep`` scaled alphas and scales by token instead."""
     kind = np.float32 if keep else np.float64
-    emit, move = model.emit.astype(kind, copy=False), model.move.astype(kind)
-    total = np.zeros(active[0])
-    alphas = np.empty((len(tokens), len(model.start)), kind) if keep else None
-    scales = np.empty(len(tokens), kind) if keep else None
-    at, a = 0, None
-    for n in active:
-        e = emit[tokens[at : at + n]]
-        a = model.start.astype(kind) * e if a is None else _times(a[:n], move) * e
-        c = a.sum(1)
-        a /= c[:, None]
-        total[:n] += np.log(c)
+    emit, k = model.emit.astype(kind, copy=False), len(model.start)
+    product = _Product(active[0], model.move.astype(kind))
+    product.out[:] = model.start
+    total = None if keep else np.zeros(active[0])
+    alphas, scales = (np.empty((len(tokens), n), kind) if keep else None for n in (k, 1))
+    for first, stop, lo, hi in _blocks(active):
+        e, at = emit.take(tokens[lo:hi], 0), 0
+        scale = scales[lo:hi] if keep else np.empty((hi - lo, 1))
+        for n, times in itertools.groupby(active[first:stop]):
+            stretch = slice(at, at := at + n * sum(1 for _ in times))
+            step, a, ahead = product.step(n), product.held[:n], product.out[:n]
+            for mine, c in zip(e[stretch].reshape(-1, n, k), scale[stretch].reshape(-1, n, 1), strict=True):
+                np.multiply(mine, ahead, mine)
+                np.add.reduce(mine, 1, None, c, True)
+                np.divide(mine, c, a)
+                step()
         if keep:
-            alphas[at : at + n], scales[at : at + n] = a, c
-        at += n
+            np.divide(e, scale, alphas[lo:hi])
+        else:  # one after the other in the order of time, whatever is in a block
+            sizes = np.array(active[first:stop])
+            np.add.at(total, np.arange(hi - lo) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.log(scale[:, 0]))
     return total, alphas, scales
 
 
@@ -195,31 +234,46 @@ def expect(model: Model, sequences: list[np.ndarray], steps: int = 0) -> tuple[n
 
     A token's shares are the same in any group; sums over tokens are in double precision."""
     k, rows = len(model.start), len(model.emit)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((rows, k))
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, rows))
     e32, back = model.emit.astype(np.float32, copy=False), np.ascontiguousarray(model.move.T.astype(np.float32))
     for _, tokens, active in groups(sequences):
         _, alphas, scales = forward(model, tokens, active, True)
-        ends = np.cumsum(active)
+        product, after = _Product(active[0], back), 0
         pairs = np.zeros((k, k))
-        ahead = None  # emission times beta over scale, one time on
-        for t in range(len(active) - 1, -1, -1):
-            n, at = active[t], int(ends[t]) - active[t]
-            b = np.ones((n, k), np.float32)
-            if ahead is not None:
-                if not steps:
-                    pairs += alphas[at : at + len(ahead)].T.astype(float) @ ahead.astype(float)
-                b[: len(ahead)] = _times(ahead, back)
-            alphas[at : at + n] *= b  # of this time on, alphas are the state shares
-            ahead = e32[tokens[at : at + n]] * b / scales[at : at + n, None]
+        for first, stop, lo, hi in reversed(list(_blocks(active))):
+            e = e32.take(tokens[lo:hi], 0)
+            e /= scales[lo:hi]
+            betas, at = np.empty_like(e), hi - lo
+            for n, times in itertools.groupby(reversed(active[first:stop])):
+                stretch = slice(at - n * sum(1 for _ in times), at)
+                at = stretch.start
+                step, a, beta = product.step(n), product.held[:n], product.out[:n]
+                beta[after:] = 1  # sequences that end here
+                after = n
+                for mine, b in zip(e[stretch].reshape(-1, n, k)[::-1], betas[stretch].reshape(-1, n, k)[::-1], strict=True):
+                    b[:] = beta
+                    np.multiply(mine, beta, a)
+                    step()
+            if not steps and stop > 1:
+                e *= betas
+                since = max(first, 1)
+                at = 0 if first else active[0]
+                before = np.arange(lo + at, hi) - np.repeat(active[since - 1 : stop - 1], active[since:stop])
+                pairs += alphas.take(before, 0).T.astype(float) @ e[at:].astype(float)
+            alphas[lo:hi] *= betas  # of this time on, alphas are the state shares
         start += alphas[: active[0]].sum(0, dtype=float)
         move += pairs * model.move
         if steps:
             alphas *= np.float32(steps)
             np.rint(alphas, out=alphas)
-        for s in range(k):
-            emit[:, s] += np.bincount(tokens, weights=alphas[:, s], minlength=rows)
-        del alphas, scales, ahead  # before the next group
-    return start, move, emit
+        del scales, product
+        many = max(rows, BLOCK_TOKENS)  # as the sums take as long for each time they are added
+        for at in range(0, len(tokens), many):
+            mine, shares = tokens[at : at + many].astype(np.intp), np.ascontiguousarray(alphas[at : at + many].T, float)
+            for s in range(k):
+                emit[s] += np.bincount(mine, shares[s], rows)
+        del alphas, shares  # before the next group
+    return start, move, np.ascontiguousarray(emit.T)
 
 
 def _expected(chunks: DataFrame, model: Model) -> Model:
