@@ -108,6 +108,20 @@ def test_recursion_over_a_long_text_does_little_around_its_products():
     assert seconds(lambda: hidden_markov.expect(model, texts)) < 22 * product
 
 
+def test_words_of_a_chunk():
+    """As Python splits the texts: any bytes, blanks of other scripts and at the ends, texts without words, slices of batches."""
+    rnd = random.Random(1)
+    bits = [*(bytes([i]) for i in range(256)), *[b" ", b"  ", b"a", b"B", b"\n", "\u00a0".encode(), "\u2003".encode(), "\u0085".encode(), "\u00c9".encode()] * 20]
+    texts = [None, b"", b" ", b" a", b"A ", *(b"".join(rnd.choices(bits, k=rnd.choice([0, 1, 2, 30, 200]))) for _ in range(300)), None]
+    for some in (texts, texts[:3], texts[4:5]):
+        want = [(x or b"").lower().split() for x in some]
+        for raw, kind in ((pa.binary(), pa.string()), (pa.large_binary(), pa.large_string())):
+            column = pa.array(some, raw).view(kind)
+            sizes, codes, words = hidden_markov._words(pa.chunked_array([column[:2], column[2:2], column[2:]]))
+            assert sizes.tolist() == [len(x) for x in want] and words == b" ".join(dict.fromkeys(w for x in want for w in x))
+            assert [words.split()[c] for c in codes.tolist()] == [w for x in want for w in x]
+
+
 def test_frequent_stretches_are_encoded_once():
     """Those that come again stay when the encoder has more than it wants; the others go."""
     asked = []

@@ -31,12 +31,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fold_column, materialize, pack as _pack, table, texts_of, unpack as _unpack
+from .common import discard, fold_column, materialize, pack as _pack, table, unpack as _unpack
 
 STATES, CLASSES = 8, 8192
 ROUNDS = 5
@@ -97,36 +98,52 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Words of each text, all words as numbers in the order of their first place, and the distinct words, with blanks between."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy().astype(np.int64)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    if not len(coded):
+        return sizes, np.zeros(0, np.int32), b""
+    codes, words = np.concatenate([c.indices.to_numpy() for c in coded.chunks]), coded.chunk(0).dictionary  # all have the same
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    if empty >= 0:  # before the first blank of a text, or behind the last
+        real = codes != empty
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~real], minlength=len(sizes))
+        codes = codes[real]
+        codes -= codes > empty
+        words = pa.concat_arrays([words[:empty], words[empty + 1 :]])
+    words = words.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary())  # any bytes
+    return sizes, codes, pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(b" ", words.type))[0].as_py()
+
+
 def _chunks(rows: DataFrame, id_type: str, chunk_bytes: int) -> DataFrame:
     """Texts in chunks: ids, fold and size of each text, its tokens as numbers of the chunk's words, these words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count = TaskContext.get().partitionId(), 0
-        ids, held, sizes, parts, numbers, size = [], [], [], [], _Numbers(), 0
+        task, count, parts, size = TaskContext.get().partitionId(), 0, [], 0
 
         def row() -> pa.RecordBatch:
-            words = list(numbers)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            blobs = (np.array(held, bool), np.array(sizes, np.int64), flat, b" ".join(words), _class(hashes(words)).astype(np.uint16))
-            column = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, kind))
+            ids, held, texts = zip(*(b.columns for b in parts), strict=True)
+            ids, held = pa.concat_arrays(ids), pa.chunked_array(held).fill_null(False).to_numpy()
+            sizes, codes, words = _words(pa.chunked_array(texts))
+            blobs = (held, sizes, codes, words, _class(hashes(words.split())).astype(np.uint16))
+            column = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             made = [pa.array([task << 32 | count], pa.int64()), column, *(pa.array([_pack(b)], pa.binary()) for b in blobs)]
             return pa.RecordBatch.from_arrays(made, ["chunk", "ids", "held", "sizes", "codes", "words", "classes"])
 
-        kind = pa.null()
         for batch in batches:
-            kind = batch.column(0).type
-            for i, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
-                words = (text or b"").lower().split()
-                ids.append(i)
-                held.append(out)
-                sizes.append(len(words))
-                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                size += len(text or b"")
-                if size >= chunk_bytes:
-                    yield row()
-                    count += 1
-                    ids, held, sizes, parts, numbers, size = [], [], [], [], _Numbers(), 0
-        if ids:
+            ends, at = np.cumsum(pc.binary_length(batch.column(2)).fill_null(0).to_numpy(), dtype=np.int64), 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                end = int(np.searchsorted(ends, before + chunk_bytes - size)) + 1  # behind the text that fills the chunk
+                parts.append(batch.slice(at, end - at))
+                if end > batch.num_rows:
+                    size += int(ends[-1]) - before
+                    break
+                yield row()
+                count, parts, size, at = count + 1, [], 0, end
+        if parts:
             yield row()
 
     blobs = ", ".join(f"{n} binary" for n in ("held", "sizes", "codes", "words", "classes"))
@@ -409,7 +426,7 @@ def score(
 
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (~training).alias("held_out"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (~training).alias("held_out"))
     id_type = docs.schema[id_col].dataType.simpleString()
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = -(-size // bucket_bytes) or 1
