@@ -59,9 +59,13 @@ class Analysis:
     def candidates(self) -> DataFrame:
         return self.once("candidates", lambda: matching.match_candidates(self.points(), self.edges(), self.p))
 
+    def paths(self) -> DataFrame:
+        """Paths between all nodes near points."""
+        return self.once("paths", lambda: matching.bounded_shortest_paths(self.edges(), matching.nodes_near(self.points(), self.edges(), self.p), self.p))
+
     def matched(self) -> DataFrame:
-        points = self.candidates()
-        return self.once("matched", lambda: matching.attach_projection(points, matching.viterbi_match(points, self.edges(), p=self.p)))
+        points, edges, paths = self.points(), self.edges(), self.paths()
+        return self.once("matched", lambda: matching.match_points(points, edges, paths, p=self.p))
 
     def thresholds(self) -> DataFrame:
         return self.once("thresholds", lambda: behavior.accel_thresholds(self.points(), self.p))

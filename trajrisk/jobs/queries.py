@@ -55,9 +55,11 @@ def _paths(a: Analysis) -> DataFrame:
 
 
 def _ways(a: Analysis) -> DataFrame:
-    pairs = matching.transition_pairs(a.candidates())
-    sources = pairs.select(F.explode(F.array("a.u", "a.v")).alias("n1")).distinct()
-    ways = matching.candidate_path_length(pairs, matching.bounded_shortest_paths(a.edges(), sources, a.p))
+    if matching.few_paths(a.paths()):
+        points = a.points().select(*matching.LAYER, "x_m", "y_m")
+        ways = matching.candidate_ways(matching.chain_candidates(points, a.edges(), a.p), a.paths())
+    else:
+        ways = matching.candidate_path_length(matching.transition_pairs(a.candidates()), a.paths())
     return ways.groupBy("vehicle_id").agg(
         F.count("*").alias("n_pairs"), F.count("path_m").alias("n_paths"), F.bround(F.avg("path_m"), 2).alias("mean_path_m"), F.bround(F.avg("straight_m"), 2).alias("mean_straight_m")
     )
