@@ -144,13 +144,16 @@ def _series(a: Analysis) -> DataFrame:
     return hours.agg(F.sum("is_overspeed").alias("value"))
 
 
+def _near(a: Analysis) -> DataFrame:
+    return governance.events_in_grid_box(a.v1_overspeeds(), governance.exact_centres(a.v1_cells(), a.p), a.p)
+
+
 def _boxes(a: Analysis) -> DataFrame:
-    near = governance.events_in_grid_box(a.v1_overspeeds(), a.v1_cells(), a.p)
-    return near.groupBy("grid_id").agg(F.count("*").alias("n"), F.count_distinct("day").alias("n_days"))
+    return _near(a).groupBy("grid_id").agg(F.count("*").alias("n"), F.count_distinct("day").alias("n_days"))
 
 
 def _rates(a: Analysis) -> DataFrame:
-    return governance.event_rate_change(a.feedback(), governance.events_in_grid_box(a.v1_overspeeds(), a.v1_cells(), a.p))
+    return governance.event_rate_change(a.feedback(), _near(a))
 
 
 def _feedback_text(a: Analysis) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,9 +90,10 @@ def events_in_grid_box(events: DataFrame, grids: DataFrame, p: Params = DEFAULTS
     """Events with the ``grid_id`` of every grid within whose box around ``center_lon, center_lat`` they lie, bounds included.
 
     Boxes are listed in the blocks of twice their half sides that they touch; an equi-join on blocks precedes the test.
+    Bounds of decimal centres are exact (``exact_centres``), those of doubles are sums of doubles.
     """
-    sides = {"lon": p.box_lon, "lat": p.box_lat}
-    block = lambda v, c: F.floor(v / (2 * sides[c]))
+    sides = {c: F.lit(Decimal(str(side))) for c, side in (("lon", p.box_lon), ("lat", p.box_lat))}
+    block = lambda v, c: F.floor(v.cast("double") / (2 * sides[c]).cast("double"))
     span = lambda c: F.sequence(block(F.col(f"center_{c}") - sides[c], c), block(F.col(f"center_{c}") + sides[c], c))
     boxes = grids.select("grid_id", "center_lon", "center_lat").withColumn("bx", F.explode(span("lon"))).withColumn("by", F.explode(span("lat")))
     placed = events.drop("grid_id").withColumns({"bx": block(F.col("lon"), "lon"), "by": block(F.col("lat"), "lat")})
@@ -98,6 +101,13 @@ def events_in_grid_box(events: DataFrame, grids: DataFrame, p: Params = DEFAULTS
     return placed.join(boxes, ["bx", "by"]).where(inside("lon") & inside("lat")).drop("bx", "by", "center_lon", "center_lat")
 
 
+def exact_centres(cells: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Degree cells (``gx``) with ``center_lon`` as a decimal, so that a box's bounds are the very numbers which longitudes
+    of six decimals are compared with. (The latitude in the middle is none that decimals have.)"""
+    side = Decimal(str(p.v1_cell_deg))
+    return cells.withColumn("center_lon", F.col("gx") * F.lit(side) + F.lit(side / 2))
+
+
 def events_in_grid_cell(events: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Events with the ``grid_id`` of the degree cell in which they lie, instead of a box around its centre."""
     place = lambda c: F.floor(F.col(c) / p.v1_cell_deg)
