@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
 #: Fixed values of WGS-84 and UTM zone 50 north.
 SEMI_MAJOR, FLATTENING = 6_378_137.0, 1 / 298.257223563
+ECCENTRICITY_2 = 0.006694379990141317
 MERIDIAN, SCALE, EASTING = 117.0, 0.9996, 500_000.0
 
 
@@ -27,35 +30,43 @@ def angdiff(a: Column, b: Column) -> Column:
     return F.abs(F.pmod(a - b + 180, F.lit(360.0)) - 180)
 
 
-def _series() -> tuple[float, list[float]]:
-    """Rectifying radius and the first four coefficients of the Krüger series."""
+def _radius() -> float:
+    """Rectifying radius."""
     n = FLATTENING / (2 - FLATTENING)
-    radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    return radius, [
-        n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3 + 41 / 180 * n**4,
-        13 / 48 * n**2 - 3 / 5 * n**3 + 557 / 1440 * n**4,
-        61 / 240 * n**3 - 103 / 140 * n**4,
-        49561 / 161280 * n**4,
-    ]
+    return SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+
+
+def _arc(phi: Column) -> Column:
+    """Length of the meridian from the equator."""
+    n = FLATTENING / (2 - FLATTENING)
+    terms = (
+        (1 + n**2 / 4 + n**4 / 64, phi), (-1.5 * (n - n**3 / 8), F.sin(2 * phi)), (15 / 16 * (n**2 - n**4 / 4), F.sin(4 * phi)),
+        (-35 / 48 * n**3, F.sin(6 * phi)), (315 / 512 * n**4, F.sin(8 * phi)),
+    )
+    return SEMI_MAJOR / (1 + n) * reduce(lambda x, y: x + y, (k * f for k, f in terms))
 
 
 def add_utm50n(df: DataFrame, lon: Column, lat: Column, x: str, y: str) -> DataFrame:
     """``df`` with easting ``x`` and northing ``y`` in metres (EPSG:32650).
 
-    Built in steps, each a projection of its own, so that no sub-expression is repeated in the generated code.
+    The classic series in powers of the longitude difference, in the order of operations of the SQL, as equal distances
+    are told apart by what is left of rounding. Built in steps, each a projection of its own, so that no sub-expression
+    is repeated in the generated code.
     """
-    radius, alpha = _series()
-    e = (FLATTENING * (2 - FLATTENING)) ** 0.5
+    e2 = ECCENTRICITY_2
     kept = [c for c in df.columns if c not in (x, y)]
-    df = df.select(*kept, F.sin(F.radians(lat)).alias("_s"), F.radians(lon - MERIDIAN).alias("_d"))
-    df = df.withColumn("_t", F.sinh(F.atanh("_s") - e * F.atanh(e * F.col("_s"))))
-    df = df.withColumns({"_xi": F.atan2("_t", F.cos("_d")), "_eta": F.atanh(F.sin("_d") / F.sqrt(1 + F.col("_t") * F.col("_t")))})
-    xi, eta = F.col("_xi"), F.col("_eta")
-    east, north = eta, xi
-    for j, a in enumerate(alpha, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return df.select(*kept, (EASTING + SCALE * radius * east).alias(x), (SCALE * radius * north).alias(y))
+    df = df.select(*kept, F.radians(lat).alias("_p"), F.radians(lon - MERIDIAN).alias("_w"))
+    df = df.select(*kept, "_w", F.sin("_p").alias("_s"), F.cos("_p").alias("_c"), F.pow(F.tan("_p"), F.lit(2.0)).alias("_t2"), _arc(F.col("_p")).alias("_m"))
+    df = df.withColumns({"_q": 1 - e2 * F.col("_s") * F.col("_s"), "_wc": F.col("_w") * F.col("_c")})
+    df = df.withColumns({"_nu": SEMI_MAJOR / F.sqrt("_q"), "_rho": SEMI_MAJOR * (1 - e2) / F.pow("_q", F.lit(1.5))}).withColumn("_psi", F.col("_nu") / F.col("_rho"))
+    w, s, c, t2, m, nu, psi, wc = (F.col(k) for k in ("_w", "_s", "_c", "_t2", "_m", "_nu", "_psi", "_wc"))
+    to = lambda v, k: F.pow(v, F.lit(float(k)))
+    east = 1 + to(wc, 2) / 6 * (psi - t2) + to(wc, 4) / 120 * (4 * to(psi, 3) * (1 - 6 * t2) + to(psi, 2) * (1 + 8 * t2) - psi * 2 * t2 + t2 * t2)
+    east = east + to(wc, 6) / 5040 * (61 - 479 * t2 + 179 * t2 * t2 - to(t2, 3))
+    north = 1 + to(wc, 2) / 12 * (4 * to(psi, 2) + psi - t2)
+    north = north + to(wc, 4) / 360 * (8 * to(psi, 4) * (11 - 24 * t2) - 28 * to(psi, 3) * (1 - 6 * t2) + to(psi, 2) * (1 - 32 * t2) - psi * 2 * t2 + t2 * t2)
+    north = north + to(wc, 6) / 20160 * (1385 - 3111 * t2 + 543 * t2 * t2 - to(t2, 3))
+    return df.select(*kept, (EASTING + SCALE * nu * w * c * east).alias(x), (SCALE * (m + nu * s * w * w * c / 2 * north)).alias(y))
 
 
 def _inverse_series() -> list[float]:
@@ -68,7 +79,7 @@ def _inverse_series() -> list[float]:
 
 def add_wgs84(df: DataFrame, x: Column, y: Column, lon: str, lat: str) -> DataFrame:
     """``df`` with degrees ``lon`` and ``lat`` of UTM 50N metres; the inverse of ``add_utm50n``."""
-    radius, _ = _series()
+    radius = _radius()
     kept = [c for c in df.columns if c not in (lon, lat)]
     df = df.select(*kept, (y / (SCALE * radius)).alias("_xi"), ((x - EASTING) / (SCALE * radius)).alias("_eta"))
     xi, eta = F.col("_xi"), F.col("_eta")

@@ -58,11 +58,14 @@ def match_candidates(points: DataFrame, edges: DataFrame, p: Params = DEFAULTS)
 
     def foot(q: Column) -> Column:
         dx, dy = q["bx"] - q["ax"], q["by"] - q["ay"]
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - q["ax"]) * dx + (y - q["ay"]) * dy) / (dx * dx + dy * dy)))
-        return F.struct(q.alias("q"), t.alias("t"), (q["ax"] + t * dx).alias("px"), (q["ay"] + t * dy).alias("py"), F.hypot(dx, dy).alias("size"))
+        size = F.sqrt(dx * dx + dy * dy)
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - q["ax"]) * dx + (y - q["ay"]) * dy) / (size * size)))
+        # What separates point and foot, from differences of near numbers: those of whole northings lose the last nanometre.
+        off = F.struct((x - q["ax"] - t * dx).alias("x"), (y - q["ay"] - t * dy).alias("y"))
+        return F.struct(q.alias("q"), t.alias("t"), (q["ax"] + t * dx).alias("px"), (q["ay"] + t * dy).alias("py"), size.alias("size"), off.alias("off"))
 
     def candidate(f: Column) -> Column:
-        d, q = F.hypot(x - f["px"], y - f["py"]), f["q"]
+        d, q = F.sqrt(f["off"]["x"] * f["off"]["x"] + f["off"]["y"] * f["off"]["y"]), f["q"]
         return F.struct(
             F.round(d, 6).alias("rank_d"), q["edge_id"].alias("edge_id"), q["part"].alias("part"), d.alias("d"), f["px"].alias("px"), f["py"].alias("py"),
             (q["along0"] + f["t"] * f["size"]).alias("along"), q["bearing"].alias("seg_bearing"), q["length_m"].alias("length_m"), q["u_key"].alias("u"),
