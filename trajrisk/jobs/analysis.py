@@ -47,8 +47,12 @@ class Analysis:
         points = ingest.segment_trajectories(ingest.split_valid(self.tagged()), p=self.p)
         return matching.obs_bearings(matching.with_metres(ingest.point_kinematics(points, self.p)))
 
+    def lean_points(self) -> DataFrame:
+        """Points without the columns that follow from others."""
+        return self.once("points", lambda: self.chains().drop(*ingest.SPEEDS, "x_m", "y_m"))
+
     def points(self) -> DataFrame:
-        return self.once("points", self.chains)
+        return matching.with_metres(ingest.with_speeds(self.lean_points(), self.p))
 
     def road_lines(self) -> DataFrame:
         return road_lines(self.spark, self.raw()) if self.lines is None else self.lines
@@ -64,8 +68,9 @@ class Analysis:
         return self.once("paths", lambda: matching.bounded_shortest_paths(self.edges(), matching.nodes_near(self.points(), self.edges(), self.p), self.p))
 
     def matched(self) -> DataFrame:
-        points, edges, paths = self.points(), self.edges(), self.paths()
-        return self.once("matched", lambda: matching.match_points(points, edges, paths, p=self.p))
+        points, edges, paths = self.lean_points(), self.edges(), self.paths()
+        rows = self.once("matched", lambda: matching.match_points(points, edges, paths, p=self.p).select(*points.columns, *matching.MATCH))
+        return matching.with_degrees(matching.with_metres(ingest.with_speeds(rows, self.p)))
 
     def thresholds(self) -> DataFrame:
         return self.once("thresholds", lambda: behavior.accel_thresholds(self.points(), self.p))
@@ -81,7 +86,8 @@ class Analysis:
         return self.once("origin", lambda: grid.grid_origin(self.matched(), self.p))
 
     def clipped(self) -> DataFrame:
-        return self.once("clipped", lambda: grid.clip_links_to_cells(grid.exposure_links(self.matched(), self.p), self.origin(), self.p))
+        parts = lambda: grid.clip_links_to_cells(grid.exposure_links(self.matched(), self.p), self.origin(), self.p)
+        return self.once("clipped", lambda: parts().select("col", "row", *grid.CHAIN, "part_m"))
 
     def grid(self) -> DataFrame:
         events = grid.event_cells(self.events(), self.origin(), self.p)

@@ -56,7 +56,7 @@ def _paths(a: Analysis) -> DataFrame:
 
 def _ways(a: Analysis) -> DataFrame:
     if matching.few_paths(a.paths()):
-        points = a.points().select(*matching.LAYER, "x_m", "y_m")
+        points = a.lean_points().select(*matching.LAYER, "lon", "lat")
         ways = matching.candidate_ways(matching.chain_candidates(points, a.edges(), a.p), a.paths())
     else:
         ways = matching.candidate_path_length(matching.transition_pairs(a.candidates()), a.paths())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..params import DEFAULTS, Params
+from ..sources.tables import stored
 from .ingest import seconds_between
 from .numbering import numbered
 
@@ -52,6 +53,7 @@ def motion_pairs(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 def accel_thresholds(points: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """P85 and P15 of accelerations between moving points; one row."""
     moving = motion_pairs(points, p).where((F.col("v0") >= p.moving_mps) & (F.col("speed_mps") >= p.moving_mps))
+    moving = stored(moving.select("a"), "moving")  # read several times, and made by a shuffle of the points
     out = exact_quantiles(moving, "a", (0.85, 0.15))
     return out.select(F.col("n").alias("n_motion"), F.bround(F.get("q", F.lit(0)), 3).alias("p85"), F.bround(F.get("q", F.lit(1)), 3).alias("p15"))
 

@@ -130,8 +130,15 @@ def point_kinematics(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         chain = Window.partitionBy("vehicle_id", "segment_seq").orderBy("point_order")
         before = [F.lag(c).over(chain) for c in ("time", "lon", "lat")]
     dt = seconds_between(before[0], F.col("time"))
-    out = df.withColumns({"dt_s": dt, "dist_m": haversine_m(before[1], before[2], F.col("lon"), F.col("lat"))})
-    out = out.withColumn("calc_speed_mps", F.when(F.col("dt_s") > 0, F.col("dist_m") / F.col("dt_s")))
+    return with_speeds(df.withColumns({"dt_s": dt, "dist_m": haversine_m(before[1], before[2], F.col("lon"), F.col("lat"))}), p)
+
+
+#: Columns that ``with_speeds`` makes of time and distance, so that they needn't be stored.
+SPEEDS = ("calc_speed_mps", "speed_mps", "speed_kmh", "quality_flag")
+
+
+def with_speeds(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    out = df.withColumn("calc_speed_mps", F.when(F.col("dt_s") > 0, F.col("dist_m") / F.col("dt_s")))
     return out.withColumns({
         "speed_mps": F.col("calc_speed_mps"), "speed_kmh": F.col("calc_speed_mps") * 3.6,
         "quality_flag": F.when(F.col("calc_speed_mps") > p.drift_mps, "drift").otherwise("ok"),

@@ -457,14 +457,18 @@ def match_points(points: DataFrame, edges: DataFrame, paths: DataFrame, id_col:
     Few paths: points are shuffled once, as they are; their candidates never leave the task. Else candidates are stored.
     """
     if not few_paths(paths):
-        rows = stored(match_candidates(points, edges, p), "candidates")
+        rows = stored(match_candidates(_in_metres(points), edges, p), "candidates")
         return attach_projection(rows, viterbi_match(rows, edges, id_col, p), id_col)
-    return _projected(best_candidates(chain_candidates(points, edges, p), paths), points.columns)
+    return _projected(best_candidates(chain_candidates(points, edges, p).select(*points.columns, "cands"), paths), points.columns)
+
+
+def _in_metres(points: DataFrame) -> DataFrame:
+    return points if {"x_m", "y_m"} <= {*points.columns} else with_metres(points)
 
 
 def chain_candidates(points: DataFrame, edges: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """``match_candidates`` of points dealt out ``by_chain``: before they have candidates, unless these take a shuffle."""
-    return match_candidates(by_chain(points), edges, p) if _few_parts(edges) else by_chain(match_candidates(points, edges, p))
+    return match_candidates(_in_metres(by_chain(points)), edges, p) if _few_parts(edges) else by_chain(match_candidates(_in_metres(points), edges, p))
 
 
 def _projected(rows: DataFrame, kept: list[str]) -> DataFrame:
@@ -475,6 +479,15 @@ def _projected(rows: DataFrame, kept: list[str]) -> DataFrame:
         F.col("c.road_level").alias("road_level"), F.col("c.oneway").alias("oneway"), F.col("c.d").alias("proj_dist_m"),
         F.col("c.seg_bearing").alias("seg_bearing"), F.col("c.px").alias("proj_x"), F.col("c.py").alias("proj_y"),
     )
+    return with_degrees(rows)
+
+
+#: What a match adds to a point.
+MATCH = ("matched", "edge_id", "osm_id", "matched_u", "matched_v", "matched_k", "road_level", "oneway", "proj_dist_m", "seg_bearing", "proj_x", "proj_y")
+
+
+def with_degrees(rows: DataFrame) -> DataFrame:
+    """And what follows from these, so that it needn't be stored."""
     rows = rows.withColumn("travel_dir", travel_dir(F.col("obs_bearing"), F.col("seg_bearing")))
     rows = add_wgs84(rows, F.col("proj_x"), F.col("proj_y"), "proj_lon", "proj_lat")
     return rows.withColumns({"proj_lon": F.bround("proj_lon", 7), "proj_lat": F.bround("proj_lat", 7)})
